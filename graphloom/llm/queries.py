@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.decontaminate import decontaminate
+from graphloom.llm.jaccard_join import jaccard_components
 from graphloom.session import table
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated", "n_near_items")
 
 
 LLM_QUERIES = {
+    "op6_jaccard_join": op6_jaccard_join,
     "op9_decontamination": op9_decontamination,
 }
 
