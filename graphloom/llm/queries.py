@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.jaccard_join import jaccard_components
+from graphloom.llm.toxicity import toxicity
 from graphloom.session import table
 
 
@@ -19,7 +20,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated", "n_near_items")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 LLM_QUERIES = {
+    "op10_toxicity": op10_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
     "op9_decontamination": op9_decontamination,
 }
