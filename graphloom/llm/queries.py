@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.jaccard_join import jaccard_components
+from graphloom.llm.packing import pack_documents
 from graphloom.llm.toxicity import toxicity
 from graphloom.session import table
 
@@ -24,7 +26,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 LLM_QUERIES = {
+    "op3_packing": op3_packing,
     "op10_toxicity": op10_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
     "op9_decontamination": op9_decontamination,
