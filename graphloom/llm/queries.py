@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.jaccard_join import jaccard_components
 from graphloom.llm.packing import pack_documents
+from graphloom.llm.secrets_scan import KINDS as SECRET_KINDS
+from graphloom.llm.secrets_scan import scan_secrets
 from graphloom.llm.toxicity import toxicity
 from graphloom.session import table
 
@@ -30,7 +32,20 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _span_digest(spans: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts and digests of the base kinds' spans, and all spans as text."""
+    text = lambda which: F.array_join(F.transform(which, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(list(kinds)))
+    counts = [F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]  # noqa: B023
+    return spans.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(scan_secrets(table(spark, sf_dir, "documents")), SECRET_KINDS)
+
+
 LLM_QUERIES = {
+    "op5_secret_scan": op5_secret_scan,
     "op3_packing": op3_packing,
     "op10_toxicity": op10_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
