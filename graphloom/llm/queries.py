@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.jaccard_join import jaccard_components
 from graphloom.llm.packing import pack_documents
+from graphloom.llm.pii import KINDS as PII_KINDS
+from graphloom.llm.pii import find_pii
 from graphloom.llm.secrets_scan import KINDS as SECRET_KINDS
 from graphloom.llm.secrets_scan import scan_secrets
 from graphloom.llm.toxicity import toxicity
@@ -44,7 +46,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(scan_secrets(table(spark, sf_dir, "documents")), SECRET_KINDS)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digest(find_pii(table(spark, sf_dir, "documents")), PII_KINDS)
+
+
 LLM_QUERIES = {
+    "op1_pii": op1_pii,
     "op5_secret_scan": op5_secret_scan,
     "op3_packing": op3_packing,
     "op10_toxicity": op10_toxicity,
