@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.jaccard_join import jaccard_components
+from graphloom.llm.licenses import TEMPLATES, scan_licenses
 from graphloom.llm.packing import pack_documents
 from graphloom.llm.pii import KINDS as PII_KINDS
 from graphloom.llm.pii import find_pii
@@ -50,7 +51,14 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(find_pii(table(spark, sf_dir, "documents")), PII_KINDS)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"), spark.createDataFrame(TEMPLATES, "license string, text string"))
+    licenses = F.array_join(F.transform("found", lambda f: F.concat_ws(":", f["license"], f["first_word"])), ",")
+    return found.select("doc_id", F.size("found").cast("long").alias("n_licenses"), licenses.alias("licenses"))
+
+
 LLM_QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op1_pii": op1_pii,
     "op5_secret_scan": op5_secret_scan,
     "op3_packing": op3_packing,
