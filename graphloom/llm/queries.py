@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm import chat
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.jaccard_join import jaccard_components
 from graphloom.llm.licenses import TEMPLATES, scan_licenses
@@ -57,7 +58,13 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("found").cast("long").alias("n_licenses"), licenses.alias("licenses"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = chat.as_transcripts(table(spark, sf_dir, "conversations"))
+    return chat.parse_transcripts(raw.drop("role"), chat.learn(raw))
+
+
 LLM_QUERIES = {
+    "op7_chat_format": op7_chat_format,
     "op2_license_scan": op2_license_scan,
     "op1_pii": op1_pii,
     "op5_secret_scan": op5_secret_scan,
