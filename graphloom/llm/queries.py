@@ -10,6 +10,7 @@ from graphloom.llm import chat
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.jaccard_join import jaccard_components
 from graphloom.llm.licenses import TEMPLATES, scan_licenses
+from graphloom.llm.media import from_flac, to_flac
 from graphloom.llm.packing import pack_documents
 from graphloom.llm.pii import KINDS as PII_KINDS
 from graphloom.llm.pii import find_pii
@@ -63,7 +64,22 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.parse_transcripts(raw.drop("role"), chat.learn(raw))
 
 
+def op4_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = from_flac(to_flac(table(spark, sf_dir, "documents")))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, length(payload) - 63, 64)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 LLM_QUERIES = {
+    "op4_media_flac": op4_media_flac,
     "op7_chat_format": op7_chat_format,
     "op2_license_scan": op2_license_scan,
     "op1_pii": op1_pii,
