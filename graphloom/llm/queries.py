@@ -10,6 +10,7 @@ from graphloom.llm import chat
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.jaccard_join import jaccard_components
 from graphloom.llm.licenses import TEMPLATES, scan_licenses
+from graphloom.llm.lm_score import backoff_scores
 from graphloom.llm.media import from_flac, to_flac
 from graphloom.llm.packing import pack_documents
 from graphloom.llm.pii import KINDS as PII_KINDS
@@ -78,7 +79,13 @@ def op4_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = backoff_scores(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round(F.col("log_score") / F.greatest("n_tokens", F.lit(1)), 6).alias("mean_log_score"))
+
+
 LLM_QUERIES = {
+    "op8_lm_score": op8_lm_score,
     "op4_media_flac": op4_media_flac,
     "op7_chat_format": op7_chat_format,
     "op2_license_scan": op2_license_scan,
