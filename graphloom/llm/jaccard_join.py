@@ -7,8 +7,8 @@ band and visits the next lower one. Within tiles, pairs are bounded from above b
 counts of hashed bitmaps, then decided by intersecting the sorted arrays.
 
 Copies never meet as pairs: documents with equal sets are one class. Nor do all members of a
-large group of near copies: in each round every member of a tile is compared with the tile's
-anchor only; pairs inside one component need no comparison any more, and once the pairs that
+large group of near copies: in each round every member of a tile is compared with a few anchors
+only; pairs inside one component need no comparison any more, and once the pairs that
 are left between different components are about as few as the postings, all of them are compared.
 The components are therefore those of all links.
 """
@@ -30,11 +30,12 @@ from graphloom.operators.components import connected_components
 from graphloom.session import checked_broadcast, cut
 
 PERCENT = 80
-BITS = 1024
+#: Bitmaps have the power of two of bits from twice the set size on, so about two fifths of them are set.
+LEAST_BITS = 64
 #: Elements ordered by frequency; the order steers cost only, never the result.
 FREQUENT = 50_000
-#: Rounds of comparisons with anchors before all remaining pairs are compared.
-ROUNDS = 4
+#: Anchors per tile in the rounds before all remaining pairs are compared.
+ANCHORS = (1, 8, 32)
 
 
 def _least(n: int, percent: int) -> int:
@@ -48,15 +49,23 @@ def _class_key(s: np.ndarray) -> tuple[int, int]:
         return tuple(int(x) for x in np.array([mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64)], np.uint64).view(np.int64))
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Hashed bitmap signature of a set."""
+    bits = np.zeros(max(LEAST_BITS, 1 << (2 * len(s)).bit_length()), np.uint8)
+    bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def _sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per row: id, set size, class key; on one row of each batch the prefix elements met twice in it."""
+    """Per row: id, set size, class key, bitmap; on one row of each batch the prefix elements met twice in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, heads = [], [], []
+            sizes, keys, heads, maps = [], [], [], []
             for s in shingle_sets(batch.column(1), width):
                 sizes.append(len(s))
                 keys.append(_class_key(s))
+                maps.append(bitmap(s))
                 heads.append(s[: len(s) - _least(len(s), percent) + 1].copy())
             seen, counts = np.unique(np.concatenate([*heads, np.zeros(0, np.uint64)]), return_counts=True)
             often = counts > 1
@@ -69,29 +78,39 @@ def _sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     pa.array(sizes, pa.int64()),
                     pa.array([k[0] for k in keys], pa.int64()),
                     pa.array([k[1] for k in keys], pa.int64()),
+                    pa.array(maps, pa.binary()),
                     pa.array(lists, pa.list_(pa.struct([("e", pa.int64()), ("n", pa.int64())]))),
                 ],
-                names=["doc_id", "n", "k1", "k2", "often"],
+                names=["doc_id", "n", "k1", "k2", "bits", "often"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, often array<struct<e:long,n:long>>")
+    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bits binary, often array<struct<e:long,n:long>>")
 
 
 def _prefixes(docs: DataFrame, frequent: list[int], width: int, percent: int) -> DataFrame:
-    """Per row: id, size, class key and prefix in the order rare (by hash) before frequent (rarer first)."""
+    """Class key, size and longer prefix in the order rare (by hash) before frequent (rarer first).
+
+    A class comes once from each task that holds a copy of it. The prefix has n // 10 elements
+    more than the filter needs, see ``_shared``.
+    """
     values = np.array(frequent, np.int64).view(np.uint64)
     order = np.argsort(values)
     shared = docs.sparkSession.sparkContext.broadcast((values[order], order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             sizes, keys, heads = [], [], []
             for s in shingle_sets(batch.column(1), width):
+                key = _class_key(s)
+                if not len(s) or key in seen:
+                    continue
+                seen.add(key)
                 sizes.append(len(s))
-                keys.append(_class_key(s))
-                p = len(s) - _least(len(s), percent) + 1 if len(s) else 0
-                if len(known) and len(s):
+                keys.append(key[0])
+                p = len(s) - _least(len(s), percent) + 1 + len(s) // 10
+                if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     hot = known[at] == s
                     if hot.any():
@@ -100,49 +119,62 @@ def _prefixes(docs: DataFrame, frequent: list[int], width: int, percent: int) ->
             offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
             flat = np.concatenate([*heads, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array([k[0] for k in keys], pa.int64()),
-                    pa.array([k[1] for k in keys], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                ],
-                names=["doc_id", "n", "k1", "k2", "prefix"],
+                [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                names=["k1", "n", "prefix"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>")
+    return docs.mapInArrow(run, "k1 long, n long, prefix array<long>")
+
+
+def _shared(heads: DataFrame, percent: int) -> DataFrame:
+    """Postings (e, k1, n, pos) of the prefix filter that can lead to a link.
+
+    With k more elements in both prefixes, similar sets have k + 1 of them in common. So a class
+    of which fewer prefix elements than that occur in any other class's prefix has no links: that
+    settles those that share a chance shingle or two, without looking at pairs.
+    """
+    by_element = Window.partitionBy("e")
+    postings = heads.select("k1", "n", F.posexplode("prefix").alias("pos", "e"))
+    twice = postings.withColumn("lo", F.min("k1").over(by_element)).withColumn("hi", F.max("k1").over(by_element)).where("lo != hi").select("e", "k1", "n", "pos")
+    twice = cut(twice.distinct(), "twice")
+    least = F.expr(f"({percent} * n + 99) DIV 100")
+    fewest = F.floor(least / 10) + 1  # the partner may be the smaller one
+    able = twice.groupBy("k1", "n").agg(F.countDistinct("e").alias("m")).where(F.col("m") >= fewest).select("k1")
+    return twice.where(F.col("pos") <= F.col("n") - least).join(checked_broadcast(cut(able, "able")), "k1", "left_semi")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """Per row: id, class key, sorted array and bitmap."""
+    """Per row: id, class key and sorted array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, arrays, maps = [], [], []
+            keys, arrays = [], []
             for s in shingle_sets(batch.column(1), width):
                 keys.append(_class_key(s))
                 arrays.append(s.tobytes())
-                bits = np.zeros(BITS, np.uint8)
-                bits[(s % np.uint64(BITS)).astype(np.int64)] = 1
-                maps.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(arrays, pa.binary()), pa.array(maps, pa.binary())],
-                names=["doc_id", "k1", "k2", "elements", "bits"],
+                [batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(arrays, pa.binary())],
+                names=["doc_id", "k1", "k2", "elements"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, elements binary, bits binary")
+    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, elements binary")
+
+
+def _only(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """Bits that only x has and that only y has, after folding the wider map onto the narrower."""
+    if len(x) > len(y):
+        x = np.bitwise_or.reduce(x.reshape(-1, len(y)), axis=0)
+    elif len(y) > len(x):
+        y = np.bitwise_or.reduce(y.reshape(-1, len(x)), axis=0)
+    both = int(np.bitwise_count(x & y).sum())
+    return int(np.bitwise_count(x).sum()) - both, int(np.bitwise_count(y).sum()) - both
 
 
 @F.pandas_udf(LongType())
 def overlap_bound(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
     """Most elements two sets can share: a bit that only one has set is an element the other lacks."""
-    if not len(a):
-        return pd.Series([], dtype="int64")
-    x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1)
-    y = np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1)
-    only_x = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
-    only_y = np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
-    return pd.Series(np.minimum(n_a.to_numpy() - only_x, n_b.to_numpy() - only_y))
+    only = np.array([_only(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    return pd.Series(np.minimum(n_a.to_numpy() - only[:, 0], n_b.to_numpy() - only[:, 1]))
 
 
 @F.pandas_udf(LongType())
@@ -152,13 +184,20 @@ def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(read(x), read(y), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b, n_a, n_b) that are linked: bitmap bound first, exact intersection after."""
+def _verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b, n_a, n_b) that are linked: bitmap bound first, exact intersection after.
+
+    Arrays are made again from the texts, and only for classes in pairs that pass the bound.
+    """
     enough = lambda common: 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
-    side = lambda name, what: sets.select(F.col("rep").alias(name), F.col(what).alias(f"{what}_{name}"))
-    near = pairs.join(side("a", "bits"), "a").join(side("b", "bits"), "b").where(enough(overlap_bound("bits_a", "bits_b", "n_a", "n_b"))).select("a", "b", "n_a", "n_b")
-    both = near.join(side("b", "elements"), "b").join(side("a", "elements"), "a")
-    return both.withColumn("common", overlap("elements_a", "elements_b")).where(enough(F.col("common"))).select("a", "b")
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("k1").alias(f"k1_{x}"), F.col("k2").alias(f"k2_{x}"), F.col("bits").alias(f"bits_{x}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(enough(overlap_bound("bits_a", "bits_b", "n_a", "n_b"))).drop("bits_a", "bits_b")
+    near = cut(near, "near")
+    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = cut(_sets(src.join(checked_broadcast(ids), "doc_id", "left_semi"), width), "sets")
+    array = lambda x: sets.select(F.col("doc_id").alias(x), F.col("k1").alias(f"k1_{x}"), F.col("k2").alias(f"k2_{x}"), F.col("elements").alias(f"elements_{x}"))
+    both = near.join(array("b"), ["b", "k1_b", "k2_b"]).join(array("a"), ["a", "k1_a", "k2_a"])
+    return both.withColumn("common", overlap("elements_a", "elements_b")).where(enough(F.col("common"))).select("a", "b").distinct()
 
 
 def _band(n: Column, percent: int) -> Column:
@@ -182,23 +221,11 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     sketches = cut(_sketches(src, width, percent), "sketches")
     often = sketches.select(F.explode("often").alias("o")).groupBy("o.e").agg(F.sum("o.n").alias("n"))
     frequent = [r[0] for r in often.orderBy(F.desc("n"), "e").limit(FREQUENT).select("e").collect()]
-    classes = cut(sketches.where(F.col("n") > 0).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
-
-    # postings of class representatives; only elements that two classes share go on
-    reps = classes.where(F.col("rep").isNotNull()).select(F.col("rep").alias("doc_id"), "k1", "k2")
-    heads = _prefixes(src, frequent, width, percent).join(reps, ["doc_id", "k1", "k2"])
-    postings = heads.select(F.explode("prefix").alias("e"), F.col("doc_id").alias("rep"), "n")
-    by_element = Window.partitionBy("e")
-    met = postings.withColumn("lo", F.min("rep").over(by_element)).withColumn("hi", F.max("rep").over(by_element)).where("lo != hi").select("e", "rep", "n").distinct()
-    met = cut(met, "met")
-
-    candidates = met.select("rep").distinct()
-    keys = candidates.join(classes.select("rep", "k1", "k2"), "rep")
-    some = src.join(checked_broadcast(candidates.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
-    sets = _sets(some, width).join(keys.withColumnRenamed("rep", "doc_id"), ["doc_id", "k1", "k2"], "left_semi")
-    sets = cut(sets.select(F.col("doc_id").alias("rep"), "elements", "bits").dropDuplicates(["rep"]), "sets")
+    classes = cut(sketches.where(F.col("n") > 0).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
 
-    links = _links(met, sets, percent)
+    named = classes.where(F.col("rep").isNotNull())
+    met = _shared(_prefixes(src, frequent, width, percent), percent).join(named.select("k1", "rep"), "k1").drop("k1")
+    links = _links(met, named, src, width, percent)
     labels = connected_components(links).withColumnRenamed("id", "rep")
     component = classes.join(labels, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     return sketches.select("doc_id", "n", "k1", "k2").join(component, ["k1", "k2"], "left").select(
@@ -206,42 +233,45 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     )
 
 
-def _links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(met: DataFrame, classes: DataFrame, src: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between representatives that give the components of all links."""
     band = _band(F.col("n"), percent)
-    tiles = met.select("e", "rep", "n", F.explode(F.array(band, band - 1)).alias("band"), band.alias("own")).select("e", "band", (F.col("band") == F.col("own")).alias("home"), "rep", "n")
+    tiles = met.select("e", "rep", "n", "pos", F.explode(F.array(band, band - 1)).alias("band"), band.alias("own")).select("e", "band", (F.col("band") == F.col("own")).alias("home"), "rep", "n", "pos")
     tiles = cut(tiles, "tiles")
-    n_tiles = tiles.count()
-    similar = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    # sizes that can be similar, and room for enough common elements from the first common one on
+    need = F.ceil(percent * (F.col("n") + F.col("n_s")) / float(100 + percent) - 1e-9)
+    similar = (100 * F.least("n", "n_s") >= percent * F.greatest("n", "n_s")) & (F.col("pos") <= F.col("n") - need) & (F.col("pos_s") <= F.col("n_s") - need)
     links = done = None
-    for k in range(ROUNDS + 1):
-        now = tiles.withColumn("c", F.col("rep"))
-        if links is not None:
+    for k in range(len(ANCHORS) + 1):
+        if links is None:
+            now = tiles.withColumn("c", F.col("rep"))
+        else:
             labels = connected_components(links).withColumnRenamed("id", "rep")
-            now = tiles.join(labels, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+            now = cut(tiles.drop("c").join(checked_broadcast(labels), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "now")
         per = now.groupBy("e", "band", "c").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("v"))
         per = per.groupBy("e", "band").agg(*[F.sum(x).alias(y) for x, y in (("h", "h"), ("v", "v"), (F.col("h") * F.col("h"), "hh"), (F.col("h") * F.col("v"), "hv"))])
         per = per.withColumn("left", (F.col("h") * F.col("h") - F.col("hh")) / 2 + F.col("h") * F.col("v") - F.col("hv")).where("left > 0")
+        per = cut(per, "left")
         left = per.agg(F.sum("left")).first()[0] or 0
         if not left:
             break
-        now = now.join(per.select("e", "band"), ["e", "band"])
-        last = left <= 2 * n_tiles or k == ROUNDS
-        home = now.where("home").select("e", "band", F.col("rep").alias("s"), F.col("n").alias("n_s"), F.col("c").alias("c_s"))
+        now = tiles = cut(now.join(checked_broadcast(per.select("e", "band")), ["e", "band"], "left_semi"), "tiles")
+        last = left <= 2 * tiles.count() or k == len(ANCHORS)
+        home = now.where("home").select("e", "band", F.col("rep").alias("s"), F.col("n").alias("n_s"), F.col("c").alias("c_s"), F.col("pos").alias("pos_s"))
         if not last:
-            first = F.min_by(F.struct("s", "n_s", "c_s"), F.xxhash64("s", F.lit(k)))
-            home = home.groupBy("e", "band").agg(first.alias("x")).select("e", "band", "x.*")
-        pairs = now.join(home, ["e", "band"]).where("c != c_s")
+            turn = F.row_number().over(Window.partitionBy("e", "band").orderBy(F.xxhash64("s", F.lit(k)), "s"))
+            home = home.withColumn("turn", turn).where(F.col("turn") <= ANCHORS[k]).drop("turn")
+        pairs = now.join(home, ["e", "band"]).where((F.col("c") != F.col("c_s")) & similar)
         pairs = pairs.select(
             F.least("rep", "s").alias("a"),
             F.greatest("rep", "s").alias("b"),
             F.when(F.col("rep") < F.col("s"), F.col("n")).otherwise(F.col("n_s")).alias("n_a"),
             F.when(F.col("rep") < F.col("s"), F.col("n_s")).otherwise(F.col("n")).alias("n_b"),
-        ).where(similar).distinct()
+        ).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
-        found = cut(_verified(pairs, sets, percent), "links")
+        found = cut(_verified(pairs, classes, src, width, percent), "links")
         links = found if links is None else links.union(found)
         seen = pairs.select("a", "b")
         done = seen if done is None else done.union(seen)
