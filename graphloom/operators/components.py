@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import cut
+from graphloom.session import BROADCAST_ROWS, cut
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -23,17 +23,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     pairs, before = cut(pairs, "cc"), None
+    small = (lambda df: F.broadcast(df)) if pairs.count() <= BROADCAST_ROWS // 2 else (lambda df: df)
     for _ in range(max_rounds):
         # large star: strictly larger neighbours of u go to the least of u and its neighbours
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(pairs.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where(F.col("v") > F.col("u")).join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        )
+        large = both.where(F.col("v") > F.col("u")).join(small(least), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         # small star: u and its smaller neighbours all go to the smallest of them
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(root, "hi").where(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        pairs = cut(small.union(root.select("hi", F.col("m").alias("lo"))).distinct(), "cc")
+        rest = large.join(small(root), "hi").where(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        pairs = cut(rest.union(root.select("hi", F.col("m").alias("lo"))).distinct(), "cc")
         state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if state == before:
             break
