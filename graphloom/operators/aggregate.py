@@ -128,7 +128,8 @@ def edge_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def hot_ratio(counts: DataFrame) -> DataFrame:
     """(id, n, ratio): accesses against the most accessed."""
-    return counts.crossJoin(counts.agg(F.max("n").alias("most"))).select("id", "n", (F.col("n") / F.col("most")).alias("ratio"))
+    most = counts.agg(F.max("n")).first()[0]
+    return counts.select("id", "n", (F.col("n") / F.lit(most)).alias("ratio"))
 
 
 def review(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:

@@ -207,32 +207,25 @@ def transitive_reduction(edges: DataFrame) -> DataFrame:
 def dominators(edges: DataFrame, root: str) -> DataFrame:
     """(id, dominator, depth) of every node reachable from the root: immediate dominators.
 
-    a dominates b if b can't be reached without a; all (avoided, reached) pairs are expanded at
-    once, so the cost is that of one closure for every node: for graphs of modest size.
+    Data flow to a fixed point: a node is dominated by itself and by what dominates all of its
+    predecessors known so far. The state is one row per (node, dominator).
     """
-    steps = cut(edges.select("src", "dst").distinct(), "dom")
-    whole = _avoiding(steps, root, None)
-    ids = cut(whole, "reached")
-    avoid = ids.where(F.col("id") != root).select(F.col("id").alias("x"))
-    seen = frontier = cut(avoid.select("x", F.lit(root).alias("id")), "avoid")
-    while not frontier.isEmpty():
-        ahead = frontier.join(steps, F.col("id") == F.col("src")).where("dst != x").select("x", F.col("dst").alias("id")).distinct()
-        frontier = cut(ahead.join(seen, ["x", "id"], "left_anti"), "avoid")
-        seen = seen.union(frontier)
-    strict = avoid.join(ids, F.lit(True)).where("x != id").join(seen, ["x", "id"], "left_anti").select("x", "id").union(ids.where(F.col("id") != root).select(F.lit(root), "id"))
-    strict = cut(strict, "strict")
-    depth = ids.join(strict.groupBy("id").agg(F.count(F.lit(1)).alias("depth")), "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth"))
-    deep = strict.join(depth.select(F.col("id").alias("x"), F.col("depth").alias("at")), "x").groupBy("id").agg(F.max_by("x", "at").alias("dominator"))
-    return depth.join(deep, "id", "left").select("id", "dominator", "depth")
-
-
-def _avoiding(steps: DataFrame, root: str, without: str | None) -> DataFrame:
-    seen = frontier = steps.sparkSession.createDataFrame([(root,)], "id string")
-    while not frontier.isEmpty():
-        ahead = frontier.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        frontier = cut(ahead.join(seen, "id", "left_anti"), "seen")
-        seen = seen.union(frontier)
-    return seen
+    steps = cut(edges.where((F.col("src") != F.col("dst")) & (F.col("dst") != root)).select("src", "dst").distinct(), "steps")
+    dom = cut(edges.sparkSession.createDataFrame([(root, root)], "id string, x string"), "dom")
+    before = None
+    while True:
+        known = steps.join(dom.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+        n = known.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
+        shared = steps.join(dom.withColumnRenamed("id", "src"), "src").groupBy("dst", "x").agg(F.count(F.lit(1)).alias("m")).join(n, "dst").where("m = n")
+        own = n.select(F.col("dst").alias("id"), F.col("dst").alias("x"))
+        dom = cut(shared.select(F.col("dst").alias("id"), "x").union(own).union(dom.where(F.col("id") == root)).distinct(), "dom")
+        state = dom.agg(F.count(F.lit(1)), F.sum(F.xxhash64("id", "x").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+    depth = dom.groupBy("id").agg((F.count(F.lit(1)) - 1).alias("depth"))
+    above = dom.where("x != id").join(depth.toDF("x", "at"), "x").groupBy("id").agg(F.max_by("x", "at").alias("dominator"))
+    return depth.join(above, "id", "left").select("id", "dominator", "depth")
 
 
 def bridges(edges: DataFrame) -> DataFrame:
