@@ -36,6 +36,8 @@ LEAST_BITS = 64
 FREQUENT = 50_000
 #: Anchors per tile in the rounds before all remaining pairs are compared.
 ANCHORS = (1, 8, 32)
+#: Larger tiles are compared as blocks of bitmaps of about BLOCK members, without a row for each pair.
+SMALL, BLOCK = 64, 2048
 
 
 def _least(n: int, percent: int) -> int:
@@ -200,6 +202,43 @@ def _verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, width: int,
     return both.withColumn("common", overlap("elements_a", "elements_b")).where(enough(F.col("common"))).select("a", "b").distinct()
 
 
+def _block_pairs(tiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b) of pairs between different components of large tiles that the bitmap bound lets through.
+
+    A tile is split into blocks by the members' hashes; every two blocks meet in one group.
+    """
+    sizes = tiles.groupBy("e", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = tiles.join(checked_broadcast(sizes), ["e", "band"]).join(classes.select("rep", "bits"), "rep")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    rows = rows.select("e", "band", "home", "rep", "n", "pos", "c", "bits", own.alias("own"), F.explode(every).alias("g")).select("*", "g.*").drop("g")
+
+    def compare(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        least = min(map(len, t["bits"]))
+        x = np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, least // 8), axis=0) for b in t["bits"]])
+        n, pos, c, rep, home, block = (t[k].to_numpy() for k in ("n", "pos", "c", "rep", "home", "own"))
+        bits = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+        left, right = np.flatnonzero(block == key[2]), np.flatnonzero(block == key[3])
+        step = max(1, (1 << 22) // max(1, len(right) * x.shape[1]))
+        out = []
+        for k in range(0, len(left), step):
+            i, j = left[k : k + step, None], right[None, :]
+            both = np.bitwise_count(x[i[:, 0], None, :] & x[None, right, :]).sum(axis=2, dtype=np.int64)
+            most = np.minimum(n[i] - bits[i] + both, n[j] - bits[j] + both)
+            need = -(-percent * (n[i] + n[j]) // (100 + percent))
+            fit = (most >= need) & (c[i] != c[j]) & (home[i] | home[j]) & (pos[i] <= n[i] - need) & (pos[j] <= n[j] - need)
+            fit &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            if key[2] == key[3]:
+                fit &= i < j
+            a, b = np.nonzero(fit)
+            out.append(np.stack([left[k + a], right[b]], axis=1))
+        a, b = np.concatenate([*out, np.zeros((0, 2), np.int64)]).astype(np.int64).T
+        a, b = np.where(rep[a] < rep[b], a, b), np.where(rep[a] < rep[b], b, a)
+        return pd.DataFrame({"a": rep[a], "b": rep[b], "n_a": n[a], "n_b": n[b]})
+
+    return rows.groupBy("e", "band", "i", "j").applyInPandas(compare, "a long, b long, n_a long, n_b long")
+
+
 def _band(n: Column, percent: int) -> Column:
     return F.floor(F.log(n) / float(np.log(100 / percent)) + 1e-9)
 
@@ -257,17 +296,24 @@ def _links(met: DataFrame, classes: DataFrame, src: DataFrame, width: int, perce
             break
         now = tiles = cut(now.join(checked_broadcast(per.select("e", "band")), ["e", "band"], "left_semi"), "tiles")
         last = left <= 2 * tiles.count() or k == len(ANCHORS)
-        home = now.where("home").select("e", "band", F.col("rep").alias("s"), F.col("n").alias("n_s"), F.col("c").alias("c_s"), F.col("pos").alias("pos_s"))
+        small = now
+        if last:
+            large = checked_broadcast(cut(now.groupBy("e", "band").count().where(F.col("count") > SMALL).select("e", "band"), "large"))
+            small = now.join(large, ["e", "band"], "left_anti")
+        home = small.where("home").select("e", "band", F.col("rep").alias("s"), F.col("n").alias("n_s"), F.col("c").alias("c_s"), F.col("pos").alias("pos_s"))
         if not last:
             turn = F.row_number().over(Window.partitionBy("e", "band").orderBy(F.xxhash64("s", F.lit(k)), "s"))
             home = home.withColumn("turn", turn).where(F.col("turn") <= ANCHORS[k]).drop("turn")
-        pairs = now.join(home, ["e", "band"]).where((F.col("c") != F.col("c_s")) & similar)
+        pairs = small.join(home, ["e", "band"]).where((F.col("c") != F.col("c_s")) & similar)
         pairs = pairs.select(
             F.least("rep", "s").alias("a"),
             F.greatest("rep", "s").alias("b"),
             F.when(F.col("rep") < F.col("s"), F.col("n")).otherwise(F.col("n_s")).alias("n_a"),
             F.when(F.col("rep") < F.col("s"), F.col("n_s")).otherwise(F.col("n")).alias("n_b"),
-        ).distinct()
+        )
+        if last:
+            pairs = pairs.union(_block_pairs(now.join(large, ["e", "band"], "left_semi"), classes, percent))
+        pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")

@@ -27,7 +27,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated", "n_near_items")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +97,45 @@ LLM_QUERIES = {
     "op9_decontamination": op9_decontamination,
 }
 
-LLM_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PARTS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_TEMPLATES = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in TEMPLATES)
+
+#: Models (1, 5, 7, 10), tokenizers (3) and codecs (4) are beyond SQL; tests hold those to brute-force versions.
+LLM_SQL: dict[str, str] = {
+    "op2_license_scan": f"""WITH t(license, text) AS (VALUES {_TEMPLATES}), v AS (SELECT DISTINCT license, {_WORDS.format("text")} AS w FROM t),
+      z AS (SELECT row_number() OVER () AS tid, license, w, least(len(w), 5) AS k, len(w) - least(len(w), 5) + 1 AS m FROM v),
+      s AS (SELECT DISTINCT tid, license, k, m, array_to_string(w[i:i+k-1], ' ') AS g FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM z)),
+      c AS (SELECT tid, count(*) AS n FROM s GROUP BY tid),
+      d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+      p AS (SELECT doc_id, k, i, array_to_string(w[i:i+k-1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT k FROM s) WHERE len(w) >= k)),
+      h AS (SELECT doc_id, tid, license, m, i, p.g FROM p JOIN s ON p.g = s.g AND p.k = s.k),
+      q AS (SELECT doc_id, tid, license, m, g, (i - 1) // m AS win FROM h UNION ALL SELECT doc_id, tid, license, m, g, (i - 1) // m - 1 FROM h WHERE (i - 1) // m >= 1),
+      f AS (SELECT doc_id, license, win * m + 1 AS first, count(DISTINCT g) / CAST(max(n) AS DOUBLE) AS share FROM q JOIN c USING (tid) GROUP BY doc_id, tid, license, m, win),
+      b AS (SELECT doc_id, license, first FROM f WHERE share >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY share DESC, first) = 1),
+      l AS (SELECT doc_id, count(*) AS n, string_agg(license || ':' || first, ',' ORDER BY license) AS licenses FROM b GROUP BY doc_id)
+      SELECT documents.doc_id, coalesce(n, 0) AS n_licenses, coalesce(licenses, '') AS licenses FROM documents LEFT JOIN l USING (doc_id)""",
+    "op6_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_PARTS} AS w FROM documents),
+      s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+      n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+      p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+      l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+      r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+      SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) ON a = w.doc_id""",
+    "op8_lm_score": f"""WITH t AS (SELECT doc_id, i, w[i] AS w, CASE WHEN i > 1 THEN w[i-1] END AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {_PARTS} AS w FROM documents))),
+      one AS (SELECT w, count(*) AS c FROM t GROUP BY w), own1 AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY ALL),
+      two AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY ALL), own2 AS (SELECT doc_id, v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY ALL),
+      n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+      x AS (SELECT t.doc_id, t.v, one.c - own1.c AS o1, coalesce(two.c - own2.c, 0) AS o2, p.c - q.c AS ov, greatest((SELECT count(*) FROM t) - n.n, 1) AS rest FROM t JOIN one ON one.w = t.w JOIN own1 ON own1.doc_id = t.doc_id AND own1.w = t.w JOIN n ON n.doc_id = t.doc_id
+        LEFT JOIN two ON two.v = t.v AND two.w = t.w LEFT JOIN own2 ON own2.doc_id = t.doc_id AND own2.v = t.v AND own2.w = t.w LEFT JOIN one p ON p.w = t.v LEFT JOIN own1 q ON q.doc_id = t.doc_id AND q.w = t.v),
+      y AS (SELECT doc_id, sum(CASE WHEN v IS NOT NULL AND o2 > 0 THEN ln(o2 / CAST(ov AS DOUBLE)) ELSE ln((CASE WHEN o1 > 0 THEN o1 ELSE 0.5 END) / CAST(rest AS DOUBLE)) + CASE WHEN v IS NULL THEN 0 ELSE ln(0.4) END END) AS s FROM x GROUP BY doc_id)
+      SELECT documents.doc_id, coalesce(n, 0) AS n_tokens, round(coalesce(s, 0), 4) AS log_score, round(coalesce(s, 0) / greatest(coalesce(n, 0), 1), 6) AS mean_log_score FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN y USING (doc_id)""",
+    "op9_decontamination": f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents), b AS (SELECT item_id, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
+      x AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+      d AS (SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w CROSS JOIN (SELECT DISTINCT n FROM x) WHERE len(w) >= n)),
+      m AS (SELECT doc_id, i, d.n, item_id FROM d JOIN x ON d.g = x.g AND d.n = x.n),
+      h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+      k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+      SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+      FROM w LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)""",
+}

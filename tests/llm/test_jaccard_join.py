@@ -64,6 +64,24 @@ def test_large_group_of_near_copies_needs_few_rounds(spark):
     assert got(spark, rows) == brute(rows)
 
 
+def test_blocks_of_large_tiles(spark, monkeypatch):
+    from graphloom.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 10)
+    monkeypatch.setattr(jaccard_join, "ANCHORS", ())
+    rng = random.Random(7)
+    rows = []
+    for g in range(2):
+        base = [f"w{g}_{i}" for i in range(50 + 60 * g)]
+        for i in range(70):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 4])):
+                w[rng.randrange(len(w))] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(w[: rng.choice([len(w), len(w) - 5])])))
+    assert got(spark, rows) == brute(rows)
+
+
 def test_thresholds_are_exact(spark):
     a = [f"w{i}" for i in range(13)]  # 9 shingles
     rows = [(1, " ".join(a)), (2, " ".join(a[:12])), (3, " ".join(a + ["y", "z"])), (4, " ".join(a[:11])), (9, " ".join(a))]
