@@ -219,7 +219,7 @@ def _block_pairs(tiles: DataFrame, classes: DataFrame, percent: int) -> DataFram
         n, pos, c, rep, home, block = (t[k].to_numpy() for k in ("n", "pos", "c", "rep", "home", "own"))
         bits = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
         left, right = np.flatnonzero(block == key[2]), np.flatnonzero(block == key[3])
-        step = max(1, (1 << 22) // max(1, len(right) * x.shape[1]))
+        step = max(1, (1 << 19) // max(1, len(right) * x.shape[1]))
         out = []
         for k in range(0, len(left), step):
             i, j = left[k : k + step, None], right[None, :]

@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-#: Bytes hashed at once; one longer text is a chunk of its own.
-CHUNK = 1 << 21
+#: Bytes hashed at once, so that the running sums stay small; one longer text is a chunk of its own.
+CHUNK = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _LOWER = np.arange(256, dtype=np.uint8)
