@@ -43,3 +43,23 @@ def matched(returned: DataFrame, expected: DataFrame, keys: list[str]) -> DataFr
     r, e = returned.select(keys).distinct().withColumn("r", F.lit(1)), expected.select(keys).distinct().withColumn("e", F.lit(1))
     both = r.join(e, keys, "full").agg(F.count_if(F.col("r").isNotNull() & F.col("e").isNotNull()).alias("hits"), F.count("r").alias("nr"), F.count("e").alias("ne"))
     return both.select("hits", (F.col("hits") / F.greatest("nr", F.lit(1))).alias("precision"), (F.col("hits") / F.greatest("ne", F.lit(1))).alias("recall"))
+
+
+def warmup(runs: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """(group, first, warm, penalty, cold): first value over the median (by index) of the later ones; cold from over 3 on."""
+    numbered = runs.withColumn("k_", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    first = numbered.where("k_ = 1").select(group, F.col(value).alias("first"))
+    warm = by_index(numbered.where("k_ > 1"), group, value, {"warm": 0.5})
+    penalty = F.when(F.col("warm") > 0, F.col("first") / F.col("warm"))
+    return first.join(warm, group).select(group, "first", "warm", penalty.alias("penalty"), F.coalesce(penalty > 3, F.lit(False)).alias("cold"))
+
+
+def robustness(errors: Column, total: Column) -> Column:
+    return F.when(total > 0, 100.0 * (1 - errors / total)).otherwise(F.lit(0.0))
+
+
+def weighted(scores: list[Column], weights: list[float]) -> Column:
+    """Weighted mean of the scores that are not null; null if all are."""
+    zero = F.lit(0.0)
+    total = sum((F.when(s.isNull(), zero).otherwise(w) for s, w in zip(scores, weights, strict=True)), zero)
+    return F.when(total > 0, sum((F.coalesce(s * w, zero) for s, w in zip(scores, weights, strict=True)), zero) / total)

@@ -15,9 +15,10 @@ from pyspark.sql.window import Window
 from graphloom import graphs
 from graphloom.graphs import with_graph
 from graphloom.model import in_scope, module_of, severity_weight
-from graphloom.operators import access, aggregate, analytics, federation, reach, search, stats
+from graphloom.operators import access, aggregate, analytics, federation, lenses, reach, search, stats
 from graphloom.session import table
 from graphloom.sources import manifest
+from graphloom.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -66,8 +67,8 @@ query("ga8_find_by_name", with_graph("SELECT * FROM n WHERE lower(name) = lower(
 query("ga9_roots", with_graph("SELECT id FROM n WHERE id NOT IN (SELECT dst FROM e)", "n", "e"))(lambda g: access.roots(g.nodes, g.edges).select("id"))
 query("ga10_leaves", with_graph("SELECT id FROM n WHERE id NOT IN (SELECT src FROM e)", "n", "e"))(lambda g: access.leaves(g.nodes, g.edges).select("id"))
 query("ga27_members", with_graph("SELECT src, dst FROM e WHERE dep_type = 'contains'", "e"))(lambda g: access.by_kind(g.edges, ["contains"]).select("src", "dst"))
-query("ga30_related_names", with_graph("SELECT id, name, CAST(levenshtein(lower(name), 'argentona') AS INTEGER) AS distance FROM n WHERE levenshtein(lower(name), 'argentona') <= 3", "n"))(
-    lambda g: access.related_names(g.nodes, "Argentona", 3)
+query("ga30_related_names", with_graph("SELECT id, name, CAST(levenshtein(lower(name), 'nation_1x') AS INTEGER) AS distance FROM n WHERE levenshtein(lower(name), 'nation_1x') <= 1", "n"))(
+    lambda g: access.related_names(g.nodes, "Nation_1x", 1)
 )
 query("ga31_local_edges", with_graph(", m AS (SELECT id, regexp_replace(file, '/?[^/]*$', '') AS module FROM n) SELECT src, dst, dep_type, a.module FROM e JOIN m a ON a.id = src JOIN m b ON b.id = dst WHERE a.module = b.module", "n", "e"))(
     lambda g: access.local_edges(g.nodes, g.edges)
@@ -301,13 +302,15 @@ query("al27_relation_candidates", with_graph(", t AS (SELECT id, file FROM n WHE
 
 # --- search, statistics, federation, sources -----------------------------------------------
 
-_TOK = "list_filter(string_split_regex(regexp_replace(name, '([A-Z])', '_\\1', 'g'), '[_:.\\-#\\s]+'), x -> x <> '')"
+_TOK = "list_filter(string_split_regex(regexp_replace(name, '([A-Z])', '_\\1', 'g'), '[_:.\\-#\\s]+'), lambda x: x <> '')"
 query("se2_tokens", with_graph(f"SELECT id, lower(array_to_string({_TOK}, ' ')) AS tokens FROM n", "n"))(lambda g: g.nodes.select("id", F.array_join(search.tokens(F.col("name")), " ").alias("tokens")))
-query("se3_idf", with_graph(f", t AS (SELECT DISTINCT id, unnest(list_append(list_transform({_TOK}, x -> lower(x)), lower(name))) AS token FROM n) SELECT token, count(*) AS df, round(ln(1 + (SELECT count(*) FROM n) / CAST(1 + count(*) AS DOUBLE)), 9) AS idf FROM t GROUP BY token", "n"))(
+query("se3_idf", with_graph(f", t AS (SELECT DISTINCT id, unnest(list_append(list_transform({_TOK}, lambda x: lower(x)), lower(name))) AS token FROM n) SELECT token, count(*) AS df, round(ln(1 + (SELECT count(*) FROM n) / CAST(1 + count(*) AS DOUBLE)), 9) AS idf FROM t GROUP BY token", "n"))(
     lambda g: search.idf_table(g.nodes).withColumn("idf", F.round("idf", 9))
 )
-query("se1_idf_search")(lambda g: search.idf_search(g.nodes, g.degrees, "united states", 20))
-query("se4_similarity_search")(lambda g: search.similarity_search(g.nodes, "ina", 20))
+query("se1_idf_search")(lambda g: search.idf_search(g.nodes, g.degrees, "small ring", 20))
+query("se4_similarity_search", with_graph(", x AS (SELECT id, name, lower(name) AS l, instr(lower(name), 'ring') AS p, length(name) AS k FROM n) SELECT id, name, CAST(CASE WHEN l = 'ring' THEN 4 WHEN p = 1 THEN 3 WHEN p > 1 THEN 2 ELSE 1 END AS INTEGER) AS match, round(CASE WHEN l = 'ring' THEN 1.0 WHEN p = 1 THEN 0.9 WHEN p > 1 THEN 0.7 + 0.2 * (1 - (p - 1) / CAST(k AS DOUBLE)) ELSE 2.4 / k END, 9) AS score FROM x WHERE p > 0 OR regexp_matches(l, 'r.*i.*n.*g') ORDER BY match DESC, score DESC, name, id LIMIT 20", "n"))(
+    lambda g: search.similarity_search(g.nodes, "ring", 20).withColumn("score", F.round("score", 9))
+)
 query("se13_content_search", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, l, unnest(range(0, len(l))) AS line FROM l) SELECT doc_id, CAST(line AS INTEGER) AS line, l[line + 1] AS text, CASE WHEN line > 0 THEN l[line] END AS before, l[line + 2] AS after FROM x WHERE regexp_matches(l[line + 1], 'License')")(
     lambda g: search.lines_matching(g.documents, "License")
 )
@@ -330,8 +333,8 @@ query("st12_ground_truth", with_graph("SELECT count(*) FILTER (provenance = 'inf
 )
 _space = lambda g: g.nodes.where("kind != 'method'").select(F.lit("a").alias("space"), "id", F.col("name").alias("label"), "kind").union(g.nodes.where("kind != 'method'").select(F.lit("b"), "id", F.concat(F.lit(" "), F.lower("name"), F.lit("!")), F.when(F.col("kind") == "class", "module").otherwise(F.col("kind"))))
 query("fed2_merge_candidates", with_graph(", m AS (SELECT id, lower(name) AS l, kind FROM n WHERE kind <> 'method') SELECT 'a::' || x.id AS a, 'b::' || y.id AS b, CAST(CASE WHEN x.kind = CASE WHEN y.kind = 'class' THEN 'module' ELSE y.kind END THEN 1.0 ELSE 0.8 END AS DOUBLE) AS score FROM m x JOIN m y USING (l)", "n"))(lambda g: federation.merge_candidates(_space(g)))
-query("fed1_federated_search", with_graph(", x AS (SELECT 'a' AS space, id, name AS label, 2 AS p FROM n WHERE kind <> 'method' UNION ALL SELECT 'b', id, ' ' || lower(name) || '!', 1 FROM n WHERE kind <> 'method') SELECT space || '::' || id AS fid, label FROM x WHERE contains(lower(label), 'an') ORDER BY p, label, id LIMIT 30", "n"))(
-    lambda g: federation.federated_search(_space(g), g.spark.createDataFrame([("a", 2), ("b", 1)], "space string, position int"), "AN", 30)
+query("fed1_federated_search", with_graph(", x AS (SELECT 'a' AS space, id, name AS label, 2 AS p FROM n WHERE kind <> 'method' UNION ALL SELECT 'b', id, ' ' || lower(name) || '!', 1 FROM n WHERE kind <> 'method') SELECT space || '::' || id AS fid, label FROM x WHERE contains(lower(label), 'nat') ORDER BY p, label, id LIMIT 30", "n"))(
+    lambda g: federation.federated_search(_space(g), g.spark.createDataFrame([("a", 2), ("b", 1)], "space string, position int"), "NAT", 30)
 )
 query("src5_changes", "WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, o_orderstatus AS c FROM orders WHERE o_orderpriority <> '1-URGENT'), w AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, CASE WHEN o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END AS c FROM orders WHERE o_orderpriority <> '5-LOW') SELECT coalesce(o.k, w.k) AS file_path, CASE WHEN o.k IS NULL THEN 'new' WHEN w.k IS NULL THEN 'deleted' WHEN o.c <> w.c THEN 'changed' ELSE 'unchanged' END AS change FROM o FULL JOIN w ON o.k = w.k")(
     lambda g: manifest.changes(
@@ -343,3 +346,76 @@ query("src15_page_links", "SELECT DISTINCT page_id, unnest(regexp_extract_all(ht
 query("sm_activity_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2")(
     lambda g: g.events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
 )
+
+# --- lenses, views, diffs, diagrams --------------------------------------------------------
+
+query("lv4_dependencies", with_graph("SELECT id, fan_out, CASE WHEN fan_out >= 20 THEN 'critical' ELSE 'warning' END AS band FROM d WHERE fan_out > 10", "d"))(lambda g: lenses.dependency_findings(g.degrees))
+query("lv6_god_modules", with_graph(_MODULES + " SELECT dst_module AS module, count(DISTINCT src_module) AS callers FROM p GROUP BY 1 HAVING count(DISTINCT src_module) > 5", "n", "e"))(lambda g: lenses.god_modules(aggregate.module_edges(g.nodes, g.edges), 5))
+query("lv7_ranked_hotspots", with_graph(f", a AS (SELECT file, 0.4 * sum(fan_in) AS fan FROM d GROUP BY 1), b AS (SELECT file_path, 0.6 * sum({_SEV}) AS w FROM i GROUP BY 1), x AS (SELECT coalesce(file, file_path) AS file, round(CAST(coalesce(fan, 0) + coalesce(w, 0) AS DOUBLE), 6) AS risk FROM a FULL JOIN b ON file = file_path) SELECT file, risk FROM x ORDER BY risk DESC, file LIMIT 10", "d", "i"))(
+    lambda g: lenses.ranked_hotspots(aggregate.file_risk(g.degrees, g.issues).select("file", F.round("risk", 6).alias("risk")), 10)
+)
+query("lv8_vertical_slice", with_graph(", r(id, depth) AS (SELECT 'nation:4', 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = id WHERE depth < 3) SELECT CASE WHEN min(depth) = 0 THEN 'focus' ELSE 'callee' END AS role, id, min(depth) AS depth FROM r GROUP BY id UNION ALL SELECT DISTINCT 'caller', src, 1 FROM e WHERE dst = 'nation:4'", "e", recursive=True))(
+    lambda g: lenses.vertical_slice(g.edges, g.seed("nation:4"))
+)
+query("lv10_scope_dependencies", with_graph(_MODULES + " SELECT CASE WHEN src_module = 'AFRICA' THEN dst_module ELSE src_module END AS scope, CAST(coalesce(sum(n) FILTER (src_module = 'AFRICA'), 0) AS BIGINT) AS outgoing, CAST(coalesce(sum(n) FILTER (dst_module = 'AFRICA'), 0) AS BIGINT) AS incoming FROM p WHERE 'AFRICA' IN (src_module, dst_module) GROUP BY 1", "n", "e"))(
+    lambda g: lenses.scope_dependencies(aggregate.module_edges(g.nodes, g.edges), "AFRICA")
+)
+query("lv13_debug_slice", with_graph("SELECT DISTINCT role, id, name FROM (SELECT 'caller' AS role, src AS id FROM e WHERE dst = 'part:5' UNION ALL SELECT 'callee', dst FROM e WHERE src = 'part:5') JOIN n USING (id) WHERE regexp_matches(lower(name), 'supplier|log')", "n", "e"))(
+    lambda g: lenses.debug_slice(g.nodes, g.edges, "part:5", ("supplier", "log"))
+)
+query("lv14_usage_examples", with_graph("SELECT DISTINCT role, id, name FROM (SELECT 'caller' AS role, src AS id FROM e WHERE dst = 'nation:2' UNION ALL SELECT 'callee', dst FROM e WHERE src = 'nation:2') JOIN n USING (id)", "n", "e"))(lambda g: lenses.usage_examples(g.nodes, g.edges, "nation:2"))
+query("ag9_safe_to_change", with_graph(_CLOSURE + ", v AS (SELECT src AS id FROM f UNION SELECT dst FROM f), x AS (SELECT v.id, (SELECT count(DISTINCT src) FROM f WHERE dst = v.id AND src <> v.id) AS direct, (SELECT count(*) FROM r WHERE b = v.id AND a <> v.id) AS transitive FROM v) SELECT id FROM x WHERE direct <= 5 AND transitive <= 4", "f", recursive=True))(
+    lambda g: lenses.safe_to_change(aggregate.impact(g.flow_nodes.select("id", F.lit("function").alias("kind"), F.lit("f").alias("file")), g.flow, reach.pair_reach(g.flow)), 4, ("minimal", "low", "medium"))
+)
+query("ag18_delete_issues", with_graph("SELECT id FROM i WHERE (file_path, rule_id, line) NOT IN (SELECT file_path, rule_id, line FROM i WHERE status = 'closed' AND severity = 'blocker')", "i"))(lambda g: lenses.delete_issues(g.issues, g.issues.where("status = 'closed' AND severity = 'blocker'")).select("id"))
+query("ag23_architecture", with_graph(_SCC + ", c AS (SELECT count(*) AS size FROM s GROUP BY component HAVING count(*) > 1 OR max(CASE WHEN id IN (SELECT src FROM f WHERE src = dst) THEN 1 ELSE 0 END) = 1) SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS in_cycles, CAST(greatest(0, 100 - 5 * coalesce(sum(size), 0)) AS BIGINT) AS score FROM c", "f", recursive=True))(
+    lambda g: lenses.architecture_score(analytics.cycles(analytics.strong_components(g.flow_nodes, g.flow), g.flow))
+)
+query("ag33_graph_complexity", with_graph(_WCC + ", c AS (SELECT v.id, least(v.id, coalesce(min(r.b), v.id)) AS component FROM v LEFT JOIN r ON r.a = v.id GROUP BY v.id), k AS (SELECT component, greatest((SELECT count(*) FROM f JOIN c y ON y.id = f.src WHERE y.component = c.component) - count(*) + 2, 1) AS complexity FROM c GROUP BY component) SELECT *, CASE WHEN complexity <= 10 THEN 'low' WHEN complexity <= 20 THEN 'moderate' WHEN complexity <= 50 THEN 'high' ELSE 'very high' END AS band FROM k", "f", recursive=True))(
+    lambda g: lenses.graph_complexity(g.flow_nodes, g.flow)
+)
+query("ag34_drift", with_graph(", m AS (SELECT id, regexp_replace(file, '/?[^/]*$', '') AS module FROM n), p AS (SELECT a.module AS src_module, b.module AS dst_module, bool_or(provenance = 'extracted') AS x, bool_or(provenance = 'inferred') AS y FROM e JOIN m a ON a.id = src JOIN m b ON b.id = dst WHERE a.module <> b.module GROUP BY 1, 2) SELECT src_module, dst_module, CASE WHEN x AND y THEN 'matched' WHEN x THEN 'missing' ELSE 'unexpected' END AS state FROM p WHERE x OR y", "n", "e"))(
+    lambda g: lenses.drift(*[aggregate.module_edges(g.nodes, g.edges.where(F.col("provenance") == p)) for p in ("extracted", "inferred")])
+)
+query("sm3_symbol_diff", with_graph("SELECT id, CASE WHEN kind = 'class' THEN 'removed' WHEN kind = 'module' THEN 'added' ELSE 'modified' END AS op FROM n WHERE kind IN ('class', 'module') OR (kind = 'method' AND line % 10 = 0)", "n"))(
+    lambda g: lenses.symbol_diff(g.nodes.where("kind != 'module'"), g.nodes.where("kind != 'class'").withColumn("line", F.when((F.col("kind") == "method") & (F.col("line") % 10 == 0), F.col("line") + 1).otherwise(F.col("line"))), ["name", "file", "line"])
+)
+query("sm5_folded_events", "WITH x AS (SELECT 'supplier:' || l_suppkey AS src, 'part:' || l_partkey AS dst, l_returnflag AS r FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey * 10 + l_linenumber DESC) = 1) SELECT src, dst, 'calls' AS dep_type FROM x WHERE r <> 'R'")(
+    lambda g: changes.folded(
+        g.edges.limit(0),
+        g.lineitem.select(F.when(F.col("l_returnflag") == "R", "dependency_removed").otherwise("dependency_added").alias("op"), F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("calls").alias("dep_type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")),
+    )
+)
+query("sm2_debounced", "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, event_type AS file, count(*) AS touches FROM events GROUP BY 1, 2")(
+    lambda g: changes.debounced(g.events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("file")), "10 minutes", "1 minute").withColumn("start", F.col("start").cast("timestamp_ntz"))
+)
+query("src4_classified", with_graph("SELECT DISTINCT file AS file_path, 'code' AS file_type, 'rust' AS language FROM n", "n"))(lambda g: manifest.classified(g.nodes.select(F.col("file").alias("file_path")).distinct()))
+query("src11_records", "SELECT 'event:' || event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")(lambda g: g.events.select(F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("id"), F.get_json_object("props", "$.k").cast("long").alias("k")))
+query("src13_owners", with_graph(", o(position, prefix, owner) AS (VALUES (1, '', 'all'), (2, 'ASIA', 'asia'), (3, 'ASIA/NATION_2', 'two')), x AS (SELECT DISTINCT file FROM n) SELECT file, max_by(owner, position) AS owner FROM x JOIN o ON prefix = '' OR file = prefix OR starts_with(file, prefix || '/') GROUP BY file", "n"))(
+    lambda g: aggregate.owners(g.nodes.select("file").distinct(), g.spark.createDataFrame([(1, "", "all"), (2, "ASIA", "asia"), (3, "ASIA/NATION_2", "two")], "position int, prefix string, owner string"))
+)
+query("src21_diagram", with_graph("SELECT src || ' --> ' || dst AS line FROM f", "f"))(lambda g: lenses.diagram_lines(g.flow))
+query("src22_callflow", with_graph(_MODULES + " SELECT src_module || ' -->|' || n || '| ' || dst_module AS line FROM p", "n", "e"))(lambda g: lenses.diagram_lines(aggregate.module_edges(g.nodes, g.edges), "src_module", "dst_module", "n"))
+query("ga33_keyword_query", with_graph(", r(id, depth) AS (SELECT id, 0 FROM n WHERE contains(lower(name), 'small') OR contains(lower(name), 'ring') UNION SELECT src, depth + 1 FROM r JOIN e ON dst = r.id WHERE depth < 1) SELECT id, min(depth) AS depth FROM r GROUP BY id", "n", "e", recursive=True))(
+    lambda g: lenses.keyword_query(g.nodes, g.edges, search.keywords("Where is a small ring?"), 1, "incoming")
+)
+query("ga23_has_cycle", with_graph(_CLOSURE + " SELECT count(*) > 0 AS has_cycle FROM r WHERE a = b", "f", recursive=True))(lambda g: reach.pair_reach(g.flow).where("a = b").agg((F.count(F.lit(1)) > 0).alias("has_cycle")))
+query("ga28_both_ways", with_graph(", b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e), r(id, depth) AS (SELECT 'nation:5', 0 UNION SELECT y, depth + 1 FROM r JOIN b ON x = id WHERE depth < 2) SELECT id, min(depth) AS depth FROM r GROUP BY id", "e", recursive=True))(lambda g: reach.reach(g.edges, g.seed("nation:5"), "both", 2))
+query("al6_cluster_members", with_graph(_WCC + ", c AS (SELECT v.id, least(v.id, coalesce(min(r.b), v.id)) AS component FROM v LEFT JOIN r ON r.a = v.id GROUP BY v.id) SELECT component, string_agg(id, ',' ORDER BY id) AS members FROM c GROUP BY component", "f", recursive=True))(lambda g: lenses.members(analytics.weak_components(g.flow_nodes, g.flow)))
+query("al26_containing_component", with_graph(_SCC + " SELECT id FROM s WHERE component = (SELECT component FROM s WHERE id = '1:click')", "f", recursive=True))(lambda g: lenses.containing(analytics.strong_components(g.flow_nodes, g.flow), "1:click"))
+query("se5_camel_tokens", with_graph("SELECT id, array_to_string(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(name, '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+'), lambda x: x <> ''), ' ') AS tokens FROM n", "n"))(
+    lambda g: g.nodes.select("id", F.array_join(lenses.camel_tokens(F.col("name")), " ").alias("tokens"))
+)
+query("se8_ranked_symbols", with_graph(", x AS (SELECT id, fan_in, length(name) AS k, instr(lower(name), 'ring') AS p FROM d WHERE instr(lower(name), 'ring') > 1) SELECT id, round(least(1.0, 0.4 * fan_in / greatest((SELECT max(fan_in) FROM d), 1) + 0.6 * (0.7 + 0.2 * (1 - (p - 1) / CAST(k AS DOUBLE)))), 9) AS score FROM x", "d"))(
+    lambda g: lenses.ranked_symbols(g.degrees, search.similarity_search(g.nodes, "ring", 1_000_000).where("match = 2")).withColumn("score", F.round("score", 9))
+)
+query("st3_warmup", "WITH k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events), w AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM k WHERE k > 1), m AS (SELECT event_type, max(CASE WHEN r = floor(0.5 * (n - 1)) THEN value END) AS warm FROM w GROUP BY 1) SELECT event_type, value AS first, warm, round(value / warm, 9) AS penalty, value / warm > 3 AS cold FROM k JOIN m USING (event_type) WHERE k = 1")(
+    lambda g: stats.warmup(g.events, "event_type", "event_id", "value").withColumn("penalty", F.round("penalty", 9))
+)
+query("st6_robustness", "SELECT event_type, round(100.0 * (1 - count(*) FILTER (value > 90) / CAST(count(*) AS DOUBLE)), 9) AS score FROM events GROUP BY 1")(
+    lambda g: g.events.groupBy("event_type").agg(F.count_if(F.col("value") > 90).alias("bad"), F.count(F.lit(1)).alias("n")).select("event_type", F.round(stats.robustness(F.col("bad"), F.col("n")), 9).alias("score"))
+)
+query("st8_weighted_health", "WITH x AS (SELECT user_id, avg(value) AS a, max(value) AS b, stddev_samp(value) AS c FROM events GROUP BY 1) SELECT user_id, round((0.35 * a + 0.2 * b + coalesce(0.15 * c, 0)) / (0.55 + CASE WHEN c IS NULL THEN 0 ELSE 0.15 END), 6) AS health FROM x")(
+    lambda g: g.events.groupBy("user_id").agg(F.avg("value").alias("a"), F.max("value").alias("b"), F.stddev_samp("value").alias("c")).select("user_id", F.round(stats.weighted([F.col("a"), F.col("b"), F.col("c")], [0.35, 0.2, 0.15]), 6).alias("health"))
+)
+query("fed5_parity", with_graph("SELECT count(*) AS only_left, CAST(0 AS BIGINT) AS only_right FROM e WHERE provenance = 'ambiguous'", "e"))(lambda g: lenses.parity(g.edges.select("src", "dst"), g.edges.where("provenance != 'ambiguous'").select("src", "dst")))
