@@ -28,6 +28,8 @@ END = 1
 CACHE = 1_500_000
 #: Pieces ranked together in one window group, about.
 GROUP = 20_000
+#: (least fill of a pattern, share of its fitted count) of the roundings tried; later ones leave more to the residue.
+ROUNDINGS = ((0.995, 1.0), (1.0, 1.0), (1.0, 0.5), (1.0, 0.25), (1.0, 0.125))
 
 _STOP = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \n\t\r])")
 _words: dict[str, dict[bytes, bytes]] = {}
@@ -144,8 +146,21 @@ def nnls(slots: list[tuple[int, ...]], histogram: np.ndarray, capacity: int, rou
 def plan(histogram: np.ndarray, capacity: int, fitted: bool = True) -> tuple[np.ndarray, int]:
     """(entries, sequences): rows of (length, first rank, count, first sequence, offset).
 
-    Ranks first..first+count-1 of a length go to sequences first.., one each, at the offset.
+    Ranks first..first+count-1 of a length go to sequences first.., one each, at the offset. The
+    fitted counts are rounded once for each of ROUNDINGS; the rounding with the fewest sequences
+    is the plan. Without ``fitted`` all is residue: the baseline of the tests.
     """
+    lengths = np.flatnonzero(histogram)
+    if not fitted or len(lengths) < 2:
+        return _rounded([], np.zeros(0), histogram, capacity)
+    slots = patterns(lengths, capacity)
+    x = nnls(slots, histogram.astype(float), capacity)
+    plans = (_rounded(slots, x * share, histogram, capacity, floor) for floor, share in ROUNDINGS)
+    return min(plans, key=lambda p: p[1])
+
+
+def _rounded(slots: list[tuple[int, ...]], x: np.ndarray, histogram: np.ndarray, capacity: int, floor: float = 1.0) -> tuple[np.ndarray, int]:
+    """Entries and sequences of the patterns filled to ``floor`` at least, x times each rounded down, and of the residue."""
     left = histogram.astype(np.int64).copy()
     used = np.zeros_like(left)
     rows: list[tuple[int, int, int, int, int]] = []
@@ -156,20 +171,17 @@ def plan(histogram: np.ndarray, capacity: int, fitted: bool = True) -> tuple[np.
         used[length] += count
         left[length] -= count
 
-    lengths = np.flatnonzero(left)
-    if fitted and len(lengths) > 1:
-        slots = patterns(lengths, capacity)
-        for p, x in zip(slots, nnls(slots, left.astype(float), capacity), strict=True):
-            if sum(p) < 0.995 * capacity:
-                break  # sorted by fill: the rest is packed better as residue
-            need = {n: p.count(n) for n in p}
-            k = min(int(x), *(int(left[n]) // c for n, c in need.items()))
-            if k > 0:
-                at = 0
-                for n in p:
-                    place(n, k, sequences, at)
-                    at += n
-                sequences += k
+    for p, times in zip(slots, x, strict=True):
+        if sum(p) < floor * capacity:
+            break  # sorted by fill: the rest is packed better as residue
+        need = {n: p.count(n) for n in p}
+        k = min(int(times), *(int(left[n]) // c for n, c in need.items()))
+        if k > 0:
+            at = 0
+            for n in p:
+                place(n, k, sequences, at)
+                at += n
+            sequences += k
     # residue, longest first, each into the fullest open sequences that have room; equal ones move together
     open_: dict[int, list[tuple[int, int]]] = {}
     rooms: list[int] = []
@@ -216,10 +228,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     histogram = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n_").alias("n")).collect():
         histogram[r["length"]] = r["n"]
-    entries, sequences = plan(histogram, capacity)
-    plain, fewer = plan(histogram, capacity, fitted=False)
-    if fewer < sequences:
-        entries = plain
+    entries, _ = plan(histogram, capacity)
     before = Window.partitionBy("length").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "bucket_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("first_"))
     order = Window.partitionBy("length", "bucket_").orderBy(*[F.col(c) for c in ("doc_id", "piece", "start")])

@@ -88,3 +88,22 @@ def test_plan_covers_every_rank_once(counts):
                 assert offset == end
                 end += n
             assert end <= 50
+
+
+@pytest.mark.parametrize("capacity", [64, 256])
+def test_fitted_plan_keeps_up_with_plain_best_fit(capacity):
+    histogram = np.bincount(np.random.default_rng(0).integers(1, capacity + 1, 20_000), minlength=capacity + 1)
+    (_, got), (_, plain) = plan(histogram, capacity), plan(histogram, capacity, fitted=False)
+    assert got <= plain * 1.0005
+
+
+def test_pack_takes_the_fitted_plan(spark, monkeypatch):
+    asked = []
+
+    def watched(histogram, capacity, fitted=True):
+        asked.append(fitted)
+        return plan(histogram, capacity, fitted)
+
+    monkeypatch.setattr("graphloom.llm.packing.plan", watched)
+    assert pack_documents(spark.createDataFrame([(i, "a " * i) for i in range(20)], "doc_id long, text string"), PATH, capacity=16).count() > 20
+    assert asked == [True]
