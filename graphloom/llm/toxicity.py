@@ -92,14 +92,13 @@ def _pick(rows: list[np.ndarray], which: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate([*own, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
 
 
-def select(feature: np.ndarray, p: np.ndarray, u: np.ndarray, n: int, m: int, most: int = 512) -> np.ndarray:
-    """Marks the features whose document frequencies differ most between n positives and m unlabelled texts, by z score."""
+def select(feature: np.ndarray, p: np.ndarray, u: np.ndarray, n: int, m: int, least: float = 4.0) -> np.ndarray:
+    """Marks the features whose document frequencies differ between n positives and m unlabelled texts by a z score of ``least`` at least."""
     telling = np.zeros(DIM, bool)
     if n and m and len(feature):
         share = (p + u + 1) / (n + m + 2)
         z = np.abs(p / n - u / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m))
-        order = np.argsort(-z, kind="stable")[:most]
-        telling[feature[order[z[order] >= max(4.0, 0.25 * z.max())]]] = True
+        telling[feature[z >= least]] = True
     return telling
 
 
@@ -111,24 +110,29 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     column = np.full(DIM, -1)
     column[used] = np.arange(len(used))
 
-    def dense(rows: list[np.ndarray]) -> np.ndarray:
-        x = np.ones((len(rows), len(used) + 1), np.float32)
-        x[:, 1:] = 0
-        for i, r in enumerate(rows):
-            c = column[r]
-            x[i, 1 + c[c >= 0]] = 1
-        return x
+    def sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Row and column numbers of the ones, beside the bias in column 0."""
+        c = column[_pick(rows, np.arange(len(rows)))[0]] + 1
+        r = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+        return r[c > 0], c[c > 0]
+
+    (rp, cp), (ru, cu) = sparse(positive), sparse(unlabelled)
+    times = lambda r, c, n, w: w[0] + np.bincount(r, w[c], n)
+
+    def back(r: np.ndarray, c: np.ndarray, g: np.ndarray) -> np.ndarray:
+        out = np.bincount(c, g[r], len(used) + 1)
+        out[0] = g.sum()
+        return out
 
-    xp, xu = dense(positive), dense(unlabelled)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     w = np.zeros(len(used) + 1)
     w[0] = model.bias
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        zp, zu = xp @ w, xu @ w
+        zp, zu = times(rp, cp, len(positive), w), times(ru, cu, len(unlabelled), w)
         risk_neg = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        neg = xu.T @ (sigmoid(zu) / len(zu)) - prior * (xp.T @ (sigmoid(zp) / len(zp)))
-        grad = -prior * (xp.T @ (sigmoid(-zp) / len(zp))) + neg if risk_neg >= 0 else -neg
+        neg = back(ru, cu, sigmoid(zu) / len(zu)) - prior * back(rp, cp, sigmoid(zp) / len(zp))
+        grad = -prior * back(rp, cp, sigmoid(-zp) / len(zp)) + neg if risk_neg >= 0 else -neg
         grad[1:] += l2 * w[1:]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * min(1.0, 2 - 2 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)

@@ -65,3 +65,22 @@ def test_score_adds_weights_of_distinct_features(spark):
         z = 0.7 * (-0.5 + model.weights[np.unique(index)].sum()) + 0.1
         assert abs(s - 1 / (1 + np.exp(-np.clip(z, -40, 40)))) < 1e-9
     assert pa.__version__
+
+
+def test_a_cue_of_a_twentieth_of_the_positives_is_learnt(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(["an", "re", "ti", "on", "ba"]) for _ in range(rng.randint(1, 4)))
+    docs, labels, rare = [], [], set()
+    for i in range(6000):
+        bad = rng.random() < 0.2
+        w = [word() for _ in range(rng.randint(5, 20))]
+        if bad:
+            cue = "zzgrubby" if rng.random() < 0.05 else "vile"
+            w.insert(rng.randrange(len(w)), cue)
+            rare |= {i} if cue == "zzgrubby" else set()
+        docs.append((i, " ".join(w)))
+        if rng.random() < 0.6:
+            labels.append((i, int(bad)))
+    rows = toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert np.mean([r.predicted for r in rows if r.held_out and r.doc_id in rare]) > 0.9
+    assert np.mean([r.predicted == 0 for r in rows if " vile " not in f" {docs[r.doc_id][1]} " and r.doc_id not in rare]) > 0.99
