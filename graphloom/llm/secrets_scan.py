@@ -9,6 +9,8 @@ the ordinary automaton, per character, is above what ordinary tokens reach.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -25,6 +27,8 @@ SAMPLE = 400
 ORDINARY = 1_500
 #: Share of held-back ordinary tokens that may score above the threshold.
 FALSE_ALARMS = 0.001
+#: Bins per unit of a likelihood ratio in which the held-back tokens are counted.
+BINS = 4_096
 
 _names = "|".join("".join(f"[{c}{c.upper()}]" for c in name) for name in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
 _ASSIGN = re.compile(rf"""({_names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -196,25 +200,40 @@ class Grammars:
         return max(over)[1:] if over else None
 
 
-def fit(credentials: dict[str, list[str]], ordinary: list[str]) -> Grammars:
-    """Automata from the first two thirds of either list, thresholds from the ordinary tokens' last third.
+def automata(credentials: dict[str, list[str]], ordinary: list[str]) -> tuple[Grammars, list[str]]:
+    """Grammars without thresholds yet, and the ordinary tokens they were inferred from: the first two thirds.
 
     A kind with fewer than ten credentials gets no automaton; without ten ordinary tokens none does.
     """
     grammars = Grammars()
     if len(ordinary) < 10:
-        return grammars
+        return grammars, []
     some = 2 * len(ordinary) // 3
     grammars.ordinary = infer([symbols(t) for t in ordinary[:some]])
     for kind, tokens in credentials.items():
         if len(tokens) >= 10:
             grammars.kinds[kind] = infer([symbols(t) for t in tokens])
-    held = [grammars.ratios(t) for t in ordinary[some:]]
+    return grammars, ordinary[:some]
+
+
+def fit(credentials: dict[str, list[str]], ordinary: list[str]) -> Grammars:
+    """Automata, and thresholds from the ordinary tokens that these were not inferred from."""
+    grammars, learnt = automata(credentials, ordinary)
+    held = [grammars.ratios(t) for t in ordinary[len(learnt) :]]
     for kind in grammars.kinds:
         grammars.threshold[kind] = max(0.0, float(np.quantile([h[kind] for h in held], 1 - FALSE_ALARMS)))
     return grammars
 
 
+def _quantile(bins: list[tuple[int, int]], share: float) -> float:
+    """np.quantile of the values in (bin, count), each as the lower edge of its bin."""
+    number, counts = (np.array(x, np.int64) for x in zip(*sorted(bins), strict=True))
+    upto = np.cumsum(counts)
+    at = share * (int(upto[-1]) - 1)
+    low, high = (number[np.searchsorted(upto, k, "right")] / BINS for k in (math.floor(at), math.ceil(at)))
+    return float(low + (at - math.floor(at)) * (high - low))
+
+
 def _texts(column: pa.Array) -> Iterator[str]:
     for i in range(0, len(column), 128):
         for t in column.slice(i, 128).to_pylist():
@@ -225,7 +244,8 @@ def learn(docs: DataFrame, *, text: str = "text") -> Grammars:
     """Grammars from the documents' own labelled credentials and ordinary long tokens.
 
     Every whole text is scanned; of the distinct tokens found, the SAMPLE and ORDINARY ones with
-    the smallest hashes are the training set.
+    the smallest hashes are the automata's training set. The thresholds come from the ratios of
+    all other distinct ordinary tokens, of any length, counted by kind and bin.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +268,33 @@ def learn(docs: DataFrame, *, text: str = "text") -> Grammars:
     got: dict[str, list[str]] = {k: [] for k in (*KINDS, "")}
     for r in sorted(picked.collect(), key=lambda r: (r["h"], r["token"])):
         got[r["kind"]].append(r["token"])
-    return fit({k: got[k] for k in KINDS}, got[""])
+    grammars, learnt = automata({k: got[k] for k in KINDS}, got[""])
+    if not grammars.kinds:
+        return grammars
+    for kind, bins in _held_counts(docs.select(F.col(text).alias("text")), grammars, frozenset(learnt)).items():
+        grammars.threshold[kind] = max(0.0, _quantile(bins, 1 - FALSE_ALARMS))
+    return grammars
+
+
+def _held_counts(texts: DataFrame, grammars: Grammars, learnt: frozenset[str]) -> dict[str, list[tuple[int, int]]]:
+    """(bin, count) by kind of the ratios of all distinct ordinary tokens but the learnt ones; tokens travel as digests."""
+    kinds = sorted(grammars.kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {v for t in _texts(batch.column(0)) for _, _, v in candidates(t, base_spans(t))} - learnt
+            ratios = [grammars.ratios(v) for v in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([hashlib.blake2b(v.encode(), digest_size=16).digest() for v in found], pa.binary()), pa.array([[math.floor(r[k] * BINS) for k in kinds] for r in ratios], pa.list_(pa.int64()))],
+                names=["token", "bins"],
+            )
+
+    distinct = texts.mapInArrow(run, "token binary, bins array<long>").distinct()  # equal tokens have equal bins
+    counts = distinct.select(F.posexplode("bins").alias("kind", "bin")).groupBy("kind", "bin").agg(F.count(F.lit(1)).alias("n"))
+    out: dict[str, list[tuple[int, int]]] = {k: [] for k in kinds}
+    for r in counts.collect():  # a bounded range of ratios in bins
+        out[kinds[r["kind"]]].append((r["bin"], r["n"]))
+    return out
 
 
 SPAN = "array<struct<start:int,kind:string,end:int,score:double>>"

@@ -1,14 +1,16 @@
 """Secrets: base spans against the plain patterns, automata on held-out formats, redaction, odd inputs."""
 
+import math
 import random
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from graphloom.llm.secrets_scan import Grammars, base_spans, candidates, fit, infer, learn, redacted, scan_secrets, symbols
+from graphloom.llm.secrets_scan import BINS, Grammars, _held_counts, _quantile, base_spans, candidates, fit, infer, learn, redacted, scan_secrets, symbols
 
 PLAIN = (
     ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII), lambda m: len(m[2]) >= 8),
@@ -62,3 +64,26 @@ def test_scan_learn_and_redact(spark):
     assert sorted(map(str, clean)) == sorted(["key [SECRET] here", "None", "[SECRET] é", "key [SECRET] here"])
     assert scan_secrets(df.limit(0)).collect() == []
     assert Grammars().best("anything") is None
+
+
+def test_unlabelled_credentials_do_not_lift_the_threshold(spark):
+    rng = random.Random(8)
+    _, mixed, words = tokens(rng, 4000)
+    h = dict(spark.createDataFrame([(t,) for t in words + mixed[1000:]], "t string").select("t", F.xxhash64("t")).collect())
+    low, high = (sorted(h[t] for t in words)[k] for k in (1100, 1400))
+    hidden = [t for t in mixed[1000:] if low < h[t] < high][:3]  # in the last third of the ORDINARY tokens of smallest hash
+    assert len(hidden) == 3
+    texts = [" ".join(words[i : i + 100]) for i in range(0, 4000, 100)] + [f'token = "{m}"' for m in mixed[:200]] + [*hidden, "-".join(words[:40])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = scan_secrets(df).collect()
+    assert [[s.kind for s in r.spans] for r in rows if r.doc_id in range(240, 243)] == [["like_assign"]] * 3
+    assert sum(len(r.spans) for r in rows if r.doc_id < 40) <= 4
+
+
+def test_every_other_ordinary_token_counts_for_the_threshold(spark):
+    hexes, _, words = tokens(random.Random(9), 60)
+    g = fit({"hex": hexes}, words[:30])
+    df = spark.createDataFrame([(" ".join(words),), (" ".join(words[:50]),), ("-".join(words),), (None,)], "text string")
+    assert sum(n for _, n in _held_counts(df, g, frozenset(words[:20]))["hex"]) == len({w for w in words if len(w) >= 16} - set(words[:20])) + 1
+    held = [math.floor(g.ratios(w)["hex"] * BINS) / BINS for w in words]
+    assert abs(_quantile([(math.floor(v * BINS), 1) for v in held], 0.999) - np.quantile(held, 0.999)) < 1e-9
