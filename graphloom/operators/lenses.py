@@ -116,7 +116,7 @@ def containing(components: DataFrame, node: Column | str) -> DataFrame:
 
 
 def ranked_symbols(degrees: DataFrame, matches: DataFrame) -> DataFrame:
-    """(id, score): 0.4 * fan-in against the largest + 0.6 * search score, 1 at most; matches as of similarity_search."""
+    """(id, score): 0.4 * fan-in against the largest + 0.6 * search score, 1 at most; matches as of similarity_matches."""
     top = degrees.agg(F.max("fan_in").alias("top"))
     both = degrees.join(matches.select("id", F.col("score").alias("s")), "id").join(F.broadcast(top))  # one row
     return both.select("id", F.least(F.lit(1.0), 0.4 * F.col("fan_in") / F.greatest("top", F.lit(1)) + 0.6 * F.col("s")).alias("score"))

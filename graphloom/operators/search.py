@@ -55,14 +55,19 @@ def idf_search(nodes: DataFrame, degrees: DataFrame, query: str, limit: int) ->
     return scored.select("id", "name", "score").orderBy(F.desc("score"), "name", "id").limit(limit)
 
 
-def similarity_search(nodes: DataFrame, query: str, limit: int) -> DataFrame:
-    """Exact 1.0 before prefix 0.9 before contained 0.7 + 0.2 * (1 - position / length) before subsequence at most 0.6."""
+def similarity_matches(nodes: DataFrame, query: str) -> DataFrame:
+    """All matches: exact 1.0 before prefix 0.9 before contained 0.7 + 0.2 * (1 - position / length) before subsequence at most 0.6."""
     q, low = query.lower(), F.lower("name")
     at = F.instr(low, q)
     fuzzy = low.rlike(".*".join(_quoted(c) for c in q))
     kind = F.when(low == q, 4).when(at == 1, 3).when(at > 1, 2).when(fuzzy, 1).otherwise(0)
     score = F.when(low == q, 1.0).when(at == 1, 0.9).when(at > 1, 0.7 + 0.2 * (1 - (at - 1) / F.length("name"))).when(fuzzy, 0.6 * len(q) / F.length("name")).otherwise(0.0)
-    return nodes.select("id", "name", kind.alias("match"), score.alias("score")).where("match > 0").orderBy(F.desc("match"), F.desc("score"), "name", "id").limit(limit)
+    return nodes.select("id", "name", kind.alias("match"), score.alias("score")).where("match > 0")
+
+
+def similarity_search(nodes: DataFrame, query: str, limit: int) -> DataFrame:
+    """The first of all matches by kind of match, score, name and id."""
+    return similarity_matches(nodes, query).orderBy(F.desc("match"), F.desc("score"), "name", "id").limit(limit)
 
 
 def _quoted(c: str) -> str:

@@ -407,7 +407,7 @@ query("se5_camel_tokens", with_graph("SELECT id, array_to_string(list_filter(str
     lambda g: g.nodes.select("id", F.array_join(lenses.camel_tokens(F.col("name")), " ").alias("tokens"))
 )
 query("se8_ranked_symbols", with_graph(", x AS (SELECT id, fan_in, length(name) AS k, instr(lower(name), 'ring') AS p FROM d WHERE instr(lower(name), 'ring') > 1) SELECT id, round(least(1.0, 0.4 * fan_in / greatest((SELECT max(fan_in) FROM d), 1) + 0.6 * (0.7 + 0.2 * (1 - (p - 1) / CAST(k AS DOUBLE)))), 9) AS score FROM x", "d"))(
-    lambda g: lenses.ranked_symbols(g.degrees, search.similarity_search(g.nodes, "ring", 1_000_000).where("match = 2")).withColumn("score", F.round("score", 9))
+    lambda g: lenses.ranked_symbols(g.degrees, search.similarity_matches(g.nodes, "ring").where("match = 2")).withColumn("score", F.round("score", 9))
 )
 query("st3_warmup", "WITH k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events), w AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM k WHERE k > 1), m AS (SELECT event_type, max(CASE WHEN r = floor(0.5 * (n - 1)) THEN value END) AS warm FROM w GROUP BY 1) SELECT event_type, value AS first, warm, round(value / warm, 9) AS penalty, value / warm > 3 AS cold FROM k JOIN m USING (event_type) WHERE k = 1")(
     lambda g: stats.warmup(g.events, "event_type", "event_id", "value").withColumn("penalty", F.round("penalty", 9))

@@ -188,3 +188,14 @@ def test_event_stream_folds_into_state(spark, tmp_path):
         events = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         changes.fold_stream(events, str(tmp_path / "g"), str(tmp_path / "cp")).awaitTermination()
     assert pairs_of(spark.read.parquet(str(tmp_path / "g" / "v=1")), "src", "dst") == [("a", "c"), ("a", "e")]
+
+
+def test_ranked_symbols_rank_every_match(spark, monkeypatch):
+    from graphloom import graphs
+    from graphloom.queries import QUERIES
+
+    monkeypatch.setattr(graphs, "nodes", lambda spark, sf_dir: spark.createDataFrame([(str(i), f"a ring {i}") for i in range(30)], "id string, name string"))
+    monkeypatch.setattr(graphs, "edges", lambda spark, sf_dir: edges(spark, [("1", "2")]))
+    ranked = QUERIES["se8_ranked_symbols"](spark, "unused")
+    assert ranked.count() == 30
+    assert "Limit" not in ranked._jdf.queryExecution().optimizedPlan().toString()
