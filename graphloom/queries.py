@@ -336,6 +336,13 @@ query("fed2_merge_candidates", with_graph(", m AS (SELECT id, lower(name) AS l,
 query("fed1_federated_search", with_graph(", x AS (SELECT 'a' AS space, id, name AS label, 2 AS p FROM n WHERE kind <> 'method' UNION ALL SELECT 'b', id, ' ' || lower(name) || '!', 1 FROM n WHERE kind <> 'method') SELECT space || '::' || id AS fid, label FROM x WHERE contains(lower(label), 'nat') ORDER BY p, label, id LIMIT 30", "n"))(
     lambda g: federation.federated_search(_space(g), g.spark.createDataFrame([("a", 2), ("b", 1)], "space string, position int"), "NAT", 30)
 )
+_whole = lambda g: g.nodes.select(F.lit("a").alias("space"), "id", F.col("name").alias("label"), "kind").union(g.nodes.select(F.lit("b"), "id", F.concat(F.lit(" "), F.lower("name"), F.lit("!")), F.when(F.col("kind") == "class", "module").otherwise(F.col("kind"))))
+_WHOLE = ", x AS (SELECT 'a' AS space, id, lower(name) AS label, kind FROM n UNION ALL SELECT 'b', id, lower(name), CASE WHEN kind = 'class' THEN 'module' ELSE kind END FROM n)"
+query("fed2_label_classes", with_graph(_WHOLE + " SELECT label, string_agg(DISTINCT space, ',' ORDER BY space) AS spaces, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(*) AS n FROM x GROUP BY label HAVING count(DISTINCT space) > 1", "n"))(lambda g: federation.label_classes(_whole(g)))
+query("fed2_label_members", with_graph(_WHOLE + " SELECT space || '::' || id AS fid, label, kind FROM x WHERE label IN (SELECT label FROM x GROUP BY label HAVING count(DISTINCT space) > 1)", "n"))(lambda g: federation.label_members(_whole(g)))
+query("fed1_federated_search_all", with_graph(", x AS (SELECT 'a' AS space, id, name AS label, 2 AS p FROM n UNION ALL SELECT 'b', id, ' ' || lower(name) || '!', 1 FROM n) SELECT space || '::' || id AS fid, label FROM x WHERE contains(lower(label), 'nat') ORDER BY p, label, id LIMIT 30", "n"))(
+    lambda g: federation.federated_search(_whole(g), g.spark.createDataFrame([("a", 2), ("b", 1)], "space string, position int"), "NAT", 30)
+)
 query("src5_changes", "WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, o_orderstatus AS c FROM orders WHERE o_orderpriority <> '1-URGENT'), w AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, CASE WHEN o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END AS c FROM orders WHERE o_orderpriority <> '5-LOW') SELECT coalesce(o.k, w.k) AS file_path, CASE WHEN o.k IS NULL THEN 'new' WHEN w.k IS NULL THEN 'deleted' WHEN o.c <> w.c THEN 'changed' ELSE 'unchanged' END AS change FROM o FULL JOIN w ON o.k = w.k")(
     lambda g: manifest.changes(
         g.orders.where("o_orderpriority != '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("file_path"), F.col("o_orderstatus").alias("content_hash")),

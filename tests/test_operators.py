@@ -199,3 +199,14 @@ def test_ranked_symbols_rank_every_match(spark, monkeypatch):
     ranked = QUERIES["se8_ranked_symbols"](spark, "unused")
     assert ranked.count() == 30
     assert "Limit" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_label_classes_hold_methods_without_a_row_per_pair(spark, monkeypatch):
+    from graphloom import graphs
+    from graphloom.queries import QUERIES
+
+    rows = [(str(i), "Parse It", "method") for i in range(40)] + [("c", "Parse It", "class"), ("n", "nature", "method")]
+    monkeypatch.setattr(graphs, "nodes", lambda spark, sf_dir: spark.createDataFrame(rows, "id string, name string, kind string"))
+    assert pairs_of(QUERIES["fed2_label_classes"](spark, "unused"), "label", "spaces", "kinds", "n") == [("nature", "a,b", "method", 2), ("parse it", "a,b", "class,method,module", 82)]
+    assert QUERIES["fed2_label_members"](spark, "unused").count() == 84
+    assert pairs_of(QUERIES["fed1_federated_search_all"](spark, "unused"), "fid") == [("a::n",), ("b::n",)]
