@@ -6,11 +6,13 @@ frequent ones last, are postings in tiles (element, size band): a document is at
 band and visits the next lower one. Within tiles, pairs are bounded from above by the bit
 counts of hashed bitmaps, then decided by intersecting the sorted arrays.
 
-Copies never meet as pairs: documents with equal sets are one class. Nor do all members of a
-large group of near copies: in each round every member of a tile is compared with a few anchors
-only; pairs inside one component need no comparison any more, and once the pairs that
-are left between different components are about as few as the postings, all of them are compared.
-The components are therefore those of all links.
+Copies never meet as pairs: documents with equal sets are one class. Nor does a large group of
+near copies give a row for each pair. First every member of a tile is compared with a few anchors
+only, which joins most of a dense group into one component. Then tiles that still hold several
+components are compared in blocks of bitmaps, and each member tells no more than the cluster of
+components that its possible partners make; inside a cluster the sorted arrays decide, and only
+links that join two components come out. So every step makes rows in proportion to its members,
+and the components are those of all links.
 """
 
 from __future__ import annotations
@@ -30,14 +32,14 @@ from graphloom.operators.components import connected_components
 from graphloom.session import checked_broadcast, cut
 
 PERCENT = 80
-#: Bitmaps have the power of two of bits from twice the set size on, so about two fifths of them are set.
+#: Bitmaps have the power of two of bits from eight times the set size on, so about a tenth of them is set.
 LEAST_BITS = 64
 #: Elements ordered by frequency; the order steers cost only, never the result.
 FREQUENT = 50_000
-#: Anchors per tile in the rounds before all remaining pairs are compared.
-ANCHORS = (1, 8, 32)
-#: Larger tiles are compared as blocks of bitmaps of about BLOCK members, without a row for each pair.
-SMALL, BLOCK = 64, 2048
+#: Anchors per tile in the rounds before tiles and clusters are compared in blocks.
+ANCHORS = (1, 16)
+#: Members of a block, and bytes of bitmaps or arrays in it, about.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 
 
 def _least(n: int, percent: int) -> int:
@@ -53,21 +55,20 @@ def _class_key(s: np.ndarray) -> tuple[int, int]:
 
 def bitmap(s: np.ndarray) -> bytes:
     """Hashed bitmap signature of a set."""
-    bits = np.zeros(max(LEAST_BITS, 1 << (2 * len(s)).bit_length()), np.uint8)
+    bits = np.zeros(max(LEAST_BITS, 1 << (8 * len(s)).bit_length()), np.uint8)
     bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
 def _sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per row: id, set size, class key, bitmap; on one row of each batch the prefix elements met twice in it."""
+    """Per row: id, set size, class key; on one row of each batch the prefix elements met twice in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, heads, maps = [], [], [], []
+            sizes, keys, heads = [], [], []
             for s in shingle_sets(batch.column(1), width):
                 sizes.append(len(s))
                 keys.append(_class_key(s))
-                maps.append(bitmap(s))
                 heads.append(s[: len(s) - _least(len(s), percent) + 1].copy())
             seen, counts = np.unique(np.concatenate([*heads, np.zeros(0, np.uint64)]), return_counts=True)
             often = counts > 1
@@ -80,17 +81,16 @@ def _sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     pa.array(sizes, pa.int64()),
                     pa.array([k[0] for k in keys], pa.int64()),
                     pa.array([k[1] for k in keys], pa.int64()),
-                    pa.array(maps, pa.binary()),
                     pa.array(lists, pa.list_(pa.struct([("e", pa.int64()), ("n", pa.int64())]))),
                 ],
-                names=["doc_id", "n", "k1", "k2", "bits", "often"],
+                names=["doc_id", "n", "k1", "k2", "often"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bits binary, often array<struct<e:long,n:long>>")
+    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, often array<struct<e:long,n:long>>")
 
 
 def _prefixes(docs: DataFrame, frequent: list[int], width: int, percent: int) -> DataFrame:
-    """Class key, size and longer prefix in the order rare (by hash) before frequent (rarer first).
+    """Class key, size, longer prefix in the order rare (by hash) before frequent (rarer first), and how many of it are rare.
 
     A class comes once from each task that holds a copy of it. The prefix has n // 10 elements
     more than the filter needs, see ``_shared``.
@@ -103,7 +103,7 @@ def _prefixes(docs: DataFrame, frequent: list[int], width: int, percent: int) ->
         known, rank = shared.value
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            sizes, keys, heads = [], [], []
+            sizes, keys, heads, rare = [], [], [], []
             for s in shingle_sets(batch.column(1), width):
                 key = _class_key(s)
                 if not len(s) or key in seen:
@@ -112,33 +112,38 @@ def _prefixes(docs: DataFrame, frequent: list[int], width: int, percent: int) ->
                 sizes.append(len(s))
                 keys.append(key[0])
                 p = len(s) - _least(len(s), percent) + 1 + len(s) // 10
+                cold = len(s)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     hot = known[at] == s
                     if hot.any():
                         s = np.concatenate([s[~hot], s[hot][np.argsort(-rank[at[hot]])]])
+                        cold = len(s) - int(hot.sum())
                 heads.append(s[:p].copy())
+                rare.append(min(cold, len(heads[-1])))
             offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
             flat = np.concatenate([*heads, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["k1", "n", "prefix"],
+                [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rare, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                names=["k1", "n", "rare", "prefix"],
             )
 
-    return docs.mapInArrow(run, "k1 long, n long, prefix array<long>")
+    return docs.mapInArrow(run, "k1 long, n long, rare long, prefix array<long>")
 
 
 def _shared(heads: DataFrame, percent: int) -> DataFrame:
     """Postings (e, k1, n, pos) of the prefix filter that can lead to a link.
 
-    With k more elements in both prefixes, similar sets have k + 1 of them in common. So a class
-    of which fewer prefix elements than that occur in any other class's prefix has no links: that
+    An element that a single class has leads nowhere. Frequent ones are taken to be shared without
+    looking, so that no element of very many rows is gathered in one place; the rare ones are
+    compared in a window. With k more elements in both prefixes, similar sets have k + 1 of them in
+    common. So a class of which fewer prefix elements than that are shared has no links: that
     settles those that share a chance shingle or two, without looking at pairs.
     """
     by_element = Window.partitionBy("e")
-    postings = heads.select("k1", "n", F.posexplode("prefix").alias("pos", "e"))
-    twice = postings.withColumn("lo", F.min("k1").over(by_element)).withColumn("hi", F.max("k1").over(by_element)).where("lo != hi").select("e", "k1", "n", "pos")
-    twice = cut(twice.distinct(), "twice")
+    postings = heads.select("k1", "n", "rare", F.posexplode("prefix").alias("pos", "e"))
+    rare = postings.where("pos < rare").withColumn("lo", F.min("k1").over(by_element)).withColumn("hi", F.max("k1").over(by_element)).where("lo != hi").select("e", "k1", "n", "pos")
+    twice = cut(rare.union(postings.where("pos >= rare").select("e", "k1", "n", "pos")).distinct(), "twice")
     least = F.expr(f"({percent} * n + 99) DIV 100")
     fewest = F.floor(least / 10) + 1  # the partner may be the smaller one
     able = twice.groupBy("k1", "n").agg(F.countDistinct("e").alias("m")).where(F.col("m") >= fewest).select("k1")
@@ -146,20 +151,21 @@ def _shared(heads: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """Per row: id, class key and sorted array."""
+    """Per row: id, class key, bitmap and sorted array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, arrays = [], []
+            keys, maps, arrays = [], [], []
             for s in shingle_sets(batch.column(1), width):
                 keys.append(_class_key(s))
+                maps.append(bitmap(s))
                 arrays.append(s.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(arrays, pa.binary())],
-                names=["doc_id", "k1", "k2", "elements"],
+                [batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(maps, pa.binary()), pa.array(arrays, pa.binary())],
+                names=["rep", "k1", "k2", "bits", "elements"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, elements binary")
+    return docs.mapInArrow(run, "rep long, k1 long, k2 long, bits binary, elements binary")
 
 
 def _only(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
@@ -186,57 +192,131 @@ def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(read(x), read(y), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b, n_a, n_b) that are linked: bitmap bound first, exact intersection after.
-
-    Arrays are made again from the texts, and only for classes in pairs that pass the bound.
-    """
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b, n_a, n_b) that are linked: bitmap bound first, exact intersection after."""
     enough = lambda common: 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("k1").alias(f"k1_{x}"), F.col("k2").alias(f"k2_{x}"), F.col("bits").alias(f"bits_{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(enough(overlap_bound("bits_a", "bits_b", "n_a", "n_b"))).drop("bits_a", "bits_b")
+    side = lambda x, what: sets.select(F.col("rep").alias(x), F.col(what).alias(f"{what}_{x}"))
+    near = pairs.join(side("a", "bits"), "a").join(side("b", "bits"), "b").where(enough(overlap_bound("bits_a", "bits_b", "n_a", "n_b"))).drop("bits_a", "bits_b")
     near = cut(near, "near")
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(_sets(src.join(checked_broadcast(ids), "doc_id", "left_semi"), width), "sets")
-    array = lambda x: sets.select(F.col("doc_id").alias(x), F.col("k1").alias(f"k1_{x}"), F.col("k2").alias(f"k2_{x}"), F.col("elements").alias(f"elements_{x}"))
-    both = near.join(array("b"), ["b", "k1_b", "k2_b"]).join(array("a"), ["a", "k1_a", "k2_a"])
+    both = near.join(side("b", "elements"), "b").join(side("a", "elements"), "a")
     return both.withColumn("common", overlap("elements_a", "elements_b")).where(enough(F.col("common"))).select("a", "b").distinct()
 
 
-def _block_pairs(tiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n_a, n_b) of pairs between different components of large tiles that the bitmap bound lets through.
+def _possible(x: np.ndarray, n: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, reach: np.ndarray | None = None, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (left, right) of different components that the bitmap bound and the sizes let through.
 
-    A tile is split into blocks by the members' hashes; every two blocks meet in one group.
+    ``reach`` is how many elements each set has from the tile's on; pairs of which neither is at
+    ``home`` in the tile meet in another one.
+    """
+    bits = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+    step = max(1, (1 << 19) // max(1, len(right) * x.shape[1]))
+    out = []
+    for k in range(0, len(left), step):
+        i, j = left[k : k + step, None], right[None, :]
+        need = -(-percent * (n[i] + n[j]) // (100 + percent))
+        fit = (c[i] != c[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        if reach is not None:
+            fit &= (home[i] | home[j]) & (reach[i] >= need) & (reach[j] >= need)
+        both = np.bitwise_count(x[i[:, 0], None, :] & x[None, right, :]).sum(axis=2, dtype=np.int64)
+        fit &= np.minimum(n[i] - bits[i] + both, n[j] - bits[j] + both) >= need
+        a, b = np.nonzero(fit)
+        out.append(np.stack([left[k + a], right[b]]))
+    return tuple(np.concatenate([*out, np.zeros((2, 0), np.int64)], axis=1).astype(np.int64))
+
+
+def _maps(column: pd.Series) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, folded to the width of the narrowest."""
+    least = min(map(len, column))
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, least // 8), axis=0) for b in column])
+
+
+def lowest(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Of each of the nodes 0..n-1, the smallest node that edges (x, y) connect it with."""
+    label = np.arange(n)
+    while True:
+        u, v = label[x], label[y]
+        cross = u != v
+        if not cross.any():
+            return label
+        np.minimum.at(label, np.maximum(u, v)[cross], np.minimum(u, v)[cross])
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+
+
+def _blocked(rows: DataFrame, keys: list[str], inside: Column, weight: Column) -> DataFrame:
+    """``rows`` once for each pair of blocks (i, j) of its group that it belongs to; own is its block.
+
+    Members that are ``inside`` (one component) need not meet each other, so their blocks come first and
+    only pairs with a block of others are made. ``weight`` is a row's bytes.
     """
-    sizes = tiles.groupBy("e", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = tiles.join(checked_broadcast(sizes), ["e", "band"]).join(classes.select("rep", "bits"), "rep")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    rows = rows.select("e", "band", "home", "rep", "n", "pos", "c", "bits", own.alias("own"), F.explode(every).alias("g")).select("*", "g.*").drop("g")
+    blocks = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK), F.ceil(F.sum(F.when(which, weight).otherwise(0)) / BLOCK_BYTES)).cast("int")
+    sizes = rows.groupBy(*keys).agg(blocks(inside).alias("n_in"), blocks(~inside).alias("n_out"))
+    rows = rows.join(checked_broadcast(cut(sizes, "sizes")), keys)
+    h = F.xxhash64("rep", F.lit(7))
+    own = F.when(inside, F.pmod(h, F.greatest("n_in", F.lit(1)))).otherwise(F.col("n_in") + F.pmod(h, F.greatest("n_out", F.lit(1)))).cast("int")
+    rows = rows.withColumn("own", own)
+    others = F.sequence(F.when(inside, F.col("n_in")).otherwise(F.lit(0)), F.col("n_in") + F.col("n_out") - 1)
+    every = F.transform(others, lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    return rows.where("n_out > 0").withColumn("g", F.explode(every)).select("*", "g.*").drop("g", "n_in", "n_out")
+
+
+def _clusters(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, c, cluster) of the classes that have a possible partner in another component; partners share a cluster.
+
+    ``tiles`` has main: the component with the most members of its tile.
+    """
+    rows = _blocked(tiles, ["e", "band"], F.col("c") == F.col("main"), F.col("n") * 2).join(sets.select("rep", "bits"), "rep")
 
     def compare(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        least = min(map(len, t["bits"]))
-        x = np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, least // 8), axis=0) for b in t["bits"]])
-        n, pos, c, rep, home, block = (t[k].to_numpy() for k in ("n", "pos", "c", "rep", "home", "own"))
-        bits = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+        n, c, rep, home, block = (t[k].to_numpy() for k in ("n", "c", "rep", "home", "own"))
         left, right = np.flatnonzero(block == key[2]), np.flatnonzero(block == key[3])
-        step = max(1, (1 << 19) // max(1, len(right) * x.shape[1]))
-        out = []
-        for k in range(0, len(left), step):
-            i, j = left[k : k + step, None], right[None, :]
-            both = np.bitwise_count(x[i[:, 0], None, :] & x[None, right, :]).sum(axis=2, dtype=np.int64)
-            most = np.minimum(n[i] - bits[i] + both, n[j] - bits[j] + both)
-            need = -(-percent * (n[i] + n[j]) // (100 + percent))
-            fit = (most >= need) & (c[i] != c[j]) & (home[i] | home[j]) & (pos[i] <= n[i] - need) & (pos[j] <= n[j] - need)
-            fit &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-            if key[2] == key[3]:
-                fit &= i < j
-            a, b = np.nonzero(fit)
-            out.append(np.stack([left[k + a], right[b]], axis=1))
-        a, b = np.concatenate([*out, np.zeros((0, 2), np.int64)]).astype(np.int64).T
-        a, b = np.where(rep[a] < rep[b], a, b), np.where(rep[a] < rep[b], b, a)
-        return pd.DataFrame({"a": rep[a], "b": rep[b], "n_a": n[a], "n_b": n[b]})
-
-    return rows.groupBy("e", "band", "i", "j").applyInPandas(compare, "a long, b long, n_a long, n_b long")
+        a, b = _possible(_maps(t["bits"]), n, c, left, right, percent, n - t["pos"].to_numpy(), home)
+        names, at = np.unique(c, return_inverse=True)
+        label = names[lowest(at[a], at[b], len(names))]
+        met = np.unique(np.concatenate([a, b]))
+        return pd.DataFrame({"rep": rep[met], "c": c[met], "d": label[at[met]]})
+
+    met = rows.select("e", "band", "i", "j", "own", "home", "rep", "n", "pos", "c", "bits").groupBy("e", "band", "i", "j").applyInPandas(compare, "rep long, c long, d long")
+    met = cut(met.distinct(), "met")
+    joined = connected_components(met.select(F.col("c").alias("a"), F.col("d").alias("b")).distinct())
+    return met.select("rep", "c").distinct().join(joined.select(F.col("id").alias("c"), F.col("component").alias("cluster")), "c")
+
+
+def _forest(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside clusters (rep, c, cluster) that join their components as all links do."""
+    rows = clusters.join(sets.select("rep", "bits", "elements"), "rep").withColumn("n", F.expr("length(elements) DIV 8"))
+    rows = cut(rows, "members")
+    main = rows.groupBy("cluster", "c").count().groupBy("cluster").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+    rows = _blocked(rows.join(checked_broadcast(cut(main, "main")), "cluster"), ["cluster"], F.col("c") == F.col("main"), F.length("elements") + F.length("bits"))
+
+    def compare(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        n, c, rep, block = (t[k].to_numpy() for k in ("n", "c", "rep", "own"))
+        left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+        a, b = _possible(_maps(t["bits"]), n, c, left, right, percent)
+        if key[1] == key[2]:
+            a, b = a[a < b], b[a < b]
+        sets = [np.frombuffer(e, np.uint64) for e in t["elements"]]
+        root = {x: x for x in c.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        links = []
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            u, v = find(c[i]), find(c[j])
+            if u != v:
+                common = len(sets[i]) + len(sets[j]) - len(np.union1d(sets[i], sets[j]))
+                if 100 * common >= percent * (n[i] + n[j] - common):
+                    root[max(u, v)] = min(u, v)
+                    links.append((rep[i], rep[j]))
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return rows.select("cluster", "i", "j", "own", "rep", "n", "c", "bits", "elements").groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def _band(n: Column, percent: int) -> Column:
@@ -260,11 +340,15 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     sketches = cut(_sketches(src, width, percent), "sketches")
     often = sketches.select(F.explode("often").alias("o")).groupBy("o.e").agg(F.sum("o.n").alias("n"))
     frequent = [r[0] for r in often.orderBy(F.desc("n"), "e").limit(FREQUENT).select("e").collect()]
-    classes = cut(sketches.where(F.col("n") > 0).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    classes = cut(sketches.where(F.col("n") > 0).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
 
     named = classes.where(F.col("rep").isNotNull())
-    met = _shared(_prefixes(src, frequent, width, percent), percent).join(named.select("k1", "rep"), "k1").drop("k1")
-    links = _links(met, named, src, width, percent)
+    met = cut(_shared(_prefixes(src, frequent, width, percent), percent).join(named.select("k1", "rep"), "k1").select("e", "rep", "n", "pos"), "met")
+    # an id may have several texts: its class's key says which one is meant
+    able = checked_broadcast(cut(met.select("rep").distinct(), "able"))
+    sets = _sets(src.join(able.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), width).join(checked_broadcast(named.select("rep", "k1", "k2").join(able, "rep", "left_semi")), ["rep", "k1", "k2"], "left_semi")
+    sets = cut(sets.dropDuplicates(["rep", "k1", "k2"]).select("rep", "bits", "elements"), "sets")
+    links = _links(met, sets, percent)
     labels = connected_components(links).withColumnRenamed("id", "rep")
     component = classes.join(labels, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     return sketches.select("doc_id", "n", "k1", "k2").join(component, ["k1", "k2"], "left").select(
@@ -272,55 +356,39 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     )
 
 
-def _links(met: DataFrame, classes: DataFrame, src: DataFrame, width: int, percent: int) -> DataFrame:
+def _mixed(tiles: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``tiles`` with each class's component by the links so far (c), without tiles in which no two components meet; main is the largest there."""
+    tiles = tiles.select("e", "band", "home", "rep", "n", "pos")
+    if links is None:
+        now = tiles.withColumn("c", F.col("rep"))
+    else:
+        labels = connected_components(links, stop_after=2).withColumnRenamed("id", "rep")
+        now = tiles.join(checked_broadcast(labels), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    per = now.groupBy("e", "band", "c").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("v"))
+    per = per.groupBy("e", "band").agg(
+        *[F.sum(x).alias(y) for x, y in (("h", "h"), ("v", "v"), (F.col("h") * F.col("h"), "hh"), (F.col("h") * F.col("v"), "hv"))], F.max_by("c", F.struct(F.col("h") + F.col("v"), "c")).alias("main")
+    )
+    left = (F.col("h") * F.col("h") - F.col("hh")) / 2 + F.col("h") * F.col("v") - F.col("hv")
+    return cut(now.join(checked_broadcast(cut(per.where(left > 0).select("e", "band", "main"), "left")), ["e", "band"]), "tiles")
+
+
+def _links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between representatives that give the components of all links."""
     band = _band(F.col("n"), percent)
     tiles = met.select("e", "rep", "n", "pos", F.explode(F.array(band, band - 1)).alias("band"), band.alias("own")).select("e", "band", (F.col("band") == F.col("own")).alias("home"), "rep", "n", "pos")
-    tiles = cut(tiles, "tiles")
     # sizes that can be similar, and room for enough common elements from the first common one on
     need = F.ceil(percent * (F.col("n") + F.col("n_s")) / float(100 + percent) - 1e-9)
     similar = (100 * F.least("n", "n_s") >= percent * F.greatest("n", "n_s")) & (F.col("pos") <= F.col("n") - need) & (F.col("pos_s") <= F.col("n_s") - need)
-    links = done = None
-    for k in range(len(ANCHORS) + 1):
-        if links is None:
-            now = tiles.withColumn("c", F.col("rep"))
-        else:
-            labels = connected_components(links).withColumnRenamed("id", "rep")
-            now = cut(tiles.drop("c").join(checked_broadcast(labels), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "now")
-        per = now.groupBy("e", "band", "c").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("v"))
-        per = per.groupBy("e", "band").agg(*[F.sum(x).alias(y) for x, y in (("h", "h"), ("v", "v"), (F.col("h") * F.col("h"), "hh"), (F.col("h") * F.col("v"), "hv"))])
-        per = per.withColumn("left", (F.col("h") * F.col("h") - F.col("hh")) / 2 + F.col("h") * F.col("v") - F.col("hv")).where("left > 0")
-        per = cut(per, "left")
-        left = per.agg(F.sum("left")).first()[0] or 0
-        if not left:
-            break
-        now = tiles = cut(now.join(checked_broadcast(per.select("e", "band")), ["e", "band"], "left_semi"), "tiles")
-        last = left <= 2 * tiles.count() or k == len(ANCHORS)
-        small = now
-        if last:
-            large = checked_broadcast(cut(now.groupBy("e", "band").count().where(F.col("count") > SMALL).select("e", "band"), "large"))
-            small = now.join(large, ["e", "band"], "left_anti")
-        home = small.where("home").select("e", "band", F.col("rep").alias("s"), F.col("n").alias("n_s"), F.col("c").alias("c_s"), F.col("pos").alias("pos_s"))
-        if not last:
-            turn = F.row_number().over(Window.partitionBy("e", "band").orderBy(F.xxhash64("s", F.lit(k)), "s"))
-            home = home.withColumn("turn", turn).where(F.col("turn") <= ANCHORS[k]).drop("turn")
-        pairs = small.join(home, ["e", "band"]).where((F.col("c") != F.col("c_s")) & similar)
-        pairs = pairs.select(
-            F.least("rep", "s").alias("a"),
-            F.greatest("rep", "s").alias("b"),
-            F.when(F.col("rep") < F.col("s"), F.col("n")).otherwise(F.col("n_s")).alias("n_a"),
-            F.when(F.col("rep") < F.col("s"), F.col("n_s")).otherwise(F.col("n")).alias("n_b"),
-        )
-        if last:
-            pairs = pairs.union(_block_pairs(now.join(large, ["e", "band"], "left_semi"), classes, percent))
-        pairs = pairs.distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        found = cut(_verified(pairs, classes, src, width, percent), "links")
+    links = None
+    for k, anchors in enumerate(ANCHORS):
+        tiles = _mixed(tiles, links)
+        home = tiles.where("home").select("e", "band", F.col("rep").alias("s"), F.col("n").alias("n_s"), F.col("c").alias("c_s"), F.col("pos").alias("pos_s"))
+        turn = F.row_number().over(Window.partitionBy("e", "band").orderBy(F.xxhash64("s", F.lit(k)), "s"))
+        home = home.withColumn("turn", turn).where(F.col("turn") <= anchors).drop("turn")
+        pairs = tiles.join(home, ["e", "band"]).where((F.col("c") != F.col("c_s")) & similar)
+        first = F.col("rep") < F.col("s")
+        pairs = pairs.select(F.least("rep", "s").alias("a"), F.greatest("rep", "s").alias("b"), F.when(first, F.col("n")).otherwise(F.col("n_s")).alias("n_a"), F.when(first, F.col("n_s")).otherwise(F.col("n")).alias("n_b"))
+        found = cut(_verified(cut(pairs.distinct(), "pairs"), sets, percent), "links")
         links = found if links is None else links.union(found)
-        seen = pairs.select("a", "b")
-        done = seen if done is None else done.union(seen)
-        if last:
-            break
-    return links if links is not None else met.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    rest = cut(_forest(cut(_clusters(_mixed(tiles, links), sets, percent), "clusters"), sets, percent), "links")
+    return rest if links is None else links.union(rest)

@@ -67,9 +67,8 @@ def test_large_group_of_near_copies_needs_few_rounds(spark):
 def test_blocks_of_large_tiles(spark, monkeypatch):
     from graphloom.llm import jaccard_join
 
-    monkeypatch.setattr(jaccard_join, "SMALL", 3)
     monkeypatch.setattr(jaccard_join, "BLOCK", 10)
-    monkeypatch.setattr(jaccard_join, "ANCHORS", ())
+    monkeypatch.setattr(jaccard_join, "ANCHORS", (1,))
     rng = random.Random(7)
     rows = []
     for g in range(2):
@@ -82,6 +81,29 @@ def test_blocks_of_large_tiles(spark, monkeypatch):
     assert got(spark, rows) == brute(rows)
 
 
+def test_large_group_makes_rows_in_proportion(spark, monkeypatch):
+    """600 near copies with far more links than rows: no step makes more rows than a few per member."""
+    from graphloom.llm import jaccard_join
+
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3, 4, 5])):
+            w[rng.randrange(150)] = f"x{rng.random()}"
+        rows.append((i, " ".join(w)))
+    made = {}
+    whole = jaccard_join.cut
+    monkeypatch.setattr(jaccard_join, "cut", lambda df, name="t": made.setdefault((name, len(made)), whole(df, name)))
+    result = got(spark, rows)
+    sizes = {k: df.count() for k, df in made.items()}
+    linked = sum(100 * len(x & y) >= 80 * len(x | y) for sets in [[shingles(t) for _, t in rows]] for i, x in enumerate(sets) for y in sets[:i])
+    assert linked > 25_000
+    assert max(n for (name, _), n in sizes.items() if name in ("near", "links", "met", "clusters", "members")) < 60 * len(rows)
+    assert result == brute(rows)
+
+
 def test_thresholds_are_exact(spark):
     a = [f"w{i}" for i in range(13)]  # 9 shingles
     rows = [(1, " ".join(a)), (2, " ".join(a[:12])), (3, " ".join(a + ["y", "z"])), (4, " ".join(a[:11])), (9, " ".join(a))]
