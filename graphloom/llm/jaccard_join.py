@@ -8,11 +8,11 @@ counts of hashed bitmaps, then decided by intersecting the sorted arrays.
 
 Copies never meet as pairs: documents with equal sets are one class. Nor does a large group of
 near copies give a row for each pair. First every member of a tile is compared with a few anchors
-only, which joins most of a dense group into one component. Then tiles that still hold several
-components are compared in blocks of bitmaps, and each member tells no more than the cluster of
-components that its possible partners make; inside a cluster the sorted arrays decide, and only
-links that join two components come out. So every step makes rows in proportion to its members,
-and the components are those of all links.
+only, which joins most of a dense group into one component. Small tiles that still hold several
+components are then compared pair by pair; large ones in blocks of bitmaps, and each member tells
+no more than the cluster of components that its possible partners make; inside a cluster the
+sorted arrays decide, and only links that join two components come out. So every step makes rows
+in proportion to its members, and the components are those of all links.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ FREQUENT = 50_000
 ANCHORS = (1, 16)
 #: Members of a block, and bytes of bitmaps or arrays in it, about.
 BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: Tiles of at most so many members are compared pair by pair, so a member meets no more than these.
+SMALL = 64
 
 
 def _least(n: int, percent: int) -> int:
@@ -357,7 +359,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
 
 def _mixed(tiles: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``tiles`` with each class's component by the links so far (c), without tiles in which no two components meet; main is the largest there."""
+    """``tiles`` with each class's component by the links so far (c), without tiles in which no two components meet; main is the largest there, size the tile's."""
     tiles = tiles.select("e", "band", "home", "rep", "n", "pos")
     if links is None:
         now = tiles.withColumn("c", F.col("rep"))
@@ -366,29 +368,39 @@ def _mixed(tiles: DataFrame, links: DataFrame | None) -> DataFrame:
         now = tiles.join(checked_broadcast(labels), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     per = now.groupBy("e", "band", "c").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("v"))
     per = per.groupBy("e", "band").agg(
-        *[F.sum(x).alias(y) for x, y in (("h", "h"), ("v", "v"), (F.col("h") * F.col("h"), "hh"), (F.col("h") * F.col("v"), "hv"))], F.max_by("c", F.struct(F.col("h") + F.col("v"), "c")).alias("main")
+        *[F.sum(x).alias(y) for x, y in (("h", "h"), ("v", "v"), (F.col("h") * F.col("h"), "hh"), (F.col("h") * F.col("v"), "hv"))], F.max_by("c", F.struct(F.col("h") + F.col("v"), "c")).alias("main"), F.sum(F.col("h") + F.col("v")).alias("size")
     )
     left = (F.col("h") * F.col("h") - F.col("hh")) / 2 + F.col("h") * F.col("v") - F.col("hv")
-    return cut(now.join(checked_broadcast(cut(per.where(left > 0).select("e", "band", "main"), "left")), ["e", "band"]), "tiles")
+    return cut(now.join(checked_broadcast(cut(per.where(left > 0).select("e", "band", "main", "size"), "left")), ["e", "band"]), "tiles")
 
 
 def _links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between representatives that give the components of all links."""
     band = _band(F.col("n"), percent)
     tiles = met.select("e", "rep", "n", "pos", F.explode(F.array(band, band - 1)).alias("band"), band.alias("own")).select("e", "band", (F.col("band") == F.col("own")).alias("home"), "rep", "n", "pos")
-    # sizes that can be similar, and room for enough common elements from the first common one on
-    need = F.ceil(percent * (F.col("n") + F.col("n_s")) / float(100 + percent) - 1e-9)
-    similar = (100 * F.least("n", "n_s") >= percent * F.greatest("n", "n_s")) & (F.col("pos") <= F.col("n") - need) & (F.col("pos_s") <= F.col("n_s") - need)
     links = None
-    for k, anchors in enumerate(ANCHORS):
+    for k, anchors in enumerate((*ANCHORS, None)):
         tiles = _mixed(tiles, links)
-        home = tiles.where("home").select("e", "band", F.col("rep").alias("s"), F.col("n").alias("n_s"), F.col("c").alias("c_s"), F.col("pos").alias("pos_s"))
-        turn = F.row_number().over(Window.partitionBy("e", "band").orderBy(F.xxhash64("s", F.lit(k)), "s"))
-        home = home.withColumn("turn", turn).where(F.col("turn") <= anchors).drop("turn")
-        pairs = tiles.join(home, ["e", "band"]).where((F.col("c") != F.col("c_s")) & similar)
-        first = F.col("rep") < F.col("s")
-        pairs = pairs.select(F.least("rep", "s").alias("a"), F.greatest("rep", "s").alias("b"), F.when(first, F.col("n")).otherwise(F.col("n_s")).alias("n_a"), F.when(first, F.col("n_s")).otherwise(F.col("n")).alias("n_b"))
-        found = cut(_verified(cut(pairs.distinct(), "pairs"), sets, percent), "links")
+        home = tiles.where("home")
+        if anchors is None:
+            home = home.where(F.col("size") <= SMALL)
+        else:
+            turn = F.row_number().over(Window.partitionBy("e", "band").orderBy(F.xxhash64("rep", F.lit(k)), "rep"))
+            home = home.withColumn("turn", turn).where(F.col("turn") <= anchors)
+        found = cut(_verified(cut(_pairs(tiles, home, percent), "pairs"), sets, percent), "links")
         links = found if links is None else links.union(found)
-    rest = cut(_forest(cut(_clusters(_mixed(tiles, links), sets, percent), "clusters"), sets, percent), "links")
-    return rest if links is None else links.union(rest)
+    large = tiles.where(F.col("size") > SMALL)
+    return links.union(cut(_forest(cut(_clusters(large, sets, percent), "clusters"), sets, percent), "links"))
+
+
+def _pairs(tiles: DataFrame, home: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b, n_a, n_b) of tile members of different components with some of those at home there.
+
+    Their sizes can be similar, with room for enough common elements from the first common one on.
+    """
+    home = home.select("e", "band", F.col("rep").alias("s"), F.col("n").alias("n_s"), F.col("c").alias("c_s"), F.col("pos").alias("pos_s"))
+    need = F.ceil(percent * (F.col("n") + F.col("n_s")) / float(100 + percent) - 1e-9)
+    similar = (100 * F.least("n", "n_s") >= percent * F.greatest("n", "n_s")) & (F.col("pos") <= F.col("n") - need) & (F.col("pos_s") <= F.col("n_s") - need)
+    both = tiles.join(home, ["e", "band"]).where((F.col("c") != F.col("c_s")) & similar)
+    low, high = F.least(F.struct("rep", "n"), F.struct(F.col("s").alias("rep"), F.col("n_s").alias("n"))), F.greatest(F.struct("rep", "n"), F.struct(F.col("s").alias("rep"), F.col("n_s").alias("n")))
+    return both.select(low.alias("x"), high.alias("y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
