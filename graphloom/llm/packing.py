@@ -9,7 +9,7 @@ finds its sequence from its length and its rank among the pieces of that length.
 
 from __future__ import annotations
 
-import re
+import json
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,15 +24,15 @@ from graphloom.session import checked_broadcast, cut
 
 CAPACITY = 4096
 END = 1
-#: Token ids kept by word in each Python worker; the memory is emptied when full.
-CACHE = 1_500_000
+#: Words, and bytes of them, whose token ids a Python worker keeps; the memory is emptied when full.
+CACHE, CACHE_BYTES = 1_500_000, 48 << 20
 #: Pieces ranked together in one window group, about.
 GROUP = 20_000
 #: (least fill of a pattern, share of its fitted count) of the roundings tried; later ones leave more to the residue.
 ROUNDINGS = ((0.995, 1.0), (1.0, 1.0), (1.0, 0.5), (1.0, 0.25), (1.0, 0.125))
 
-_STOP = re.compile(rb"(?<=[A-Za-z0-9])([.,])(?=[ \n\t\r])")
 _words: dict[str, dict[bytes, bytes]] = {}
+_kept: dict[str, int] = {}
 
 
 @lru_cache(2)
@@ -43,34 +43,87 @@ def _tokenizer(path: str):
 
 
 def _parts(text: bytes) -> list[bytes]:
-    """White-space separated parts, lower-cased as the tokenizer does, a final full stop or comma apart.
+    """White-space separated parts, lower-cased as the tokenizer does.
 
     Texts that could hold a special token, or accents that compose with capitals differently, keep
     their case.
     """
     if not (b"<|" in text or b"\xcc" in text or b"\xcd" in text):
         text = text.lower()
-    return _STOP.sub(rb" \1", text).split()
+    return text.split()
 
 
-def token_ids(text: bytes, path: str) -> bytes:
-    """Ids of a whole text as little-endian unsigned 32-bit values.
+@lru_cache(2)
+def _by_word(path: str) -> bool:
+    """Whether the tokenizer lower-cases, drops white space and splits there, so that texts may be encoded word by word."""
+    made = json.loads(_tokenizer(path).to_str())
+    normal = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
+    splits = [(p["type"], p.get("behavior"), p.get("invert")) for p in (made["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    return normal == ["NFC", "Replace", "Lowercase"] and splits == [("Split", "Removed", True), ("ByteLevel", None, None)] and made["post_processor"] is None
+
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    white-space separated parts in turn; a part met before is looked up.
+@lru_cache(2)
+def _final(path: str) -> np.ndarray:
+    """Marks the ids that end a word; empty for vocabularies without word ends."""
+    suffix = json.loads(_tokenizer(path).to_str())["model"].get("end_of_word_suffix")
+    vocabulary = _tokenizer(path).get_vocab(with_added_tokens=True)
+    final = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    final[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+    return final
+
+
+def _encode(words: list[bytes], path: str) -> list[bytes]:
+    """Ids of each word. Words of letters alone go through the tokenizer as one text, cut again at the ids that end a word."""
+    out: list[bytes] = [b""] * len(words)
+    text = [w.decode() for w in words]
+    plain = [i for i, w in enumerate(text) if w.isalpha()]
+    ids = np.array(_tokenizer(path).encode_batch_fast([" ".join([text[i] for i in plain])], add_special_tokens=False)[0].ids, "<u4")
+    ends = np.flatnonzero(_final(path)[ids]) + 1
+    if len(ends) == len(plain) and (not len(ids) or ends[-1] == len(ids)):
+        at, whole = (4 * ends).tolist(), ids.tobytes()
+        for i, a, b in zip(plain, [0, *at], at, strict=False):
+            out[i] = whole[a:b]
+        rest = sorted(set(range(len(words))) - set(plain))
+    else:
+        rest = list(range(len(words)))
+    for i, e in zip(rest, _tokenizer(path).encode_batch_fast([text[i] for i in rest], add_special_tokens=False), strict=True):
+        out[i] = array("I", e.ids).tobytes()
+    return out
+
+
+def all_token_ids(texts: list[bytes], path: str) -> list[bytes]:
+    """Ids of whole texts as little-endian unsigned 32-bit values.
+
+    A tokenizer that drops white space never joins across it, so a text's ids are those of its
+    white-space separated parts in turn; a part met before is looked up. Other tokenizers get
+    whole texts.
     """
+    if not _by_word(path):
+        return [array("I", e.ids).tobytes() for e in _tokenizer(path).encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
     known = _words.setdefault(path, {})
-    parts = _parts(text)
-    try:
-        return b"".join([known[p] for p in parts])
-    except KeyError:
-        pass
-    if len(known) > CACHE:
+    if len(known) > CACHE or _kept.get(path, 0) > CACHE_BYTES:
         known.clear()
-    new = [p for p in set(parts) if p not in known]
-    for p, e in zip(new, _tokenizer(path).encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-        known[p] = array("I", e.ids).tobytes()
-    return b"".join([known[p] for p in parts])
+        _kept[path] = 0
+    out: list[bytes | None] = []
+    later = []
+    for text in texts:
+        parts = _parts(text)
+        try:
+            out.append(b"".join([known[p] for p in parts]))
+        except KeyError:
+            later.append((len(out), parts))
+            out.append(None)
+    if later:
+        new = {p for p in set().union(*[own for _, own in later]) if p not in known}
+        # a full stop or comma after a letter or digit is a word of its own
+        marked = {p: p[:-1] for p in new if p[-1] in b".," and p[-2:-1].isalnum()}
+        plain = list({p for p in new if p not in marked} | {w for w in marked.values() if w not in known} | {b".", b","})
+        known.update(zip(plain, _encode(plain, path), strict=True))
+        known.update({p: known[w] + known[p[-1:]] for p, w in marked.items()})
+        _kept[path] = _kept.get(path, 0) + sum(map(len, new))
+        for i, parts in later:
+            out[i] = b"".join([known[p] for p in parts])
+    return out
 
 
 def tokenize(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -89,8 +142,8 @@ def tokenize(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: s
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 row, piece, start, ids = [], [], [], []
-                for k, t in enumerate(part.column(1).to_pylist()):
-                    whole = token_ids(t or b"", tokenizer) + tail
+                for k, own in enumerate(all_token_ids([t or b"" for t in part.column(1).to_pylist()], tokenizer)):
+                    whole = own + tail
                     for j, at in enumerate(range(0, len(whole), 4 * capacity)):
                         row.append(k)
                         piece.append(j)

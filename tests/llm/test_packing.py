@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from graphloom.llm.packing import pack_documents, plan, sequences, token_ids, tokenize
+from graphloom.llm.packing import all_token_ids, pack_documents, plan, sequences, tokenize
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TOK = Tokenizer.from_file(PATH)
@@ -21,7 +21,15 @@ TOK = Tokenizer.from_file(PATH)
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t\r\x0b\x0c\x1c\x85  'sΣİéé<|endoftext|>AB.,;»5H\u0331")), max_size=60))
 def test_ids_equal_those_of_the_whole_text(text):
     text = text.replace("»5", "<|endoftext|>")
-    assert np.frombuffer(token_ids(text.encode(), PATH), "<u4").tolist() == TOK.encode(text, add_special_tokens=False).ids
+    for part in (text, text + ", " + text + "."):
+        assert np.frombuffer(all_token_ids([b"", part.encode()], PATH)[1], "<u4").tolist() == TOK.encode(part, add_special_tokens=False).ids
+
+
+def test_ids_of_a_cased_tokenizer():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["", "Two Words, and  spaces\n", "naïve É. ok"]
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in all_token_ids([t.encode() for t in texts], path)] == want
 
 
 def check(rows, capacity):
