@@ -27,7 +27,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated", "n_near_items")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +135,13 @@ LLM_SQL: dict[str, str] = {
       d AS (SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w CROSS JOIN (SELECT DISTINCT n FROM x) WHERE len(w) >= n)),
       m AS (SELECT doc_id, i, d.n, item_id FROM d JOIN x ON d.g = x.g AND d.n = x.n),
       h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
-      k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
-      SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
-      FROM w LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)""",
+      k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id),
+      f AS (SELECT t, count(*) AS n FROM (SELECT unnest(w) AS t FROM w) GROUP BY t),
+      v AS (SELECT item_id, g, t, row_number() OVER (PARTITION BY item_id, g ORDER BY coalesce(f.n, 0), t) AS r, coalesce(f.n, 0) AS c FROM (SELECT DISTINCT item_id, g, unnest(string_split(g, ' ')) AS t FROM x) LEFT JOIN f USING (t)),
+      q AS (SELECT DISTINCT item_id, t1, t2 FROM (SELECT item_id, g, max(CASE WHEN r = 1 THEN t END) AS t1, max(CASE WHEN r = 2 THEN t END) AS t2, min(c) AS c FROM v GROUP BY item_id, g) WHERE c > 0),
+      o AS (SELECT doc_id, p, t FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM w) WHERE t IN (SELECT t1 FROM q UNION SELECT t2 FROM q)),
+      z AS (SELECT DISTINCT a.doc_id, item_id FROM q JOIN o a ON a.t = t1 LEFT JOIN o b ON b.t = t2 AND b.doc_id = a.doc_id AND abs(a.p - b.p) < 13 WHERE t2 IS NULL OR b.p IS NOT NULL),
+      y AS (SELECT doc_id, count(*) AS n_near FROM z GROUP BY doc_id)
+      SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated, coalesce(n_near, 0) AS n_near_items
+      FROM w LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN y USING (doc_id)""",
 }
