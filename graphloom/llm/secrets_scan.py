@@ -9,7 +9,6 @@ the ordinary automaton, per character, is above what ordinary tokens reach.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from bisect import bisect_right
@@ -21,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import cut
+
 KINDS = ("assign", "access", "hex")
 #: Most distinct credentials of a kind, and most ordinary tokens, that automata are inferred from (smallest hashes).
 SAMPLE = 400
 ORDINARY = 1_500
+#: Longest credential or token in that training set; longer ones are scored and counted like others.
+FIT_LENGTH = 256
 #: Share of held-back ordinary tokens that may score above the threshold.
 FALSE_ALARMS = 0.001
 #: Bins per unit of a likelihood ratio in which the held-back tokens are counted.
@@ -240,12 +243,13 @@ def _texts(column: pa.Array) -> Iterator[str]:
             yield t or ""
 
 
-def learn(docs: DataFrame, *, text: str = "text") -> Grammars:
+def learn(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE, ordinary: int = ORDINARY, fit_length: int = FIT_LENGTH) -> Grammars:
     """Grammars from the documents' own labelled credentials and ordinary long tokens.
 
-    Every whole text is scanned; of the distinct tokens found, the SAMPLE and ORDINARY ones with
-    the smallest hashes are the automata's training set. The thresholds come from the ratios of
-    all other distinct ordinary tokens, of any length, counted by kind and bin.
+    Every whole text is scanned once; of the distinct tokens found, ``sample`` of each kind and
+    ``ordinary`` others, those of at most ``fit_length`` characters with the smallest hashes, are the
+    automata's training set. The thresholds come from the ratios of all other distinct ordinary
+    tokens, of any length, counted by kind and bin.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,11 +263,11 @@ def learn(docs: DataFrame, *, text: str = "text") -> Grammars:
                     tokens.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(tokens, pa.string())], names=["kind", "token"])
 
-    tokens = docs.select(F.col(text).alias("text")).mapInArrow(run, "kind string, token string").where(F.length("token") <= 256)
-    hashed = tokens.select("kind", "token", F.xxhash64("token").alias("h")).distinct()
+    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "kind string, token string")
+    tokens = cut(found.groupBy("kind", "token").agg(F.xxhash64("token").alias("h")), "tokens")
     picked = None
-    for kind, n in [*((k, SAMPLE) for k in KINDS), ("", ORDINARY)]:
-        part = hashed.where(F.col("kind") == kind).orderBy("h", "token").limit(n)
+    for kind, n in [*((k, sample) for k in KINDS), ("", ordinary)]:
+        part = tokens.where((F.col("kind") == kind) & (F.length("token") <= fit_length)).orderBy("h", "token").limit(n)
         picked = part if picked is None else picked.union(part)
     got: dict[str, list[str]] = {k: [] for k in (*KINDS, "")}
     for r in sorted(picked.collect(), key=lambda r: (r["h"], r["token"])):
@@ -271,26 +275,22 @@ def learn(docs: DataFrame, *, text: str = "text") -> Grammars:
     grammars, learnt = automata({k: got[k] for k in KINDS}, got[""])
     if not grammars.kinds:
         return grammars
-    for kind, bins in _held_counts(docs.select(F.col(text).alias("text")), grammars, frozenset(learnt)).items():
+    for kind, bins in _held_counts(tokens.where("kind = ''").select("token"), grammars, frozenset(learnt)).items():
         grammars.threshold[kind] = max(0.0, _quantile(bins, 1 - FALSE_ALARMS))
     return grammars
 
 
-def _held_counts(texts: DataFrame, grammars: Grammars, learnt: frozenset[str]) -> dict[str, list[tuple[int, int]]]:
-    """(bin, count) by kind of the ratios of all distinct ordinary tokens but the learnt ones; tokens travel as digests."""
+def _held_counts(tokens: DataFrame, grammars: Grammars, learnt: frozenset[str]) -> dict[str, list[tuple[int, int]]]:
+    """(bin, count) by kind of the ratios of all distinct ordinary tokens but the learnt ones."""
     kinds = sorted(grammars.kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {v for t in _texts(batch.column(0)) for _, _, v in candidates(t, base_spans(t))} - learnt
-            ratios = [grammars.ratios(v) for v in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([hashlib.blake2b(v.encode(), digest_size=16).digest() for v in found], pa.binary()), pa.array([[math.floor(r[k] * BINS) for k in kinds] for r in ratios], pa.list_(pa.int64()))],
-                names=["token", "bins"],
-            )
-
-    distinct = texts.mapInArrow(run, "token binary, bins array<long>").distinct()  # equal tokens have equal bins
-    counts = distinct.select(F.posexplode("bins").alias("kind", "bin")).groupBy("kind", "bin").agg(F.count(F.lit(1)).alias("n"))
+            ratios = [grammars.ratios(v) for v in batch.column(0).to_pylist() if v not in learnt]
+            bins = [[math.floor(r[k] * BINS) for k in kinds] for r in ratios]
+            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.list_(pa.int64()))], names=["bins"])
+
+    counts = tokens.mapInArrow(run, "bins array<long>").select(F.posexplode("bins").alias("kind", "bin")).groupBy("kind", "bin").agg(F.count(F.lit(1)).alias("n"))
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in kinds}
     for r in counts.collect():  # a bounded range of ratios in bins
         out[kinds[r["kind"]]].append((r["bin"], r["n"]))

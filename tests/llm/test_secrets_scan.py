@@ -83,7 +83,8 @@ def test_unlabelled_credentials_do_not_lift_the_threshold(spark):
 def test_every_other_ordinary_token_counts_for_the_threshold(spark):
     hexes, _, words = tokens(random.Random(9), 60)
     g = fit({"hex": hexes}, words[:30])
-    df = spark.createDataFrame([(" ".join(words),), (" ".join(words[:50]),), ("-".join(words),), (None,)], "text string")
+    texts = [" ".join(words), " ".join(words[:50]), "-".join(words)]
+    df = spark.createDataFrame([(v,) for v in {v for t in texts for _, _, v in candidates(t, [])}], "token string")
     assert sum(n for _, n in _held_counts(df, g, frozenset(words[:20]))["hex"]) == len({w for w in words if len(w) >= 16} - set(words[:20])) + 1
     held = [math.floor(g.ratios(w)["hex"] * BINS) / BINS for w in words]
     assert abs(_quantile([(math.floor(v * BINS), 1) for v in held], 0.999) - np.quantile(held, 0.999)) < 1e-9
