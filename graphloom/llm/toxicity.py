@@ -10,6 +10,7 @@ are calibrated on labelled rows, and all whole texts are scored inside Spark tas
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,8 @@ SAMPLE = {"positive": 6_000, "unlabelled": 12_000, "calibration": 6_000}
 PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 SUFFIXES = (4, 6)
 THRESHOLD = 0.7
+#: The scores that calibrate come from models fitted without a row's own fold, so no row calibrates a model it has trained.
+FOLDS = 3
 
 _KIND = np.arange(256, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)
 _PART = np.zeros(256, dtype=bool)
@@ -141,11 +144,10 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return model
 
 
-def calibrate(model: Model, rows: list[np.ndarray], labels: np.ndarray) -> Model:
-    """Platt scaling by Newton steps, with Platt's smoothed targets."""
-    if len(rows) == 0 or labels.min() == labels.max():
+def calibrate(model: Model, z: np.ndarray, labels: np.ndarray) -> Model:
+    """Platt scaling of raw scores by Newton steps, with Platt's smoothed targets."""
+    if len(z) == 0 or labels.min() == labels.max():
         return model
-    z = model.raw(*_pick(rows, np.arange(len(rows))))
     scale = np.std(z) + 1e-9
     z = z / scale
     n1, n0 = labels.sum(), (1 - labels).sum()
@@ -222,11 +224,21 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
     got = rows.mapInArrow(project, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, label int, flags int, features binary")
     got = sorted(got.collect(), key=lambda r: (str(r["doc_id"]), bytes(r["features"])))
-    of = lambda bit: [np.frombuffer(r["features"], np.int32).astype(np.int64) for r in got if r["flags"] & bit]
+    row = [np.frombuffer(r["features"], np.int32).astype(np.int64) for r in got]
+    flags, fold = np.array([r["flags"] for r in got], np.int64), np.array([zlib.crc32(str(r["doc_id"]).encode()) // 3 % FOLDS for r in got], np.int64)
+    of = lambda which: [row[i] for i in np.flatnonzero(which)]
+    marked = (flags & 4) > 0
     y = np.array([r["label"] for r in got if r["flags"] & 4], float)
     # smoothed share of toxic texts among the labelled rows that may be learnt from
-    model = fit_nnpu(of(1), of(2), float((y.sum() + 0.5) / (len(y) + 25)), np.flatnonzero(telling))
-    return calibrate(model, of(4), y)
+    prior, used = float((y.sum() + 0.5) / (len(y) + 25)), np.flatnonzero(telling)
+    z = np.zeros(len(got))
+    for f in range(FOLDS):
+        own = marked & (fold == f)
+        if own.any():
+            part = fit_nnpu(of(((flags & 1) > 0) & (fold != f)), of((flags & 2) > 0), prior, used)
+            z[own] = part.raw(*_pick(row, np.flatnonzero(own)))
+    model = fit_nnpu(of((flags & 1) > 0), of((flags & 2) > 0), prior, used)
+    return calibrate(model, z[marked], y)
 
 
 def score(model: Model, text: Column) -> Column:
