@@ -28,27 +28,41 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(toxicity.score(model, F.col("text")) < toxicity.THRESHOLD)
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have yet."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id.
+    """One document of each group of near copies: the one with the smallest id, of several texts under that id the one of least hash.
 
-    Documents without words are no copies of anything. Of rows that share an id one stays; rows
-    without an id stay.
+    Documents without words are no copies of anything. Of repeated rows (id and text the same) one
+    stays, whichever its other columns; rows without an id stay.
     """
-    groups = cut(jaccard_components(docs), "groups")
-    kept = docs.join(checked_broadcast(groups.where("component_id != doc_id").select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
-    repeated = cut(groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    groups = cut(jaccard_components(docs, with_hash=True).where("doc_id IS NOT NULL"), "groups")
+    rows = groups.groupBy("doc_id", "text_hash").agg(F.first("n_shingles").alias("n"), F.first("component_id").alias("c"), F.count(F.lit(1)).alias("times"))
+    winners = rows.where("n > 0").groupBy("c").agg(F.min(F.struct("doc_id", "text_hash")).alias("w"))
+    losers = rows.where("n > 0").join(winners, "c").where(F.struct("doc_id", "text_hash") != F.col("w"))
+    drop, repeated = cut(losers.select("doc_id", "text_hash"), "drop"), cut(rows.where("times > 1").select("doc_id", "text_hash"), "repeated")
+    own = _free(docs, "text_hash")
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    kept = keyed.join(checked_broadcast(drop.withColumnRenamed("text_hash", own)), ["doc_id", own], "left_anti")
     if repeated.isEmpty():
-        return kept
-    few = checked_broadcast(repeated)
-    return kept.join(few, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(few, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        return kept.select(docs.columns)
+    few = checked_broadcast(repeated.withColumnRenamed("text_hash", own))
+    once = kept.join(few, ["doc_id", own], "left_semi").dropDuplicates(["doc_id", own])
+    return kept.join(few, ["doc_id", own], "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth stands in benchmark windows. Null and empty texts stay."""
     key = F.concat_ws(":", F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text")))  # the text decides, so the text is the key
     found = benchmarks.decontaminate(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    bad = cut(found.where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.withColumn("key_", key).join(checked_broadcast(bad.withColumnRenamed("doc_id", "key_")), "key_", "left_anti").select(docs.columns)
+    own = _free(docs, "text_key")
+    bad = cut(found.where("contaminated").select(F.col("doc_id").alias(own)).distinct(), "contaminated")
+    return docs.withColumn(own, key).join(checked_broadcast(bad), own, "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,15 +80,16 @@ def _sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(sizes, pa.int64()),
                     pa.array([k[0] for k in keys], pa.int64()),
                     pa.array([k[1] for k in keys], pa.int64()),
                     pa.array(lists, pa.list_(pa.struct([("e", pa.int64()), ("n", pa.int64())]))),
                 ],
-                names=["doc_id", "n", "k1", "k2", "often"],
+                names=["doc_id", "text_hash", "n", "k1", "k2", "often"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, often array<struct<e:long,n:long>>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, k1 long, k2 long, often array<struct<e:long,n:long>>")
 
 
 def _prefixes(docs: DataFrame, frequent: list[int], width: int, percent: int) -> DataFrame:
@@ -164,10 +165,10 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 arrays.append(s.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(maps, pa.binary()), pa.array(arrays, pa.binary())],
-                names=["rep", "k1", "k2", "bits", "elements"],
+                names=["doc_id", "k1", "k2", "bits", "elements"],
             )
 
-    return docs.mapInArrow(run, "rep long, k1 long, k2 long, bits binary, elements binary")
+    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, bits binary, elements binary")
 
 
 def _only(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
@@ -325,35 +326,39 @@ def _band(n: Column, percent: int) -> Column:
     return F.floor(F.log(n) / float(np.log(100 / percent)) + 1e-9)
 
 
-def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id.
+def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, with_hash: bool = False) -> DataFrame:
+    """One row per document row: doc_id, n_shingles, component_id; ``with_hash`` adds text_hash (xxhash64 of the text).
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| for their sets of distinct
     ``width``-word shingles (fewer words: the whole sequence is the one shingle). component_id is
     the smallest doc_id reachable over links, the document's own included.
 
     A null or empty text, or one without words, has an empty set: n_shingles 0, linked with
-    nothing, its own id. Repeated rows and rows that share an id come out once each; ids are longs.
+    nothing, its own id. Repeated rows and rows that share an id come out once each, judged by their
+    own texts; ids are whole
+    numbers (others fail or, outside ANSI mode, become null).
     Rows with a null id are classed by their set but link nothing on their own (component_id
     null unless a row with an id has the same set). Other columns are not read. An empty table
-    gives an empty result. Shingles are compared by 64-bit hashes, sets by 128-bit ones.
+    gives an empty result. Shingles are compared by 64-bit hashes; classes are sets of one 128-bit
+    hash, linked by its first half.
     """
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.xxhash64(text).alias("text_hash"))
     sketches = cut(_sketches(src, width, percent), "sketches")
     often = sketches.select(F.explode("often").alias("o")).groupBy("o.e").agg(F.sum("o.n").alias("n"))
     frequent = [r[0] for r in often.orderBy(F.desc("n"), "e").limit(FREQUENT).select("e").collect()]
-    classes = cut(sketches.where(F.col("n") > 0).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
-
-    named = classes.where(F.col("rep").isNotNull())
-    met = cut(_shared(_prefixes(src, frequent, width, percent), percent).join(named.select("k1", "rep"), "k1").select("e", "rep", "n", "pos"), "met")
-    # an id may have several texts: its class's key says which one is meant
-    able = checked_broadcast(cut(met.select("rep").distinct(), "able"))
-    sets = _sets(src.join(able.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), width).join(checked_broadcast(named.select("rep", "k1", "k2").join(able, "rep", "left_semi")), ["rep", "k1", "k2"], "left_semi")
-    sets = cut(sets.dropDuplicates(["rep", "k1", "k2"]).select("rep", "bits", "elements"), "sets")
-    links = _links(met, sets, percent)
-    labels = connected_components(links).withColumnRenamed("id", "rep")
-    component = classes.join(labels, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    return sketches.select("doc_id", "n", "k1", "k2").join(component, ["k1", "k2"], "left").select(
+    classes = cut(sketches.where(F.col("n") > 0).groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")), "classes")
+
+    named = classes.where(F.col("doc_id").isNotNull()).select("doc_id", "k1", "k2")
+    met = cut(_shared(_prefixes(src, frequent, width, percent), percent).join(named.select("k1"), "k1", "left_semi").select("e", F.col("k1").alias("rep"), "n", "pos"), "met")
+    # one row's text for each class; where its id has other texts too, the class's key says which is meant
+    able = checked_broadcast(cut(named.join(met.select(F.col("rep").alias("k1")).distinct(), "k1"), "able"))
+    sets = _sets(src.join(able.select("doc_id").distinct(), "doc_id", "left_semi"), width).join(able, ["doc_id", "k1", "k2"], "left_semi")
+    sets = cut(sets.dropDuplicates(["k1"]).select(F.col("k1").alias("rep"), "bits", "elements"), "sets")
+    joined = cut(connected_components(_links(met, sets, percent)).select(F.col("id").alias("k1"), "component").join(named, "k1"), "joined")
+    least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    component = classes.join(joined.join(least, "component").select("k1", "component_id"), "k1", "left").select("k1", "k2", F.coalesce("component_id", "doc_id").alias("component"))
+    return sketches.select("doc_id", "text_hash", "n", "k1", "k2").join(component, ["k1", "k2"], "left").select(
+        *(["text_hash"] if with_hash else []),
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
@@ -375,7 +380,7 @@ def _mixed(tiles: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def _links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between representatives that give the components of all links."""
+    """Links (a, b) between classes that give the components of all links."""
     band = _band(F.col("n"), percent)
     tiles = met.select("e", "rep", "n", "pos", F.explode(F.array(band, band - 1)).alias("band"), band.alias("own")).select("e", "band", (F.col("band") == F.col("own")).alias("home"), "rep", "n", "pos")
     links = None

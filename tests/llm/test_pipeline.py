@@ -67,6 +67,20 @@ def test_run_equals_plain_stages(spark, tmp_path):
     assert sorted(((r.doc_id, r.ids_crc32) for r in rows), key=str) == want
 
 
+def test_near_copies_by_text_and_clashing_names(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long), (2, long + " x"), (2, "a text of its own under the same id"), (3, "same row"), (3, "same row"), (None, long), (4, ""), (5, None)]
+    df = spark.createDataFrame([(i, t, "mine", "too") for i, t in rows], "doc_id long, text string, text_hash string, text_key string")
+    got = corpus_pipeline.drop_near_copies(spark, df, "").collect()
+    want = [(1, long), (2, rows[2][1]), (3, "same row"), (None, long), (4, ""), (5, None)]
+    assert sorted([(r.doc_id, r.text) for r in got], key=str) == sorted(want, key=str)
+    assert {(r.text_hash, r.text_key) for r in got} == {("mine", "too")}
+    spark.createDataFrame([(1, long)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.drop_contaminated(spark, df, str(tmp_path)).collect()
+    assert sorted([(r.doc_id, r.text) for r in got], key=str) == sorted([r for r in rows if r[1] is None or not r[1].startswith("w0")], key=str)
+    assert {(r.text_hash, r.text_key) for r in got} == {("mine", "too")}
+
+
 def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
     write(spark, tmp_path)
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("rep", F.lit(1)).withColumn("k1", F.lit("x")).limit(0)
