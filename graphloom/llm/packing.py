@@ -10,6 +10,8 @@ finds its sequence from its length and its rank among the pieces of that length.
 from __future__ import annotations
 
 import json
+import threading
+import time
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,8 +26,10 @@ from graphloom.session import checked_broadcast, cut
 
 CAPACITY = 4096
 END = 1
-#: Words, and bytes of them, whose token ids a Python worker keeps; the memory is emptied when full.
-CACHE, CACHE_BYTES = 1_500_000, 48 << 20
+#: Words, and bytes of them, whose token ids a Python worker keeps; when full, only the words of the texts at hand stay.
+CACHE, CACHE_BYTES = 600_000, 24 << 20
+#: Seconds without a task after which a worker gives that memory back.
+IDLE = 5.0
 #: Pieces ranked together in one window group, about.
 GROUP = 20_000
 #: (least fill of a pattern, share of its fitted count) of the roundings tried; later ones leave more to the residue.
@@ -33,6 +37,7 @@ ROUNDINGS = ((0.995, 1.0), (1.0, 1.0), (1.0, 0.5), (1.0, 0.25), (1.0, 0.125))
 
 _words: dict[str, dict[bytes, bytes]] = {}
 _kept: dict[str, int] = {}
+_used: dict[str, float] = {}
 
 
 @lru_cache(2)
@@ -101,13 +106,15 @@ def all_token_ids(texts: list[bytes], path: str) -> list[bytes]:
     if not _by_word(path):
         return [array("I", e.ids).tobytes() for e in _tokenizer(path).encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
     known = _words.setdefault(path, {})
+    every = [_parts(t) for t in texts]
     if len(known) > CACHE or _kept.get(path, 0) > CACHE_BYTES:
+        stay = {p: known[p] for own in every for p in own if p in known}
         known.clear()
-        _kept[path] = 0
+        known.update(stay)
+        _kept[path] = sum(map(len, stay))
     out: list[bytes | None] = []
     later = []
-    for text in texts:
-        parts = _parts(text)
+    for parts in every:
         try:
             out.append(b"".join([known[p] for p in parts]))
         except KeyError:
@@ -126,6 +133,20 @@ def all_token_ids(texts: list[bytes], path: str) -> list[bytes]:
     return out
 
 
+def _give_back(path: str) -> None:
+    """Empty the worker's memory of words if no task uses it for IDLE seconds."""
+    at = _used[path] = time.monotonic()
+
+    def empty() -> None:
+        if _used.get(path) == at:
+            _words.pop(path, None)
+            _kept.pop(path, None)
+
+    later = threading.Timer(IDLE, empty)
+    later.daemon = True
+    later.start()
+
+
 def tokenize(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids (binary, unsigned 32-bit little-endian).
 
@@ -138,6 +159,7 @@ def tokenize(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: s
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _used[tokenizer] = time.monotonic()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
@@ -153,6 +175,7 @@ def tokenize(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: s
                     [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "piece", "start", "length", "ids"],
                 )
+        _give_back(tokenizer)
 
     return src.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
