@@ -5,10 +5,13 @@ from pyspark.sql import functions as F
 
 CALLABLE = ("function", "method", "constructor")
 TYPES = ("class", "struct", "enum", "trait", "type", "interface")
-DEPTH_CAP, EXPLORE_CAP, PATH_DEFAULT, PLUS_CAP, SUBGRAPH_DEFAULT = 32, 5, 6, 8, 5
+EXPLORE_CAP, PATH_DEFAULT, PLUS_CAP, SUBGRAPH_DEFAULT = 5, 6, 8, 5
 PROVENANCE_WEIGHT = {"tested": 1.0, "manual": 0.9, "extracted": 0.85, "inferred": 0.5, "ambiguous": 0.3}
 SEVERITY_WEIGHT = {"blocker": 3.0, "critical": 2.0, "major": 1.5, "minor": 1.0, "info": 0.5}
-STOP_WORDS = ("a", "an", "the", "is", "are", "was", "were", "of", "in", "to", "for", "and", "or", "what", "which", "how", "does", "do", "where", "who", "with", "on", "by", "that", "this", "it")
+#: Words that name nothing in a question: fixed values.
+STOP_WORDS = frozenset(
+    "the a an is are was were does do did what how who where when why which whom connects connect connected connecting between from to in on at of for with and or but not this that these those it its they them we you i me my".split()
+)
 
 
 def chosen(column: Column, table: dict, otherwise) -> Column:

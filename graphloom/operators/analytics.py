@@ -115,6 +115,13 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ids.join(done, "id", "left").select("id", F.coalesce("c", "id").alias("component"))
 
 
+def in_cycles(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """Distinct ids of nodes on a cycle: in a strong component of several nodes, or with an edge to themselves."""
+    several = components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    own = edges.where(F.col("src") == F.col("dst")).select(F.col("src").alias("id"))
+    return components.join(several, "component", "left_semi").select("id").union(own).distinct()
+
+
 def cycles(components: DataFrame, edges: DataFrame) -> DataFrame:
     """(component, size) of the components that hold a cycle: more than one node, or a self loop."""
     loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct().withColumn("loop", F.lit(1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.model import test_file
 from graphloom.operators import analytics, reach
 
 #: Name parts that mark diagnostics: fixed values.
@@ -136,3 +137,25 @@ def parity(left: DataFrame, right: DataFrame) -> DataFrame:
     gap = F.coalesce("l", F.lit(0)) - F.coalesce("r", F.lit(0))
     both = key(a, "l").join(key(b, "r"), "k", "full").select(gap.alias("gap"))
     return both.agg(F.coalesce(F.sum(F.greatest("gap", F.lit(0))), F.lit(0)).alias("only_left"), F.coalesce(F.sum(F.greatest(-F.col("gap"), F.lit(0))), F.lit(0)).alias("only_right"))
+
+
+def test_slice(nodes: DataFrame, edges: DataFrame, focus: str) -> DataFrame:
+    """Callers of a symbol whose own file is a test file: id, name, file, line, by file and line."""
+    callers = edges.where(F.col("dst") == focus).select(F.col("src").alias("id")).distinct()
+    return nodes.join(callers, "id", "left_semi").where(test_file(F.col("file"))).select("id", "name", "file", "line").orderBy("file", "line", "id")
+
+
+def scope_cycle(module_edges: DataFrame, scope: str, most: int = 16) -> DataFrame:
+    """(scope, hops): the fewest module steps, up to ``most``, that lead from a scope back to it; no row if none do."""
+    edges = module_edges.select(F.col("src_module").alias("src"), F.col("dst_module").alias("dst"))
+    ahead = edges.where(F.col("src") == scope).select(F.col("dst").alias("id"))
+    back = reach.reach(edges, ahead, "outgoing", most - 1).where(F.col("id") == scope)
+    return back.groupBy(F.col("id").alias("scope")).agg((F.min("depth") + 1).cast("long").alias("hops"))
+
+
+def dead_report(nodes: DataFrame, dead: DataFrame) -> DataFrame:
+    """(kind, dead, total, percent) of the nodes that nothing reaches, by kind."""
+    total = nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
+    gone = dead.groupBy("kind").agg(F.count(F.lit(1)).alias("dead"))
+    n = F.coalesce("dead", F.lit(0)).cast("long")
+    return total.join(gone, "kind", "left").select("kind", n.alias("dead"), "total", (100.0 * n / F.col("total")).alias("percent"))

@@ -6,10 +6,11 @@ levels are written tables, so neither lineage nor recomputation grows with depth
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.model import DEPTH_CAP
 from graphloom.session import checked_broadcast, cut
 
 
@@ -37,13 +38,13 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "outgoing", max_d
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "outgoing") -> DataFrame:
-    """Reach without the seeds; depth is capped."""
-    return reach(edges, seeds, direction, min(depth, DEPTH_CAP)).where("depth > 0")
+    """Reach without the seeds."""
+    return reach(edges, seeds, direction, depth).where("depth > 0")
 
 
 def subgraph(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "outgoing") -> tuple[DataFrame, DataFrame]:
     """(nodes, induced edges) within depth of the seeds."""
-    found = cut(reach(edges, seeds, direction, min(depth, DEPTH_CAP)), "subgraph")
+    found = cut(reach(edges, seeds, direction, depth), "subgraph")
     inside = edges.join(found.select(F.col("id").alias("src")), "src", "left_semi").join(found.select(F.col("id").alias("dst")), "dst", "left_semi")
     return found, inside
 
@@ -66,7 +67,7 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_h
     steps = cut(adjacency(edges), "steps")
     found = None
     paths = sources.select(F.col("id").alias("src"), F.col("id").alias("a"), F.array("id").alias("path")).distinct()
-    for hops in range(1, min(max_hops, DEPTH_CAP) + 1):
+    for hops in range(1, max_hops + 1):
         ahead = paths.join(steps, "a").where(~F.array_contains("path", F.col("b")))
         paths = cut(ahead.select("src", F.col("b").alias("a"), F.array_append("path", F.col("b")).alias("path")), "paths")
         if hops >= min_hops:
@@ -77,11 +78,13 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_h
     return found
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int = DEPTH_CAP) -> DataFrame:
-    """(src, dst, hops, path): one shortest path per pair, the least by node ids among equally short ones."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(src, dst, hops, path): one shortest path per pair, the least by node ids among equally short ones; of any length without max_hops."""
     steps = cut(adjacency(edges), "steps")
     seen = frontier = cut(sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.array("id").alias("path"), F.lit(0).alias("hops")).distinct(), "bfs")
-    for hops in range(1, max_hops + 1):
+    for hops in count(1):
+        if max_hops is not None and hops > max_hops:
+            break
         ahead = frontier.join(steps, F.col("dst") == F.col("a")).select("src", F.col("b").alias("dst"), F.array_append("path", F.col("b")).alias("path"))
         least = ahead.groupBy("src", "dst").agg(F.min("path").alias("path"))
         frontier = cut(least.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)), "bfs")
@@ -91,13 +94,15 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int = DEPTH_C
     return seen
 
 
-def cheapest_paths(edges: DataFrame, sources: DataFrame, rounds: int = DEPTH_CAP) -> DataFrame:
-    """(src, dst, cost, path) minimising the sum of 1 - confidence: relaxation until nothing improves."""
+def cheapest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(src, dst, cost, path) minimising the sum of 1 - confidence: relaxation until nothing improves, or for so many rounds."""
     cost = edges.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.min(1 - F.col("confidence")).alias("w"))
     cost = cut(cost, "costs")
     best = cut(sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("cost"), F.array("id").alias("path")).distinct(), "relax")
     changed = best
-    for _ in range(rounds):
+    for done in count():
+        if rounds is not None and done >= rounds:
+            break
         tried = changed.join(cost, F.col("dst") == F.col("a")).where(~F.array_contains("path", F.col("b"))).select("src", F.col("b").alias("dst"), (F.col("cost") + F.col("w")).alias("cost"), F.array_append("path", F.col("b")).alias("path"))
         tried = tried.groupBy("src", "dst").agg(F.min(F.struct("cost", "path")).alias("x")).select("src", "dst", "x.*")
         old = best.select("src", "dst", F.col("cost").alias("old"))

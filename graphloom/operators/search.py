@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ def tokens(name: Column) -> Column:
 
 
 def keywords(question: str) -> list[str]:
-    """Words of a question without stop words and single letters, in order, once each."""
-    words = ["".join(c for c in w if c.isalnum() or c == "_") for w in question.lower().split()]
+    """Words (letters, digits, _ and -) of a question without stop words and single letters, in order, once each."""
+    words = re.findall(r"[\w-]+", question.lower())
     return list(dict.fromkeys(w for w in words if len(w) > 1 and w not in STOP_WORDS))
 
 

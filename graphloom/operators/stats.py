@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.model import chosen
+
 
 def by_index(rows: DataFrame, group: str, value: str, percents: dict[str, float]) -> DataFrame:
     """Values at index floor(p * (n - 1)) of each group's sorted values, by rank."""
@@ -63,3 +65,9 @@ def weighted(scores: list[Column], weights: list[float]) -> Column:
     zero = F.lit(0.0)
     total = sum((F.when(s.isNull(), zero).otherwise(w) for s, w in zip(scores, weights, strict=True)), zero)
     return F.when(total > 0, sum((F.coalesce(s * w, zero) for s, w in zip(scores, weights, strict=True)), zero) / total)
+
+
+def improvement_targets(scores: DataFrame, weights: dict[str, float], top: int) -> DataFrame:
+    """(name, score, gain): the dimensions (name, score of 100) whose weight * (100 - score) is greatest."""
+    gain = chosen(F.col("name"), weights, 0.0) * (100 - F.col("score"))
+    return scores.select("name", "score", gain.alias("gain")).orderBy(F.desc("gain"), "name").limit(top)

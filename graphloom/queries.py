@@ -230,10 +230,17 @@ query("lv3_file_risk", with_graph(f", a AS (SELECT file, 0.4 * sum(fan_in) AS fa
     lambda g: aggregate.file_risk(g.degrees, g.issues).withColumn("risk", F.round("risk", 6))
 )
 query("lv11_api_surface", with_graph("SELECT name, id FROM n WHERE file = 'AFRICA' OR starts_with(file, 'AFRICA/')", "n"))(lambda g: g.nodes.where(in_scope(F.col("file"), "AFRICA")).select("name", "id"))
-query("lv12_test_slice", with_graph("SELECT DISTINCT src AS id FROM e JOIN n ON n.id = dst WHERE regexp_matches(lower(file), '(^|/)tests?/')", "n", "e"))(
-    lambda g: g.edges.join(g.nodes.where(F.lower("file").rlike("(^|/)tests?/")).select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct()
+# callers in test files come from tests of the supplier: an edge back from each part of its extracted calls
+_TESTED = ", t AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e WHERE provenance = 'extracted')"
+query("lv12_test_slice", with_graph(_TESTED + " SELECT id, name, file, line FROM n WHERE id IN (SELECT src FROM t WHERE dst = 'supplier:3') AND contains(file, '/tests/')", "n", "e"))(
+    lambda g: lenses.test_slice(g.nodes, _tested(g), "supplier:3")
 )
 
+
+def _tested(g: G) -> DataFrame:
+    return g.edges.select("src", "dst").union(g.edges.where("provenance = 'extracted'").select("dst", "src"))
+
+
 # --- algorithms ----------------------------------------------------------------------------
 
 _V = ", v AS (SELECT src AS id FROM f UNION SELECT dst FROM f)"
@@ -265,7 +272,7 @@ query("al21_weak_components", with_graph(_WCC + " SELECT v.id, least(v.id, coale
 query("al22_cycles", with_graph(_SCC + " SELECT component, count(*) AS size FROM s GROUP BY component HAVING count(*) > 1 OR max(CASE WHEN id IN (SELECT src FROM f WHERE src = dst) THEN 1 ELSE 0 END) = 1", "f", recursive=True))(
     lambda g: analytics.cycles(analytics.strong_components(g.flow_nodes, g.flow), g.flow)
 )
-query("al24_in_a_cycle", with_graph(_CLOSURE + " SELECT DISTINCT a AS id FROM r WHERE a = b", "f", recursive=True))(lambda g: reach.pair_reach(g.flow).where("a = b").select(F.col("a").alias("id")).distinct())
+query("al24_in_a_cycle", with_graph(_CLOSURE + " SELECT DISTINCT a AS id FROM r WHERE a = b", "f", recursive=True))(lambda g: analytics.in_cycles(analytics.strong_components(g.flow_nodes, g.flow), g.flow))
 query("al4_god_nodes", with_graph(", s AS (SELECT id, fan_in AS score FROM d), t AS (SELECT score FROM s ORDER BY score LIMIT 1 OFFSET (SELECT CAST(floor(count(*) * 0.95) AS BIGINT) FROM s)) SELECT id, score FROM s WHERE score >= (SELECT score FROM t)", "d"))(
     lambda g: analytics.god_nodes(g.degrees.select("id", F.col("fan_in").alias("score")), 0.95)
 )
@@ -406,7 +413,7 @@ query("src22_callflow", with_graph(_MODULES + " SELECT src_module || ' -->|' ||
 query("ga33_keyword_query", with_graph(", r(id, depth) AS (SELECT id, 0 FROM n WHERE contains(lower(name), 'small') OR contains(lower(name), 'ring') UNION SELECT src, depth + 1 FROM r JOIN e ON dst = r.id WHERE depth < 1) SELECT id, min(depth) AS depth FROM r GROUP BY id", "n", "e", recursive=True))(
     lambda g: lenses.keyword_query(g.nodes, g.edges, search.keywords("Where is a small ring?"), 1, "incoming")
 )
-query("ga23_has_cycle", with_graph(_CLOSURE + " SELECT count(*) > 0 AS has_cycle FROM r WHERE a = b", "f", recursive=True))(lambda g: reach.pair_reach(g.flow).where("a = b").agg((F.count(F.lit(1)) > 0).alias("has_cycle")))
+query("ga23_has_cycle", with_graph(_CLOSURE + " SELECT count(*) > 0 AS has_cycle FROM r WHERE a = b", "f", recursive=True))(lambda g: analytics.in_cycles(analytics.strong_components(g.flow_nodes, g.flow), g.flow).agg((F.count(F.lit(1)) > 0).alias("has_cycle")))
 query("ga28_both_ways", with_graph(", b AS (SELECT src AS x, dst AS y FROM e UNION SELECT dst, src FROM e), r(id, depth) AS (SELECT 'nation:5', 0 UNION SELECT y, depth + 1 FROM r JOIN b ON x = id WHERE depth < 2) SELECT id, min(depth) AS depth FROM r GROUP BY id", "e", recursive=True))(lambda g: reach.reach(g.edges, g.seed("nation:5"), "both", 2))
 query("al6_cluster_members", with_graph(_WCC + ", c AS (SELECT v.id, least(v.id, coalesce(min(r.b), v.id)) AS component FROM v LEFT JOIN r ON r.a = v.id GROUP BY v.id) SELECT component, string_agg(id, ',' ORDER BY id) AS members FROM c GROUP BY component", "f", recursive=True))(lambda g: lenses.members(analytics.weak_components(g.flow_nodes, g.flow)))
 query("al26_containing_component", with_graph(_SCC + " SELECT id FROM s WHERE component = (SELECT component FROM s WHERE id = '1:click')", "f", recursive=True))(lambda g: lenses.containing(analytics.strong_components(g.flow_nodes, g.flow), "1:click"))

@@ -31,11 +31,26 @@ def classified(files: DataFrame) -> DataFrame:
 
 def changes(old: DataFrame, new: DataFrame, key: str = "file_path", content: str = "content_hash") -> DataFrame:
     """(key, change): new, changed, unchanged or deleted."""
-    o, n = old.select(key, F.col(content).alias("old")), new.select(key, F.col(content).alias("new"))
-    kind = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "deleted").when(F.col("old") != F.col("new"), "changed").otherwise("unchanged")
+    o, n = old.select(key, F.col(content).alias("old"), F.lit(True).alias("before")), new.select(key, F.col(content).alias("new"), F.lit(True).alias("after"))
+    kind = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "deleted").when(~F.col("old").eqNullSafe(F.col("new")), "changed").otherwise("unchanged")
     return o.join(n, key, "full").select(key, kind.alias("change"))
 
 
+def delta(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(file_path, change) from manifests (file_path, size, mtime, content_hash): equal size and mtime are unchanged, else the hash decides."""
+    o = old.select("file_path", F.struct("size", "mtime").alias("o"), F.col("content_hash").alias("oh"), F.lit(True).alias("before"))
+    n = new.select("file_path", F.struct("size", "mtime").alias("n"), F.col("content_hash").alias("nh"), F.lit(True).alias("after"))
+    same = F.col("o").eqNullSafe(F.col("n")) | F.col("oh").eqNullSafe(F.col("nh"))
+    kind = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "deleted").when(same, "unchanged").otherwise("changed")
+    return o.join(n, "file_path", "full").select("file_path", kind.alias("change"))
+
+
+def upserted(manifest: DataFrame, rows: DataFrame, deleted: DataFrame) -> DataFrame:
+    """The manifest (file_path and others) after rows took the place of those with their paths and deleted paths went."""
+    keys = rows.select("file_path").union(deleted.select("file_path")).distinct()
+    return manifest.join(keys, "file_path", "left_anti").unionByName(rows.join(deleted, "file_path", "left_anti"))
+
+
 def headings(docs: DataFrame) -> DataFrame:
     """(doc_id, line, level, title) of Markdown headings."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
