@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.session import cut
 
@@ -188,8 +189,8 @@ def parse_transcripts(rows: DataFrame, model: Model, *, conv_id: str = "conv_id"
     """One row per recovered turn: conv_id, block, part, role, first_seq, n_lines, content, rendered.
 
     ``rows`` are a transcript's pieces in the order of ``seq`` (then of text); each is split into
-    lines. Markers are removed from a turn's first line; rendered is the canonical turn. A turn
-    that runs over a block's end goes on as the next block's part 0 without a new header.
+    lines. Markers are removed from a turn's first line; rendered is the canonical turn. block and
+    part say where a turn begins; one that runs over block ends is still one row.
     Rows without seq come last, in blocks by their text's hash; null texts are one empty line;
     a null id is a transcript of its own; repeated rows are repeated lines; other columns are not
     read; an empty table gives an empty result. Rows without seq, and more than one row per seq,
@@ -216,25 +217,45 @@ def parse_transcripts(rows: DataFrame, model: Model, *, conv_id: str = "conv_id"
         out = []
         if len(rows):
             lines = ordered(rows)
+            first = int(found["before"].iloc[0]) < 0
             path = viterbi(model, [symbol(line) for _, line in lines], int(found["before"].iloc[0]), int(found["last"].iloc[0]))
             for (s, line), q in zip(lines, path, strict=True):
                 if q % 2 == 0 or not out:
-                    out.append([key[0], key[1], len(out), ROLES[q // 2], s, 0, [], q % 2 == 0])
+                    out.append([key[0], key[1], len(out), ROLES[q // 2], s, 0, [], q % 2 == 0 or (first and not out)])
                 out[-1][5] += 1
                 out[-1][6].append(_CLEAN.sub("", line, count=1) if q % 2 == 0 else line)
         for r in out:
-            r[6] = "\n".join(r[6]).strip("\n")
-            r[7] = (f"<|{r[3]}|>\n" if r[7] else "") + r[6] + "\n"
-        return pd.DataFrame(out, columns=["conv_id", "block", "part", "role", "first_seq", "n_lines", "content", "rendered"])
+            r[6] = "\n".join(r[6])
+        return pd.DataFrame(out, columns=["conv_id", "block", "part", "role", "first_seq", "n_lines", "content", "begins"])
 
     keys = [F.coalesce(F.col("c").cast("string"), F.lit("\0")).alias("key"), "block"]
     left, right = src.withColumn("key", keys[0]), ends.withColumn("key", keys[0])
-    schema = f"conv_id {kind}, block long, part int, role string, first_seq long, n_lines int, content string, rendered string"
+    schema = f"conv_id {kind}, block long, part int, role string, first_seq long, n_lines int, content string, begins boolean"
 
     def keyed(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return decode((a["c"].iloc[0] if len(a) else None, key[1]), a, b)
 
-    return left.groupBy("key", "block").cogroup(right.groupBy("key", "block")).applyInPandas(keyed, schema)
+    pieces = left.groupBy("key", "block").cogroup(right.groupBy("key", "block")).applyInPandas(keyed, schema)
+    return _whole_turns(cut(pieces, "pieces"))
+
+
+def _whole_turns(pieces: DataFrame) -> DataFrame:
+    """Turns from the pieces of blocks: one that goes on from the block before joins the last turn begun before its block.
+
+    That turn is looked up in one row per block; only the pieces of turns that cross block ends are gathered.
+    """
+    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("\0"))
+    pieces = pieces.withColumn("key", key)
+    begun = pieces.groupBy("key", "block").agg(F.max(F.when(F.col("begins"), F.col("part"))).alias("last"), F.bool_or(~F.col("begins")).alias("goes_on"))
+    before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    target = F.last(F.when(F.col("last").isNotNull(), F.struct("block", "last")), ignorenulls=True).over(before)
+    onward = cut(begun.withColumn("to", target).where("goes_on").select("key", "block", F.col("to.block").alias("to_block"), F.col("to.last").alias("to_part")), "onward")
+    rest = pieces.where("NOT begins").join(onward, ["key", "block"]).select("key", F.col("to_block").alias("block"), F.col("to_part").alias("part"), F.struct("block", "content", "n_lines").alias("p"))
+    more = rest.groupBy("key", "block", "part").agg(F.sort_array(F.collect_list("p")).alias("more"))
+    whole = pieces.where("begins").join(more, ["key", "block", "part"], "left").withColumn("more", F.coalesce("more", F.expr("CAST(array() AS array<struct<block:bigint,content:string,n_lines:int>>)")))
+    content = F.regexp_replace(F.array_join(F.concat(F.array("content"), F.transform("more", lambda m: m["content"])), "\n"), r"^\n+|\n+$", "")
+    lines = F.col("n_lines") + F.aggregate("more", F.lit(0), lambda n, m: n + m["n_lines"])
+    return whole.select("conv_id", "block", "part", "role", "first_seq", lines.alias("n_lines"), content.alias("content"), F.concat(F.lit("<|"), "role", F.lit("|>\n"), content, F.lit("\n")).alias("rendered"))
 
 
 def as_transcripts(turns: DataFrame) -> DataFrame:

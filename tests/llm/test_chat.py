@@ -43,6 +43,27 @@ def test_blocks_give_the_path_of_the_whole(spark, monkeypatch, block):
         path = [2 * chat.ROLES.index(role) + (not begins) for role, begins in parts[c]]
         assert len(path) == len(lines)
         assert np.isclose(score(path, lines), score(whole(model, lines), lines))
+    plain = []
+    for c, lines in texts.items():
+        turn = None
+        for q, line in zip(whole(model, lines), lines, strict=True):
+            if q % 2 == 0:
+                turn = [c, chat.ROLES[q // 2], []]
+                plain.append(turn)
+            turn[2].append(chat._CLEAN.sub("", line, count=1) if q % 2 == 0 else line)
+    want = sorted((c, role, f"<|{role}|>\n" + "\n".join(part).strip("\n") + "\n") for c, role, part in plain)
+    assert sorted((r.conv_id, r.role, r.rendered) for r in got) == want
+
+
+def test_a_turn_over_several_blocks_is_one_row(spark):
+    model = chat.learn(chat.as_transcripts(spark.createDataFrame(conversations(60), "conv_id long, turn long, role string, text string")))
+    rows = [(1, 0, "User: how so?")] + [(1, 1 + i, ("Assistant: " if i == 0 else "") + f"and then line {i} of the long answer") for i in range(600)] + [(1, 700, "User: thanks?")]
+    got = sorted(chat.parse_transcripts(spark.createDataFrame(rows, "conv_id long, seq long, text string"), model).collect(), key=lambda r: r.first_seq)
+    assert sum(r.n_lines for r in got) == 602
+    lines = [t for _, _, t in rows]
+    begins = [k for k, q in enumerate(whole(model, lines)) if q % 2 == 0]
+    assert [r.n_lines for r in got] == np.diff([*begins, 602]).tolist()
+    assert max(r.n_lines for r in got) > 256
 
 
 def test_held_out_roles(spark):
