@@ -97,14 +97,6 @@ def learn(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "seq", role
     return fit(emissions, steps, starts)
 
 
-def _product(model: Model, symbols: list[int]) -> np.ndarray:
-    """Best score from each state before the first symbol to each state at the last one."""
-    best = np.where(np.eye(STATES, dtype=bool), 0.0, -np.inf)
-    for o in symbols:
-        best = (best[:, :, None] + model.step[None]).max(axis=1) + model.emit[:, o]
-    return best
-
-
 def viterbi(model: Model, symbols: list[int], before: int, last: int) -> list[int]:
     """Best states, given the state before the first symbol (-1: none) and the last state (-1: free)."""
     score, back = None, []
@@ -142,12 +134,11 @@ def _ends(start: np.ndarray, products: list[np.ndarray], before: int, last: int)
 
 
 def _first_product(model: Model, symbols: list[int]) -> np.ndarray:
-    """_product with a further row: from before the transcript."""
-    own = _product(model, symbols)
-    begin = model.start + model.emit[:, symbols[0]]
+    """Best score from each state before the first symbol, and in a further row from before the transcript, to each state at the last one."""
+    best = np.vstack([model.step, model.start]) + model.emit[:, symbols[0]]
     for o in symbols[1:]:
-        begin = (begin[:, None] + model.step).max(axis=0) + model.emit[:, o]
-    return np.vstack([own, begin])
+        best = (best[:, :, None] + model.step).max(axis=1) + model.emit[:, o]
+    return best
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -64,15 +64,19 @@ BLOCKS = "array<struct<sample_offset:long,byte_offset:long,samples:int>>"
 def from_flac(media: DataFrame) -> DataFrame:
     """The stored bytes read back: doc_id, n_bytes, media, payload, blocks (seekable sample and byte offsets), feature.
 
-    Frame and stream checksums are verified; a damaged stream fails the job.
+    Frame and stream checksums are verified; a damaged stream fails the job. Where nothing is
+    stored (null media), payload, blocks and feature are null.
     """
     kind = media.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, group in _groups(batch.column(2)):
-                payloads, blocks = flac.decode(group)
-                listed = [[{"sample_offset": s, "byte_offset": b, "samples": n} for s, b, n in own] for own in blocks]
+                stored = np.flatnonzero(batch.column(2).slice(at, len(group)).is_valid().to_numpy(zero_copy_only=False)).tolist()
+                payloads, listed, features = ([None] * len(group) for _ in range(3))
+                for k, payload, own in zip(stored, *(flac.decode([group[k] for k in stored]) if stored else ([], [])), strict=True):
+                    payloads[k], features[k] = payload, _feature(payload, own)
+                    listed[k] = [{"sample_offset": s, "byte_offset": b, "samples": n} for s, b, n in own]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(group)),
@@ -80,7 +84,7 @@ def from_flac(media: DataFrame) -> DataFrame:
                         batch.column(2).slice(at, len(group)),
                         pa.array(payloads, pa.binary()),
                         pa.array(listed, pa.list_(pa.struct([("sample_offset", pa.int64()), ("byte_offset", pa.int64()), ("samples", pa.int32())]))),
-                        pa.array([_feature(p, b) for p, b in zip(payloads, blocks, strict=True)], pa.string()),
+                        pa.array(features, pa.string()),
                     ],
                     names=["doc_id", "n_bytes", "media", "payload", "blocks", "feature"],
                 )

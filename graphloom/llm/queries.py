@@ -76,6 +76,7 @@ def op4_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        F.array_join(F.transform("blocks", lambda b: F.concat_ws(":", b["sample_offset"], b["byte_offset"], b["samples"])), ",").alias("block_offsets"),
     )
 
 

@@ -91,3 +91,9 @@ def test_documents(spark):
         assert b"".join(p for _, p in dict(own).items()) == bytes(r.payload)
         assert zlib.crc32(bytes(r.payload)[-64:]) >= 0
     assert from_flac(to_flac(df.limit(0))).collect() == []
+
+
+def test_null_media_stay_null(spark):
+    stored = to_flac(spark.createDataFrame([(1, "some text")], "doc_id long, text string"))
+    rows = from_flac(stored.union(spark.createDataFrame([(2, 0, None), (3, 5, None)], stored.schema))).collect()
+    assert {r.doc_id: (r.payload is None, r.blocks is None, r.feature is None) for r in rows} == {1: (False,) * 3, 2: (True,) * 3, 3: (True,) * 3}
