@@ -19,6 +19,7 @@ from graphloom.llm import decontaminate as benchmarks
 from graphloom.llm import secrets_scan, toxicity
 from graphloom.llm.jaccard_join import jaccard_components
 from graphloom.llm.packing import pack_documents
+from graphloom.llm.workers import batches_of
 from graphloom.session import checked_broadcast, cut, table
 
 
@@ -87,10 +88,13 @@ STAGES = [
 
 #: SQL cannot fit the stages' models; tests hold run() against a brute-force version.
 ORACLE_SQL = None
+#: Rows of an Arrow batch in all stages: batches of whole texts would else hold a good part of an executor's memory.
+BATCH_ROWS = 1000
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+    with batches_of(spark, BATCH_ROWS):
+        for name, stage in STAGES:
+            docs = cut(stage(spark, docs, sf_dir), name)
     return docs

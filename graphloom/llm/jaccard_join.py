@@ -28,6 +28,7 @@ from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from graphloom.llm.shingles import WIDTH, mix, shingle_sets
+from graphloom.llm.workers import tidy
 from graphloom.operators.components import connected_components
 from graphloom.session import checked_broadcast, cut
 
@@ -36,6 +37,8 @@ PERCENT = 80
 LEAST_BITS = 64
 #: Elements ordered by frequency; the order steers cost only, never the result.
 FREQUENT = 50_000
+#: Rows of a task among which they are counted at once, about.
+COUNTED = 10_000
 #: Anchors per tile in the rounds before tiles and clusters are compared in blocks.
 ANCHORS = (1, 16)
 #: Members of a block, and bytes of bitmaps or arrays in it, about.
@@ -63,31 +66,40 @@ def bitmap(s: np.ndarray) -> bytes:
 
 
 def _sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per row: id, set size, class key; on one row of each batch the prefix elements met twice in it."""
+    """Per row: id, set size, class key; on one row in some COUNTED the prefix elements met twice in these."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, keys, heads = [], [], [], []
+        schema = None
+
+        def counted() -> pa.RecordBatch:
+            seen, counts = np.unique(np.concatenate([*heads, np.zeros(0, np.uint64)]), return_counts=True)
+            often = counts > 1
+            lists = [[] for _ in sizes]
+            lists[0] = [{"e": int(e), "n": int(n)} for e, n in zip(seen[often].view(np.int64), counts[often], strict=True)]
+            columns = [
+                *pa.Table.from_batches(ids, schema).combine_chunks().to_batches()[0].columns,
+                pa.array(sizes, pa.int64()),
+                pa.array([k[0] for k in keys], pa.int64()),
+                pa.array([k[1] for k in keys], pa.int64()),
+                pa.array(lists, pa.list_(pa.struct([("e", pa.int64()), ("n", pa.int64())]))),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "k1", "k2", "often"])
+
         for batch in batches:
-            sizes, keys, heads = [], [], []
+            own = batch.select([0, 2])
+            schema = own.schema
+            ids.append(own)
             for s in shingle_sets(batch.column(1), width):
                 sizes.append(len(s))
                 keys.append(_class_key(s))
                 heads.append(s[: len(s) - _least(len(s), percent) + 1].copy())
-            seen, counts = np.unique(np.concatenate([*heads, np.zeros(0, np.uint64)]), return_counts=True)
-            often = counts > 1
-            lists = [[] for _ in sizes]
-            if lists:
-                lists[0] = [{"e": int(e), "n": int(n)} for e, n in zip(seen[often].view(np.int64), counts[often], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(2),
-                    pa.array(sizes, pa.int64()),
-                    pa.array([k[0] for k in keys], pa.int64()),
-                    pa.array([k[1] for k in keys], pa.int64()),
-                    pa.array(lists, pa.list_(pa.struct([("e", pa.int64()), ("n", pa.int64())]))),
-                ],
-                names=["doc_id", "text_hash", "n", "k1", "k2", "often"],
-            )
+            if len(sizes) >= COUNTED:
+                yield counted()
+                ids, sizes, keys, heads = [], [], [], []
+        if sizes:
+            yield counted()
 
     return docs.mapInArrow(run, "doc_id long, text_hash long, n long, k1 long, k2 long, often array<struct<e:long,n:long>>")
 
@@ -102,6 +114,7 @@ def _prefixes(docs: DataFrame, frequent: list[int], width: int, percent: int) ->
     order = np.argsort(values)
     shared = docs.sparkSession.sparkContext.broadcast((values[order], order))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
         seen: set[tuple[int, int]] = set()
@@ -156,6 +169,7 @@ def _shared(heads: DataFrame, percent: int) -> DataFrame:
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     """Per row: id, class key, bitmap and sorted array."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, maps, arrays = [], [], []

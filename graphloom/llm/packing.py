@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.llm.workers import release, tidy
 from graphloom.session import checked_broadcast, cut
 
 CAPACITY = 4096
@@ -141,6 +142,7 @@ def _give_back(path: str) -> None:
         if _used.get(path) == at:
             _words.pop(path, None)
             _kept.pop(path, None)
+            release()
 
     later = threading.Timer(IDLE, empty)
     later.daemon = True
@@ -158,6 +160,7 @@ def tokenize(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: s
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
     tail = np.array([end], "<u4").tobytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _used[tokenizer] = time.monotonic()
         for batch in batches:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.workers import tidy
 from graphloom.session import cut
 
 KINDS = ("assign", "access", "hex")
@@ -252,6 +253,7 @@ def learn(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE, ordinary
     tokens, of any length, counted by kind and bin.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, tokens = [], []
@@ -284,6 +286,7 @@ def _held_counts(tokens: DataFrame, grammars: Grammars, learnt: frozenset[str])
     """(bin, count) by kind of the ratios of all distinct ordinary tokens but the learnt ones."""
     kinds = sorted(grammars.kinds)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ratios = [grammars.ratios(v) for v in batch.column(0).to_pylist() if v not in learnt]
