@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import chat
+from graphloom.llm.alignment import alignment
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.jaccard_join import jaccard_components
 from graphloom.llm.licenses import TEMPLATES, scan_licenses
@@ -85,7 +86,12 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round(F.col("log_score") / F.greatest("n_tokens", F.lit(1)), 6).alias("mean_log_score"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 LLM_QUERIES = {
+    "op12_token_alignment": op12_token_alignment,
     "op8_lm_score": op8_lm_score,
     "op4_media_flac": op4_media_flac,
     "op7_chat_format": op7_chat_format,
@@ -102,7 +108,7 @@ _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcde
 _PARTS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 _TEMPLATES = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in TEMPLATES)
 
-#: Models (1, 5, 7, 10), tokenizers (3) and codecs (4) are beyond SQL; tests hold those to brute-force versions.
+#: Models (1, 5, 7, 10), tokenizers (3, 12) and codecs (4) are beyond SQL; tests hold those to brute-force versions.
 LLM_SQL: dict[str, str] = {
     "op2_license_scan": f"""WITH t(license, text) AS (VALUES {_TEMPLATES}), v AS (SELECT DISTINCT license, {_WORDS.format("text")} AS w FROM t),
       z AS (SELECT row_number() OVER () AS tid, license, w, least(len(w), 5) AS k, len(w) - least(len(w), 5) + 1 AS m FROM v),
