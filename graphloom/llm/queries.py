@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import chat
 from graphloom.llm.alignment import alignment
+from graphloom.llm.collocations import collocations
 from graphloom.llm.decontaminate import decontaminate
+from graphloom.llm.fingerprints import edited_likeness
 from graphloom.llm.jaccard_join import jaccard_components
 from graphloom.llm.licenses import TEMPLATES, scan_licenses
 from graphloom.llm.lm_score import backoff_scores
@@ -86,11 +88,21 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round(F.col("log_score") / F.greatest("n_tokens", F.lit(1)), 6).alias("mean_log_score"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 LLM_QUERIES = {
+    "op11_collocations": op11_collocations,
+    "op13_imatch": op13_imatch,
     "op12_token_alignment": op12_token_alignment,
     "op8_lm_score": op8_lm_score,
     "op4_media_flac": op4_media_flac,
@@ -110,6 +122,19 @@ _TEMPLATES = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t i
 
 #: Models (1, 5, 7, 10), tokenizers (3, 12) and codecs (4) are beyond SQL; tests hold those to brute-force versions.
 LLM_SQL: dict[str, str] = {
+    "op11_collocations": r"""WITH p AS (SELECT row_number() OVER () AS d, lang, piece FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+      w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+      g AS (SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS phrase, w[i:i+k-1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w CROSS JOIN (VALUES (1), (2), (3)) AS ks(k) WHERE len(w) >= k)),
+      f AS (SELECT lang, k, phrase, any_value(g) AS g, count(*) AS f FROM g GROUP BY lang, k, phrase),
+      n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+      c AS (SELECT * FROM f WHERE k > 1 AND f >= 10),
+      h AS (SELECT lang, array_to_string(g[1:2], ' ') AS phrase, f FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(g[2:3], ' '), f FROM c WHERE k = 3),
+      d AS (SELECT c.* FROM c LEFT JOIN (SELECT lang, phrase, max(f) AS m FROM h GROUP BY lang, phrase) h USING (lang, phrase) WHERE k = 3 OR m IS NULL OR 100 * m < 50 * c.f),
+      u AS (SELECT lang, k, phrase, f, 1 AS j, g[1] AS x, array_to_string(g[2:], ' ') AS y FROM d UNION ALL SELECT lang, k, phrase, f, 2, array_to_string(g[1:2], ' '), g[3] FROM d WHERE k = 3),
+      s AS (SELECT u.lang, u.k, u.phrase, u.f AS a, l.f AS l, r.f AS r, CAST((CAST(1000000 AS HUGEINT) * u.f * u.f) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score, j FROM u JOIN f l ON l.lang = u.lang AND l.phrase = x JOIN f r ON r.lang = u.lang AND r.phrase = y),
+      b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+      t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+      SELECT lang, rank, phrase, a, l, r, n, score, k AS words FROM t JOIN n USING (lang) WHERE rank <= 2000""",
     "op2_license_scan": f"""WITH t(license, text) AS (VALUES {_TEMPLATES}), v AS (SELECT DISTINCT license, {_WORDS.format("text")} AS w FROM t),
       z AS (SELECT row_number() OVER () AS tid, license, w, least(len(w), 5) AS k, len(w) - least(len(w), 5) + 1 AS m FROM v),
       s AS (SELECT DISTINCT tid, license, k, m, array_to_string(w[i:i+k-1], ' ') AS g FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM z)),

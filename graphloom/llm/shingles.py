@@ -58,11 +58,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after[-1], after[:-1] = True, ~word[1:]
     starts = np.flatnonzero(word & (before | first[:-1]))
     ends = np.flatnonzero(word & (after | first[1:])) + 1
-    up, down = _power(n)
-    sums = np.zeros(n + 1, np.uint64)
+    return slice_hashes(data, starts, ends), np.searchsorted(starts, offsets)
+
+
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each data[starts[i]:ends[i]], with A-Z lowered."""
+    up, down = _power(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up, out=sums[1:])
-    hashed = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashed, np.searchsorted(starts, offsets)
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
