@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.operators.components import connected_components
-from graphloom.operators.reach import pair_reach
+from graphloom.operators.ordered import order_statistics
 from graphloom.session import cut
 
 
@@ -140,25 +140,34 @@ def k_core(edges: DataFrame, k: int) -> DataFrame:
         both = cut(both.join(low, "a", "left_anti").join(low.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b"), "core")
 
 
+def core_numbers(edges: DataFrame) -> DataFrame:
+    """(id, core): the greatest k whose k-core holds the node, for every node with an edge, in one run.
+
+    Estimates begin with the degree; each round a node takes the greatest h of which at least h neighbours have
+    an estimate of h or more, until nothing moves. Estimates of neighbours are counted per value, so
+    that a node of any degree stays a set of (value, times) rows.
+    """
+    pairs = edges.where("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    both = cut(pairs.union(pairs.select("b", "a")), "core")
+    core = cut(both.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("core")), "core")
+    down = Window.partitionBy("a").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
+    while True:
+        # estimates above a node's own count as its own: its estimate never grows
+        seen = both.join(core.select(F.col("id").alias("b"), F.col("core").alias("v")), "b").join(core.select(F.col("id").alias("a"), "core"), "a")
+        counts = seen.groupBy("a", F.least("v", "core").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        h = counts.withColumn("up", F.sum("n").over(down)).groupBy(F.col("a").alias("id")).agg(F.max(F.least("v", "up")).alias("new"))
+        new = cut(core.join(h, "id").select("id", F.col("new").alias("core"), F.col("core").alias("old")), "core")
+        core = new.select("id", "core")
+        if new.where("core != old").isEmpty():
+            return core
+
+
 def god_nodes(scores: DataFrame, percentile: float, by: str | None = None) -> DataFrame:
     """Nodes whose score reaches the one at index floor(n * percentile), over all or inside each group."""
-    group = [F.col(by)] if by else [F.lit(1)]
-    order = Window.partitionBy(*group).orderBy("score", "id")
-    # the threshold is picked by rank; without groups the ranks come from one pass over (score, count)
-    if by is None:
-        n = scores.count()
-        steps = scores.groupBy("score").agg(F.count(F.lit(1)).alias("n")).orderBy("score")
-        at, total, limit = min(int(n * percentile), max(n - 1, 0)), 0, None
-        for r in steps.toLocalIterator():
-            total += r["n"]
-            if total > at:
-                limit = r["score"]
-                break
-        return scores.where(F.col("score") >= F.lit(limit)) if limit is not None else scores.limit(0)
-    sizes = scores.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    ranked = scores.withColumn("r", F.row_number().over(order) - 1).join(sizes, by)
-    limit = ranked.where(F.col("r") == F.least(F.floor(F.col("n") * percentile), F.col("n") - 1)).select(by, F.col("score").alias("limit"))
-    return scores.join(limit, by).where("score >= limit").drop("limit")
+    group = [by] if by else []
+    limit = order_statistics(scores, group, "score", {"limit": (percentile, 0)}).drop("n")
+    both = scores.join(limit, by) if by else scores.join(F.broadcast(limit))  # one row
+    return both.where("score >= limit").drop("limit")
 
 
 def surprising_connections(edges: DataFrame, communities: DataFrame, scores: DataFrame, limit: int) -> DataFrame:
@@ -202,15 +211,6 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return out.join(into, "c", "full").agg(F.sum(q).alias("modularity"), F.count(F.lit(1)).alias("communities"))
 
 
-def transitive_reduction(edges: DataFrame) -> DataFrame:
-    """Edges of a DAG that no longer path implies; a cyclic graph comes back as it is."""
-    pairs = cut(pair_reach(edges), "closure")
-    if not pairs.where("a = b").isEmpty():
-        return edges.select("src", "dst").distinct()
-    implied = edges.select("src", F.col("dst").alias("m")).join(pairs.select(F.col("a").alias("m"), F.col("b").alias("dst")), "m").select("src", "dst").distinct()
-    return edges.select("src", "dst").distinct().join(implied, ["src", "dst"], "left_anti")
-
-
 def dominators(edges: DataFrame, root: str) -> DataFrame:
     """(id, dominator, depth) of every node reachable from the root: immediate dominators.
 
@@ -233,35 +233,3 @@ def dominators(edges: DataFrame, root: str) -> DataFrame:
     depth = dom.groupBy("id").agg((F.count(F.lit(1)) - 1).alias("depth"))
     above = dom.where("x != id").join(depth.toDF("x", "at"), "x").groupBy("id").agg(F.max_by("x", "at").alias("dominator"))
     return depth.join(above, "id", "left").select("id", "dominator", "depth")
-
-
-def bridges(edges: DataFrame) -> DataFrame:
-    """(a, b) of undirected edges whose removal splits their component.
-
-    The removal of each edge is tried in one expansion for all edges: (removed edge, reached).
-    """
-    pairs = cut(edges.where("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "pairs")
-    steps = cut(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")), "steps")
-    seen = frontier = cut(pairs.select("a", "b", F.col("a").alias("id")), "without")
-    while not frontier.isEmpty():
-        ahead = frontier.join(steps, F.col("id") == F.col("u")).where(~((F.least("u", "v") == F.col("a")) & (F.greatest("u", "v") == F.col("b")))).select("a", "b", F.col("v").alias("id")).distinct()
-        frontier = cut(ahead.join(seen, ["a", "b", "id"], "left_anti"), "without")
-        seen = seen.union(frontier)
-    return pairs.join(seen.where("id = b").select("a", "b"), ["a", "b"], "left_anti")
-
-
-def articulation_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, components): cut vertices with the number of components of the whole graph once each is removed."""
-    ids = nodes.select("id").distinct()
-    pairs = edges.where("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    own = cut(weak_components(nodes, edges), "own")
-    base = own.select("component").distinct().count()
-    touching = cut(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a")), "touch")
-    many = touching.groupBy("x").count().where(F.col("count") > 1).select("x")
-    # each candidate's component without it: ids prefixed by the candidate, all in one run
-    wide = many.join(own.select(F.col("id").alias("x"), "component"), "x").join(own, "component").where("x != id").select("x", "id")
-    inside = many.join(own.select(F.col("id").alias("x"), "component"), "x").join(pairs.join(own.withColumnRenamed("id", "a"), "a"), "component").where("x != a AND x != b")
-    mark = lambda c: F.concat_ws("\u0001", "x", c)
-    joined = connected_components(inside.select(mark("a").alias("a"), mark("b").alias("b")))
-    parts = wide.select("x", mark("id").alias("id")).join(joined, "id", "left").groupBy("x").agg(F.countDistinct(F.coalesce("component", "id")).alias("parts"))
-    return parts.where("parts > 1").select(F.col("x").alias("id"), (F.col("parts") + base - 1).alias("components")).join(ids, "id", "left_semi")

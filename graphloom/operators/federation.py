@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.questions import page_after
 from graphloom.session import checked_broadcast
 
 
@@ -45,3 +46,10 @@ def federated_search(nodes: DataFrame, spaces: DataFrame, query: str, limit: int
     """First matches in the order of the spaces (space, position), then of name and id."""
     hits = nodes.where(F.contains(F.lower("label"), F.lit(query.lower()))).join(F.broadcast(spaces), "space")
     return hits.orderBy("position", "label", "id").limit(limit).select(F.concat_ws("::", "space", "id").alias("fid"), "label")
+
+
+def federated_page(nodes: DataFrame, spaces: DataFrame, query: str, after: list[object] | None, size: int) -> DataFrame:
+    """(fid, label, position, id): the next matches behind a cursor (position, label, id of the last one seen; None for the first page)."""
+    hits = nodes.where(F.contains(F.lower("label"), F.lit(query.lower()))).join(checked_broadcast(spaces), "space")
+    hits = hits.select(F.concat_ws("::", "space", "id").alias("fid"), "label", "position", "id")
+    return page_after(hits, [("position", False), ("label", False), ("id", False)], after, size)

@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.model import chosen
+from graphloom.operators.ordered import order_statistics
 
 
 def by_index(rows: DataFrame, group: str, value: str, percents: dict[str, float]) -> DataFrame:
-    """Values at index floor(p * (n - 1)) of each group's sorted values, by rank."""
-    order = Window.partitionBy(group).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(group))
-    ranked = rows.select(group, value, (F.row_number().over(order) - 1).alias("r"), n.alias("n"))
-    return ranked.groupBy(group).agg(*[F.max(F.when(F.col("r") == F.floor(p * (F.col("n") - 1)), F.col(value))).alias(name) for name, p in percents.items()])
+    """Values at index floor(p * (n - 1)) of each group's sorted non-null values."""
+    return order_statistics(rows, [group], value, {name: (p, 1) for name, p in percents.items()}).drop("n")
 
 
 def benchmark_stats(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -48,10 +46,13 @@ def matched(returned: DataFrame, expected: DataFrame, keys: list[str]) -> DataFr
 
 
 def warmup(runs: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """(group, first, warm, penalty, cold): first value over the median (by index) of the later ones; cold from over 3 on."""
-    numbered = runs.withColumn("k_", F.row_number().over(Window.partitionBy(group).orderBy(order)))
-    first = numbered.where("k_ = 1").select(group, F.col(value).alias("first"))
-    warm = by_index(numbered.where("k_ > 1"), group, value, {"warm": 0.5})
+    """(group, first, warm, penalty, cold): first value over the median (by index) of the later ones; cold from over 3 on.
+
+    ``order`` tells a group's runs apart.
+    """
+    first = runs.groupBy(group).agg(F.min(F.struct(order, value)).alias("x")).select(group, F.col(f"x.{order}").alias("from_"), F.col(f"x.{value}").alias("first"))
+    later = runs.join(first, group).where(F.col(order) > F.col("from_"))
+    warm = by_index(later, group, value, {"warm": 0.5})
     penalty = F.when(F.col("warm") > 0, F.col("first") / F.col("warm"))
     return first.join(warm, group).select(group, "first", "warm", penalty.alias("penalty"), F.coalesce(penalty > 3, F.lit(False)).alias("cold"))
 

@@ -108,16 +108,7 @@ query("al18_k_shortest_paths", with_graph(_SIMPLE + ", k AS (SELECT *, row_numbe
     .where("r <= 2")
     .select("src", "dst", "hops", F.array_join("path", ">").alias("path"))
 )
-query("ga20_cheapest_paths", with_graph("SELECT 'nation:' || s_nationkey AS src, e.dst, round(min(1 - confidence), 9) AS cost FROM e JOIN supplier ON e.src = 'supplier:' || s_suppkey WHERE dep_type = 'calls' GROUP BY ALL", "e"))(
-    lambda g: reach.cheapest_paths(g.edges, g.nodes.where("kind = 'class'")).where(F.col("dst").startswith("part:")).select("src", "dst", F.round("cost", 9).alias("cost"))
-)
 query("ga21_explain_path")(lambda g: reach.explained(reach.cheapest_paths(g.edges, g.seed("region:1")), g.edges))
-query("ga22_topological_layers", with_graph(", l AS (SELECT id, 0 AS layer FROM n WHERE kind = 'module' UNION ALL SELECT id, 1 FROM n WHERE kind = 'class' UNION ALL SELECT id, 2 FROM n WHERE kind = 'function' UNION ALL SELECT id, CASE WHEN id IN (SELECT dst FROM e) THEN 3 ELSE 0 END FROM n WHERE kind = 'method') SELECT * FROM l", "n", "e"))(
-    lambda g: reach.topological_layers(g.edges, g.nodes)
-)
-query("ql13_paths_by_kind", with_graph("SELECT a.src, c.dst, 3 AS hops, a.src || '>' || a.dst || '>' || b.dst || '>' || c.dst AS path FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src WHERE a.src = 'region:2' AND c.dep_type = 'calls'", "e"))(
-    lambda g: reach.simple_paths(g.edges, g.seed("region:2"), g.nodes.where("kind = 'method'"), 3).select("src", "dst", "hops", F.array_join("path", ">").alias("path"))
-)
 query("al19_multi_source", with_graph(", r(id, depth) AS (SELECT id, 0 FROM n WHERE kind = 'class' UNION SELECT dst, depth + 1 FROM r JOIN e ON src = r.id WHERE depth < 3) SELECT DISTINCT id FROM r WHERE depth > 0", "n", "e", recursive=True))(
     lambda g: reach.reach(g.edges, g.nodes.where("kind = 'class'"), "outgoing", 3).where("depth > 0").select("id")
 )
@@ -292,17 +283,12 @@ query("al16_conductance", with_graph(_TYPE + ", p AS (SELECT ca, count(*) AS vol
 query("al17_modularity", with_graph(_TYPE + ", m AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM x), o AS (SELECT ca AS c, count(*) AS o, count(*) FILTER (ca = cb) AS i FROM x GROUP BY 1), n AS (SELECT cb AS c, count(*) AS n FROM x GROUP BY 1) SELECT round(sum(coalesce(i, 0) / m - coalesce(o, 0) * coalesce(n, 0) / (m * m)), 9) AS modularity, count(*) AS communities FROM (SELECT * FROM o FULL JOIN n USING (c)), m", "f"))(
     lambda g: analytics.modularity(g.flow, _of(g)).withColumn("modularity", F.round("modularity", 9))
 )
-query("al7_transitive_reduction", with_graph(", h AS (SELECT src, dst FROM e WHERE dep_type = 'contains' UNION SELECT 'region:' || n_regionkey, 'customer:' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT src, dst FROM e WHERE dep_type = 'contains'", "e"))(
-    lambda g: analytics.transitive_reduction(g.contains.select("src", "dst").union(g.customer.join(F.broadcast(g.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")))))
-)
 query("al15_k_core", with_graph(", p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM f WHERE src <> dst), q AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), d0 AS (SELECT a FROM q GROUP BY a HAVING count(*) >= 2), q1 AS (SELECT * FROM q WHERE a IN (SELECT a FROM d0) AND b IN (SELECT a FROM d0)), d1 AS (SELECT a FROM q1 GROUP BY a HAVING count(*) >= 2), q2 AS (SELECT * FROM q1 WHERE a IN (SELECT a FROM d1) AND b IN (SELECT a FROM d1)), d2 AS (SELECT a FROM q2 GROUP BY a HAVING count(*) >= 2), q3 AS (SELECT * FROM q2 WHERE a IN (SELECT a FROM d2) AND b IN (SELECT a FROM d2)), d3 AS (SELECT a FROM q3 GROUP BY a HAVING count(*) >= 2), q4 AS (SELECT * FROM q3 WHERE a IN (SELECT a FROM d3) AND b IN (SELECT a FROM d3)) SELECT DISTINCT a AS id FROM q4", "f"))(
     lambda g: analytics.k_core(g.flow, 2)
 )
 query("al12_dominators", with_graph("SELECT id, CASE WHEN kind = 'module' THEN NULL WHEN kind = 'class' THEN 'region:1' ELSE (SELECT src FROM e WHERE dep_type = 'contains' AND dst = n.id) END AS dominator, CASE kind WHEN 'module' THEN 0 WHEN 'class' THEN 1 ELSE 2 END AS depth FROM n WHERE kind <> 'method' AND (starts_with(file, 'AMERICA/'))", "n", "e"))(
     lambda g: analytics.dominators(g.contains, "region:1").withColumn("depth", F.col("depth").cast("int"))
 )
-query("al14_bridges")(lambda g: analytics.bridges(g.flow))
-query("al13_articulation_points")(lambda g: analytics.articulation_points(g.flow_nodes, g.flow))
 query("al27_relation_candidates", with_graph(", t AS (SELECT id, file FROM n WHERE kind = 'module'), x AS (SELECT t.id, n.id AS candidate, 0.7 AS score FROM t JOIN n USING (file) UNION ALL SELECT t.id, n.id, 0.5 FROM t JOIN n ON n.kind = 'module') SELECT id, candidate, CAST(max(score) AS DOUBLE) AS score FROM x WHERE id <> candidate GROUP BY 1, 2", "n"))(
     lambda g: aggregate.relation_candidates(g.nodes, g.nodes.where("kind = 'module'"), g.nodes.where("kind = 'module'").select("id", "kind"))
 )
@@ -338,11 +324,6 @@ query("st9_trends", "WITH b AS (SELECT event_id, value, avg(value) OVER (PARTITI
 query("st12_ground_truth", with_graph("SELECT count(*) FILTER (provenance = 'inferred' AND confidence >= 0.95) AS hits, count(*) FILTER (provenance = 'inferred' AND confidence >= 0.95) / CAST(count(*) FILTER (provenance = 'inferred') AS DOUBLE) AS precision, count(*) FILTER (provenance = 'inferred' AND confidence >= 0.95) / CAST(count(*) FILTER (confidence >= 0.95) AS DOUBLE) AS recall FROM e", "e"))(
     lambda g: stats.matched(g.edges.where("provenance = 'inferred'"), g.edges.where("confidence >= 0.95"), ["src", "dst", "dep_type"])
 )
-_space = lambda g: g.nodes.where("kind != 'method'").select(F.lit("a").alias("space"), "id", F.col("name").alias("label"), "kind").union(g.nodes.where("kind != 'method'").select(F.lit("b"), "id", F.concat(F.lit(" "), F.lower("name"), F.lit("!")), F.when(F.col("kind") == "class", "module").otherwise(F.col("kind"))))
-query("fed2_merge_candidates", with_graph(", m AS (SELECT id, lower(name) AS l, kind FROM n WHERE kind <> 'method') SELECT 'a::' || x.id AS a, 'b::' || y.id AS b, CAST(CASE WHEN x.kind = CASE WHEN y.kind = 'class' THEN 'module' ELSE y.kind END THEN 1.0 ELSE 0.8 END AS DOUBLE) AS score FROM m x JOIN m y USING (l)", "n"))(lambda g: federation.merge_candidates(_space(g)))
-query("fed1_federated_search", with_graph(", x AS (SELECT 'a' AS space, id, name AS label, 2 AS p FROM n WHERE kind <> 'method' UNION ALL SELECT 'b', id, ' ' || lower(name) || '!', 1 FROM n WHERE kind <> 'method') SELECT space || '::' || id AS fid, label FROM x WHERE contains(lower(label), 'nat') ORDER BY p, label, id LIMIT 30", "n"))(
-    lambda g: federation.federated_search(_space(g), g.spark.createDataFrame([("a", 2), ("b", 1)], "space string, position int"), "NAT", 30)
-)
 _whole = lambda g: g.nodes.select(F.lit("a").alias("space"), "id", F.col("name").alias("label"), "kind").union(g.nodes.select(F.lit("b"), "id", F.concat(F.lit(" "), F.lower("name"), F.lit("!")), F.when(F.col("kind") == "class", "module").otherwise(F.col("kind"))))
 _WHOLE = ", x AS (SELECT 'a' AS space, id, lower(name) AS label, kind FROM n UNION ALL SELECT 'b', id, lower(name), CASE WHEN kind = 'class' THEN 'module' ELSE kind END FROM n)"
 query("fed2_label_classes", with_graph(_WHOLE + " SELECT label, string_agg(DISTINCT space, ',' ORDER BY space) AS spaces, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(*) AS n FROM x GROUP BY label HAVING count(DISTINCT space) > 1", "n"))(lambda g: federation.label_classes(_whole(g)))
