@@ -18,33 +18,44 @@ from graphloom.session import cut
 BLOCK_BITS = 12
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def running_sum(rows: DataFrame, group: list[str], order: list[Column], value: Column, name: str = "before", block_bits: int | None = None) -> DataFrame:
     """``rows`` and ``name``: the sum of ``value`` over the rows before it in its group (0 for the first).
 
-    ``order`` must tell a group's rows apart for a defined result; nulls in ``value`` add nothing, null groups are a group.
+    ``order`` must tell a group's rows apart for a defined result; nulls in ``value`` add nothing, null groups are a
+    group, and columns of any names pass through.
     """
     bits = BLOCK_BITS if block_bits is None else block_bits
+    v, at, block, inner = (free_name(rows.columns, x) for x in ("v_", "at_", "block_", "inner_"))
     keys = [F.col(g).asc_nulls_first() for g in group] + order
-    placed = rows.withColumn("v_", F.coalesce(value, F.lit(0))).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    placed = cut(placed.withColumn("at_", F.monotonically_increasing_id()), "placed").withColumn("block_", F.shiftright("at_", bits))
-    inside = F.coalesce(F.sum("v_").over(Window.partitionBy("block_", *group).orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = placed.groupBy("block_", *group).agg(F.sum("v_").alias("s_"))
+    placed = rows.withColumn(v, F.coalesce(value, F.lit(0))).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = cut(placed.withColumn(at, F.monotonically_increasing_id()), "placed").withColumn(block, F.shiftright(at, bits))
+    inside = F.coalesce(F.sum(v).over(Window.partitionBy(block, *group).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = placed.groupBy(F.col(block).alias("b"), *[F.col(g).alias(f"g{i}") for i, g in enumerate(group)]).agg(F.sum(v).alias("s"))
+    names = [f"g{i}" for i in range(len(group))]
     # a group within one block needs nothing from others
     wide = blocks
     if group:
-        several = blocks.groupBy(*group).agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1")
-        wide = blocks.alias("b").join(several.alias("w"), _same(group, "b", "w"), "left_semi")
-    sums = F.sum("s_").over(Window.partitionBy(*group).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = wide.select("block_", *[F.col(g).alias(f"{g}_") for g in group], F.coalesce(sums, F.lit(0)).alias("o_"))
-    same = (F.col("p.block_") == F.col("o.block_")) & _same(group, "p", "o", "_")
-    joined = placed.withColumn("i_", inside).alias("p").join(offsets.alias("o"), same, "left")
-    return joined.select(*[F.col(f"p.{c}") for c in rows.columns], (F.col("i_") + F.coalesce("o_", F.lit(0))).alias(name))
+        several = blocks.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        wide = blocks.alias("b").join(several.alias("w"), _same(names, names, "b", "w"), "left_semi")
+    sums = F.sum("s").over(Window.partitionBy(*names).orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = wide.select("b", *names, F.coalesce(sums, F.lit(0)).alias("o"))
+    same = (F.col(f"p.{block}") == F.col("o.b")) & _same(group, names, "p", "o")
+    joined = placed.withColumn(inner, inside).alias("p").join(offsets.alias("o"), same, "left")
+    return joined.select(*[F.col(f"p.`{c}`") for c in rows.columns], (F.col(f"p.{inner}") + F.coalesce("o.o", F.lit(0))).alias(name))
 
 
-def _same(group: list[str], left: str, right: str, mark: str = "") -> Column:
+def _same(left: list[str], right: list[str], a: str, b: str) -> Column:
     on = F.lit(True)
-    for g in group:
-        on = on & F.col(f"{left}.{g}").eqNullSafe(F.col(f"{right}.{g}{mark}"))
+    for x, y in zip(left, right, strict=True):
+        on = on & F.col(f"{a}.`{x}`").eqNullSafe(F.col(f"{b}.`{y}`"))
     return on
 
 
@@ -57,7 +68,7 @@ def order_statistics(rows: DataFrame, group: list[str], value: str, index: dict[
     placed = running_sum(counts, group, [F.col(value).asc()], F.col("times"), "below")
     sizes = rows.where(F.col(value).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     if group:
-        both = placed.alias("c").join(sizes.alias("s"), _same(group, "c", "s")).select("c.*", "n")
+        both = placed.alias("c").join(sizes.alias("s"), _same(group, group, "c", "s")).select("c.*", "n")
     else:
         both = placed.join(F.broadcast(sizes))  # one row
     at = {k: F.least(F.floor(F.lit(p) * (F.col("n") - less)), F.col("n") - 1) for k, (p, less) in index.items()}
@@ -70,5 +81,6 @@ def within_budget(rows: DataFrame, order: list[Column], cost: Column, budget: in
 
     The first row that does not fit ends the result, as a reader would stop there; ``order`` must tell rows apart.
     """
-    found = running_sum(rows.withColumn("cost_", F.coalesce(cost, F.lit(0))), [], order, F.col("cost_"), "spent")
-    return found.withColumn("spent", F.col("spent") + F.col("cost_")).where(F.col("spent") <= budget).drop("cost_")
+    own = free_name(rows.columns, "cost_")
+    found = running_sum(rows.withColumn(own, F.coalesce(cost, F.lit(0))), [], order, F.col(own), "spent")
+    return found.withColumn("spent", F.col("spent") + F.col(own)).where(F.col("spent") <= budget).drop(own)
