@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.operators.ordered import running_sum
 from graphloom.session import cut
 
 ROLES = ("system", "user", "assistant")
@@ -182,16 +183,15 @@ def parse_transcripts(rows: DataFrame, model: Model, *, conv_id: str = "conv_id"
     ``rows`` are a transcript's pieces in the order of ``seq`` (then of text); each is split into
     lines. Markers are removed from a turn's first line; rendered is the canonical turn. block and
     part say where a turn begins; one that runs over block ends is still one row.
-    Rows without seq come last, in blocks by their text's hash; null texts are one empty line;
-    a null id is a transcript of its own; repeated rows are repeated lines; other columns are not
-    read; an empty table gives an empty result. Rows without seq, and more than one row per seq,
-    are ordered by text.
+    Rows without seq come last; rows of one seq, or without, are ordered by text, null texts first, each one
+    empty line. All rows without an id are one transcript. Repeated rows are repeated lines; other columns are not read;
+    an empty table gives an empty result. A block is BLOCK rows of a transcript in its order, numbered by running
+    counts, so no task holds more, whatever ids and seqs are.
     """
     kind = rows.schema[conv_id].dataType.simpleString()
-    number = F.col("seq").cast("long")
-    block = F.when(number.isNotNull(), F.floor(number / BLOCK)).otherwise(2**52 + F.pmod(F.xxhash64("text"), F.lit(2**20)))
-    src = rows.select(F.col(conv_id).alias("c"), F.col(seq).cast("long").alias("seq"), F.col(text).alias("text")).withColumn("block", block.cast("long"))
-    src = cut(src, "transcripts")
+    src = rows.select(F.col(conv_id).alias("c"), F.col(seq).cast("long").alias("seq"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    src = running_sum(src, ["c"], [F.asc_nulls_last("seq"), F.asc_nulls_first("text"), F.asc("row")], F.lit(1), "at")
+    src = cut(src.select("c", "seq", "text", F.floor(F.col("at") / BLOCK).cast("long").alias("block")), "transcripts")
 
     def ordered(rows: pd.DataFrame) -> list[tuple[int | None, str]]:
         keyed = sorted((pd.isna(s), 0 if pd.isna(s) else int(s), t or "") for s, t in zip(rows["seq"], rows["text"], strict=True))

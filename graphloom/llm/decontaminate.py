@@ -33,8 +33,8 @@ def words_of(text: Column) -> Column:
 
 
 def _windows(items: DataFrame, item_id: str, text: str, width: int) -> DataFrame:
-    """(item, begin, window): every ``width`` consecutive words of an item, from word begin on (0 first); a shorter item is one window."""
-    w = items.select(F.col(item_id).alias("item"), words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
+    """(item (id), begin, window): every ``width`` consecutive words of an item, from word begin on (0 first); a shorter item is one window."""
+    w = items.select(F.struct(F.col(item_id).alias("id")).alias("item"), words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0)))
     return w.select("item", F.posexplode(F.transform(starts, lambda i: F.slice("w", i + 1, width))).alias("begin", "window"))
 
@@ -83,8 +83,8 @@ def decontaminate(
     two rarest terms of a window, by their counts in all documents, stand within ``width`` words).
 
     A null or empty text has no words, no hits and is clean. Items without words are ignored;
-    with an empty benchmark all documents are clean. Repeated rows give equal rows; a null id is
-    kept. Other columns are not read, whatever their names. Documents are keyed by a 128-bit
+    with an empty benchmark all documents are clean. All items without an id are one item, which counts in n_items and has no
+    name in item_ids; texts repeated under one id are one item. Repeated rows give equal rows; a null id is kept. Other columns are not read, whatever their names. Documents are keyed by a 128-bit
     hash of their text, so copies meet once and ids need not be unique.
     """
     words = words_of(F.col("text"))
@@ -123,7 +123,7 @@ def decontaminate(
     end = F.col("start") + F.col("len")
     fresh = runs.withColumn("reach", F.max(end).over(before)).select("k1", "k2", F.greatest(end - F.greatest("start", F.coalesce("reach", F.lit(0))), F.lit(0)).alias("n"))
     hit = fresh.groupBy("k1", "k2").agg(F.sum("n").alias("n_hit"))
-    items = met.select("k1", "k2", F.col("item").cast("string").alias("item")).distinct().groupBy("k1", "k2").agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
+    items = met.select("k1", "k2", "item").distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_list(F.col("item.id").cast("string"))).alias("item_ids"))
     close = _near(postings, probes, width).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_near_items"))
     found = close.join(hit.join(items, ["k1", "k2"]), ["k1", "k2"], "full")
 
@@ -134,7 +134,7 @@ def decontaminate(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
-        F.size(ids).cast("long").alias("n_items"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         ids.alias("item_ids"),
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
         F.coalesce("n_near_items", F.lit(0)).cast("long").alias("n_near_items"),

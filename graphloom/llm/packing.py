@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.llm.workers import release, tidy
-from graphloom.session import checked_broadcast, cut
+from graphloom.operators.ordered import free_name, running_sum
+from graphloom.session import cut
 
 CAPACITY = 4096
 END = 1
@@ -31,8 +31,6 @@ END = 1
 CACHE, CACHE_BYTES = 600_000, 24 << 20
 #: Seconds without a task after which a worker gives that memory back.
 IDLE = 5.0
-#: Pieces ranked together in one window group, about.
-GROUP = 20_000
 #: (least fill of a pattern, share of its fitted count) of the roundings tried; later ones leave more to the residue.
 ROUNDINGS = ((0.995, 1.0), (1.0, 1.0), (1.0, 0.5), (1.0, 0.25), (1.0, 0.125))
 
@@ -296,27 +294,21 @@ def _rounded(slots: list[tuple[int, ...]], x: np.ndarray, histogram: np.ndarray,
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, piece, length and any others) with sequence_id and offset.
 
-    Lengths run from 1 to ``capacity``. Pieces of one length are interchangeable: each gets a rank
-    by window inside (length, bucket) and the buckets' sizes are summed up before it, so that no
-    length, however common, is numbered in one task. ``pieces`` must be a written table.
+    Lengths run from 1 to ``capacity``. Pieces of one length are interchangeable: each gets a rank by a running
+    count over rows in any order, which spreads every length over tasks, also one of rows that are all alike. Other
+    columns pass through, whatever their names. ``pieces`` must be a written table.
     """
-    n = pieces.count()
-    buckets = max(1, -(-n // GROUP))
-    keyed = pieces.withColumn("bucket_", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(buckets)).cast("int"))
-    counts = cut(keyed.groupBy("length", "bucket_").agg(F.count(F.lit(1)).alias("n_")), "lengths")
     histogram = np.zeros(capacity + 1, np.int64)
-    for r in counts.groupBy("length").agg(F.sum("n_").alias("n")).collect():
+    for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
         histogram[r["length"]] = r["n"]
     entries, _ = plan(histogram, capacity)
-    before = Window.partitionBy("length").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("length", "bucket_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("first_"))
-    order = Window.partitionBy("length", "bucket_").orderBy(*[F.col(c) for c in ("doc_id", "piece", "start")])
-    ranked = keyed.withColumn("rank_", F.row_number().over(order) - 1).join(checked_broadcast(firsts), ["length", "bucket_"])
-    ranked = ranked.withColumn("rank_", (F.col("rank_") + F.col("first_")).cast("long")).select(*pieces.columns, "rank_")
-    return _placed(ranked, entries)
+    row, rank = free_name(pieces.columns, "row_"), free_name(pieces.columns, "rank_")
+    numbered = pieces.withColumn(row, F.monotonically_increasing_id())
+    ranked = running_sum(numbered, ["length"], [F.col(row).asc()], F.lit(1), rank)
+    return _placed(ranked.select(*pieces.columns, F.col(rank).cast("long").alias(rank)), rank, entries)
 
 
-def _placed(ranked: DataFrame, entries: np.ndarray) -> DataFrame:
+def _placed(ranked: DataFrame, rank_name: str, entries: np.ndarray) -> DataFrame:
     shared = ranked.sparkSession.sparkContext.broadcast(entries)  # a few entries per length at most
 
     @F.arrow_udf("struct<sequence_id:long,offset:long>")
@@ -327,8 +319,9 @@ def _placed(ranked: DataFrame, entries: np.ndarray) -> DataFrame:
         i = np.searchsorted(e[:, 0] * most + e[:, 1], n * most + r, "right") - 1
         return pa.StructArray.from_arrays([pa.array(e[i, 3] + r - e[i, 1]), pa.array(e[i, 4])], names=["sequence_id", "offset"])
 
-    out = ranked.withColumn("at_", at("length", "rank_"))
-    return out.select(*[c for c in ranked.columns if c != "rank_"], "at_.sequence_id", "at_.offset")
+    place = free_name(ranked.columns, "at_")
+    out = ranked.withColumn(place, at(F.col("length"), F.col(rank_name)))
+    return out.select(*[c for c in ranked.columns if c != rank_name], f"{place}.sequence_id", f"{place}.offset")
 
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:

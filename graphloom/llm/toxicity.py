@@ -24,6 +24,8 @@ from graphloom.llm.shingles import _BYTE, _power, chunks, mix
 DIM = 1 << 18
 #: Most documents of each kind that the model is fitted on, taken by smallest hash of their ids.
 SAMPLE = {"positive": 6_000, "unlabelled": 12_000, "calibration": 6_000}
+#: Documents of the sample that must have a feature for the fit to look at it.
+MET = 5
 PREFIXES = (3, 4, 5, 6, 7, 8, 9)
 SUFFIXES = (4, 6)
 THRESHOLD = 0.7
@@ -191,10 +193,10 @@ def _each(texts: pa.Array, keep: np.ndarray | None = None) -> Iterator[np.ndarra
             yield index[a:b]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: dict[str, int] | None = None) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: dict[str, int] | None = None, met: int = MET) -> Model:
     """A calibrated model from at most ``sample`` documents of each kind outside the held-out fold.
 
-    Document frequencies of all features in the sample are summed by Spark; the driver gets two
+    Features are those that ``met`` of its documents have. Document frequencies of all features in the sample are summed by Spark; the driver gets two
     counts for each of the DIM hash values at most, then the telling features of the sample.
     """
     sample = SAMPLE | (sample or {})
@@ -213,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(p[met]), pa.array(u[met])], names=["feature", "p", "u"])
 
     sums = rows.mapInArrow(count, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    table = sums.where("p + u >= 5").orderBy("feature").toPandas()
+    table = sums.where(F.col("p") + F.col("u") >= met).orderBy("feature").toPandas()
     sizes = {r["label"]: r["n"] for r in ids.select(F.explode(F.expr("filter(array(1, 2, 4), b -> flags & b > 0)")).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     telling = select(table["feature"].to_numpy(), table["p"].to_numpy(), table["u"].to_numpy(), sizes.get(1, 0), sizes.get(2, 0))
 

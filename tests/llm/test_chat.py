@@ -90,3 +90,10 @@ def test_odd_inputs(spark):
     assert lines == {None: 2, 5: 3, 6: 1, 7: 3002}
     assert chat.parse_transcripts(df.limit(0), model).collect() == []
     assert chat.parse_transcripts(df, chat.learn(turns.limit(0), turn="turn")).count() > 0
+
+
+def test_rows_without_an_id_spread_over_blocks(spark):
+    model = chat.learn(chat.as_transcripts(spark.createDataFrame([(1, 1, "user", "Hello?"), (1, 2, "assistant", "Yes.")], "conv_id long, turn long, role string, text string")))
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("seq"), F.lit("User: hi").alias("text"))
+    got = chat.parse_transcripts(rows, model).groupBy("block").agg(F.sum("n_lines").alias("n")).collect()
+    assert sum(r.n for r in got) == 20_000 and max(r.n for r in got) <= chat.BLOCK and len(got) == -(-20_000 // chat.BLOCK)

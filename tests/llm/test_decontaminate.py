@@ -60,3 +60,12 @@ def test_proximity(spark):
     near = {r.doc_id: (r.n_near_items, r.n_items) for r in decontaminate(d, b).collect()}
     assert near[2] == (1, 1)
     assert near[3] == (0, 0)
+
+
+def test_items_without_an_id_are_one_item(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    docs = [(1, "so " + item), (2, "q w e r"), (3, "alpha beta"), (4, item + " and alpha beta")]
+    rows = got(spark, docs, [(None, item), (None, "alpha beta"), (7, "alpha beta"), (7, item)])
+    assert rows == [(1, 14, 13, ["7"], True), (2, 4, 0, [], False), (3, 2, 2, ["7"], True), (4, 16, 15, ["7"], True)]
+    counts = {r.doc_id: r.n_items for r in decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(None, item), (None, "alpha beta")], "item_id long, text string")).collect()}
+    assert counts == {1: 1, 2: 0, 3: 1, 4: 1}

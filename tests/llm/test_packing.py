@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from graphloom.llm import packing
 from graphloom.llm.packing import all_token_ids, pack_documents, plan, sequences, tokenize
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -115,3 +116,16 @@ def test_pack_takes_the_fitted_plan(spark, monkeypatch):
     monkeypatch.setattr("graphloom.llm.packing.plan", watched)
     assert pack_documents(spark.createDataFrame([(i, "a " * i) for i in range(20)], "doc_id long, text string"), PATH, capacity=16).count() > 20
     assert asked == [True]
+
+
+def test_rows_that_are_all_alike_and_clashing_columns(spark, tmp_path):
+    rows = [(None, 0, 0, 100, "x", 1, 2, 3)] * 20_000 + [(1, 0, 0, 4096, "y", 4, 5, 6)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, bucket_ string, rank_ int, row_ int, at_ int")
+    pieces.write.parquet(str(tmp_path / "p"))
+    placed = packing.pack(spark.read.parquet(str(tmp_path / "p")))
+    assert placed.columns == [*pieces.columns, "sequence_id", "offset"]
+    got = placed.toPandas()
+    assert len(got) == 20_001 and not got.duplicated(["sequence_id", "offset"]).any()
+    fill = got.groupby("sequence_id")
+    assert (fill["length"].sum() <= 4096).all() and (fill["offset"].max() + fill["length"].min() <= 4096).all() and got["sequence_id"].nunique() <= 502
+    assert sorted(set(got["bucket_"])) == ["x", "y"] and set(got["at_"]) == {3, 6}
