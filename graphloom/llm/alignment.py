@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.workers import tidy
 from graphloom.session import cut
 
-#: Words whose groups a Python worker keeps, and transitions; when full, it starts anew.
-CACHE, MEMO = 200_000, 400_000
+#: Words whose groups a Python worker keeps, twice at most, and transitions; when full, it keeps what it met since, or starts anew.
+CACHE, MEMO = 200_000, 1_000_000
 #: Bytes of new words given to the tokenizers at once.
 ENCODE = 1 << 18
 
@@ -44,55 +44,72 @@ Word = tuple[bytes, bytes, int]  # groups as text, links as int64 pairs, (tokens
 class Transducer:
     """Aligns two token sequences over the same bytes.
 
-    ``a`` and ``b`` map ids to bytes. State 0 has an empty residue; the others stand for (leading side, residue).
+    ``a`` and ``b`` map ids to bytes. ``residue`` memoises what a token makes of the leading side's unmatched bytes; a state
+    is such a residue with the tokens of the open group, so that a closed group is met as a whole: its number in ``text`` (as
+    text), ``link`` (its last two ids), ``size`` (bytes) and ``count`` (tokens of A << 32 | tokens of B).
     """
 
     def __init__(self, a: list[bytes], b: list[bytes]) -> None:
         self.sides = (a, b)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.states: dict[tuple[int, bytes], int] = {(0, b""): 0}
-        self.residues: list[tuple[int, bytes]] = [(0, b"")]
-        self.memo: dict[tuple[int, int], int] = {}
-
-    def _step(self, state: int, token: int) -> int:
-        """The state after the side behind (A in state 0) has sent ``token``."""
-        side, left = self.residues[state]
+        self.forget()
+
+    def forget(self) -> None:
+        self.residue: dict[tuple[int, bytes, int], tuple[int, bytes]] = {}
+        self.memo: dict[int, int] = {}
+        self.states: list[tuple[int, bytes, tuple[int, ...], tuple[int, ...]]] = [(0, b"", (), ())]
+        self.next_side = [0]  # whose token each state waits for: the side behind
+        self.text: list[bytes] = []
+        self.link: list[int] = []
+        self.size: list[int] = []
+        self.count: list[int] = []
+
+    def _after(self, side: int, left: bytes, token: int) -> tuple[int, bytes]:
+        """(leading side, unmatched bytes) once the side behind (A if none leads) has sent ``token``."""
         behind = 1 - side if left else 0
         new = self.sides[behind][token]
         if left.startswith(new):
-            key = (side, left[len(new) :])
-        elif new.startswith(left):
-            key = (behind, new[len(left) :])
-        else:
+            return side, left[len(new) :]
+        if new.startswith(left):
+            return behind, new[len(left) :]
+        raise ValueError("the two sides have different bytes")
+
+    def _step(self, state: int, token: int) -> int:
+        """The state after ``token``, or ~k if it closes group k."""
+        side, left, a, b = self.states[state]
+        found = self.residue.get((side, left, token))
+        if found is None:
+            found = self.residue[side, left, token] = self._after(side, left, token)
+        a, b = (a, (*b, token)) if left and side == 0 else ((*a, token), b)
+        if found[1]:
+            self.states.append((*found, a, b))
+            self.next_side.append(1 - found[0])
+            return len(self.states) - 1
+        self.text.append((",".join(map(str, a)) + "|" + ",".join(map(str, b))).encode())
+        self.link.append(a[-1] << 32 | b[-1])
+        self.size.append(sum([len(self.sides[0][x]) for x in a]))
+        self.count.append(len(a) << 32 | len(b))
+        return ~(len(self.text) - 1)
+
+    def groups(self, a: list[int], b: list[int]) -> list[int]:
+        """Numbers of the groups of both sequences, valid until ``forget``: cut wherever tokens of both sides end at one byte."""
+        memo, next_side, out = self.memo, self.next_side, []
+        sides, state = (iter(a), iter(b)), 0
+        try:
+            while True:
+                token = next(sides[next_side[state]])
+                key = state << 20 | token
+                after = memo.get(key)
+                if after is None:
+                    after = memo[key] = self._step(state, token)
+                if after < 0:
+                    out.append(~after)
+                    state = 0
+                else:
+                    state = after
+        except StopIteration:
+            pass
+        if state or next(sides[1], None) is not None:
             raise ValueError("the two sides have different bytes")
-        if not key[1]:
-            key = (0, b"")
-        if key not in self.states:
-            self.states[key] = len(self.residues)
-            self.residues.append(key)
-        return self.states[key]
-
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-        """The groups of both sequences: cut wherever tokens of both sides end at one byte."""
-        if len(self.memo) > MEMO:
-            self._forget()
-        memo, residues, out = self.memo, self.residues, []
-        i = j = first_a = first_b = state = 0
-        while i < len(a) or j < len(b):
-            side, left = residues[state]
-            if left and side == 0:
-                token, j = b[j], j + 1
-            else:
-                token, i = a[i], i + 1
-            after = memo.get((state, token))
-            if after is None:
-                after = memo[state, token] = self._step(state, token)
-            state = after
-            if not state:
-                out.append((a[first_a:i], b[first_b:j]))
-                first_a, first_b = i, j
         return out
 
 
@@ -127,43 +144,42 @@ class Pair:
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", False) and self.blank != self.b.unk_id() and not any(re.search("[^▁]▁", p) for p in pieces)
         self.transducer = Transducer(self.a_bytes, self.b_bytes)
         self.words: dict[str, Word | None] = {}
+        self.old: dict[str, Word | None] = {}
 
     def tokens(self, text: str) -> tuple[list[int], list[int]]:
         """Ids of both sides for a text that begins with a blank; a blank alone gets none from B as a text, but does as a word."""
-        return self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]) or [self.blank]
-
-    def _word(self, a: list[int], b: list[int]) -> Word:
-        found = self.transducer.groups(a, b)
-        text = ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in found])
-        links = np.array([x[-1] << 32 | y[-1] for x, y in found], np.int64)
-        return text.encode(), links.tobytes(), len(a) << 32 | len(b)
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:]) or [self.blank]
 
     def _alone(self, word: str) -> Word | None:
         a, b = self.tokens(word)
         raw = word.encode()
         if b"".join([self.a_bytes[x] for x in a]) != raw or b"".join([self.b_bytes[x] for x in b]) != raw:
             return None
-        return self._word(a, b)
+        t = self.transducer
+        found = t.groups(a, b)
+        return b";".join([t.text[k] for k in found]), np.array([t.link[k] for k in found], np.int64).tobytes(), sum([t.count[k] for k in found])
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new words as one text, and cut its ids at the words' ends; words that this doesn't fit are encoded alone."""
+        """Encode new words as one text and cut its groups at the words' ends; words that this doesn't fit are encoded alone."""
+        t = self.transducer
+        if len(t.memo) > MEMO:
+            t.forget()
         joined = "".join(words)
         a, b = self.tokens(joined)
         raw = joined.encode()
-        if not self.by_word or b"".join([self.a_bytes[x] for x in a]) != raw or b"".join([self.b_bytes[x] for x in b]) != raw:
-            self.words.update((w, self._alone(w)) for w in words)
-            return
-        at = np.cumsum([len(w.encode()) for w in words])
-        cuts = []
-        for ids, sizes in ((a, self.a_sizes), (b, self.b_sizes)):
-            ends = np.cumsum(sizes[ids])
+        if self.by_word and b"".join([self.a_bytes[x] for x in a]) == raw and b"".join([self.b_bytes[x] for x in b]) == raw:
+            found = t.groups(a, b)
+            ends = np.cumsum([t.size[k] for k in found])
+            at = np.cumsum([len(w.encode()) for w in words])
             where = np.searchsorted(ends, at)
-            if not np.array_equal(ends[where], at):  # a token stands over a word's end
-                self.words.update((w, self._alone(w)) for w in words)
+            if np.array_equal(ends[where], at):
+                texts, links = [t.text[k] for k in found], np.array([t.link[k] for k in found], np.int64).tobytes()
+                counts = np.concatenate([[0], np.cumsum([t.count[k] for k in found])])
+                cuts = np.concatenate([[0], where + 1])
+                for w, i, j, n in zip(words, cuts[:-1].tolist(), cuts[1:].tolist(), np.diff(counts[cuts]).tolist(), strict=True):
+                    self.words[w] = (b";".join(texts[i:j]), links[8 * i : 8 * j], n)
                 return
-            cuts.append([0, *(where + 1).tolist()])
-        for k, w in enumerate(words):
-            self.words[w] = self._word(a[cuts[0][k] : cuts[0][k + 1]], b[cuts[1][k] : cuts[1][k + 1]])
+        self.words.update((w, self._alone(w)) for w in words)  # a token stands over a word's end, or bytes are lost
 
     def parts(self, text: str) -> list[str]:
         """``text`` with its blank in front, cut before every blank behind a visible character."""
@@ -176,19 +192,25 @@ class Pair:
     def align(self, texts: list[str | None]) -> Iterator[list[Word] | None]:
         """Aligned words of each text, None where it has no tokens (null, empty, or bytes that a side can't give back)."""
         every = [self.parts(t) if t else [] for t in texts]
-        if len(self.words) > CACHE:
-            self.words.clear()
+        known = self.words
+        if len(known) > CACHE:  # words met since the last time stay
+            self.old, self.words = known, {}
+            known = self.words
         new, size = [], 0
-        for w in dict.fromkeys(w for own in every for w in own if w not in self.words):
-            new.append(w)
-            size += len(w)
-            if size > ENCODE:
-                self._learn(new)
-                new, size = [], 0
+        for w in dict.fromkeys([w for own in every for w in own]):
+            if w not in known:
+                if w in self.old:
+                    known[w] = self.old[w]
+                    continue
+                new.append(w)
+                size += len(w)
+                if size > ENCODE:
+                    self._learn(new)
+                    new, size = [], 0
         if new:
             self._learn(new)
         for own in every:
-            found = [self.words[w] for w in own]
+            found = [known[w] for w in own]
             yield None if not found or None in found else found
 
 

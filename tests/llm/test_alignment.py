@@ -89,11 +89,14 @@ def test_equals_brute_force_whatever_is_kept(spark, pair, monkeypatch):
 
 def test_transducer_by_hand():
     t = Transducer([b" ab", b"c", b"def"], [b" a", b"bc", b"d", b"e", b"f"])
-    assert t.groups([0, 1, 2], [0, 1, 2, 3, 4]) == [([0, 1], [0, 1]), ([2], [2, 3, 4])]
-    assert t.residues[0] == (0, b"") and (0, b"b") in t.residues and (1, b"c") in t.residues  # A leads, then B
+    for _ in range(2):  # the second time from memory
+        assert [t.text[k] for k in t.groups([0, 1, 2], [0, 1, 2, 3, 4])] == [b"0,1|0,1", b"2|2,3,4"]
+    assert (t.link, t.size, t.count) == ([1 << 32 | 1, 2 << 32 | 4], [4, 3], [2 << 32 | 2, 1 << 32 | 3])
+    assert t.residue[0, b" ab", 0] == (0, b"b") and t.residue[0, b"b", 1] == (1, b"c")  # A leads, then B
     assert t.groups([], []) == []
-    with pytest.raises(ValueError, match="different bytes"):
-        t.groups([1], [2])
+    for a, b in (([1], [2]), ([1], []), ([], [0]), ([0], [0])):
+        with pytest.raises(ValueError, match="different bytes"):
+            t.groups(a, b)
 
 
 def test_pair_counts_are_bounded_and_ties_are_all_best(spark, pair):
