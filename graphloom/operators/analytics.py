@@ -214,22 +214,45 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
 def dominators(edges: DataFrame, root: str) -> DataFrame:
     """(id, dominator, depth) of every node reachable from the root: immediate dominators.
 
-    Data flow to a fixed point: a node is dominated by itself and by what dominates all of its
-    predecessors known so far. The state is one row per (node, dominator).
+    Pointers begin as a BFS tree and are refined until none moves: a node's new pointer is the lowest common ancestor, over
+    the pointers, of its predecessors. Ancestors are met by climbing: of a node's candidates those of the greatest BFS level
+    take their own pointer's end, until one is left. The state is a pointer per node and at most a candidate per edge.
     """
     steps = cut(edges.where((F.col("src") != F.col("dst")) & (F.col("dst") != root)).select("src", "dst").distinct(), "steps")
-    dom = cut(edges.sparkSession.createDataFrame([(root, root)], "id string, x string"), "dom")
-    before = None
+    frontier = cut(edges.sparkSession.createDataFrame([(root, None, 0)], "id string, x string, level int"), "tree")
+    tree, level = frontier, 0
     while True:
-        known = steps.join(dom.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
-        n = known.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
-        shared = steps.join(dom.withColumnRenamed("id", "src"), "src").groupBy("dst", "x").agg(F.count(F.lit(1)).alias("m")).join(n, "dst").where("m = n")
-        own = n.select(F.col("dst").alias("id"), F.col("dst").alias("x"))
-        dom = cut(shared.select(F.col("dst").alias("id"), "x").union(own).union(dom.where(F.col("id") == root)).distinct(), "dom")
-        state = dom.agg(F.count(F.lit(1)), F.sum(F.xxhash64("id", "x").cast("decimal(38,0)"))).first()
-        if state == before:
+        level += 1
+        ahead = steps.join(frontier.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("x"))
+        frontier = cut(ahead.join(tree.select("id"), "id", "left_anti").select("id", "x", F.lit(level).alias("level")), "tree")
+        if frontier.isEmpty():
             break
-        before = state
-    depth = dom.groupBy("id").agg((F.count(F.lit(1)) - 1).alias("depth"))
-    above = dom.where("x != id").join(depth.toDF("x", "at"), "x").groupBy("id").agg(F.max_by("x", "at").alias("dominator"))
-    return depth.join(above, "id", "left").select("id", "dominator", "depth")
+        tree = tree.union(frontier)
+    pointers = tree = cut(tree, "tree")
+    before = cut(steps.join(tree.select(F.col("id").alias("src"), F.col("level").alias("lx")), "src").select(F.col("dst").alias("id"), F.col("src").alias("x"), "lx"), "before")
+    while True:
+        up = pointers.select(F.col("id").alias("x"), F.col("x").alias("above")).join(tree.select(F.col("id").alias("above"), F.col("level").alias("la")), "above")
+        up, settled, open_ = cut(up, "up"), None, before
+        while True:
+            sized = open_.groupBy("id").agg(F.max("lx").alias("most"), F.count(F.lit(1)).alias("n"), F.min("x").alias("only"))
+            sized = cut(sized, "sized")
+            one = sized.where("n = 1").select("id", F.col("only").alias("new"))
+            settled = one if settled is None else settled.union(one)
+            many = sized.where("n > 1").select("id", "most")
+            if many.isEmpty():
+                break
+            going = open_.join(many, "id").join(up, "x", "left")
+            climbs = F.col("lx") == F.col("most")
+            open_ = cut(going.select("id", F.when(climbs, F.col("above")).otherwise(F.col("x")).alias("x"), F.when(climbs, F.col("la")).otherwise(F.col("lx")).alias("lx")).distinct(), "climb")
+        new = cut(pointers.join(settled, "id", "left").select("id", F.coalesce("new", "x").alias("x"), F.col("x").alias("old"), "level"), "pointers")
+        pointers = new.select("id", "x", "level")
+        if new.where("x != old").isEmpty():
+            break
+    at = cut(pointers.where("x IS NULL").select("id", F.col("x").alias("dominator"), F.lit(0).cast("long").alias("depth")), "depth")
+    out, depth = at, 0
+    while True:
+        depth += 1
+        at = cut(pointers.join(at.select(F.col("id").alias("x")), "x").select("id", F.col("x").alias("dominator"), F.lit(depth).cast("long").alias("depth")), "depth")
+        if at.isEmpty():
+            return out
+        out = out.union(at)

@@ -25,21 +25,15 @@ def forest(pairs: DataFrame) -> DataFrame:
     both = cut(pairs.select("a", "b").union(pairs.select("b", "a")), "both")
     roots = connected_components(pairs).select(F.col("component").alias("id")).distinct()
     none = F.lit(None).cast(pairs.schema["a"].dataType)
-    frontier = cut(roots.select("id", none.alias("parent"), F.lit(0).alias("depth")), "level")
-    levels, left, depth = [frontier], both, 0
+    seen = frontier = cut(roots.select("id", none.alias("parent"), F.lit(0).alias("depth")), "level")
+    depth = 0
     while True:
         depth += 1
-        # edges into what has been reached are of no more use
-        left = cut(left.join(frontier.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"), "ahead")
-        ahead = left.join(frontier.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
-        frontier = cut(ahead.select("id", "parent", F.lit(depth).alias("depth")), "level")
+        ahead = both.join(frontier.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
+        frontier = cut(ahead.join(seen.select("id"), "id", "left_anti").select("id", "parent", F.lit(depth).alias("depth")), "level")
         if frontier.isEmpty():
-            break
-        levels.append(frontier)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.union(level)
-    return cut(out, "forest")
+            return cut(seen, "forest")
+        seen = seen.union(frontier)
 
 
 def numbered(tree: DataFrame) -> DataFrame:

@@ -145,11 +145,11 @@ def test_slice(nodes: DataFrame, edges: DataFrame, focus: str) -> DataFrame:
     return nodes.join(callers, "id", "left_semi").where(test_file(F.col("file"))).select("id", "name", "file", "line").orderBy("file", "line", "id")
 
 
-def scope_cycle(module_edges: DataFrame, scope: str, most: int = 16) -> DataFrame:
-    """(scope, hops): the fewest module steps, up to ``most``, that lead from a scope back to it; no row if none do."""
+def scope_cycle(module_edges: DataFrame, scope: str, most: int | None = None) -> DataFrame:
+    """(scope, hops): the fewest module steps, up to ``most`` if given, that lead from a scope back to it; no row if none do."""
     edges = module_edges.select(F.col("src_module").alias("src"), F.col("dst_module").alias("dst"))
     ahead = edges.where(F.col("src") == scope).select(F.col("dst").alias("id"))
-    back = reach.reach(edges, ahead, "outgoing", most - 1).where(F.col("id") == scope)
+    back = reach.reach(edges, ahead, "outgoing", None if most is None else most - 1).where(F.col("id") == scope)
     return back.groupBy(F.col("id").alias("scope")).agg((F.min("depth") + 1).cast("long").alias("hops"))
 
 

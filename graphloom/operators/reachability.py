@@ -18,26 +18,21 @@ RANDOM = 6
 
 
 def _swept(steps: DataFrame, nodes: DataFrame, what: str) -> DataFrame:
-    """(id, layer, minima): over all that ``steps`` (a, b) lead to from each node; nodes without steps have layer 0.
+    """(id, layer, minima): over all that ``steps`` (a, b) of an acyclic graph lead to from each node; nodes without steps have layer 0.
 
-    A node is settled in the round after the last of its next nodes; each round reads the steps not yet used.
+    A round hands on what moved in the one before, one step back; there are as many as the longest path has steps.
     """
-    own = lambda: F.transform(F.sequence(F.lit(1), F.lit(RANDOM)), lambda i: F.xxhash64(i, F.col("id")))
-    left, alive, out, layer = cut(steps, what), cut(nodes, what), None, 0
-    waiting = cut(nodes.select("id", own().alias("minima")), what)
+    own = F.transform(F.sequence(F.lit(1), F.lit(RANDOM)), lambda i: F.xxhash64(i, F.col("id")))
+    state = cut(nodes.select("id", F.lit(0).alias("layer"), own.alias("minima"), F.lit(True).alias("moved")), what)
     while True:
-        ready = alive.join(left.select(F.col("a").alias("id")), "id", "left_anti")
-        settled = cut(ready.join(waiting, "id").select("id", F.lit(layer).alias("layer"), "minima"), what)
-        if settled.isEmpty():
-            return out if out is not None else settled
-        out = settled if out is None else out.union(settled)
-        alive = cut(alive.join(settled.select("id"), "id", "left_anti"), what)
-        # what has been settled sends its minima one step back
-        sent = left.join(settled.select(F.col("id").alias("b"), F.col("minima").alias("m")), "b").groupBy(F.col("a").alias("id"))
-        sent = sent.agg(F.array(*[F.min(F.get("m", F.lit(i))) for i in range(RANDOM)]).alias("m"))
-        waiting = cut(alive.join(waiting, "id").join(sent, "id", "left").select("id", F.when(F.col("m").isNull(), F.col("minima")).otherwise(F.zip_with("minima", "m", lambda x, y: F.least(x, y))).alias("minima")), what)
-        left = cut(left.join(settled.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"), what)
-        layer += 1
+        sent = steps.join(state.where("moved").select(F.col("id").alias("b"), F.col("layer").alias("l"), F.col("minima").alias("m")), "b").groupBy(F.col("a").alias("id"))
+        sent = sent.agg((F.max("l") + 1).alias("l"), F.array(*[F.min(F.get("m", F.lit(i))) for i in range(RANDOM)]).alias("m"))
+        less = F.exists(F.zip_with("minima", "m", lambda x, y: y < x), lambda ok: ok)
+        moved = F.coalesce((F.col("l") > F.col("layer")) | less, F.lit(False))
+        minima = F.when(F.col("m").isNull(), F.col("minima")).otherwise(F.zip_with("minima", "m", lambda x, y: F.least(x, y)))
+        state = cut(state.drop("moved").join(sent, "id", "left").select("id", F.greatest("layer", "l").alias("layer"), minima.alias("minima"), moved.alias("moved")), what)
+        if state.where("moved").isEmpty():
+            return state.drop("moved")
 
 
 class Reach:

@@ -31,8 +31,8 @@ def idf_table(nodes: DataFrame) -> DataFrame:
     return each.groupBy("token").agg(F.countDistinct("id").alias("df")).withColumn("idf", F.log(1 + n / (1 + F.col("df"))))
 
 
-def idf_search(nodes: DataFrame, degrees: DataFrame, query: str, limit: int) -> DataFrame:
-    """Top names for a query: exact 1000, contained 100, per token exact 100, prefix 10, inside 1, times the query token's idf.
+def idf_search(nodes: DataFrame, degrees: DataFrame, query: str, limit: int | None) -> DataFrame:
+    """Top names (all, unordered, without a limit) for a query: exact 1000, contained 100, per token exact 100, prefix 10, inside 1, times the query token's idf.
 
     Names whose degree is above that at the 95th percentile's index count a tenth.
     """
@@ -53,7 +53,8 @@ def idf_search(nodes: DataFrame, degrees: DataFrame, query: str, limit: int) ->
     p95 = running.where(F.col("upto") > int(0.95 * n)).agg(F.min("degree")).first()[0] or 0
     scored = degree.withColumn("score", score).where("score > 0")
     scored = scored.withColumn("score", F.when(F.col("degree") > p95, F.col("score") * 0.1).otherwise(F.col("score")))
-    return scored.select("id", "name", "score").orderBy(F.desc("score"), "name", "id").limit(limit)
+    scored = scored.select("id", "name", "score")
+    return scored if limit is None else scored.orderBy(F.desc("score"), "name", "id").limit(limit)
 
 
 def similarity_matches(nodes: DataFrame, query: str) -> DataFrame:

@@ -109,6 +109,18 @@ def commit_tier(message: Column) -> Column:
     return F.when(message.rlike(r"(?i)\b(fixes|closes|resolves)\s+#[0-9]+"), COMMIT_FIXES).when(message.rlike(r"(?i)\b(refs|references|see|part of)\s+#[0-9]+"), COMMIT_REFS).otherwise(UNRESOLVED)
 
 
+def mention_tier(line: Column) -> Column:
+    """0.5 where a line of an issue's text is shaped like a place in code, file:name or file:name:line, else 0.3.
+
+    A Markdown link's target counts in place of the line, and so does what stands between < and >; web addresses are no places.
+    """
+    own = F.trim(line)
+    linked = F.trim(F.regexp_extract(own, r"\]\((.*?)\)", 1))
+    bare = F.when(own.rlike(r"\]\(.*?\)"), linked).when(own.rlike("^<.*>$"), F.substring(own, F.lit(2), F.length(own) - 2)).otherwise(own)
+    place = bare.rlike(r"^[^:]+:[^:]+(:[+-]?[0-9]{1,9})?$") & ~bare.rlike("^https?://")
+    return F.when(F.coalesce(place, F.lit(False)), BODY_MENTION).otherwise(UNRESOLVED)
+
+
 # --- merged searches -----------------------------------------------------------------------
 
 

@@ -108,7 +108,6 @@ query("al18_k_shortest_paths", with_graph(_SIMPLE + ", k AS (SELECT *, row_numbe
     .where("r <= 2")
     .select("src", "dst", "hops", F.array_join("path", ">").alias("path"))
 )
-query("ga21_explain_path")(lambda g: reach.explained(reach.cheapest_paths(g.edges, g.seed("region:1")), g.edges))
 query("al19_multi_source", with_graph(", r(id, depth) AS (SELECT id, 0 FROM n WHERE kind = 'class' UNION SELECT dst, depth + 1 FROM r JOIN e ON src = r.id WHERE depth < 3) SELECT DISTINCT id FROM r WHERE depth > 0", "n", "e", recursive=True))(
     lambda g: reach.reach(g.edges, g.nodes.where("kind = 'class'"), "outgoing", 3).where("depth > 0").select("id")
 )
@@ -245,7 +244,6 @@ def _pagerank_sql(rounds: int) -> str:
 
 
 query("al1_pagerank", _pagerank_sql(5))(lambda g: analytics.pagerank(g.flow_nodes, g.flow, iterations=5).withColumn("rank", F.round("rank", 9)))
-query("al2_personal_pagerank")(lambda g: analytics.pagerank(g.flow_nodes, g.flow, iterations=5, personal=g.flow_nodes.select("id", F.when(F.col("id").endswith("click"), 2.0).otherwise(1.0).alias("weight"))))
 
 
 def _labels_sql(rounds: int) -> str:
@@ -286,9 +284,6 @@ query("al17_modularity", with_graph(_TYPE + ", m AS (SELECT CAST(count(*) AS DOU
 query("al15_k_core", with_graph(", p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM f WHERE src <> dst), q AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), d0 AS (SELECT a FROM q GROUP BY a HAVING count(*) >= 2), q1 AS (SELECT * FROM q WHERE a IN (SELECT a FROM d0) AND b IN (SELECT a FROM d0)), d1 AS (SELECT a FROM q1 GROUP BY a HAVING count(*) >= 2), q2 AS (SELECT * FROM q1 WHERE a IN (SELECT a FROM d1) AND b IN (SELECT a FROM d1)), d2 AS (SELECT a FROM q2 GROUP BY a HAVING count(*) >= 2), q3 AS (SELECT * FROM q2 WHERE a IN (SELECT a FROM d2) AND b IN (SELECT a FROM d2)), d3 AS (SELECT a FROM q3 GROUP BY a HAVING count(*) >= 2), q4 AS (SELECT * FROM q3 WHERE a IN (SELECT a FROM d3) AND b IN (SELECT a FROM d3)) SELECT DISTINCT a AS id FROM q4", "f"))(
     lambda g: analytics.k_core(g.flow, 2)
 )
-query("al12_dominators", with_graph("SELECT id, CASE WHEN kind = 'module' THEN NULL WHEN kind = 'class' THEN 'region:1' ELSE (SELECT src FROM e WHERE dep_type = 'contains' AND dst = n.id) END AS dominator, CASE kind WHEN 'module' THEN 0 WHEN 'class' THEN 1 ELSE 2 END AS depth FROM n WHERE kind <> 'method' AND (starts_with(file, 'AMERICA/'))", "n", "e"))(
-    lambda g: analytics.dominators(g.contains, "region:1").withColumn("depth", F.col("depth").cast("int"))
-)
 query("al27_relation_candidates", with_graph(", t AS (SELECT id, file FROM n WHERE kind = 'module'), x AS (SELECT t.id, n.id AS candidate, 0.7 AS score FROM t JOIN n USING (file) UNION ALL SELECT t.id, n.id, 0.5 FROM t JOIN n ON n.kind = 'module') SELECT id, candidate, CAST(max(score) AS DOUBLE) AS score FROM x WHERE id <> candidate GROUP BY 1, 2", "n"))(
     lambda g: aggregate.relation_candidates(g.nodes, g.nodes.where("kind = 'module'"), g.nodes.where("kind = 'module'").select("id", "kind"))
 )
@@ -300,7 +295,6 @@ query("se2_tokens", with_graph(f"SELECT id, lower(array_to_string({_TOK}, ' '))
 query("se3_idf", with_graph(f", t AS (SELECT DISTINCT id, unnest(list_append(list_transform({_TOK}, lambda x: lower(x)), lower(name))) AS token FROM n) SELECT token, count(*) AS df, round(ln(1 + (SELECT count(*) FROM n) / CAST(1 + count(*) AS DOUBLE)), 9) AS idf FROM t GROUP BY token", "n"))(
     lambda g: search.idf_table(g.nodes).withColumn("idf", F.round("idf", 9))
 )
-query("se1_idf_search")(lambda g: search.idf_search(g.nodes, g.degrees, "small ring", 20))
 query("se4_similarity_search", with_graph(", x AS (SELECT id, name, lower(name) AS l, instr(lower(name), 'ring') AS p, length(name) AS k FROM n) SELECT id, name, CAST(CASE WHEN l = 'ring' THEN 4 WHEN p = 1 THEN 3 WHEN p > 1 THEN 2 ELSE 1 END AS INTEGER) AS match, round(CASE WHEN l = 'ring' THEN 1.0 WHEN p = 1 THEN 0.9 WHEN p > 1 THEN 0.7 + 0.2 * (1 - (p - 1) / CAST(k AS DOUBLE)) ELSE 2.4 / k END, 9) AS score FROM x WHERE p > 0 OR regexp_matches(l, 'r.*i.*n.*g') ORDER BY match DESC, score DESC, name, id LIMIT 20", "n"))(
     lambda g: search.similarity_search(g.nodes, "ring", 20).withColumn("score", F.round("score", 9))
 )

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graphs import with_graph
-from graphloom.operators import analytics, blocks, candidates, federation, questions, reach, reachability
+from graphloom.operators import analytics, blocks, candidates, federation, lenses, questions, reach, reachability, search, views
 from graphloom.operators.ordered import order_statistics, running_sum
 from graphloom.queries import G, query
-from graphloom.sources import history, openapi
+from graphloom.session import shared_dir
+from graphloom.sources import history, manifest, openapi
+from graphloom.streaming import reindex
 
 # --- blocks --------------------------------------------------------------------------------
 
@@ -69,6 +73,32 @@ _CORE = ", p AS (SELECT DISTINCT split_part(src, ':', 1) AS u, least(src, dst) A
 _CORE += "s AS (SELECT u, unnest(range(1, CAST(2 ** max(n) AS BIGINT))) AS mask FROM k GROUP BY u), i AS (SELECT s.u, mask, id FROM s JOIN k ON k.u = s.u AND (mask >> bit) & 1 = 1), d AS (SELECT i.u, i.mask, i.id, count(j.id) AS deg FROM i LEFT JOIN p ON p.u = i.u AND (p.a = i.id OR p.b = i.id) LEFT JOIN i j ON j.u = i.u AND j.mask = i.mask AND j.id = CASE WHEN p.a = i.id THEN p.b ELSE p.a END GROUP BY 1, 2, 3)"
 query("al15_core_numbers", with_graph(_CORE + ", l AS (SELECT u, mask, min(deg) AS deg FROM d GROUP BY 1, 2) SELECT d.id, CAST(max(l.deg) AS BIGINT) AS core FROM d JOIN l USING (u, mask) GROUP BY d.id", "f"))(lambda g: analytics.core_numbers(g.flow))
 
+# dominators by the definition: what cannot be reached once a node is taken out
+_DOM = ", d AS MATERIALIZED (SELECT DISTINCT src, dst FROM e), r(id) AS (SELECT 'region:1' UNION SELECT dst FROM r JOIN d ON src = id), o AS MATERIALIZED (SELECT id FROM r WHERE id <> 'region:1'), w(x, id) AS (SELECT id, 'region:1' FROM o UNION SELECT w.x, d.dst FROM w JOIN d ON d.src = w.id WHERE d.dst <> w.x), m AS MATERIALIZED (SELECT o.id, p.id AS x FROM o, o p WHERE (p.id, o.id) NOT IN (SELECT (x, id) FROM w)), k AS (SELECT id, count(*) AS depth FROM m GROUP BY id)"
+query("al12_dominators", with_graph(_DOM + " SELECT 'region:1' AS id, CAST(NULL AS VARCHAR) AS dominator, 0 AS depth UNION ALL SELECT k.id, coalesce((SELECT max_by(m.x, q.depth) FROM m JOIN k q ON q.id = m.x WHERE m.id = k.id AND m.x <> k.id), 'region:1'), depth FROM k", "e", recursive=True))(lambda g: analytics.dominators(g.edges, "region:1"))
+
+
+def _personal_sql(rounds: int) -> str:
+    sql = ", v AS (SELECT src AS id FROM f UNION SELECT dst FROM f), c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM v), o AS (SELECT src, count(*) AS k FROM f GROUP BY src), t AS (SELECT id, CASE WHEN id LIKE '%click' THEN 2.0 ELSE 1.0 END::DOUBLE / (SELECT sum(CASE WHEN id LIKE '%click' THEN 2.0 ELSE 1.0 END)::DOUBLE FROM v) AS t FROM v), r0 AS (SELECT id, 1 / n AS rank FROM v, c)"
+    for i in range(rounds):
+        sql += f", r{i + 1} AS (SELECT t.id, 0.15 * t + 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE id NOT IN (SELECT src FROM o)) * t) AS rank FROM t LEFT JOIN (SELECT f.dst, sum(rank / k) AS got FROM f JOIN r{i} ON id = f.src JOIN o ON o.src = f.src GROUP BY f.dst) ON dst = t.id)"
+    return with_graph(sql + f" SELECT id, round(rank, 9) AS rank FROM r{rounds}", "f")
+
+
+query("al2_personal_pagerank", _personal_sql(5))(
+    lambda g: analytics.pagerank(g.flow_nodes, g.flow, iterations=5, personal=g.flow_nodes.select("id", F.when(F.col("id").endswith("click"), 2.0).otherwise(1.0).alias("weight"))).withColumn("rank", F.round("rank", 9))
+)
+query(
+    "ga21_explain_path",
+    with_graph(
+        ", x AS MATERIALIZED (SELECT src, dst, min(1 - confidence) AS w FROM e GROUP BY 1, 2), r(dst, cost, path) AS (SELECT 'region:1', CAST(0 AS DOUBLE), ['region:1'] UNION ALL SELECT x.dst, cost + w, list_append(path, x.dst) FROM r JOIN x ON x.src = r.dst), b AS (SELECT dst, path FROM r QUALIFY row_number() OVER (PARTITION BY dst ORDER BY cost, path) = 1), "
+        "h AS (SELECT dst, path, unnest(range(1, len(path))) AS i FROM b), m AS (SELECT src, dst, dep_type, confidence FROM e QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY confidence DESC, dep_type DESC) = 1) "
+        "SELECT 'region:1' AS src, h.dst, CAST(i - 1 AS INTEGER) AS hop, path[i] AS \"from\", path[i + 1] AS \"to\", m.dep_type AS verb, m.confidence FROM h JOIN m ON m.src = path[i] AND m.dst = path[i + 1]",
+        "e",
+        recursive=True,
+    ),
+)(lambda g: reach.explained(reach.cheapest_paths(g.edges, g.seed("region:1")), g.edges))
+
 # longest and cheapest ways by recursion over the graph itself
 query("ga22_topological_layers", with_graph(", r(id, k) AS (SELECT id, 0 FROM n WHERE id NOT IN (SELECT dst FROM e) UNION SELECT e.dst, k + 1 FROM r JOIN e ON e.src = r.id) SELECT id, max(k) AS layer FROM r GROUP BY id", "n", "e", recursive=True))(lambda g: reach.topological_layers(g.edges, g.nodes))
 query("ga20_cheapest_paths", with_graph(", x AS MATERIALIZED (SELECT src, dst, min(1 - confidence) AS w FROM e GROUP BY 1, 2), r(src, dst, cost) AS (SELECT id, id, CAST(0 AS DOUBLE) FROM n WHERE kind = 'class' UNION ALL SELECT r.src, x.dst, cost + w FROM r JOIN x ON x.src = r.dst) SELECT src, dst, round(min(cost), 9) AS cost FROM r GROUP BY 1, 2", "n", "e", recursive=True))(
@@ -162,3 +192,67 @@ query("src15_operations", f"WITH {_SPECS}, p AS (SELECT spec_id, j, unnest(json_
 query("src15_references", f"WITH {_SPECS}, u AS (SELECT spec_id, '/users/{{id}}/' || json_extract_string(j, '$.paths.*.get.operationId')[1][4:] || '/{{item}}' AS path, j FROM s) SELECT spec_id, 'paths/' || path || '/get/responses/200' AS at, json_extract_string(j, '$.paths.*.get.responses.200.$ref')[1] AS target FROM u UNION ALL SELECT spec_id, 'paths/' || path || '/get/parameters/0', json_extract_string(j, '$.paths.*.get.parameters[0].$ref')[1] FROM u".replace("{{id}}", "{id}").replace("{{item}}", "{item}"))(
     lambda g: openapi.references(_specs(g))
 )
+
+# --- files, tiers, ranked search -----------------------------------------------------------
+
+_EXTENSIONS = ["rs", "PY", "tsx", "h", "hxx", "tf", "yml", "json", "md", "toml", "xyz", "Rb", "f90", "sv", "ini", "kt", "qmd", "luau", "R", ""]
+_KINDS = "(VALUES ('rs', 'code', 'rust'), ('py', 'code', 'python'), ('tsx', 'code', 'typescript'), ('h', 'code', 'c'), ('hxx', 'code', 'cpp'), ('tf', 'code', 'hcl'), ('yml', 'config', 'yaml'), ('json', 'config', NULL), ('md', 'document', NULL), ('toml', 'config', NULL), ('rb', 'code', 'ruby'), ('f90', 'code', 'fortran'), ('sv', 'code', 'systemverilog'), ('ini', 'config', NULL), ('qmd', 'document', NULL), ('luau', 'code', 'lua'), ('r', 'code', 'r')) k(x, t, l)"
+_FILES = f"SELECT 'a.b/f' || event_id || '.' || ({_EXTENSIONS!r})[1 + event_id % {len(_EXTENSIONS)}] AS file_path FROM events"
+query("src4_mixed_files", f"WITH f AS ({_FILES}) SELECT file_path, coalesce(t, 'other') AS file_type, l AS language FROM f LEFT JOIN {_KINDS} ON x = lower(split_part(file_path, '.', 3))")(
+    lambda g: manifest.classified(g.events.select(F.concat(F.lit("a.b/f"), F.col("event_id").cast("string"), F.lit("."), F.element_at(F.array(*[F.lit(x) for x in _EXTENSIONS]), (1 + F.col("event_id") % len(_EXTENSIONS)).cast("int"))).alias("file_path")))
+)
+_RULES = [("", 1, "# generated"), ("", 2, "*.log"), ("", 3, "build/"), ("", 4, "/top?/**"), ("", 5, "!keep.log"), ("user1", 1, "!*.log"), ("user1", 2, "sub/*.txt"), ("user2", 1, "**/deep")]
+_PATHS = "SELECT DISTINCT 'user' || user_id % 4 || CASE event_id % 5 WHEN 0 THEN '/build/' WHEN 1 THEN '/sub/' WHEN 2 THEN '/x/deep/' WHEN 3 THEN '/sub/more/' ELSE '/' END || CASE event_id % 3 WHEN 0 THEN 'f' || event_id || '.log' WHEN 1 THEN 'keep.log' ELSE 'f' || event_id || '.txt' END AS file_path FROM events"
+query("src2_ignored_files", f"WITH f AS ({_PATHS}) SELECT file_path FROM f WHERE NOT contains(file_path, '/build/') AND NOT (file_path LIKE '%.log' AND NOT file_path LIKE '%/keep.log' AND NOT starts_with(file_path, 'user1/')) AND NOT (starts_with(file_path, 'user1/sub/') AND file_path LIKE '%.txt' AND NOT contains(file_path[11:], '/')) AND NOT (starts_with(file_path, 'user2/') AND contains(file_path, '/deep/'))")(
+    lambda g: manifest.without_ignored(
+        g.events.select(
+            F.concat(
+                F.lit("user"), (F.col("user_id") % 4).cast("string"), F.element_at(F.array(*[F.lit(x) for x in ("/build/", "/sub/", "/x/deep/", "/sub/more/", "/")]), (1 + F.col("event_id") % 5).cast("int")),
+                F.when(F.col("event_id") % 3 == 1, "keep.log").otherwise(F.concat(F.lit("f"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, ".log").otherwise(".txt"))),
+            ).alias("file_path")
+        ).distinct(),
+        manifest.ignore_rules(g.spark.createDataFrame(_RULES, "folder string, position int, line string")),
+    )
+)
+_LINE = "CASE event_id % 6 WHEN 0 THEN 'see [foo](src/foo.rs:foo:' || user_id || ') here' WHEN 1 THEN ' src/bar.rs:helper:42 ' WHEN 2 THEN '<a:b>' WHEN 3 THEN 'https://x:y' WHEN 4 THEN 'a:b:c' ELSE event_type END"
+query("se17_body_mention", "SELECT event_id, CASE WHEN event_id % 6 < 3 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS confidence FROM events")(lambda g: g.events.select("event_id", views.mention_tier(F.expr(_LINE)).alias("confidence")))
+_TOK = "list_filter(string_split_regex(regexp_replace(name, '([A-Z])', '_\\1', 'g'), '[_:.\\-#\\s]+'), lambda x: x <> '')"
+_best = lambda w: f"(CASE WHEN list_contains(parts, '{w}') THEN 100.0 WHEN len(list_filter(parts, lambda p: starts_with(p, '{w}'))) > 0 THEN 10.0 WHEN contains(l, '{w}') THEN 1.0 ELSE 0.0 END)::DOUBLE"
+_idf = lambda w: f"(SELECT coalesce(max(ln(1 + n / CAST(1 + df AS DOUBLE))), max(ln(1 + n))) FROM c LEFT JOIN t ON token = '{w}')"
+_IDF = (
+    f", k AS MATERIALIZED (SELECT id, name, lower(name) AS l, list_transform({_TOK}, lambda x: lower(x)) AS parts, fan_in, fan_in + fan_out AS degree FROM d), t AS (SELECT token, count(DISTINCT id) AS df FROM (SELECT id, unnest(list_append(parts, l)) AS token FROM k) GROUP BY 1), c AS (SELECT count(*) AS n FROM k), "
+    f"s AS (SELECT id, name, degree, {_idf('small')} * {_best('small')} + {_idf('ring')} * {_best('ring')} + {_idf('small ring')} * {_best('small ring')} + (CASE WHEN l = 'small ring' THEN 1000.0 WHEN contains(l, 'small ring') THEN 100.0 ELSE 0.0 END)::DOUBLE AS score FROM k), "
+    "p AS (SELECT coalesce(min(degree), 0) AS p95 FROM (SELECT degree, sum(count(*)) OVER (ORDER BY degree) AS upto FROM k GROUP BY degree) WHERE upto > CAST(floor(0.95 * (SELECT n FROM c)) AS BIGINT)), z AS (SELECT id, name, CASE WHEN degree > p95 THEN score * 0.1::DOUBLE ELSE score END AS score FROM s, p WHERE score > 0)"
+)
+query("se1_idf_search", with_graph(_IDF + " SELECT id, name, round(score, 6) AS score FROM (SELECT * FROM z ORDER BY score DESC, name, id LIMIT 20)", "d"))(lambda g: search.idf_search(g.nodes, g.degrees, "small ring", 20).withColumn("score", F.round("score", 6)))
+_THREE = _IDF + ", q AS (SELECT id, name, l, fan_in, instr(l, 'small ring') AS p FROM k), m AS (SELECT id, name, fan_in, CASE WHEN l = 'small ring' THEN 1.0::DOUBLE WHEN p = 1 THEN 0.9::DOUBLE WHEN p > 1 THEN 0.7 + 0.2 * (1 - (p - 1)::DOUBLE / length(name)) WHEN regexp_matches(l, 's.*m.*a.*l.*l.* .*r.*i.*n.*g') THEN 0.6 * 10 / length(name)::DOUBLE END AS score FROM q), "
+_THREE += "a1 AS (SELECT name, max(score) AS score, 1 AS i FROM m WHERE score >= 0.8 GROUP BY 1), a2 AS (SELECT name, max(least(1.0, 0.4 * fan_in / (SELECT greatest(max(fan_in), 1) FROM k) + 0.6 * score)) AS score, 2 AS i FROM m WHERE score IS NOT NULL GROUP BY 1), a3 AS (SELECT name, max(score) AS score, 3 AS i FROM z GROUP BY 1), u AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3), b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY name ORDER BY i) = 1)"
+query("se7_three_rankings", with_graph(_THREE + " SELECT name, round(score, 6) AS score, CASE i WHEN 1 THEN 'semantic' WHEN 2 THEN 'ranked' ELSE 'idf' END AS source FROM (SELECT * FROM b ORDER BY score DESC, name LIMIT 60)", "d"))(
+    lambda g: (m := search.similarity_matches(g.nodes, "small ring"))
+    and views.first_source(
+        [("semantic", m.where("score >= 0.8")), ("ranked", lenses.ranked_symbols(g.degrees, m).join(g.nodes.select("id", "name"), "id")), ("idf", search.idf_search(g.nodes, g.degrees, "small ring", None))], 60
+    ).withColumn("score", F.round("score", 6))
+)
+
+# --- streams -------------------------------------------------------------------------------
+
+
+def _event(g: G) -> DataFrame:
+    """Each event as a change: of an edge from its user to its type, added or removed by the event's number; one in seven removes the user."""
+    n = F.col("event_id") % 7
+    op = F.when(n == 0, "symbol_removed").when(n < 3, "dependency_removed").otherwise("dependency_added")
+    kind = lambda c: F.when(n == 0, F.lit(None).cast("string")).otherwise(c)
+    return g.events.select(op.alias("op"), (F.col("user_id") % 200).cast("string").alias("src"), kind(F.col("event_type")).alias("dst"), kind(F.lit("calls")).alias("dep_type"), F.col("event_id").alias("seq"))
+
+
+def _reindexed(g: G) -> DataFrame:
+    """The events table read as a stream of files, indexed until its end, and the graph that then stands."""
+    folder = f"{shared_dir(g.spark)}/graphloom/reindex-{uuid.uuid4().hex}"
+    stream = g.spark.readStream.schema(g.events.schema).parquet(f"{g.dir.rstrip('/')}/events.parque[t]")
+    streamed = G(g.spark, g.dir)
+    streamed.events = stream
+    reindex.reindex(_event(streamed), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    return reindex.current(g.spark, f"{folder}/log")
+
+
+query("sm8_reindexed_stream", "WITH x AS (SELECT event_id AS seq, event_id % 7 AS n, CAST(user_id % 200 AS VARCHAR) AS src, event_type AS dst FROM events), e AS (SELECT src, dst, max_by(n, seq) AS n, max(seq) AS seq FROM x WHERE n > 0 GROUP BY 1, 2), r AS (SELECT src, max(seq) AS gone FROM x WHERE n = 0 GROUP BY 1) SELECT e.src, dst, 'calls' AS dep_type FROM e LEFT JOIN r ON r.src = e.src LEFT JOIN r q ON q.src = e.dst WHERE n >= 3 AND (r.gone IS NULL OR r.gone < seq) AND (q.gone IS NULL OR q.gone < seq)")(_reindexed)

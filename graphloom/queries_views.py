@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.graphs import with_graph
 from graphloom.operators import access, aggregate, analytics, lenses, reach, search, views
-from graphloom.queries import query
+from graphloom.queries import _SCC, query
 
 _WALK = ", r(id, depth) AS (SELECT '{seed}', 0 UNION SELECT {to}, depth + 1 FROM r JOIN {e} ON {of} = r.id WHERE depth < {most}) "
 
@@ -99,12 +99,14 @@ query(
         "tool",
     ).select("tool", "class", F.round("score", 6).alias("score"))
 )
-query("ag22_insights")(
+_INSIGHTS = _SCC + ", cy AS (SELECT component, count(*) AS size FROM s GROUP BY component HAVING count(*) > 1 OR max(CASE WHEN id IN (SELECT src FROM f WHERE src = dst) THEN 1 ELSE 0 END) = 1), a AS (SELECT count(*) AS cycles, CAST(coalesce(sum(size), 0) AS BIGINT) AS in_cycles FROM cy), i AS (SELECT dst AS id, count(DISTINCT src) AS score FROM f GROUP BY dst), g AS (SELECT count(*) AS gods FROM i WHERE score >= (SELECT score FROM i ORDER BY score LIMIT 1 OFFSET (SELECT CAST(floor(count(*) * 0.95) AS BIGINT) FROM i))), "
+_INSIGHTS += "x AS (SELECT split_part(src, ':', 2) AS ca, split_part(dst, ':', 2) AS cb FROM f), co AS (SELECT ca, avg(CASE WHEN ca = cb THEN 1.0 ELSE 0.0 END) AS c FROM x GROUP BY ca), h AS (SELECT count(*) AS communities, avg(coalesce(co.c, 0)) AS cohesion FROM (SELECT DISTINCT split_part(id, ':', 2) AS c FROM v) k LEFT JOIN co ON co.ca = k.c), r2 AS (SELECT count(*) AS crossing FROM x WHERE ca <> cb)"
+query("ag22_insights", with_graph(_INSIGHTS + " SELECT cycles, in_cycles, gods, communities, round(cohesion, 9) AS cohesion, crossing, round(CAST(greatest(0, 100 - least(5.0 * cycles, 30) - CASE WHEN gods > 3 THEN 10 ELSE 0 END - 20 * (1 - cohesion) - 0.5 * least(crossing, 20)) AS DOUBLE), 6) AS health FROM a, g, h, r2", "f", recursive=True))(
     lambda g: (c := g.flow_nodes.select("id", F.split_part("id", F.lit(":"), F.lit(2)).alias("community")))
     and views.insights(
         analytics.cycles(analytics.strong_components(g.flow_nodes, g.flow), g.flow),
         analytics.god_nodes(access.fan_in(g.flow).select("id", F.col("fan_in").alias("score")), 0.95),
         analytics.cohesion(g.flow, c),
-        g.flow.join(c.toDF("src", "a"), "src").join(c.toDF("dst", "b"), "dst").where("a != b").limit(20),
-    )
+        g.flow.join(c.toDF("src", "a"), "src").join(c.toDF("dst", "b"), "dst").where("a != b"),
+    ).withColumns({"cohesion": F.round("cohesion", 9), "health": F.round("health", 6)})
 )

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Extension to (type, language): fixed values.
-TYPES = {
-    "rs": ("code", "rust"), "py": ("code", "python"), "js": ("code", "javascript"), "ts": ("code", "typescript"), "go": ("code", "go"), "java": ("code", "java"),
-    "c": ("code", "c"), "cpp": ("code", "cpp"), "rb": ("code", "ruby"), "md": ("document", "markdown"), "rst": ("document", "rst"), "txt": ("document", "text"),
-    "toml": ("config", "toml"), "yaml": ("config", "yaml"), "yml": ("config", "yaml"), "json": ("config", "json"),
+from graphloom.session import checked_broadcast
+
+#: Extensions of each language, of documents and of configuration: fixed values. Configuration may have a language too.
+LANGUAGES = {
+    "rust": "rs", "python": "py pyw", "typescript": "ts tsx", "javascript": "js jsx mjs cjs", "go": "go", "java": "java", "c": "c h",
+    "cpp": "cpp cc cxx hpp hxx", "csharp": "cs", "hcl": "tf tfvars hcl", "yaml": "yml yaml", "ruby": "rb", "php": "php", "swift": "swift",
+    "scala": "scala", "lua": "lua luau", "zig": "zig", "dart": "dart", "groovy": "groovy gradle", "elixir": "ex exs", "erlang": "erl hrl",
+    "haskell": "hs", "julia": "jl", "bash": "sh bash", "r": "r", "powershell": "ps1 psm1", "fortran": "f f90 f95 f03 f08", "verilog": "v", "systemverilog": "sv",
 }
+DOCUMENTS = "md mdx qmd txt rst"
+CONFIGURATION = "json yaml yml toml ini"
 SKIPPED = r"(^|/)(\.git|node_modules|target|dist|build|__pycache__|\.venv|\.ssh|\.gnupg|\.aws)(/|$)"
 
 
@@ -21,12 +26,49 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def classified(files: DataFrame) -> DataFrame:
-    """file_type and language by extension; other without a known one."""
-    ext = F.lower(F.regexp_extract("file_path", r"\.([A-Za-z0-9]+)$", 1))
-    kind, language = F.lit("other"), F.lit(None).cast("string")
-    for e, (k, name) in TYPES.items():
-        kind, language = F.when(ext == e, k).otherwise(kind), F.when(ext == e, name).otherwise(language)
-    return files.withColumn("file_type", kind).withColumn("language", language)
+    """file_type (code, document, config or other) and language by extension, whatever its case; no known extension is other."""
+    ext = F.lower(F.regexp_extract(F.element_at(F.split("file_path", "/"), -1), r"[^.]\.([A-Za-z0-9]+)$", 1))
+    of = {e: language for language, own in LANGUAGES.items() for e in own.split()}
+    language = F.try_element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), ext)
+    kind = F.when(ext.isin(DOCUMENTS.split()), "document").when(ext.isin(CONFIGURATION.split()), "config").when(language.isNotNull(), "code").otherwise("other")
+    return files.withColumn("file_type", F.coalesce(kind, F.lit("other"))).withColumn("language", language)
+
+
+def ignore_rules(lines: DataFrame) -> DataFrame:
+    """(folder, position, pattern, negated, only_folders) from the lines (folder, position, line) of ignore files.
+
+    ``folder`` is where the file stands ('' for the root). Blank lines and comments are no rules. A pattern with a slash before its
+    end holds from its folder, any other at every depth below; ``**`` spans folders, ``*`` and ``?`` don't. The
+    pattern is a regular expression over a path below the folder.
+    """
+    line = F.regexp_replace(F.regexp_replace("line", r"\r$", ""), r"(?<!\\)\s+$", "")
+    rows = lines.select("folder", "position", line.alias("l")).where("l != '' AND NOT startswith(l, '#')")
+    rows = rows.select("folder", "position", F.startswith("l", F.lit("!")).alias("negated"), F.regexp_replace("l", r"^!|^\\(?=[#!])", "").alias("l"))
+    rows = rows.select("folder", "position", "negated", F.endswith("l", F.lit("/")).alias("only_folders"), F.regexp_replace("l", "/$", "").alias("l")).where("l != ''")
+    body = F.regexp_replace(F.regexp_replace("l", "^/", ""), r"([.+(){}^$|])", r"\\$1")
+    for glob, regex in ((r"\*\*/", "\u0001"), (r"/\*\*$", "/\u0002"), (r"\*+", "[^/]*"), (r"\?", "[^/]"), ("\u0001", "(?:.*/)?"), ("\u0002", ".+")):
+        body = F.regexp_replace(body, glob, regex)
+    body = F.regexp_replace(body, r"\[!", "[^")
+    start = F.when(F.contains("l", F.lit("/")), "^").otherwise("^(?:.*/)?")
+    return rows.select("folder", "position", F.concat(start, body, F.lit("$")).alias("pattern"), "negated", "only_folders")
+
+
+def without_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """``files`` (file_path and others, paths relative to the root) without those that ``rules`` leave out.
+
+    Of the rules that fit a path the one of the deepest folder decides, in one file the last; a negated rule lets it in again. What
+    lies in a folder that is left out stays out, whatever rules say of it. A path meets the rules of the folders above it
+    only, by an equi-join on the folder.
+    """
+    parts = F.split("file_path", "/")
+    depth = F.sequence(F.lit(1), F.size(parts))
+    each = files.select("file_path").distinct().select("file_path", F.explode(F.transform(depth, lambda n: F.struct(n.alias("n"), (n < F.size(parts)).alias("is_folder")))).alias("x"))
+    each = each.select("file_path", "x.n", "x.is_folder", F.slice(F.split("file_path", "/"), F.lit(1), F.col("x.n")).alias("p"))
+    above = each.select("file_path", "n", "is_folder", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(k.alias("k"), F.array_join(F.slice("p", F.lit(1), k), "/").alias("folder"), F.array_join(F.slice("p", k + 1, F.col("n") - k), "/").alias("rest")))).alias("y"))
+    fits = above.select("file_path", "n", "is_folder", "y.*").join(checked_broadcast(rules), "folder").where(F.regexp_like("rest", F.col("pattern")) & (F.col("is_folder") | ~F.col("only_folders")))
+    last = fits.groupBy("file_path", "n").agg(F.max_by("negated", F.struct("k", "position")).alias("negated"))
+    out = last.where("NOT negated").select("file_path").distinct()
+    return files.join(out, "file_path", "left_anti")
 
 
 def changes(old: DataFrame, new: DataFrame, key: str = "file_path", content: str = "content_hash") -> DataFrame:
@@ -37,10 +79,14 @@ def changes(old: DataFrame, new: DataFrame, key: str = "file_path", content: str
 
 
 def delta(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(file_path, change) from manifests (file_path, size, mtime, content_hash): equal size and mtime are unchanged, else the hash decides."""
+    """(file_path, change) from manifests (file_path, size, mtime, content_hash): equal size and mtime are unchanged, else the hash decides.
+
+    A null proves nothing: only values that both sides have can be equal.
+    """
     o = old.select("file_path", F.struct("size", "mtime").alias("o"), F.col("content_hash").alias("oh"), F.lit(True).alias("before"))
     n = new.select("file_path", F.struct("size", "mtime").alias("n"), F.col("content_hash").alias("nh"), F.lit(True).alias("after"))
-    same = F.col("o").eqNullSafe(F.col("n")) | F.col("oh").eqNullSafe(F.col("nh"))
+    equal = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    same = (equal("o.size", "n.size") & equal("o.mtime", "n.mtime")) | equal("oh", "nh")
     kind = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "deleted").when(same, "unchanged").otherwise("changed")
     return o.join(n, "file_path", "full").select("file_path", kind.alias("change"))
 

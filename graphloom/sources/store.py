@@ -22,7 +22,8 @@ def heads(spark: SparkSession, root: str) -> DataFrame:
 def commit(root: str, workspace: str, edges: DataFrame, key: str) -> int:
     """Write a revision and then its head entry; a key that was committed before gives its revision again.
 
-    The head entry is written last, so a reader sees the old or the new revision, never half of one.
+    The head entry is written last, so a reader sees the old or the new revision, never half of one. A revision whose head
+    entry was lost is written over by the next commit, so a retry doubles nothing.
     """
     spark = edges.sparkSession
     own = heads(spark, root).where(F.col("workspace_id") == workspace).first()
@@ -31,7 +32,7 @@ def commit(root: str, workspace: str, edges: DataFrame, key: str) -> int:
         if same:
             return same["revision_id"]
     revision = (own["revision_id"] if own else 0) + 1
-    edges.withColumn("workspace_id", F.lit(workspace)).withColumn("revision_id", F.lit(revision).cast("long")).write.mode("append").partitionBy("workspace_id", "revision_id").parquet(f"{root}/edges")
+    edges.withColumn("workspace_id", F.lit(workspace)).withColumn("revision_id", F.lit(revision).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workspace_id", "revision_id").parquet(f"{root}/edges")
     row = spark.createDataFrame([(workspace, revision, key)], "workspace_id string, revision_id long, commit_key string").withColumn("at", F.current_timestamp())
     row.write.mode("append").parquet(f"{root}/heads")
     return revision

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import analytics, blocks, candidates, questions, reachability
 from graphloom.operators.ordered import order_statistics, running_sum, within_budget
-from graphloom.sources import history, openapi
+from graphloom.sources import history, manifest, openapi, store
+from graphloom.streaming import changes, reindex
 
 
 def edges(spark, pairs):
@@ -228,3 +229,75 @@ def test_openapi(spark):
     asked = [("/pets/{id}", "/pets/42", True), ("/pets/{id}", "/pets", False), ("/api/users/", "api/users", True), ("/a/{}", "/a/b", False), ("/", "", True)]
     got = spark.createDataFrame([(p, q) for p, q, _ in asked], "p string, q string").select(openapi.serves(F.col("p"), F.col("q")).alias("ok")).collect()
     assert [r.ok for r in got] == [ok for _, _, ok in asked]
+
+
+def test_reindexing_restarts_and_equals_batch_folding(spark, tmp_path):
+    rng = random.Random(6)
+    ops = ["dependency_added"] * 5 + ["dependency_removed", "symbol_removed"]
+    events = [(rng.choice(ops), f"s{rng.randint(0, 9)}", f"s{rng.randint(0, 9)}", "calls", i) for i in range(240)]
+    events = [(op, a, None, None, i) if op == "symbol_removed" else (op, a, b, t, i) for op, a, b, t, i in events]
+    source, log, checkpoint = (str(tmp_path / x) for x in ("in", "log", "checkpoint"))
+    table = lambda rows: spark.createDataFrame(rows, reindex.EVENTS)
+    stood = lambda df: sorted(map(tuple, df.select("src", "dst", "dep_type").collect()))
+    none = table([]).select("src", "dst", "dep_type")
+    assert reindex.current(spark, log).collect() == [] and reindex.compact(spark, log) == -1
+    sizes = []
+    for k in range(3):
+        table(events[80 * k : 80 * k + 80]).coalesce(1).write.mode("append").json(source)
+        stream = reindex.reindex(reindex.watched(spark, source, files=1), log, checkpoint)
+        stream.awaitTermination()
+        sizes.append(stream.lastProgress["stateOperators"][0]["numRowsTotal"])
+        assert stood(reindex.current(spark, log)) == stood(changes.folded(none, table(events[: 80 * k + 80])))
+        if k == 1:
+            assert reindex.compact(spark, log) == 1
+    assert len(reindex._parts(spark, log)[0]) == 2  # the compaction and the batch after it
+    assert sizes[-1] <= 10 + 100  # one row per key, however many events
+    # a restart without new files changes nothing
+    reindex.reindex(reindex.watched(spark, source, files=1), log, checkpoint).awaitTermination()
+    assert stood(reindex.current(spark, log)) == stood(changes.folded(none, table(events)))
+    # a batch written again, as after a failure, neither
+    last = reindex._parts(spark, log)[0][-1]
+    spark.read.schema(reindex.LOG).parquet(last).write.parquet(f"{log}/batch=000000000099")
+    assert stood(reindex.current(spark, log)) == stood(changes.folded(none, table(events)))
+
+
+def test_lost_head_entry_and_unknown_sizes(spark, tmp_path):
+    import shutil
+
+    root, e = str(tmp_path / "s"), edges(spark, [("a", "b"), ("b", "c")])
+    assert store.commit(root, "w", e, "k1") == 1
+    shutil.rmtree(f"{root}/heads")
+    assert store.commit(root, "w", e, "k1") == 1 and store.snapshot(spark, root, "w").count() == 2
+    assert store.commit(root, "v", e.limit(1), "k1") == 1 and store.snapshot(spark, root, "w").count() == 2
+    old = spark.createDataFrame([("f", None, None, "h1"), ("g", 1, 2, "h1"), ("h", 1, None, None)], "file_path string, size int, mtime int, content_hash string")
+    new = spark.createDataFrame([("f", None, None, "h2"), ("g", 1, 2, None), ("h", 1, None, None)], "file_path string, size int, mtime int, content_hash string")
+    assert {r.file_path: r.change for r in manifest.delta(old, new).collect()} == {"f": "changed", "g": "unchanged", "h": "changed"}
+
+
+def test_ignore_rules_equal_those_of_git(spark, tmp_path):
+    import subprocess
+
+    files = [f"{d}{f}" for d in ("", "build/", "src/", "src/build/", "src/a/b/", "docs/x/", "top1/y/", "node/") for f in ("a.log", "keep.log", "b.txt", "x1.c", "deep", "#odd", "a+b.md")]
+    rules = {"": ["# comment", "", "*.log", "!keep.log", "build/", "/top?/**", "docs/**/b.txt", "!build/keep.log", "\\#odd", "a+b.*  "], "src": ["!a.log", "a/b/x[0-9].c", "/deep"], "src/a": ["*", "!b/", "!*.txt"], "node": ["deep/", "x[!2].c"]}
+    lines = []
+    for f in files:
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text("x")
+    for folder, own in rules.items():
+        (tmp_path / folder / ".gitignore").write_text("\n".join(own) + "\n")
+        lines += [(folder, i, x) for i, x in enumerate(own)]
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    gone = subprocess.run(["git", "-C", str(tmp_path), "check-ignore", "--no-index", "--stdin"], input="\n".join(files), capture_output=True, text=True, check=False).stdout.split("\n")
+    made = manifest.ignore_rules(spark.createDataFrame(lines, "folder string, position int, line string"))
+    kept = manifest.without_ignored(spark.createDataFrame([(f, 1) for f in files], "file_path string, size int"), made)
+    assert sorted(r.file_path for r in kept.collect()) == sorted(set(files) - set(gone)) and len(gone) > 20
+
+
+def test_types_and_mentions(spark):
+    from graphloom.operators import views
+
+    paths = ["a/b.RS", "x.d/noext", ".bashrc", "m.json", "n.yaml", "r.md", "s.R", "t.tar.gz", "u.", None]
+    got = manifest.classified(spark.createDataFrame([(p,) for p in paths], "file_path string")).collect()
+    assert [(r.file_type, r.language) for r in got] == [("code", "rust"), ("other", None), ("other", None), ("config", None), ("config", "yaml"), ("document", None), ("code", "r"), ("other", None), ("other", None), ("other", None)]
+    lines = [("see [foo](src/foo.rs:foo:1) for details", 0.5), ("src/bar.rs:helper:42", 0.5), ("<a:b>", 0.5), ("a:b:c", 0.3), ("http://a:80", 0.3), ("", 0.3), (None, 0.3), ("a::b", 0.3), ("one:two:3:4", 0.3), ("[x](open", 0.3)]
+    assert [r.c for r in spark.createDataFrame([(x,) for x, _ in lines], "l string").select(views.mention_tier(F.col("l")).alias("c")).collect()] == [c for _, c in lines]
