@@ -69,6 +69,12 @@ def dead_code(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.where(F.col("kind").isin([*CALLABLE, *TYPES])).join(live.select("id"), "id", "left_anti")
 
 
+def long_parameter_lists(degrees: DataFrame, most: int) -> DataFrame:
+    """(id, name, file, line, parameters) of functions that take more than ``most`` things from elsewhere, counted as what they call."""
+    found = degrees.where("kind = 'function'").where(F.col("fan_out") > most)
+    return found.select("id", "name", "file", (F.col("line") + 1).alias("line"), F.col("fan_out").alias("parameters"))
+
+
 def unreferenced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return roots(nodes, edges).where(F.col("kind").isin([*CALLABLE, *TYPES]))
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from graphloom.model import in_scope
 from graphloom.operators import reach, search
+from graphloom.operators.access import roots
 
 #: Confidence tiers of links, headings and issue references: fixed values.
 EXACT_LINK, HEADING, FUZZY_LINK, UNRESOLVED = 0.9, 0.7, 0.6, 0.3
@@ -191,6 +192,21 @@ def scalability(points: DataFrame, group: str) -> DataFrame:
     return facts.withColumn("class", kind).withColumn("fit", fit).select(group, "class", "fit", score.alias("score"))
 
 
+def dashboard(nodes: DataFrame, edges: DataFrame, dead: DataFrame, communities: DataFrame, facts: DataFrame, scores: DataFrame, top: int) -> DataFrame:
+    """One row on a whole project: symbols, edges, entry points, dead code, sizes of communities, ``insights``' facts and the hottest paths.
+
+    ``communities`` are (id, community), ``facts`` the row of ``insights``, ``scores`` (id, score); hot_paths lists the ``top`` ids by score
+    as id=score. An empty project has zeros, and null sizes.
+    """
+    n = F.count(F.lit(1))
+    sizes = communities.groupBy(communities.columns[1]).agg(n.alias("size"))
+    hot = scores.orderBy(F.desc("score"), "id").limit(top).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", "score"))), lambda x: F.concat_ws("=", x["id"], x["score"])), ",").alias("hot_paths"))
+    one = nodes.agg(n.alias("symbols"))
+    for part in (edges.agg(n.alias("edges")), roots(nodes, edges).agg(n.alias("entry_points")), dead.agg(n.alias("dead_code")), sizes.agg(F.max("size").alias("largest"), F.min("size").alias("smallest")), facts, hot):
+        one = one.join(F.broadcast(part))  # one row each
+    return one
+
+
 def insights(cycles: DataFrame, gods: DataFrame, cohesion: DataFrame, crossing: DataFrame) -> DataFrame:
     """One row (cycles, in_cycles, gods, communities, cohesion, crossing, health) of analytics' tables.
 

@@ -12,7 +12,7 @@ from graphloom.operators import analytics, blocks, candidates, federation, lense
 from graphloom.operators.ordered import order_statistics, running_sum
 from graphloom.queries import G, query
 from graphloom.session import shared_dir
-from graphloom.sources import history, manifest, openapi
+from graphloom.sources import history, manifest, openapi, runs, store
 from graphloom.streaming import reindex
 
 # --- blocks --------------------------------------------------------------------------------
@@ -234,6 +234,41 @@ query("se7_three_rankings", with_graph(_THREE + " SELECT name, round(score, 6) A
     ).withColumn("score", F.round("score", 6))
 )
 
+# --- graphs and runs as files --------------------------------------------------------------
+
+_shared = lambda g, name: f"{shared_dir(g.spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+_JSON = """concat('{"nodes": [{"id": "', user_id, '", "kind": "user"}], "edges": [{"source": "', user_id, '", "target": "', event_type, '", "relation": "r', event_id % 2, '", "confidence": 0.', event_id % 9, '}, {"target": "lost"}]', CASE WHEN event_id % 10 = 0 THEN ' broken' ELSE '}' END)"""
+query("src17_json_graph", "SELECT CAST(user_id AS VARCHAR) AS src, event_type AS dst, 'r' || event_id % 2 AS dep_type, max(event_id % 9) / 10.0::DOUBLE AS confidence FROM events WHERE event_id % 10 <> 0 GROUP BY 1, 2, 3")(lambda g: runs.json_graph(g.events.select(F.expr(_JSON).alias("text")))[1])
+query("src19_generic_relations", "SELECT 'supplier:' || l_suppkey AS src, 'part:' || l_partkey AS dst, 'CALLS' AS type, '{\"flag\":\"' || arg_min(l_returnflag, l_orderkey * 10 + l_linenumber) || '\",\"seq\":' || min(l_orderkey * 10 + l_linenumber) || '}' AS properties FROM lineitem GROUP BY l_suppkey, l_partkey")(
+    lambda g: runs.generic(g.nodes, g.lineitem.select(_key("supplier", "l_suppkey").alias("src"), _key("part", "l_partkey").alias("dst"), F.lit("calls").alias("dep_type"), F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")), F.col("seq"))[1]
+)
+
+
+def _history(g: G) -> DataFrame:
+    """Two appended histories read back, and the newest report of each user."""
+    folder, rows = _shared(g, "history"), g.events.select("user_id", "event_id", "event_type", "value")
+    for part in (0, 1):
+        runs.append_runs(rows.where(F.col("event_id") % 2 == part), folder)
+    return runs.latest_reports(runs.read_runs(g.spark, folder, "user_id long, event_id long, event_type string, value double"), ["user_id"], "event_id")
+
+
+query("src25_latest_of_history", "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")(_history)
+
+
+def _restored(g: G) -> DataFrame:
+    """Three revisions in a store, the last one restored from the first: all checkpoints."""
+    root = _shared(g, "store")
+    store.commit(root, "w", g.contains, "a")
+    store.commit(root, "w", g.edges, "b")
+    runs.restore(g.spark, root, "w", 1, "c")
+    return runs.checkpoints(g.spark, root, "w")
+
+
+query("sm10_checkpoints", with_graph(", k AS (SELECT * FROM e WHERE dep_type = 'contains'), a AS (SELECT (SELECT count(*) FROM (SELECT src FROM k UNION SELECT dst FROM k)) AS symbols, (SELECT count(*) FROM k) AS edges), b AS (SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS symbols, (SELECT count(*) FROM e) AS edges) SELECT 1::BIGINT AS revision_id, * FROM a UNION ALL SELECT 2, * FROM b UNION ALL SELECT 3, * FROM a", "e"))(_restored)
+query("fed4_spaces", "SELECT CAST(user_id AS VARCHAR) AS space, event_type AS name FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_id % 3 <> 0")(
+    lambda g: runs.spaces(g.events.select(F.col("user_id").cast("string").alias("space"), F.col("event_type").alias("name"), F.when(F.col("event_id") % 3 == 0, "unregister").otherwise("register").alias("op"), F.col("event_id").alias("seq")))
+)
+
 # --- streams -------------------------------------------------------------------------------
 
 

@@ -101,12 +101,24 @@ query(
 )
 _INSIGHTS = _SCC + ", cy AS (SELECT component, count(*) AS size FROM s GROUP BY component HAVING count(*) > 1 OR max(CASE WHEN id IN (SELECT src FROM f WHERE src = dst) THEN 1 ELSE 0 END) = 1), a AS (SELECT count(*) AS cycles, CAST(coalesce(sum(size), 0) AS BIGINT) AS in_cycles FROM cy), i AS (SELECT dst AS id, count(DISTINCT src) AS score FROM f GROUP BY dst), g AS (SELECT count(*) AS gods FROM i WHERE score >= (SELECT score FROM i ORDER BY score LIMIT 1 OFFSET (SELECT CAST(floor(count(*) * 0.95) AS BIGINT) FROM i))), "
 _INSIGHTS += "x AS (SELECT split_part(src, ':', 2) AS ca, split_part(dst, ':', 2) AS cb FROM f), co AS (SELECT ca, avg(CASE WHEN ca = cb THEN 1.0 ELSE 0.0 END) AS c FROM x GROUP BY ca), h AS (SELECT count(*) AS communities, avg(coalesce(co.c, 0)) AS cohesion FROM (SELECT DISTINCT split_part(id, ':', 2) AS c FROM v) k LEFT JOIN co ON co.ca = k.c), r2 AS (SELECT count(*) AS crossing FROM x WHERE ca <> cb)"
-query("ag22_insights", with_graph(_INSIGHTS + " SELECT cycles, in_cycles, gods, communities, round(cohesion, 9) AS cohesion, crossing, round(CAST(greatest(0, 100 - least(5.0 * cycles, 30) - CASE WHEN gods > 3 THEN 10 ELSE 0 END - 20 * (1 - cohesion) - 0.5 * least(crossing, 20)) AS DOUBLE), 6) AS health FROM a, g, h, r2", "f", recursive=True))(
-    lambda g: (c := g.flow_nodes.select("id", F.split_part("id", F.lit(":"), F.lit(2)).alias("community")))
-    and views.insights(
+
+
+def _facts(g):
+    c = g.flow_nodes.select("id", F.split_part("id", F.lit(":"), F.lit(2)).alias("community"))
+    found = views.insights(
         analytics.cycles(analytics.strong_components(g.flow_nodes, g.flow), g.flow),
         analytics.god_nodes(access.fan_in(g.flow).select("id", F.col("fan_in").alias("score")), 0.95),
         analytics.cohesion(g.flow, c),
         g.flow.join(c.toDF("src", "a"), "src").join(c.toDF("dst", "b"), "dst").where("a != b"),
-    ).withColumns({"cohesion": F.round("cohesion", 9), "health": F.round("health", 6)})
+    )
+    return c, found.withColumns({"cohesion": F.round("cohesion", 9), "health": F.round("health", 6)})
+
+
+_HEALTH = " cycles, in_cycles, gods, communities, round(cohesion, 9) AS cohesion, crossing, round(CAST(greatest(0, 100 - least(5.0 * cycles, 30) - CASE WHEN gods > 3 THEN 10 ELSE 0 END - 20 * (1 - cohesion) - 0.5 * least(crossing, 20)) AS DOUBLE), 6) AS health"
+query("ag22_insights", with_graph(_INSIGHTS + f" SELECT {_HEALTH} FROM a, g, h, r2", "f", recursive=True))(lambda g: _facts(g)[1])
+_DEAD = ", o AS (SELECT id FROM v WHERE id NOT IN (SELECT dst FROM f)), dd AS (SELECT count(*) AS dead_code FROM v WHERE id NOT IN (SELECT id FROM o) AND id NOT IN (SELECT b FROM r WHERE a IN (SELECT id FROM o))), z AS (SELECT split_part(id, ':', 2) AS c, count(*) AS size FROM v GROUP BY 1), hp AS (SELECT string_agg(id || '=' || score, ',' ORDER BY score DESC, id) AS hot_paths FROM (SELECT * FROM i ORDER BY score DESC, id LIMIT 10))"
+query("ag24_dashboard", with_graph(_INSIGHTS + _DEAD + f" SELECT (SELECT count(*) FROM v) AS symbols, (SELECT count(*) FROM f) AS edges, (SELECT count(*) FROM o) AS entry_points, dead_code, (SELECT max(size) FROM z) AS largest, (SELECT min(size) FROM z) AS smallest, hot_paths, {_HEALTH} FROM a, g, h, r2, dd, hp", "f", recursive=True))(
+    lambda g: (x := _facts(g))
+    and views.dashboard(g.flow_nodes, g.flow, aggregate.dead_code(g.flow_nodes.withColumn("kind", F.lit("function")), g.flow), x[0], x[1], access.fan_in(g.flow).select("id", F.col("fan_in").alias("score")), 10)
 )
+query("ag27_long_parameter_lists", with_graph("SELECT id, name, file, line + 1 AS line, fan_out AS parameters FROM d WHERE kind = 'function' AND fan_out > 50", "d"))(lambda g: aggregate.long_parameter_lists(g.degrees, 50))
