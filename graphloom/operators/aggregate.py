@@ -125,6 +125,15 @@ def god_functions(degrees: DataFrame, least_in: int, least_out: int) -> DataFram
     return degrees.where((F.col("fan_in") >= least_in) | (F.col("fan_out") >= least_out)).select("id", "fan_in", "fan_out", score.alias("score"))
 
 
+def graph_diff(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame], by: list[str]) -> DataFrame:
+    """(what, op, id, dst, dep_type) of two (nodes, edges): nodes added, removed or modified in a column of ``by``, edges added or removed."""
+    none = F.lit(None).cast("string")
+    a, b = old[0].select("id", F.struct(*by).alias("a")), new[0].select("id", F.struct(*by).alias("b"))
+    op = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "modified")
+    nodes = a.join(b, "id", "full").select(F.lit("node").alias("what"), op.alias("op"), "id", none.alias("dst"), none.alias("dep_type")).where("op IS NOT NULL")
+    return nodes.union(edge_diff(old[1], new[1]).select(F.lit("edge"), "op", "src", "dst", "dep_type"))
+
+
 def edge_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(op, src, dst, dep_type) of edges added and removed."""
     key = ["src", "dst", "dep_type"]

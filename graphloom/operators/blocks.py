@@ -104,20 +104,26 @@ def blocks(edges: DataFrame) -> DataFrame:
     return ends.select("a", "b", F.greatest("pa", "pb").alias("id")).join(named, "id").select("a", "b", "block")
 
 
-def bridges(edges: DataFrame) -> DataFrame:
-    """(a, b) of undirected edges whose removal splits their component: the edges that are a block of their own."""
-    found = cut(blocks(edges), "blocks")
+def bridges(edges: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(a, b) of undirected edges whose removal splits their component: the edges that are a block of their own.
+
+    ``found`` takes the result of ``blocks`` where it is there already.
+    """
+    found = cut(blocks(edges), "blocks") if found is None else found
     alone = found.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
     return alone.where("n = 1").select("a", "b")
 
 
-def articulation_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def articulation_points(nodes: DataFrame, edges: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(id, components): cut vertices, which lie in several blocks, with the number of components of the whole graph once each is removed.
 
-    A node without edges is a component of its own and never a cut vertex.
+    A node without edges is a component of its own and never a cut vertex. ``found`` takes the blocks of the edges
+    between the nodes where they are there already.
     """
     ids = nodes.select("id").distinct()
-    found = cut(blocks(edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")), "blocks")
+    if found is None:
+        between = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        found = cut(blocks(between), "blocks")
     at = found.select(F.col("a").alias("id"), "block").union(found.select("b", "block")).distinct()
     linked = connected_components(found.select("a", "b"))
     base = ids.join(linked, "id", "left").select(F.coalesce("component", "id").alias("c")).distinct().count()

@@ -120,6 +120,23 @@ def explained(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return steps.join(best, ["from", "to"]).select("src", "dst", "hop", "from", "to", F.col("x.dep_type").alias("verb"), F.col("x.confidence").alias("confidence"))
 
 
+def topological_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``topological_layers`` of an acyclic graph; a graph with a cycle raises ValueError that names a node on or behind it."""
+    layers = cut(topological_layers(edges, nodes), "order")
+    stuck = nodes.select("id").distinct().join(layers.select("id"), "id", "left_anti").agg(F.min("id")).first()[0]
+    if stuck is not None:
+        raise ValueError(f"no order: {stuck} is on or behind a cycle")
+    return layers
+
+
+def traversed_edges(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "outgoing") -> DataFrame:
+    """The edges that a walk of ``depth`` steps from the seeds goes along, whether or not they lead somewhere new."""
+    inner = reach(edges, seeds, direction, depth - 1).select("id") if depth > 0 else seeds.select("id").limit(0)
+    ends = {"outgoing": ["src"], "incoming": ["dst"], "both": ["src", "dst"]}[direction]
+    found = [edges.join(checked_broadcast(inner.withColumnRenamed("id", end)), end, "left_semi").select(edges.columns) for end in ends]
+    return found[0] if len(found) == 1 else found[0].union(found[1]).distinct()
+
+
 def topological_layers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, layer) by peeling nodes without incoming edges; nodes on or behind a cycle get no row."""
     left = cut(edges.select("src", "dst").distinct(), "peel")

@@ -7,9 +7,9 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.model import STOP_WORDS
+from graphloom.operators.ordered import order_statistics
 
 
 def tokens(name: Column) -> Column:
@@ -24,6 +24,12 @@ def keywords(question: str) -> list[str]:
     return list(dict.fromkeys(w for w in words if len(w) > 1 and w not in STOP_WORDS))
 
 
+def keywords_of(question: Column) -> Column:
+    """``keywords`` of a column of questions, as an array; null and empty questions have none."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(question, F.lit(""))), F.lit(r"[\w-]+"), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(sorted(STOP_WORDS))))
+
+
 def idf_table(nodes: DataFrame) -> DataFrame:
     """(token, df, idf): idf = ln(1 + N / (1 + df)) over name tokens and whole names."""
     n = nodes.count()
@@ -48,9 +54,8 @@ def idf_search(nodes: DataFrame, degrees: DataFrame, query: str, limit: int | No
         score = score + rate * best
     score = score + F.when(low == query.lower(), 1000.0).when(F.contains(low, F.lit(query.lower())), 100.0).otherwise(0.0)
     degree = nodes.select("id", "name").join(degrees.select("id", (F.col("fan_in") + F.col("fan_out")).alias("degree")), "id")
-    counts = degree.groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
-    running = counts.withColumn("upto", F.sum("n").over(Window.orderBy("degree")))  # one row per distinct degree
-    p95 = running.where(F.col("upto") > int(0.95 * n)).agg(F.min("degree")).first()[0] or 0
+    p95 = order_statistics(degree, [], "degree", {"p95": (0.95, 0)}).first()
+    p95 = p95["p95"] if p95 and p95["p95"] is not None else 0
     scored = degree.withColumn("score", score).where("score > 0")
     scored = scored.withColumn("score", F.when(F.col("degree") > p95, F.col("score") * 0.1).otherwise(F.col("score")))
     scored = scored.select("id", "name", "score")
@@ -82,6 +87,13 @@ def lines_matching(docs: DataFrame, pattern: str) -> DataFrame:
     return lines.select("doc_id", "line", F.col("hit").alias("text"), F.get("l", F.col("line") - 1).alias("before"), F.get("l", F.col("line") + 1).alias("after"))
 
 
+def limited(rows: DataFrame, order: list, n: int) -> DataFrame:
+    """The first ``n`` rows and whether there are more (truncated). One row beyond them is looked at, no more."""
+    first = rows.orderBy(*order).limit(n + 1)
+    more = first.agg((F.count(F.lit(1)) > n).alias("truncated"))
+    return first.orderBy(*order).limit(n).join(F.broadcast(more))  # one row
+
+
 def page(ranked: DataFrame, order: list, offset: int, size: int) -> DataFrame:
     """Rows offset .. offset + size - 1 in the given order."""
     return ranked.orderBy(*order).offset(offset).limit(size)

@@ -134,9 +134,6 @@ query("ql18_and", with_graph("SELECT id FROM n WHERE kind = 'function' INTERSECT
 query("ql18_or", with_graph("SELECT id FROM n WHERE kind = 'class' UNION SELECT dst FROM e WHERE confidence >= 0.99", "n", "e"))(lambda g: g.nodes.where("kind = 'class'").select("id").union(g.edges.where("confidence >= 0.99").select("dst")).distinct())
 query("ql18_not", with_graph("SELECT id FROM n EXCEPT SELECT dst FROM e WHERE dep_type = 'calls'", "n", "e"))(lambda g: g.nodes.select("id").subtract(g.edges.where("dep_type = 'calls'").select("dst")))
 query("ql19_row_limit", with_graph("SELECT id FROM n ORDER BY id LIMIT 25", "n"))(lambda g: g.nodes.select("id").orderBy("id").limit(25))
-query("ql23_cluster_members", with_graph("SELECT kind, string_agg(id, ',' ORDER BY id) AS members FROM n WHERE kind IN ('module', 'class') GROUP BY kind", "n"))(
-    lambda g: g.nodes.where("kind IN ('module', 'class')").groupBy("kind").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("members"))
-)
 query("ql25_match", with_graph("SELECT a.id AS a, b.id AS b, x.confidence FROM n a JOIN e x ON x.src = a.id JOIN n b ON b.id = x.dst WHERE a.kind = 'function' AND b.kind = 'method' AND x.dep_type = 'calls' AND x.provenance = 'inferred'", "n", "e"))(
     lambda g: g.nodes.where("kind = 'function'").select(F.col("id").alias("a")).join(g.edges.where("dep_type = 'calls' AND provenance = 'inferred'"), F.col("a") == F.col("src")).join(g.nodes.where("kind = 'method'").select(F.col("id").alias("b")), F.col("b") == F.col("dst")).select("a", "b", "confidence")
 )
@@ -284,9 +281,6 @@ query("al17_modularity", with_graph(_TYPE + ", m AS (SELECT CAST(count(*) AS DOU
 query("al15_k_core", with_graph(", p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM f WHERE src <> dst), q AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), d0 AS (SELECT a FROM q GROUP BY a HAVING count(*) >= 2), q1 AS (SELECT * FROM q WHERE a IN (SELECT a FROM d0) AND b IN (SELECT a FROM d0)), d1 AS (SELECT a FROM q1 GROUP BY a HAVING count(*) >= 2), q2 AS (SELECT * FROM q1 WHERE a IN (SELECT a FROM d1) AND b IN (SELECT a FROM d1)), d2 AS (SELECT a FROM q2 GROUP BY a HAVING count(*) >= 2), q3 AS (SELECT * FROM q2 WHERE a IN (SELECT a FROM d2) AND b IN (SELECT a FROM d2)), d3 AS (SELECT a FROM q3 GROUP BY a HAVING count(*) >= 2), q4 AS (SELECT * FROM q3 WHERE a IN (SELECT a FROM d3) AND b IN (SELECT a FROM d3)) SELECT DISTINCT a AS id FROM q4", "f"))(
     lambda g: analytics.k_core(g.flow, 2)
 )
-query("al27_relation_candidates", with_graph(", t AS (SELECT id, file FROM n WHERE kind = 'module'), x AS (SELECT t.id, n.id AS candidate, 0.7 AS score FROM t JOIN n USING (file) UNION ALL SELECT t.id, n.id, 0.5 FROM t JOIN n ON n.kind = 'module') SELECT id, candidate, CAST(max(score) AS DOUBLE) AS score FROM x WHERE id <> candidate GROUP BY 1, 2", "n"))(
-    lambda g: aggregate.relation_candidates(g.nodes, g.nodes.where("kind = 'module'"), g.nodes.where("kind = 'module'").select("id", "kind"))
-)
 
 # --- search, statistics, federation, sources -----------------------------------------------
 

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graphs import with_graph
-from graphloom.operators import analytics, blocks, candidates, federation, lenses, questions, reach, reachability, search, views
+from graphloom.operators import access, aggregate, analytics, blocks, candidates, federation, lenses, questions, reach, reachability, search, views
 from graphloom.operators.ordered import order_statistics, running_sum
-from graphloom.queries import G, query
-from graphloom.session import shared_dir
+from graphloom.queries import _SCC, G, query
+from graphloom.session import cut, shared_dir
 from graphloom.sources import history, manifest, openapi, runs, store
-from graphloom.streaming import reindex
+from graphloom.streaming import changes, reindex
 
 # --- blocks --------------------------------------------------------------------------------
 
@@ -140,7 +140,7 @@ query("se15_page_after_cursor", with_graph("SELECT id, fan_in FROM d WHERE (fan_
 
 _PART = "regexp_replace(regexp_replace({}, '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')"
 _TOKENS = f"list_distinct(list_filter(string_split_regex({_PART.format('name')}, '[^A-Za-z0-9]+'), lambda x: length(x) >= 3))"
-query("al27_top_candidates", with_graph(f", t AS (SELECT id, unnest({_TOKENS}) AS tok FROM n), p AS (SELECT a.id, b.id AS candidate, 0.7 AS score FROM n a JOIN n b USING (file) UNION ALL SELECT a.id, b.id, 0.5 FROM n a JOIN n b USING (kind) UNION ALL SELECT DISTINCT a.id, b.id, 0.3 FROM t a JOIN t b USING (tok)), m AS (SELECT id, candidate, CAST(max(score) AS DOUBLE) AS score FROM p WHERE id <> candidate GROUP BY 1, 2), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, candidate) AS INTEGER) AS rank FROM m) SELECT id, rank, candidate, score, CASE score WHEN 0.7 THEN 'same_file' WHEN 0.5 THEN 'same_community' ELSE 'name_match' END AS reason FROM k WHERE rank <= 5", "n"))(
+query("al27_relation_candidates", with_graph(f", t AS (SELECT id, unnest({_TOKENS}) AS tok FROM n), p AS (SELECT a.id, b.id AS candidate, 0.7 AS score FROM n a JOIN n b USING (file) UNION ALL SELECT a.id, b.id, 0.5 FROM n a JOIN n b USING (kind) UNION ALL SELECT DISTINCT a.id, b.id, 0.3 FROM t a JOIN t b USING (tok)), m AS (SELECT id, candidate, CAST(max(score) AS DOUBLE) AS score FROM p WHERE id <> candidate GROUP BY 1, 2), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, candidate) AS INTEGER) AS rank FROM m) SELECT id, rank, candidate, score, CASE score WHEN 0.7 THEN 'same_file' WHEN 0.5 THEN 'same_community' ELSE 'name_match' END AS reason FROM k WHERE rank <= 5", "n"))(
     lambda g: candidates.top_candidates(g.nodes, g.nodes, g.nodes.select("id", "kind"), 5)
 )
 
@@ -234,6 +234,52 @@ query("se7_three_rankings", with_graph(_THREE + " SELECT name, round(score, 6) A
     ).withColumn("score", F.round("score", 6))
 )
 
+# --- revisions -----------------------------------------------------------------------------
+
+
+def _store(g: G) -> str:
+    """A store with the containment edges as revision 1 and all edges as revision 2, which is committed three times under one key, and another workspace."""
+    root = f"{shared_dir(g.spark)}/graphloom/store-{uuid.uuid4().hex}"
+    store.commit(root, "w", g.contains, "first")
+    for _ in range(3):
+        store.commit(root, "w", g.edges, "second")
+    store.commit(root, "other", g.calls, "first")
+    return root
+
+
+query("src18_call_graph_reloaded", with_graph("SELECT * FROM e WHERE dep_type = 'calls'", "e"))(lambda g: store.snapshot(g.spark, _store(g), "other"))
+query("src20_committed_head", with_graph("SELECT * FROM e", "e"))(lambda g: store.snapshot(g.spark, _store(g), "w"))
+query("sm9_earlier_snapshot", with_graph("SELECT * FROM e WHERE dep_type = 'contains'", "e"))(lambda g: store.snapshot(g.spark, _store(g), "w", 1))
+query("sm11_heads_after_retries", with_graph("SELECT 'w' AS workspace_id, 2::BIGINT AS revision_id, count(*) AS edges FROM e UNION ALL SELECT 'other', 1, count(*) FROM e WHERE dep_type = 'calls'", "e"))(
+    lambda g: (root := _store(g)) and store.heads(g.spark, root).join(g.spark.read.parquet(f"{root}/edges").groupBy("workspace_id", "revision_id").agg(F.count(F.lit(1)).alias("edges")), ["workspace_id", "revision_id"])
+)
+
+# --- limits, kinds, walks, differences -----------------------------------------------------
+
+query("ql19_truncated", with_graph("SELECT id, kind, (SELECT count(*) > 25 FROM n) AS truncated FROM n ORDER BY kind, id LIMIT 25", "n"))(lambda g: search.limited(g.nodes.select("id", "kind"), ["kind", "id"], 25))
+query("ql16_cluster_by_name", with_graph("SELECT name, count(*) AS n FROM n GROUP BY name", "n"))(lambda g: g.nodes.groupBy("name").agg(F.count(F.lit(1)).alias("n")))
+query("ql14_neighbours_by_kind", with_graph(", b AS (SELECT src AS x, dst AS y FROM e WHERE dep_type = 'contains' UNION SELECT dst, src FROM e WHERE dep_type = 'contains'), r(id, depth) AS (SELECT 'nation:3', 0 UNION SELECT y, depth + 1 FROM r JOIN b ON x = id WHERE depth < 3) SELECT id, min(depth) AS depth FROM r GROUP BY id HAVING min(depth) > 0", "e", recursive=True))(
+    lambda g: reach.neighbours(access.by_kind(g.edges, ["contains"]), g.seed("nation:3"), 3, "both")
+)
+_ENTRY = ", x AS MATERIALIZED (SELECT DISTINCT src, dst FROM e), r(a, id, hops) AS (SELECT id, id, 0 FROM n WHERE id NOT IN (SELECT {to} FROM e) UNION SELECT r.a, x.{to}, hops + 1 FROM r JOIN x ON x.{of} = r.id WHERE hops < 3) SELECT a, id, min(hops) AS hops FROM r GROUP BY a, id HAVING min(hops) > 0"
+query("ag5_entry_callees", with_graph(_ENTRY.format(to="dst", of="src"), "n", "e", recursive=True))(lambda g: reach.shortest_paths(g.edges, access.roots(g.nodes, g.edges), 3).where("hops > 0").select(F.col("src").alias("a"), F.col("dst").alias("id"), "hops"))
+query("ag6_leaf_callers", with_graph(_ENTRY.format(to="src", of="dst"), "n", "e", recursive=True))(
+    lambda g: (back := g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) and reach.shortest_paths(back, access.leaves(g.nodes, g.edges), 3).where("hops > 0").select(F.col("src").alias("a"), F.col("dst").alias("id"), "hops")
+)
+query("ga19_traversed_edges", with_graph(", r(id, depth) AS (SELECT 'region:3', 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = id WHERE depth < 1) SELECT src, dst, dep_type, provenance, confidence FROM e WHERE src IN (SELECT id FROM r)", "e", recursive=True))(lambda g: reach.traversed_edges(g.edges, g.seed("region:3"), 2))
+query("ag28_whole_graph_diff", with_graph(", a AS (SELECT id, name, kind, line FROM n WHERE line % 5 <> 0), b AS (SELECT id, name, CASE WHEN line % 7 = 0 THEN NULL ELSE kind END AS kind, line FROM n WHERE line % 4 <> 0), x AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.kind IS DISTINCT FROM b.kind THEN 'modified' END AS op FROM a FULL JOIN b ON a.id = b.id) SELECT 'node' AS what, op, id, CAST(NULL AS VARCHAR) AS dst, CAST(NULL AS VARCHAR) AS dep_type FROM x WHERE op IS NOT NULL UNION ALL SELECT 'edge', CASE WHEN provenance = 'inferred' THEN 'added' ELSE 'removed' END, src, dst, dep_type FROM e WHERE provenance IN ('inferred', 'ambiguous')", "n", "e"))(
+    lambda g: aggregate.graph_diff(
+        (g.nodes.where("line % 5 != 0"), g.edges.where("provenance != 'inferred'")), (g.nodes.where("line % 4 != 0").withColumn("kind", F.when(F.col("line") % 7 == 0, F.lit(None)).otherwise(F.col("kind"))), g.edges.where("provenance != 'ambiguous'")), ["name", "kind"]
+    )
+)
+
+def _members(g: G) -> DataFrame:
+    found = cut(analytics.strong_components(g.flow_nodes, g.flow), "members")
+    return found.join(found.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select("component", "size", "id")
+
+
+query("ql23_cluster_members", with_graph(_SCC + " SELECT component, count(*) OVER (PARTITION BY component) AS size, id FROM s", "f", recursive=True))(_members)
+
 # --- graphs and runs as files --------------------------------------------------------------
 
 _shared = lambda g, name: f"{shared_dir(g.spark)}/graphloom/{name}-{uuid.uuid4().hex}"
@@ -291,3 +337,16 @@ def _reindexed(g: G) -> DataFrame:
 
 
 query("sm8_reindexed_stream", "WITH x AS (SELECT event_id AS seq, event_id % 7 AS n, CAST(user_id % 200 AS VARCHAR) AS src, event_type AS dst FROM events), e AS (SELECT src, dst, max_by(n, seq) AS n, max(seq) AS seq FROM x WHERE n > 0 GROUP BY 1, 2), r AS (SELECT src, max(seq) AS gone FROM x WHERE n = 0 GROUP BY 1) SELECT e.src, dst, 'calls' AS dep_type FROM e LEFT JOIN r ON r.src = e.src LEFT JOIN r q ON q.src = e.dst WHERE n >= 3 AND (r.gone IS NULL OR r.gone < seq) AND (q.gone IS NULL OR q.gone < seq)")(_reindexed)
+
+
+def _debounced(g: G) -> DataFrame:
+    """The events table read as a stream of files, debounced to its end."""
+    folder = _shared(g, "debounce")
+    stream = g.spark.readStream.schema(g.events.schema).parquet(f"{g.dir.rstrip('/')}/events.parque[t]")
+    touched = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("file"))
+    changes.debounce_stream(touched, f"{folder}/log", f"{folder}/checkpoint", "10 minutes", "1 minute").awaitTermination()
+    found = changes.debounce_state(g.spark.read.parquet(f"{folder}/log"))
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+query("sm2_debounced_stream", "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, event_type AS file, count(*) AS touches FROM events GROUP BY 1, 2")(_debounced)

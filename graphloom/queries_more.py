@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graphs import with_graph
+from graphloom.model import STOP_WORDS
 from graphloom.operators import access, aggregate, lenses, patterns, predicates, reach, search, stats
 from graphloom.queries import _MODULES, G, query
 from graphloom.sources import manifest
@@ -112,7 +113,10 @@ _WEIGHTS = {"view": 0.35, "click": 0.2, "purchase": 0.15}
 query("st11_improvement_ranking", "WITH s AS (SELECT event_type AS name, avg(value) AS score FROM events GROUP BY 1) SELECT name, round(score, 6) AS score, round(CASE name WHEN 'view' THEN 0.35 WHEN 'click' THEN 0.2 WHEN 'purchase' THEN 0.15 ELSE 0 END * (100 - score), 6) AS gain FROM s ORDER BY 3 DESC, name LIMIT 3")(
     lambda g: stats.improvement_targets(g.events.groupBy(F.col("event_type").alias("name")).agg(F.avg("value").alias("score")), _WEIGHTS, 3).select("name", F.round("score", 6).alias("score"), F.round("gain", 6).alias("gain"))
 )
-query("se11_keywords", "SELECT unnest(['small', 'pre-built', 'ring_2', 'foo', 'bar']) AS word")(lambda g: g.spark.createDataFrame([(w,) for w in search.keywords("Where does a SMALL pre-built ring_2 connect foo.bar, and they?")], "word string"))
+_STOP = ", ".join(f"('{w}')" for w in sorted(STOP_WORDS))
+query("se11_keywords", f"WITH q AS (SELECT event_id, unnest(regexp_extract_all(lower('How does the ' || event_type || ' of user_' || user_id || ' connect to x and pre-built ' || event_type || '?'), '[A-Za-z0-9_-]+')) AS w FROM events) SELECT DISTINCT event_id, w AS word FROM q WHERE length(w) > 1 AND w NOT IN (SELECT * FROM (VALUES {_STOP}))")(
+    lambda g: g.events.select("event_id", F.explode(search.keywords_of(F.concat(F.lit("How does the "), "event_type", F.lit(" of user_"), F.col("user_id").cast("string"), F.lit(" connect to x and pre-built "), "event_type", F.lit("?")))).alias("word"))
+)
 
 # --- sources, changes ----------------------------------------------------------------------
 

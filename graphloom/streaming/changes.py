@@ -30,6 +30,20 @@ def debounced(events: DataFrame, window: str, late: str) -> DataFrame:
     return seen.select(F.col("window.start").alias("start"), "file", "touches")
 
 
+def debounce_stream(events: DataFrame, folder: str, checkpoint: str, window: str, late: str) -> StreamingQuery:
+    """Keep the debounced batches of a stream of (ts, file) under ``folder``: each micro-batch writes the windows it touched, under its number."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number:012d}")
+
+    return debounced(events, window, late).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def debounce_state(updates: DataFrame) -> DataFrame:
+    """(start, file, touches) as of the latest update of each window and file; touches only grow."""
+    return updates.groupBy("start", "file").agg(F.max("touches").alias("touches"))
+
+
 def activity(events: DataFrame, window: str, late: str) -> DataFrame:
     """Events and value per type and tumbling window."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import analytics, blocks, candidates, questions, reachability
 from graphloom.operators.ordered import order_statistics, running_sum, within_budget
+from graphloom.session import cut
 from graphloom.sources import history, manifest, openapi, store
 from graphloom.streaming import changes, reindex
 
@@ -41,12 +42,13 @@ def test_blocks_by_hand(spark):
     # two triangles at c, a bridge d-e, a square e-f-g-h, another component, a loop, a repeated edge
     e = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "x"), ("x", "c"), ("d", "e"), ("e", "f"), ("f", "g"), ("g", "h"), ("h", "e"), ("p", "q"), ("q", "p"), ("a", "a")]
     got = defaultdict(set)
-    for r in blocks.blocks(edges(spark, e)).collect():
+    found = cut(blocks.blocks(edges(spark, e)))
+    for r in found.collect():
         got[r.block].add(r.a + r.b)
     assert sorted(map(sorted, got.values())) == [["ab", "ac", "bc"], ["cd", "cx", "dx"], ["de"], ["ef", "eh", "fg", "gh"], ["pq"]]
-    assert sorted((r.a, r.b) for r in blocks.bridges(edges(spark, e)).collect()) == [("d", "e"), ("p", "q")]
+    assert sorted((r.a, r.b) for r in blocks.bridges(edges(spark, e), found).collect()) == [("d", "e"), ("p", "q")]
     nodes = ids(spark, sorted({x for p in e for x in p} | {"alone"}))
-    assert sorted((r.id, r.components) for r in blocks.articulation_points(nodes, edges(spark, e)).collect()) == [("c", 4), ("d", 4), ("e", 4)]
+    assert sorted((r.id, r.components) for r in blocks.articulation_points(nodes, edges(spark, e), found).collect()) == [("c", 4), ("d", 4), ("e", 4)]
     assert blocks.blocks(edges(spark, []).limit(0)).collect() == []
 
 
@@ -54,8 +56,9 @@ def test_star_and_path_have_linear_state(spark):
     star = [("hub", f"leaf{i:03d}") for i in range(90)]
     tree = blocks.numbered(blocks.forest(blocks.undirected(edges(spark, star))))
     assert tree.count() == 91 and sorted(r.pre for r in tree.collect()) == list(range(91))
-    assert blocks.bridges(edges(spark, star)).count() == 90
-    assert [(r.id, r.components) for r in blocks.articulation_points(ids(spark, ["hub", *[b for _, b in star]]), edges(spark, star)).collect()] == [("hub", 90)]
+    found = cut(blocks.blocks(edges(spark, star)))
+    assert blocks.bridges(edges(spark, star), found).count() == 90
+    assert [(r.id, r.components) for r in blocks.articulation_points(ids(spark, ["hub", *[b for _, b in star]]), edges(spark, star), found).collect()] == [("hub", 90)]
 
 
 @pytest.mark.parametrize("seed", [1])
@@ -124,7 +127,7 @@ def test_order_statistics_and_a_hot_group(spark):
     assert got == want
     # distinct values of one group spread over tasks: a range partition holds part of them
     hot = spark.range(20_000).select(F.lit("hot").alias("g"), (F.col("id") * 7919 % 20_011).alias("v"))
-    placed = hot.repartitionByRange(F.col("g").asc_nulls_first(), F.col("v").asc())
+    placed = hot.repartitionByRange(4, F.col("g").asc_nulls_first(), F.col("v").asc())
     assert placed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 12_000
     assert order_statistics(hot, ["g"], "v", {"m": (0.5, 1)}).first().m == sorted(x * 7919 % 20_011 for x in range(20_000))[9999]
 

@@ -51,3 +51,32 @@ def test_long_lists_and_an_empty_dashboard(spark):
     facts = spark.createDataFrame([(0, 100.0)], "cycles long, health double")
     row = views.dashboard(none, edges, none, none.select("id", F.col("kind").alias("community")), facts, scores, 10).first()
     assert (row.symbols, row.edges, row.entry_points, row.dead_code, row.largest, row.health, row.hot_paths) == (0, 0, 0, 0, None, 100.0, "")
+
+
+def test_orders_walks_limits_and_keywords(spark):
+    import pytest
+
+    from graphloom.operators import reach, search
+
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "b")], "src string, dst string")
+    n = spark.createDataFrame([(x,) for x in "abcd"], "id string")
+    with pytest.raises(ValueError, match="a is on or behind"):
+        reach.topological_order(e, n)
+    assert {r.id: r.layer for r in reach.topological_order(e.where("src != 'c'"), n).collect()} == {"a": 0, "d": 1, "b": 2, "c": 3}
+    walked = lambda d, way: sorted(r.src + r.dst for r in reach.traversed_edges(e, n.where("id = 'a'"), d, way).collect())
+    assert [walked(0, "outgoing"), walked(1, "outgoing"), walked(2, "outgoing"), walked(1, "incoming"), walked(1, "both")] == [[], ["ab", "ad"], ["ab", "ad", "bc", "db"], ["ca"], ["ab", "ad", "ca"]]
+    assert [(r.id, r.truncated) for r in search.limited(n, ["id"], 2).orderBy("id").collect()] == [("a", True), ("b", True)]
+    assert {r.truncated for r in search.limited(n, ["id"], 4).collect()} == {False} and search.limited(n.limit(0), ["id"], 4).collect() == []
+    asked = ["Where does a SMALL pre-built ring_2 connect foo.bar, small and they?", "", None, "x y"]
+    got = spark.createDataFrame([(q,) for q in asked], "q string").select(search.keywords_of(F.col("q")).alias("k")).collect()
+    assert [r.k for r in got] == [search.keywords(q or "") for q in asked]
+
+
+def test_written_tables_can_be_discarded(spark):
+    from pathlib import Path
+
+    from graphloom import session
+
+    session.cut(spark.range(3), "mine").count()
+    path = Path(session._written[-1].removeprefix("file://"))
+    assert path.exists() and session.discard(spark) > 0 and not path.exists() and session.discard(spark) == 0
