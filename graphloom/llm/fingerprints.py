@@ -95,13 +95,14 @@ def fingerprint_of(terms: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Share (0 to 1) of agreeing signatures among those of subsets with terms of either text, at the levels that both have, and the whole one."""
     level = lambda f: F.substring(f, 18, 2).cast("int")
-    begin = F.least(level(a), level(b)) + F.abs(level(a) - level(b))  # the greater level is the first that both have
-    many = PARTS * (2 - F.abs(level(a) - level(b)))
-    slot = lambda f, i: F.substring(f, 21 + 4 * (PARTS * (begin - level(f)) + i), F.lit(4))
-    marks = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.when((slot(a, i) == NONE) & (slot(b, i) == NONE), 0).when(slot(a, i) == slot(b, i), 1).otherwise(2))
-    agree, differ = F.size(F.filter(marks, lambda m: m == 1)), F.size(F.filter(marks, lambda m: m == 2))
-    share = F.when(many > 0, agree / (agree + differ + 1)).otherwise(0.0)
-    return F.when(a == b, 1.0).otherwise(share).cast("double")
+    begin = F.greatest(level(a), level(b))  # the first level that both have
+    width = 4 * PARTS * (2 - F.abs(level(a) - level(b)))
+    cells = lambda f: F.regexp_extract_all(F.substring(f, 21 + 4 * PARTS * (begin - level(f)), width), F.lit(".{4}"), F.lit(0))
+    # a pair of cells counts 1 if there is a term in either, and 65536 more if they agree
+    marks = F.zip_with(cells(a), cells(b), lambda x, y: F.when(x != y, 1).when(x == NONE, 0).otherwise(65537))
+    total = F.aggregate(marks, F.lit(0), lambda n, m: n + m)
+    share = F.transform(F.array(total), lambda n: F.shiftright(n, 16) / (n.bitwiseAND(65535) + 1))[0]
+    return F.when(a == b, 1.0).when(width > 0, share).otherwise(0.0).cast("double")
 
 
 def _key(doc_id: str, text: str) -> list[Column]:
