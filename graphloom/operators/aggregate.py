@@ -176,6 +176,20 @@ def file_risk(degrees: DataFrame, issues: DataFrame) -> DataFrame:
     return fan.join(weight, "file", "full").select("file", risk.alias("risk"), F.when(risk >= 15, "critical").when(risk >= 8, "warning").otherwise("info").alias("band"))
 
 
+def scope_risk(risks: DataFrame, issues: DataFrame) -> DataFrame:
+    """(scope, risk, band) of every folder: the risks of the files at any depth below it, and 0.6 * the weights of their issues once more.
+
+    ``risks`` are those of ``file_risk``; warning from 15, critical from 30.
+    """
+    parts = F.split("file", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    weight = issues.groupBy(F.col("file_path").alias("file")).agg((0.6 * F.sum(severity_weight(F.col("severity")))).alias("own"))
+    both = risks.select("file", "risk").join(weight, "file", "full").where(F.contains("file", F.lit("/")))
+    risk = F.sum(F.coalesce("risk", F.lit(0.0)) + F.coalesce("own", F.lit(0.0)))
+    found = both.select("risk", "own", F.explode(above).alias("scope")).groupBy("scope").agg(risk.alias("risk"))
+    return found.withColumn("band", F.when(F.col("risk") >= 30, "critical").when(F.col("risk") >= 15, "warning").otherwise("info"))
+
+
 def relation_candidates(nodes: DataFrame, targets: DataFrame, communities: DataFrame) -> DataFrame:
     """(id, candidate, score): for targets, best of same file 0.7 and same community 0.5 among other nodes."""
     from_file = targets.select("id", "file").join(nodes.select(F.col("id").alias("candidate"), "file"), "file").select("id", "candidate", F.lit(0.7).alias("score"))

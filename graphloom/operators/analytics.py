@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.model import module_of
 from graphloom.operators.components import connected_components
 from graphloom.operators.ordered import order_statistics
 from graphloom.session import cut
@@ -190,6 +191,17 @@ def cohesion(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return every.join(inside, "community", "left").select("community", F.coalesce("cohesion", F.lit(0.0)).alias("cohesion"))
 
 
+def community_labels(nodes: DataFrame, communities: DataFrame) -> DataFrame:
+    """(community, label): the commonest folder of the files of a community's nodes, of several the greatest; null without files.
+
+    ``nodes`` are (id, file), ``communities`` (id, community). Folders are counted per community before they are compared.
+    """
+    name = communities.columns[1]
+    counted = communities.join(nodes.select("id", module_of(F.col("file")).alias("folder")), "id", "left").groupBy(F.col(name).alias("community"), "folder").agg(F.count(F.lit(1)).alias("n"))
+    best = F.max(F.when(F.col("folder").isNotNull(), F.struct("n", "folder")))
+    return counted.groupBy("community").agg(best.alias("x")).select("community", F.col("x.folder").alias("label"))
+
+
 def conductance(edges: DataFrame, communities: DataFrame) -> DataFrame:
     """(community, conductance): edges leaving over the lesser of the volumes inside and outside, by out-degree."""
     both = cut(community_edges(edges, communities), "conductance")

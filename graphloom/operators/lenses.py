@@ -61,6 +61,11 @@ def architecture_score(cycles: DataFrame) -> DataFrame:
     return cycles.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("in_cycles")).select("in_cycles", F.greatest(F.lit(0), 100 - 5 * F.col("in_cycles")).alias("score"))
 
 
+def confident_score(score: Column, coverage: Column, symbols: Column) -> Column:
+    """An architecture score, halved where less than 20 per cent of the files are known (but some), else cut to 0.7 for under 10 symbols."""
+    return F.when((coverage < 20) & (coverage > 0), score * 0.5).when(symbols < 10, score * 0.7).otherwise(score.cast("double"))
+
+
 def complexity_band(cc: Column) -> Column:
     return F.when(cc <= 10, "low").when(cc <= 20, "moderate").when(cc <= 50, "high").otherwise("very high")
 

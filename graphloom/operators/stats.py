@@ -16,8 +16,10 @@ def by_index(rows: DataFrame, group: str, value: str, percents: dict[str, float]
 
 
 def benchmark_stats(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """n, min, max, mean, sample deviation, p50, p95, p99 and consistency class of each group."""
-    base = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"))
+    """n, min, max, mean, sample deviation, runs a second (of values in milliseconds; 0 if they add up to 0), p50, p95 and p99 of each group."""
+    total = F.sum(value)
+    speed = F.when(total > 0, F.count(F.lit(1)) / (total / 1000)).otherwise(0.0)
+    base = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"), speed.alias("per_second"))
     return base.join(by_index(rows, group, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}), group)
 
 
@@ -57,6 +59,15 @@ def warmup(runs: DataFrame, group: str, order: str, value: str) -> DataFrame:
     return first.join(warm, group).select(group, "first", "warm", penalty.alias("penalty"), F.coalesce(penalty > 3, F.lit(False)).alias("cold"))
 
 
+#: Weights of the five dimensions of a run's health: correctness, latency, scalability, consistency, robustness. Fixed values.
+HEALTH = (0.35, 0.2, 0.15, 0.15, 0.15)
+
+
+def health(scores: list[Column]) -> Column:
+    """The weighted mean of the five dimensions' scores, over those that are known; null if none is."""
+    return weighted(scores, list(HEALTH))
+
+
 def robustness(errors: Column, total: Column) -> Column:
     return F.when(total > 0, 100.0 * (1 - errors / total)).otherwise(F.lit(0.0))
 

@@ -299,8 +299,8 @@ query("se15_page", with_graph("SELECT id, fan_in FROM d ORDER BY fan_in DESC, id
 query("st1_percentiles", "WITH k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(CASE WHEN r = floor(0.5 * (n - 1)) THEN value END) AS p50, max(CASE WHEN r = floor(0.95 * (n - 1)) THEN value END) AS p95 FROM k GROUP BY 1")(
     lambda g: stats.by_index(g.events, "event_type", "value", {"p50": 0.5, "p95": 0.95})
 )
-query("st2_benchmark_stats", "WITH k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(n) AS n, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation, max(CASE WHEN r = floor(0.5 * (n - 1)) THEN value END) AS p50, max(CASE WHEN r = floor(0.95 * (n - 1)) THEN value END) AS p95, max(CASE WHEN r = floor(0.99 * (n - 1)) THEN value END) AS p99 FROM k GROUP BY 1")(
-    lambda g: stats.benchmark_stats(g.events, "event_type", "value").withColumns({c: F.round(c, 6) for c in ("mean", "deviation")})
+query("st2_benchmark_stats", "WITH k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(n) AS n, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation, round(CASE WHEN sum(value) > 0 THEN count(*) / (sum(value) / 1000) ELSE 0 END, 6) AS per_second, max(CASE WHEN r = floor(0.5 * (n - 1)) THEN value END) AS p50, max(CASE WHEN r = floor(0.95 * (n - 1)) THEN value END) AS p95, max(CASE WHEN r = floor(0.99 * (n - 1)) THEN value END) AS p99 FROM k GROUP BY 1")(
+    lambda g: stats.benchmark_stats(g.events, "event_type", "value").withColumns({c: F.round(c, 6) for c in ("mean", "deviation", "per_second")})
 )
 query("st4_latency_score", "SELECT event_id, round(CASE WHEN value <= 10 THEN 100 WHEN value >= 90 THEN 0 ELSE 100.0 * (90 - value) / 80 END, 6) AS score FROM events")(lambda g: g.events.select("event_id", F.round(stats.latency_score(F.col("value"), F.lit(10.0), F.lit(90.0)), 6).alias("score")))
 query("st5_consistency", "SELECT event_type, CASE WHEN stddev_samp(value) / avg(value) < 0.1 THEN 95 WHEN stddev_samp(value) / avg(value) < 0.25 THEN 80 WHEN stddev_samp(value) / avg(value) < 0.5 THEN 60 ELSE 30 END AS score FROM events GROUP BY 1")(

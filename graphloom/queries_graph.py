@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graphs import with_graph
-from graphloom.operators import access, aggregate, analytics, blocks, candidates, federation, lenses, questions, reach, reachability, search, views
+from graphloom.operators import access, aggregate, analytics, blocks, candidates, federation, lenses, questions, reach, reachability, search, stats, views
 from graphloom.operators.ordered import order_statistics, running_sum
-from graphloom.queries import _SCC, G, query
+from graphloom.queries import _SCC, _SEV, G, query
 from graphloom.session import cut, shared_dir
 from graphloom.sources import history, manifest, openapi, runs, store
 from graphloom.streaming import changes, reindex
@@ -280,6 +280,37 @@ def _members(g: G) -> DataFrame:
 
 query("ql23_cluster_members", with_graph(_SCC + " SELECT component, count(*) OVER (PARTITION BY component) AS size, id FROM s", "f", recursive=True))(_members)
 
+# --- risks, labels, scores, kinds of edges -------------------------------------------------
+
+_RISKS = f", x AS (SELECT file, 0.4 * sum(fan_in) AS fan FROM d GROUP BY 1), y AS (SELECT file_path, 0.6 * sum({_SEV}) AS w FROM i GROUP BY 1), z AS (SELECT coalesce(file, file_path) AS file, CAST(coalesce(fan, 0) + coalesce(w, 0) AS DOUBLE) + CAST(coalesce(w, 0) AS DOUBLE) AS risk FROM x FULL JOIN y ON file = file_path), p AS (SELECT string_split(file, '/') AS p, risk FROM z), s AS (SELECT array_to_string(p[1:n], '/') AS scope, risk FROM (SELECT p, risk, unnest(range(1, len(p))) AS n FROM p))"
+query("lv3_scope_risk", with_graph(_RISKS + " SELECT scope, round(sum(risk), 6) AS risk, CASE WHEN sum(risk) >= 30 THEN 'critical' WHEN sum(risk) >= 15 THEN 'warning' ELSE 'info' END AS band FROM s GROUP BY scope", "d", "i"))(
+    lambda g: aggregate.scope_risk(aggregate.file_risk(g.degrees, g.issues), g.issues).withColumn("risk", F.round("risk", 6))
+)
+query("al25_community_labels", with_graph(", k AS (SELECT kind AS community, regexp_replace(file, '/?[^/]*$', '') AS label, count(*) AS n FROM n GROUP BY 1, 2) SELECT community, label FROM k QUALIFY row_number() OVER (PARTITION BY community ORDER BY n DESC, label DESC) = 1", "n"))(lambda g: analytics.community_labels(g.nodes, g.nodes.select("id", "kind")))
+query("ag23_confident_scores", "SELECT user_id, CASE WHEN c < 20 AND c > 0 THEN s * 0.5::DOUBLE WHEN n < 10 THEN s * 0.7::DOUBLE ELSE s::DOUBLE END AS score FROM (SELECT user_id, count(*) % 97 AS s, max(event_id) % 40 AS c, count(*) % 20 AS n FROM events GROUP BY 1)")(
+    lambda g: g.events.groupBy("user_id").agg((F.count(F.lit(1)) % 97).alias("s"), (F.max("event_id") % 40).alias("c"), (F.count(F.lit(1)) % 20).alias("n")).select("user_id", lenses.confident_score(F.col("s"), F.col("c"), F.col("n")).alias("score"))
+)
+_FIVE = ["avg(value)", "max(value)", "CASE WHEN user_id % 3 > 0 THEN min(value) END", "CASE WHEN user_id % 4 > 0 THEN stddev_samp(value) END", "count(*) / 10.0"]
+query("st8_five_dimensions", "WITH x AS (SELECT " + ", ".join(f"CAST({e} AS DOUBLE) AS s{i}" for i, e in enumerate(_FIVE)) + ", user_id FROM events GROUP BY user_id) SELECT user_id, round((0.35 * s0 + 0.2 * s1 + coalesce(0.15 * s2, 0) + coalesce(0.15 * s3, 0) + 0.15 * s4) / (0.7 + CASE WHEN s2 IS NULL THEN 0 ELSE 0.15 END + CASE WHEN s3 IS NULL THEN 0 ELSE 0.15 END), 6) AS health FROM x")(
+    lambda g: g.events.groupBy("user_id").agg(*[F.expr(f"CAST({e} AS DOUBLE)").alias(f"s{i}") for i, e in enumerate(_FIVE)]).select("user_id", F.round(stats.health([F.col(f"s{i}") for i in range(5)]), 6).alias("health"))
+)
+
+
+def _typed(g: G) -> DataFrame:
+    """Edges of kinds of their own: parts refer to their type and implement their brand, nations' files import their region's."""
+    row = lambda df, a, b, kind: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("dep_type"))
+    name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c))
+    files = g.nation.join(F.broadcast(g.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    imports = row(files, F.concat("r_name", F.lit("/"), "n_name", F.lit("/mod.rs")), F.concat("r_name", F.lit("/mod.rs")), "imports")
+    return row(g.part, _key("part", "p_partkey"), name("type", "p_type"), "references").union(row(g.part, _key("part", "p_partkey"), name("brand", "p_brand"), "implements")).union(imports)
+
+
+query("ga24_references_to_types", "SELECT 'part:' || p_partkey AS src, 'type:' || p_type AS dst FROM part WHERE p_type = (SELECT min(p_type) FROM part)")(
+    lambda g: access.by_kind(_typed(g), ["references"]).join(F.broadcast(g.part.agg(F.concat(F.lit("type:"), F.min("p_type")).alias("dst"))), "dst", "left_semi").select("src", "dst")
+)
+query("ga25_file_imports", "SELECT r_name || '/' || n_name || '/mod.rs' AS src, r_name || '/mod.rs' AS dst FROM nation JOIN region ON n_regionkey = r_regionkey")(lambda g: access.by_kind(_typed(g), ["imports"]).select("src", "dst"))
+query("ga26_implementors", "SELECT 'brand:' || p_brand AS dst, count(*) AS implementors FROM part GROUP BY 1")(lambda g: access.by_kind(_typed(g), ["implements"]).groupBy("dst").agg(F.count(F.lit(1)).alias("implementors")))
+
 # --- graphs and runs as files --------------------------------------------------------------
 
 _shared = lambda g, name: f"{shared_dir(g.spark)}/graphloom/{name}-{uuid.uuid4().hex}"
