@@ -179,6 +179,7 @@ def scalability(points: DataFrame, group: str) -> DataFrame:
         r2(F.log("x")).alias("logarithmic"),
     )
     facts = points.select(group).distinct().join(facts, group, "left")
+    # limits of the classes and bases of their scores: fixed values
     kind = (
         F.when(F.col("n").isNull() | (F.col("n") < 2) | (F.col("cv") < 0.1), "constant")
         .when(F.col("steep"), "exponential")
@@ -217,5 +218,6 @@ def insights(cycles: DataFrame, gods: DataFrame, cohesion: DataFrame, crossing:
     one = cycles.agg(n.alias("cycles"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("in_cycles"))
     for part in (gods.agg(n.alias("gods")), cohesion.agg(n.alias("communities"), F.avg("cohesion").alias("cohesion")), crossing.agg(n.alias("crossing"))):
         one = one.join(F.broadcast(part))  # one row each
+    # deductions: fixed values
     less = F.least(5.0 * F.col("cycles"), F.lit(30.0)) + F.when(F.col("gods") > 3, 10.0).otherwise(0.0) + F.coalesce(20.0 * (1 - F.col("cohesion")), F.lit(0.0)) + 0.5 * F.least(F.col("crossing"), F.lit(20))
     return one.withColumn("health", F.greatest(F.lit(0.0), 100.0 - less))
