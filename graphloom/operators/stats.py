@@ -33,10 +33,15 @@ def latency_score(actual: Column, target: Column, most: Column) -> Column:
 
 
 def trends(runs: DataFrame, group: str, order: str, value: str, previous: int) -> DataFrame:
-    """Each run's value, the mean of the ``previous`` before it and the change in per cent; an alert below -5."""
+    """Each run's value, the mean of the ``previous`` before it and the change in per cent; an alert below -5.
+
+    Against a mean of 0 the change is infinite with the value's sign, and NaN if the value is 0 too.
+    """
     before = Window.partitionBy(group).orderBy(order).rowsBetween(-previous, -1)
     base = runs.withColumn("base", F.avg(value).over(before))
-    change = 100.0 * (F.col(value) - F.col("base")) / F.col("base")
+    more = 100.0 * (F.col(value) - F.col("base"))
+    endless = F.when(F.isnan(more) | (more == 0), F.lit(float("nan"))).when(more > 0, F.lit(float("inf"))).when(more < 0, F.lit(float("-inf")))
+    change = F.when(F.col("base") == 0, endless).otherwise(F.try_divide(more, F.col("base")))
     return base.withColumn("change", change).withColumn("alert", F.coalesce(change < -5, F.lit(False)))
 
 
