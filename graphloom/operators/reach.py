@@ -78,15 +78,19 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_h
     return found
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(src, dst, hops, path): one shortest path per pair, the least by node ids among equally short ones; of any length without max_hops."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None = None, mark: str | None = None) -> DataFrame:
+    """(src, dst, hops, path): one shortest path per pair, the least by node ids among equally short ones; of any length without max_hops.
+
+    With a ``mark`` that stands in no id, the least is that of the texts which the ids joined by it make.
+    """
+    least_path = F.min_by("path", F.array_join("path", mark)) if mark else F.min("path")
     steps = cut(adjacency(edges), "steps")
     seen = frontier = cut(sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.array("id").alias("path"), F.lit(0).alias("hops")).distinct(), "bfs")
     for hops in count(1):
         if max_hops is not None and hops > max_hops:
             break
         ahead = frontier.join(steps, F.col("dst") == F.col("a")).select("src", F.col("b").alias("dst"), F.array_append("path", F.col("b")).alias("path"))
-        least = ahead.groupBy("src", "dst").agg(F.min("path").alias("path"))
+        least = ahead.groupBy("src", "dst").agg(least_path.alias("path"))
         frontier = cut(least.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)), "bfs")
         if frontier.isEmpty():
             break

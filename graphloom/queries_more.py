@@ -89,7 +89,7 @@ query("ga36_call_hierarchy", with_graph(_WALK.format(seed="supplier:4", to="src"
     lambda g: reach.neighbours(g.edges, g.seed("supplier:4"), 3, "incoming").select(F.lit("in").alias("way"), "id", "depth").union(reach.neighbours(g.edges, g.seed("supplier:4"), 3).select(F.lit("out"), "id", "depth"))
 )
 query("ga37_traced_path", with_graph("SELECT 'region:1>' || min(a.dst || '>' || b.dst || '>part:5') AS path, 3 AS hops FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst WHERE a.src = 'region:1' AND c.dst = 'part:5' HAVING count(*) > 0", "e"))(
-    lambda g: reach.shortest_paths(g.edges, g.seed("region:1")).where("dst = 'part:5'").select(F.array_join("path", ">").alias("path"), "hops")
+    lambda g: reach.shortest_paths(g.edges, g.seed("region:1"), mark=">").where("dst = 'part:5'").select(F.array_join("path", ">").alias("path"), "hops")
 )
 
 # --- reports, views, statistics ------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 import math
 
-from graphloom.operators import stats
+from graphloom.operators import reach, stats
 
 
 def test_trends_against_a_mean_of_nothing(spark):
@@ -13,3 +13,12 @@ def test_trends_against_a_mean_of_nothing(spark):
     assert math.isnan(got["z", 1][0]) and not got["z", 1][1]
     assert got["z", 3] == (math.inf, False) and got["m", 1] == (-math.inf, True)
     assert got["n", 1] == (-50.0, True) and got["z", 4] == (-100.0, True)
+
+
+def test_shortest_paths_by_their_text(spark):
+    rows = [("r", "n:1"), ("r", "n:12"), ("n:1", "s"), ("n:12", "s"), ("s", "t")]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    seed = spark.createDataFrame([("r",)], "id string")
+    of = lambda **more: {r.dst: r.path for r in reach.shortest_paths(edges, seed, **more).collect()}
+    assert of()["t"] == ["r", "n:1", "s", "t"]  # by ids
+    assert of(mark=">")["t"] == ["r", "n:12", "s", "t"]  # "r>n:12>" comes before "r>n:1>"
