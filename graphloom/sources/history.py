@@ -1,16 +1,30 @@
 """Blame: who last changed the lines of a symbol, by an interval join of line ranges with hunks.
 
-Every hunk stands in one or two bins of a width that fits its length (a power of two), and a range of lines asks the
-bins of every width that occurs. So a hunk of a million lines is two rows, and no task compares all
+Ranges and hunks have levels: bins of a level are wider than they are long, by a power of two, so each stands in one or two. A pair
+meets in the bins of the greater of its two levels; a side stands in those of its own level and of every greater
+one that the other side has. So a range or hunk of a million lines is a few rows, and no task compares all
 hunks of a file with all of its symbols.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import cut
+#: Levels are multiples of this: fewer rows of each side, for bins up to eight times as wide.
+STEP = 3
+
+
+def _level(first: str, last: str) -> Column:
+    return (F.ceil(F.length(F.bin(F.col(last) - F.col(first))) / STEP) * STEP).cast("int")
+
+
+def _standing(rows: DataFrame, first: str, last: str, own: str, others: list[int]) -> DataFrame:
+    """A row for each bin (level, bin) in which a row stands, at its own level and at those of ``others`` that are greater."""
+    greater = F.filter(F.array(*[F.lit(x) for x in others]).cast("array<int>"), lambda x: x > F.col(own))
+    rows = rows.withColumn("level", F.explode(F.concat(F.array(own), greater)))
+    at = lambda c: F.call_function("shiftright", c, "level")
+    return rows.withColumn("bin", F.explode(F.array_distinct(F.array(at(first), at(last)))))
 
 
 def overlaps(ranges: DataFrame, hunks: DataFrame) -> DataFrame:
@@ -19,18 +33,16 @@ def overlaps(ranges: DataFrame, hunks: DataFrame) -> DataFrame:
     Columns: file, id, first, last, author, email, at, lines (the number in common). Lines are whole numbers from 0;
     ranges with a null or reversed end, and null files, meet nothing.
     """
-    level = F.length(F.bin(F.col("to") - F.col("from"))).cast("int")
-    placed = hunks.where("`from` <= `to`").withColumn("level", level)
-    placed = placed.withColumn("bin", F.explode(F.array_distinct(F.array(F.call_function("shiftright", "from", "level"), F.call_function("shiftright", "to", "level")))))
-    placed = cut(placed, "hunks")
-    levels = [r["level"] for r in placed.select("level").distinct().collect()]  # at most 64 numbers
-    asked = ranges.where("first <= last").withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")))
-    asked = asked.withColumn("bin", F.explode(F.sequence(F.call_function("shiftright", "first", "level"), F.call_function("shiftright", "last", "level"))))
-    met = asked.select("file", "id", "first", "last", "level", "bin").join(placed, ["file", "level", "bin"])
+    asked = ranges.where("first <= last").select("file", "id", "first", "last", _level("first", "last").alias("asks"))
+    placed = hunks.where("`from` <= `to`").select("file", "from", "to", "author", "email", "at", _level("from", "to").alias("holds"))
+    # at most 22 numbers each
+    asks, holds = (sorted(r[0] for r in side.select(level).distinct().collect()) for side, level in ((asked, "asks"), (placed, "holds")))
+    met = _standing(asked, "first", "last", "asks", holds).join(_standing(placed, "from", "to", "holds", asks), ["file", "level", "bin"])
     shared = F.least("last", "to") - F.greatest("first", "from") + 1
-    # a pair that meets in several bins counts in the first of them
+    # a pair that meets at several levels or in several bins counts at the greater of its own levels, in the first bin
     start = F.greatest(F.call_function("shiftright", "first", "level"), F.call_function("shiftright", "from", "level"))
-    return met.where((shared > 0) & (F.col("bin") == start)).select("file", "id", "first", "last", "author", "email", "at", shared.alias("lines"))
+    once = (F.col("level") == F.greatest("asks", "holds")) & (F.col("bin") == start)
+    return met.where((shared > 0) & once).select("file", "id", "first", "last", "author", "email", "at", shared.alias("lines"))
 
 
 def blamed(ranges: DataFrame, hunks: DataFrame) -> DataFrame:
@@ -40,7 +52,7 @@ def blamed(ranges: DataFrame, hunks: DataFrame) -> DataFrame:
     ones, lines adds up the lines that hunks have in common with the range. Null authors are no one.
     """
     known = overlaps(ranges, hunks).where("author IS NOT NULL")
-    last = F.max(F.struct("at", "author", "email"))
-    per = known.groupBy("file", "id", "author").agg(last.alias("x"), F.sum("lines").alias("lines"))
-    found = per.groupBy("file", "id").agg(F.max("x").alias("x"), F.count(F.lit(1)).alias("authors"), F.sum("lines").alias("lines"))
+    # a range's rows are folded where the bins meet and dealt out once; its distinct authors are one array
+    last, authors = F.max(F.struct("at", "author", "email")), F.size(F.collect_set("author")).cast("long")
+    found = known.groupBy("file", "id").agg(last.alias("x"), authors.alias("authors"), F.sum("lines").alias("lines"))
     return found.select("file", "id", F.col("x.author").alias("last_author"), F.col("x.email").alias("author_email"), F.col("x.at").alias("changed_at"), "authors", "lines")

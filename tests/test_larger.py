@@ -3,6 +3,7 @@
 import math
 
 from graphloom.operators import reach, stats
+from graphloom.sources import history
 
 
 def test_trends_against_a_mean_of_nothing(spark):
@@ -22,3 +23,12 @@ def test_shortest_paths_by_their_text(spark):
     of = lambda **more: {r.dst: r.path for r in reach.shortest_paths(edges, seed, **more).collect()}
     assert of()["t"] == ["r", "n:1", "s", "t"]  # by ids
     assert of(mark=">")["t"] == ["r", "n:12", "s", "t"]  # "r>n:12>" comes before "r>n:1>"
+
+
+def test_blame_of_very_long_ranges(spark):
+    """A range is a few rows, however short the hunks are."""
+    most = 10**10
+    ranges = spark.createDataFrame([("f", "r", 0, most), ("f", "s", 6, 7)], "file string, id string, first long, last long")
+    hunks = spark.createDataFrame([("f", 5, 5, "a", "a@", 1), ("f", most, most + 9, "b", "b@", 2), ("f", 7, most, "a", "a@", 0)], "file string, `from` long, to long, author string, email string, at int")
+    got = {r.id: (r.last_author, r.changed_at, r.authors, r.lines) for r in history.blamed(ranges, hunks).collect()}
+    assert got == {"r": ("b", 2, 2, 1 + 1 + most - 6), "s": ("a", 0, 1, 1)}
