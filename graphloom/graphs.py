@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.session import table
+from graphloom.session import dealt, table
 
 
 def _place(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +33,12 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """supplier -> part edges of all line items; the best confidence and provenance of each pair."""
-    provenance = F.when(F.min("l_returnflag") == "A", "extracted").when(F.min("l_returnflag") == "N", "inferred").otherwise("ambiguous")
-    pairs = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(provenance.alias("provenance"), F.max(1 - F.col("l_discount")).alias("confidence"))
+    # the least flag as a number in the order of flags: numbers are aggregated in a hash table, strings would have to be sorted
+    flag = F.col("l_returnflag")
+    place = F.min(F.when(flag < "A", 0).when(flag == "A", 1).when(flag < "N", 2).when(flag == "N", 3).when(flag > "N", 4))
+    provenance = F.when(place == 1, "extracted").when(place == 3, "inferred").otherwise("ambiguous")
+    lines = dealt(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag", "l_discount"), "l_suppkey", "l_partkey")
+    pairs = lines.groupBy("l_suppkey", "l_partkey").agg(provenance.alias("provenance"), F.max(1 - F.col("l_discount")).alias("confidence"))
     return pairs.select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("calls").alias("dep_type"), "provenance", "confidence")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when a count has shown that it has at most so many rows.
 BROADCAST_ROWS = 200_000
+#: Rows that ``dealt`` gives a task on average.
+TASK_ROWS = 500_000
 
 _fallback: list[str] = []
 _written: list[str] = []
@@ -64,6 +66,16 @@ def discard(spark: SparkSession) -> int:
     return n
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by keys to as many tasks that each has TASK_ROWS rows on average, one a core at least.
+
+    For sums whose groups are nearly as many as the rows: the memory of a task then stays the same however many rows there are.
+    Shuffled by size instead, small rows that compress well make tasks of millions of groups.
+    """
+    n = -(-df.count() // TASK_ROWS)
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is."""
     few = df.limit(max_rows + 1).count() <= max_rows

@@ -1,7 +1,11 @@
 """What odd inputs and larger tables brought up."""
 
 import math
+import random
 
+from pyspark.sql import functions as F
+
+from graphloom import graphs, session
 from graphloom.operators import reach, stats
 from graphloom.sources import history
 
@@ -32,3 +36,23 @@ def test_blame_of_very_long_ranges(spark):
     hunks = spark.createDataFrame([("f", 5, 5, "a", "a@", 1), ("f", most, most + 9, "b", "b@", 2), ("f", 7, most, "a", "a@", 0)], "file string, `from` long, to long, author string, email string, at int")
     got = {r.id: (r.last_author, r.changed_at, r.authors, r.lines) for r in history.blamed(ranges, hunks).collect()}
     assert got == {"r": ("b", 2, 2, 1 + 1 + most - 6), "s": ("a", 0, 1, 1)}
+
+
+def test_calls_are_dealt_out_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    sf = "/root/testdata/sf0.001"
+    found = graphs.calls(spark, sf)
+    assert "SortAggregate" not in found._jdf.queryExecution().toString()
+    assert found.rdd.getNumPartitions() >= 60
+    least = session.table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_returnflag").alias("f")).collect()
+    want = {(f"supplier:{r.l_suppkey}", f"part:{r.l_partkey}"): {"A": "extracted", "N": "inferred"}.get(r.f, "ambiguous") for r in least}
+    assert {(r.src, r.dst): r.provenance for r in found.collect()} == want
+
+
+def test_distances_are_those_of_shortest_paths(spark):
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(f"n{rng.randint(0, 25)}", f"n{rng.randint(0, 25)}") for _ in range(60)], "src string, dst string")
+    seeds = spark.createDataFrame([("n1",), ("n2",), ("n2",), ("alone",)], "id string")
+    for most in (0, 2, None):
+        got = sorted((r.src, r.dst, r.hops) for r in reach.distances(edges, seeds, most).collect())
+        assert got == sorted((r.src, r.dst, r.hops) for r in reach.shortest_paths(edges, seeds, most).collect())
