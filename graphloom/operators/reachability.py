@@ -52,7 +52,9 @@ class Reach:
         every = found.select(F.col("c").alias("id")).distinct()
         down = _swept(self.steps, every, "down").toDF("c", "height", "below")
         up = _swept(self.steps.select(F.col("b").alias("a"), F.col("a").alias("b")), every, "up").toDF("c", "depth", "above")
-        self.labels = cut(down.join(up, "c"), "labels")
+        out = self.steps.groupBy(F.col("a").alias("c")).agg(F.count(F.lit(1)).alias("out"))
+        into = self.steps.groupBy(F.col("b").alias("c")).agg(F.count(F.lit(1)).alias("into"))
+        self.labels = cut(down.join(up, "c").join(out, "c", "left").join(into, "c", "left").fillna(0, ["out", "into"]), "labels")
 
     @staticmethod
     def may(a: str, b: str) -> Column:
@@ -63,22 +65,29 @@ class Reach:
 
     def _labelled(self, pairs: DataFrame, *ends: str) -> DataFrame:
         for end in ends:
-            pairs = pairs.join(self.labels.select(F.col("c").alias(end), F.struct("height", "depth", "below", "above").alias(f"l{end}")), end)
+            pairs = pairs.join(self.labels.select(F.col("c").alias(end), F.struct("height", "depth", "below", "above", "out", "into").alias(f"l{end}")), end)
         return pairs
 
+    def _open(self, states: DataFrame) -> DataFrame:
+        """The states (x, y, p, q) that labels leave open, and whether p has no more steps ahead than q has behind it."""
+        return self._labelled(states, "p", "q").where(self.may("lp", "lq")).select("x", "y", "p", "q", (F.col("lp.out") <= F.col("lq.into")).alias("forward"))
+
     def _searched(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct component pairs (x, y), those where x reaches y in one step or more."""
-        open_ = cut(self._labelled(pairs, "x", "y").where(self.may("lx", "ly")).select("x", "y", "ly"), "open")
-        frontier = seen = cut(open_.select("x", "y", F.col("x").alias("at")), "frontier")
+        """Of distinct component pairs (x, y), those where x reaches y in one step or more.
+
+        A state (x, y, p, q) asks whether p, which x reaches, reaches q, which reaches y. It goes on at the end with fewer steps,
+        so a node of very many steps on one side is not followed into each of them for a pair whose other end has few.
+        """
+        frontier = seen = cut(self._open(pairs.select("x", "y", F.col("x").alias("p"), F.col("y").alias("q"))), "frontier")
         found = None
         while not frontier.isEmpty():
-            ahead = frontier.join(self.steps.withColumnRenamed("a", "at"), "at").select("x", "y", F.col("b").alias("at")).distinct()
-            ahead = cut(ahead, "ahead")
-            hit = cut(ahead.where("at = y").select("x", "y"), "hit")
+            on = frontier.where("forward").join(self.steps.toDF("p", "n"), "p").select("x", "y", F.col("n").alias("p"), "q")
+            back = frontier.where("NOT forward").join(self.steps.toDF("n", "q"), "q").select("x", "y", "p", F.col("n").alias("q"))
+            ahead = cut(on.union(back).distinct(), "ahead")
+            hit = cut(ahead.where("p = q").select("x", "y").distinct(), "hit")
             found = hit if found is None else found.union(hit)
-            going = ahead.join(hit, ["x", "y"], "left_anti").join(seen, ["x", "y", "at"], "left_anti")
-            going = going.join(open_.select("x", "y", "ly"), ["x", "y"])
-            frontier = cut(self._labelled(going, "at").where(self.may("lat", "ly")).select("x", "y", "at"), "frontier")
+            going = ahead.join(hit, ["x", "y"], "left_anti").join(seen, ["x", "y", "p", "q"], "left_anti")
+            frontier = cut(self._open(going), "frontier")
             seen = seen.union(frontier)
         return found.distinct() if found is not None else pairs.limit(0)
 
@@ -94,18 +103,22 @@ class Reach:
     def redundant(self) -> DataFrame:
         """(a, b) of the steps that a longer path between components replaces.
 
-        For each step the lesser of two sets is looked at, what follows a or what precedes b: that is at most
-        of the order of m * sqrt(m) candidates for m steps, of which the labels keep few.
+        Only a step over two layers or more, from both ends, can be one. For each of those the lesser of two sets is looked at,
+        what follows a or what precedes b, as far as it lies in layers between both: at most of the order of m * sqrt(m)
+        candidates for m steps. Pairs of components that several candidates ask for are searched once.
         """
-        out = self.steps.groupBy("a").agg(F.count(F.lit(1)).alias("out"))
-        into = self.steps.groupBy("b").agg(F.count(F.lit(1)).alias("into"))
-        sized = cut(self.steps.join(out, "a").join(into, "b"), "sized")
-        ahead = sized.where("out <= into").join(self.steps.select("a", F.col("b").alias("x")), "a").where("x != b").select("a", "b", "x", F.col("b").alias("y"))
-        behind = sized.where("out > into").join(self.steps.select(F.col("a").alias("y"), "b"), "b").where("y != a").select("a", "b", F.col("a").alias("x"), "y")
-        tried = self._labelled(ahead.union(behind), "x", "y").where(self.may("lx", "ly")).select("a", "b", "x", "y")
-        tried = cut(tried, "tried")
-        known = tried.join(self.steps.toDF("x", "y"), ["x", "y"], "left_semi").select("a", "b").distinct()
-        known = cut(known, "known")  # two steps do it
+        end = lambda name: self.labels.select(F.col("c").alias(name), F.col("height").alias(f"h{name}"), F.col("depth").alias(f"d{name}"))
+        layered = cut(self.steps.join(end("a"), "a").join(end("b"), "b"), "layered")
+        degree = lambda name, what: self.labels.select(F.col("c").alias(name), what)
+        asked = cut(layered.where("ha - hb > 1 AND db - da > 1").join(degree("a", "out"), "a").join(degree("b", "into"), "b"), "asked")
+        after = layered.select("a", F.col("b").alias("x"), F.col("hb").alias("h"), F.col("db").alias("d"))
+        before = layered.select("b", F.col("a").alias("y"), F.col("ha").alias("h"), F.col("da").alias("d"))
+        ahead = asked.where("out <= into").join(after, "a").where("h > hb AND d < db").select("a", "b", "x", F.col("b").alias("y"))
+        behind = asked.where("out > into").join(before, "b").where("h < ha AND d > da").select("a", "b", F.col("a").alias("x"), "y")
+        tried = cut(ahead.union(behind), "tried")
+        pairs = cut(tried.select("x", "y").distinct(), "pairs")
+        direct = cut(pairs.join(self.steps.toDF("x", "y"), ["x", "y"], "left_semi"), "direct")
+        known = cut(tried.join(direct, ["x", "y"], "left_semi").select("a", "b").distinct(), "known")  # two steps do it
         rest = cut(tried.join(known, ["a", "b"], "left_anti"), "rest")
         longer = rest.join(self._searched(rest.select("x", "y").distinct()), ["x", "y"], "left_semi").select("a", "b")
         return known.union(longer).distinct()
