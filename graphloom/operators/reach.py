@@ -98,6 +98,19 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None =
     return seen
 
 
+def distances(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(src, dst, hops) of every node within max_hops steps of a source, each source on its own, with itself at 0; no paths are carried along."""
+    steps = cut(adjacency(edges), "steps")
+    seen = frontier = cut(sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("hops")).distinct(), "distances")
+    hops = 0
+    while (max_hops is None or hops < max_hops) and not frontier.isEmpty():
+        hops += 1
+        ahead = frontier.join(steps, F.col("dst") == F.col("a")).select("src", F.col("b").alias("dst")).distinct()
+        frontier = cut(ahead.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", F.lit(hops).alias("hops")), "distances")
+        seen = seen.union(frontier)
+    return seen
+
+
 def cheapest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = None) -> DataFrame:
     """(src, dst, cost, path) minimising the sum of 1 - confidence: relaxation until nothing improves, or for so many rounds."""
     cost = edges.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.min(1 - F.col("confidence")).alias("w"))

@@ -138,7 +138,7 @@ query("ql25_match", with_graph("SELECT a.id AS a, b.id AS b, x.confidence FROM n
     lambda g: g.nodes.where("kind = 'function'").select(F.col("id").alias("a")).join(g.edges.where("dep_type = 'calls' AND provenance = 'inferred'"), F.col("a") == F.col("src")).join(g.nodes.where("kind = 'method'").select(F.col("id").alias("b")), F.col("b") == F.col("dst")).select("a", "b", "confidence")
 )
 query("ql27_quantifier", with_graph("SELECT src AS a, dst AS b, 1 AS hops FROM e WHERE src LIKE 'nation:%' UNION ALL SELECT DISTINCT x.src, y.dst, 2 FROM e x JOIN e y ON x.dst = y.src WHERE x.src LIKE 'nation:%'", "e"))(
-    lambda g: reach.shortest_paths(g.edges, g.nodes.where("kind = 'class'"), 2).where("hops > 0").select(F.col("src").alias("a"), F.col("dst").alias("b"), "hops")
+    lambda g: reach.distances(g.edges, g.nodes.where("kind = 'class'"), 2).where("hops > 0").select(F.col("src").alias("a"), F.col("dst").alias("b"), "hops")
 )
 query("ql31_match_count", with_graph("SELECT a.kind AS from_kind, b.kind AS to_kind, count(*) AS n FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst GROUP BY 1, 2", "n", "e"))(
     lambda g: g.edges.join(g.nodes.select(F.col("id").alias("src"), F.col("kind").alias("from_kind")), "src").join(g.nodes.select(F.col("id").alias("dst"), F.col("kind").alias("to_kind")), "dst").groupBy("from_kind", "to_kind").agg(F.count(F.lit(1)).alias("n"))

@@ -262,9 +262,9 @@ query("ql14_neighbours_by_kind", with_graph(", b AS (SELECT src AS x, dst AS y F
     lambda g: reach.neighbours(access.by_kind(g.edges, ["contains"]), g.seed("nation:3"), 3, "both")
 )
 _ENTRY = ", x AS MATERIALIZED (SELECT DISTINCT src, dst FROM e), r(a, id, hops) AS (SELECT id, id, 0 FROM n WHERE id NOT IN (SELECT {to} FROM e) UNION SELECT r.a, x.{to}, hops + 1 FROM r JOIN x ON x.{of} = r.id WHERE hops < 3) SELECT a, id, min(hops) AS hops FROM r GROUP BY a, id HAVING min(hops) > 0"
-query("ag5_entry_callees", with_graph(_ENTRY.format(to="dst", of="src"), "n", "e", recursive=True))(lambda g: reach.shortest_paths(g.edges, access.roots(g.nodes, g.edges), 3).where("hops > 0").select(F.col("src").alias("a"), F.col("dst").alias("id"), "hops"))
+query("ag5_entry_callees", with_graph(_ENTRY.format(to="dst", of="src"), "n", "e", recursive=True))(lambda g: reach.distances(g.edges, access.roots(g.nodes, g.edges), 3).where("hops > 0").select(F.col("src").alias("a"), F.col("dst").alias("id"), "hops"))
 query("ag6_leaf_callers", with_graph(_ENTRY.format(to="src", of="dst"), "n", "e", recursive=True))(
-    lambda g: (back := g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) and reach.shortest_paths(back, access.leaves(g.nodes, g.edges), 3).where("hops > 0").select(F.col("src").alias("a"), F.col("dst").alias("id"), "hops")
+    lambda g: (back := g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) and reach.distances(back, access.leaves(g.nodes, g.edges), 3).where("hops > 0").select(F.col("src").alias("a"), F.col("dst").alias("id"), "hops")
 )
 query("ga19_traversed_edges", with_graph(", r(id, depth) AS (SELECT 'region:3', 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = id WHERE depth < 1) SELECT src, dst, dep_type, provenance, confidence FROM e WHERE src IN (SELECT id FROM r)", "e", recursive=True))(lambda g: reach.traversed_edges(g.edges, g.seed("region:3"), 2))
 query("ag28_whole_graph_diff", with_graph(", a AS (SELECT id, name, kind, line FROM n WHERE line % 5 <> 0), b AS (SELECT id, name, CASE WHEN line % 7 = 0 THEN NULL ELSE kind END AS kind, line FROM n WHERE line % 4 <> 0), x AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.kind IS DISTINCT FROM b.kind THEN 'modified' END AS op FROM a FULL JOIN b ON a.id = b.id) SELECT 'node' AS what, op, id, CAST(NULL AS VARCHAR) AS dst, CAST(NULL AS VARCHAR) AS dep_type FROM x WHERE op IS NOT NULL UNION ALL SELECT 'edge', CASE WHEN provenance = 'inferred' THEN 'added' ELSE 'removed' END, src, dst, dep_type FROM e WHERE provenance IN ('inferred', 'ambiguous')", "n", "e"))(
