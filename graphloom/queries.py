@@ -130,7 +130,7 @@ query("ql3_find_scopes", with_graph("SELECT regexp_replace(file, '/?[^/]*$', '')
 query("ql4_find_issues", with_graph("SELECT * FROM i WHERE severity = 'critical' AND status = 'open'", "i"))(lambda g: aggregate.issues_in_scope(g.issues, None, "Critical", "open"))
 query("ql5_find_by_kind", with_graph("SELECT * FROM n WHERE kind = 'class' AND (file = 'EUROPE' OR starts_with(file, 'EUROPE/'))", "n"))(lambda g: g.nodes.where("kind = 'class'").where(in_scope(F.col("file"), "EUROPE")))
 query("ql16_cluster_by_kind", with_graph("SELECT kind, count(*) AS n FROM n GROUP BY kind", "n"))(lambda g: g.nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
-query("ql18_and", with_graph("SELECT id FROM n WHERE kind = 'function' INTERSECT SELECT src FROM e", "n", "e"))(lambda g: g.nodes.where("kind = 'function'").select("id").intersect(g.edges.select("src")))
+query("ql18_and", with_graph("SELECT id FROM n WHERE kind = 'function' INTERSECT SELECT src FROM e", "n", "e"))(lambda g: g.nodes.where("kind = 'function'").select("id").intersect(g.edges.select("src").distinct()))
 query("ql18_or", with_graph("SELECT id FROM n WHERE kind = 'class' UNION SELECT dst FROM e WHERE confidence >= 0.99", "n", "e"))(lambda g: g.nodes.where("kind = 'class'").select("id").union(g.edges.where("confidence >= 0.99").select("dst")).distinct())
 query("ql18_not", with_graph("SELECT id FROM n EXCEPT SELECT dst FROM e WHERE dep_type = 'calls'", "n", "e"))(lambda g: g.nodes.select("id").subtract(g.edges.where("dep_type = 'calls'").select("dst")))
 query("ql19_row_limit", with_graph("SELECT id FROM n ORDER BY id LIMIT 25", "n"))(lambda g: g.nodes.select("id").orderBy("id").limit(25))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom import graphs, session
 from graphloom.operators import reach, reachability, stats
+from graphloom.queries import QUERIES
 from graphloom.sources import history
 
 
@@ -66,3 +67,8 @@ def test_searches_go_on_at_the_lesser_end(spark, monkeypatch):
     got = reachability.transitive_reduction(spark.createDataFrame(rows, "src string, dst string"))
     assert {(r.src, r.dst) for r in got.collect()} == set(rows) - {("r", "t")}
     assert max(df.count() for name, df in written if name in ("sized", "tried", "ahead", "frontier")) < 10
+
+
+def test_sources_are_distinct_before_they_are_met(spark):
+    plan = QUERIES["ql18_and"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [src#" in plan
