@@ -11,6 +11,9 @@ that have it; extra columns pass through untouched up to the last stage.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,22 @@ from graphloom.llm.workers import batches_of
 from graphloom.session import checked_broadcast, cut, table
 
 
+#: Rows of an Arrow batch in all stages: batches of whole texts would else hold a good part of an executor's memory.
+BATCH_ROWS = 1000
+
+
+def _small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``stage`` with batches of BATCH_ROWS in all that it runs, whoever calls it; what it returns unread is read with the session's own."""
+
+    @wraps(stage)
+    def inner(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with batches_of(spark, BATCH_ROWS):
+            return stage(spark, docs, sf_dir)
+
+    return inner
+
+
+@_small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated score stays below the threshold; null and empty texts are scored like others."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -36,6 +55,7 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
+@_small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id, of several texts under that id the one of least hash.
 
@@ -57,6 +77,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.join(few, ["doc_id", own], "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
+@_small_batches
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth stands in benchmark windows. Null and empty texts stay."""
     key = F.concat_ws(":", F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text")))  # the text decides, so the text is the key
@@ -66,13 +87,18 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.withColumn(own, key).join(checked_broadcast(bad), own, "left_anti").select(docs.columns)
 
 
+@_small_batches
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked in their texts, n_chars counted again. Null texts stay null."""
+    """All documents, secrets masked in their texts, n_chars counted again. Null texts stay null.
+
+    The masked rows are written before they are returned: whole texts go to and from Python here, in small batches only.
+    """
     grammars = secrets_scan.learn(docs)
     masked = docs.withColumn("text", secrets_scan.redacted(grammars, F.col("text")))
-    return masked.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return cut(masked.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns), "masked")
 
 
+@_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Placement of every piece of every document in sequences of 4096 tokens."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -88,8 +114,6 @@ STAGES = [
 
 #: SQL cannot fit the stages' models; tests hold run() against a brute-force version.
 ORACLE_SQL = None
-#: Rows of an Arrow batch in all stages: batches of whole texts would else hold a good part of an executor's memory.
-BATCH_ROWS = 1000
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,15 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
         assert out.collect() == [], name
     assert corpus_pipeline.STAGES[-1][1](spark, empty, str(tmp_path)).collect() == []
     assert secrets_scan.KINDS
+
+
+def test_stages_bound_their_batches_themselves(spark, monkeypatch):
+    """Whoever calls a stage, its texts go to Python in small batches; the session's own setting comes back."""
+    rows, written, real = "spark.sql.execution.arrow.maxRecordsPerBatch", [], corpus_pipeline.cut
+    monkeypatch.setattr(corpus_pipeline, "cut", lambda df, name: written.append((name, spark.conf.get(rows))) or real(df, name))
+    before = spark.conf.get(rows)
+    docs = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string").withColumn("n_chars", F.lit(0))
+    got = corpus_pipeline.mask_secrets(spark, docs, "").collect()
+    assert sorted(map(tuple, got)) == [(1, "a text", 6), (2, None, None)]
+    assert ("masked", str(corpus_pipeline.BATCH_ROWS)) in written
+    assert spark.conf.get(rows) == before != str(corpus_pipeline.BATCH_ROWS)
