@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from graphloom.model import in_scope
 from graphloom.operators import reach, search
 from graphloom.operators.access import roots
+from graphloom.session import checked_broadcast, cut
 
 #: Confidence tiers of links, headings and issue references: fixed values.
 EXACT_LINK, HEADING, FUZZY_LINK, UNRESOLVED = 0.9, 0.7, 0.6, 0.3
@@ -79,17 +80,19 @@ def link_tiers(links: DataFrame, symbols: DataFrame) -> DataFrame:
     """(link, confidence) of the distinct link texts: a symbol's whole name, a part of some id, or neither.
 
     Both are equality joins, the second on a text's first three characters (fewer if it has fewer)
-    against all runs of characters of that length in an id.
+    against all runs of characters of that length in an id. Few links go to the symbols, which then stay where they are.
     """
-    asked = links.select("link").distinct().withColumn("needle", _needle(F.col("link")))
-    names = symbols.select(F.lower("name").alias("needle")).distinct()
+    asked = cut(links.select("link").distinct().withColumn("needle", _needle(F.col("link"))), "asked")
+    names = symbols.select(F.lower("name").alias("needle")).join(checked_broadcast(asked.select("needle")), "needle", "left_semi")
+    names = cut(names.distinct(), "names")
     exact = asked.join(names, "needle", "left_semi").select("link", F.lit(EXACT_LINK).alias("confidence"))
     rest = asked.join(names, "needle", "left_anti")
     low = F.lower("id")
     runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
     grams = symbols.select(low.alias("low"), F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))).alias("gram"))
-    probe = rest.where("needle != ''").withColumn("gram", F.substring("needle", 1, 3))
-    fuzzy = probe.join(grams, (probe["gram"] == grams["gram"]) & F.contains("low", F.col("needle")), "left_semi").select("link", F.lit(FUZZY_LINK).alias("confidence"))
+    probe = checked_broadcast(rest.where("needle != ''").withColumn("gram", F.substring("needle", 1, 3)))
+    met = cut(grams.join(probe, "gram").where(F.contains("low", F.col("needle"))).select("link").distinct(), "met")
+    fuzzy = met.select("link", F.lit(FUZZY_LINK).alias("confidence"))
     none = rest.join(fuzzy.select("link"), "link", "left_anti").select("link", F.lit(UNRESOLVED).alias("confidence"))
     return exact.union(fuzzy).union(none)
 

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from graphloom import graphs, session
-from graphloom.operators import reach, reachability, stats
+from graphloom.operators import reach, reachability, stats, views
 from graphloom.queries import QUERIES
 from graphloom.sources import history
 
@@ -72,3 +72,18 @@ def test_searches_go_on_at_the_lesser_end(spark, monkeypatch):
 def test_sources_are_distinct_before_they_are_met(spark):
     plan = QUERIES["ql18_and"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [src#" in plan
+
+
+def recorded(monkeypatch, module):
+    """What the module writes between steps from now on, as (name, DataFrame)."""
+    written, real = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df, name="t": written.append((name, df)) or real(df, name))
+    return written
+
+
+def test_few_links_go_to_the_symbols(spark, monkeypatch):
+    written = recorded(monkeypatch, views)
+    links, symbols = spark.createDataFrame([("`Parse`",), ("a.r",), ("zz",), ("",), (None,)], "link string"), spark.createDataFrame([("x/a.rs:1", "parse"), ("x/a.rs:2", None)], "id string, name string")
+    assert {r.link: r.confidence for r in views.link_tiers(links, symbols).collect()} == {"`Parse`": 0.9, "a.r": 0.6, "zz": 0.3, "": 0.3, None: 0.3}
+    for name in ("names", "met"):
+        assert "BroadcastHashJoin" in dict(written)[name]._jdf.queryExecution().executedPlan().toString()
