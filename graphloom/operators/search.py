@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.model import STOP_WORDS
 from graphloom.operators.ordered import order_statistics
+from graphloom.session import cut
 
 
 def tokens(name: Column) -> Column:
@@ -53,7 +54,8 @@ def idf_search(nodes: DataFrame, degrees: DataFrame, query: str, limit: int | No
         best = F.when(F.array_contains(parts, w), 100.0).when(F.exists(parts, lambda p: F.startswith(p, F.lit(w))), 10.0).when(F.contains(low, F.lit(w)), 1.0).otherwise(0.0)  # noqa: B023
         score = score + rate * best
     score = score + F.when(low == query.lower(), 1000.0).when(F.contains(low, F.lit(query.lower())), 100.0).otherwise(0.0)
-    degree = nodes.select("id", "name").join(degrees.select("id", (F.col("fan_in") + F.col("fan_out")).alias("degree")), "id")
+    # the degrees are read twice and made once
+    degree = cut(nodes.select("id", "name").join(degrees.select("id", (F.col("fan_in") + F.col("fan_out")).alias("degree")), "id"), "degrees")
     p95 = order_statistics(degree, [], "degree", {"p95": (0.95, 0)}).first()
     p95 = p95["p95"] if p95 and p95["p95"] is not None else 0
     scored = degree.withColumn("score", score).where("score > 0")

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from graphloom import graphs, session
-from graphloom.operators import reach, reachability, stats, views
+from graphloom.operators import reach, reachability, search, stats, views
 from graphloom.queries import QUERIES
 from graphloom.sources import history
 
@@ -81,6 +81,14 @@ def recorded(monkeypatch, module):
     return written
 
 
+def test_degrees_of_a_search_are_made_once(spark, monkeypatch):
+    written = recorded(monkeypatch, search)
+    nodes = spark.createDataFrame([("1", "File"), ("2", "file_list")], "id string, name string")
+    degrees = spark.createDataFrame([("1", 1, 0), ("2", 3, 1)], "id string, fan_in long, fan_out long")
+    assert search.idf_search(nodes, degrees, "file", 1).first().name == "File"
+    assert [name for name, _ in written] == ["degrees"]
+
+
 def test_few_links_go_to_the_symbols(spark, monkeypatch):
     written = recorded(monkeypatch, views)
     links, symbols = spark.createDataFrame([("`Parse`",), ("a.r",), ("zz",), ("",), (None,)], "link string"), spark.createDataFrame([("x/a.rs:1", "parse"), ("x/a.rs:2", None)], "id string, name string")
