@@ -11,7 +11,7 @@ from graphloom.graphs import with_graph
 from graphloom.operators import access, aggregate, analytics, blocks, candidates, federation, lenses, questions, reach, reachability, search, stats, views
 from graphloom.operators.ordered import order_statistics, running_sum
 from graphloom.queries import _SCC, _SEV, G, query
-from graphloom.session import cut, shared_dir
+from graphloom.session import cut, dealt, shared_dir
 from graphloom.sources import history, manifest, openapi, runs, store
 from graphloom.streaming import changes, reindex
 
@@ -185,7 +185,7 @@ query("src14_blame", f"WITH {_HUNKS}, k AS (SELECT file, id, author, row_number(
 )
 _SPEC = """'{{"openapi": "3.0.0", "paths": {{"/users/{{id}}/' {c} event_type {c} '/{{item}}": {{"summary": "s", "get": {{"operationId": "get' {c} event_type {c} '", "responses": {{"200": {{"$ref": "#/components/' {c} event_type {c} '"}}}}, "parameters": [{{"$ref": "#/p/' {c} {u} {c} '"}}, ' {c} props {c} ']}}, "POST": {{}}}}, "/' {c} event_type {c} '": {{"delete": {{"operationId": "drop' {c} event_type {c} 'Now"}}}}}}}}'"""
 _SPECS = "s AS (SELECT event_id AS spec_id, " + _SPEC.format(c="||", u="user_id") + " AS j FROM events)"
-_specs = lambda g: openapi.parsed(g.events.select(F.col("event_id").alias("spec_id"), F.expr(_SPEC.format(c="||", u="cast(user_id as string)")).alias("text")))
+_specs = lambda g: openapi.parsed(dealt(g.events.select("event_id", "event_type", "user_id", "props"), "event_id").select(F.col("event_id").alias("spec_id"), F.expr(_SPEC.format(c="||", u="cast(user_id as string)")).alias("text")))
 query("src15_operations", f"WITH {_SPECS}, p AS (SELECT spec_id, j, unnest(json_keys(j, '$.paths')) AS path FROM s), i AS (SELECT spec_id, path, json_extract(json_extract(j, '$.paths'), '$.\"' || path || '\"') AS item FROM p), m AS (SELECT spec_id, path, item, unnest(json_keys(item)) AS k FROM i) SELECT spec_id, path, lower(k) AS method, json_extract_string(item, '$.' || k || '.operationId') AS operation_id, CASE WHEN contains(path, '{{') THEN 'id,item' ELSE '' END AS params FROM m WHERE lower(k) IN ('get', 'put', 'post', 'delete', 'options', 'head', 'patch', 'trace')".replace("'{{'", "'{'"))(
     lambda g: openapi.operations(_specs(g))
 )

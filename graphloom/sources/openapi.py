@@ -44,17 +44,19 @@ def operations(specs: DataFrame, spec_id: str = "spec_id") -> DataFrame:
 def references(specs: DataFrame, spec_id: str = "spec_id") -> DataFrame:
     """(spec_id, at, target): every string under a key $ref, with the place that holds it ('/'-joined keys and positions).
 
-    One round for each level of nesting, over what is still an object or an array.
+    One round for each level of nesting, over the objects and arrays in whose text a $ref still stands.
     """
     place = F.concat_ws("/", F.when(F.col("at") != "", F.col("at")), F.coalesce("key", F.col("pos").cast("string")))
-    inner = lambda c: F.schema_of_variant(c).rlike("^(OBJECT|ARRAY)")
-    frontier = cut(specs.select(F.col(spec_id).alias("spec_id"), F.lit("").alias("at"), F.to_json("v").alias("j")).where("j IS NOT NULL"), "refs")
+    deep = F.coalesce(F.substring("j", 1, 1).isin("{", "["), F.lit(False))  # as VARIANTs are written: strings begin with a quote
+    holds = F.contains("j", F.lit('"$ref"'))
+    frontier = cut(specs.select(F.col(spec_id).alias("spec_id"), F.lit("").alias("at"), F.to_json("v").alias("j")).where(holds), "refs")
     found = None
     while not frontier.isEmpty():
         # a VARIANT is written as text between rounds, which every file format can hold
         below = _exploded(frontier.withColumn("w", F.parse_json("j")), F.col("w")).select("spec_id", "at", "key", place.alias("place"), "value")
-        below = cut(below.select("spec_id", "at", "key", "place", F.to_json("value").alias("j"), inner("value").alias("inner"), F.try_variant_get("value", "$", "string").alias("s")), "refs")
-        hit = below.where("key = '$ref' AND NOT `inner`").select("spec_id", "at", F.col("s").alias("target"))
+        below = below.select("spec_id", "at", "key", "place", F.to_json("value").alias("j"), F.try_variant_get("value", "$", "string").alias("s")).withColumn("inner", deep)
+        below = cut(below.where((F.col("inner") & holds) | (~F.col("inner") & F.col("key").eqNullSafe("$ref"))), "refs")
+        hit = below.where("NOT `inner`").select("spec_id", "at", F.col("s").alias("target"))
         found = hit if found is None else found.union(hit)
         frontier = below.where("`inner`").select("spec_id", F.col("place").alias("at"), "j")
     return found if found is not None else frontier.select("spec_id", "at", F.col("j").alias("target"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom import graphs, session
 from graphloom.operators import reach, reachability, search, stats, views
 from graphloom.queries import QUERIES
-from graphloom.sources import history
+from graphloom.sources import history, openapi
 
 
 def test_trends_against_a_mean_of_nothing(spark):
@@ -89,6 +89,15 @@ def test_degrees_of_a_search_are_made_once(spark, monkeypatch):
     assert [name for name, _ in written] == ["degrees"]
 
 
+def test_only_what_holds_a_reference_is_read_on(spark, monkeypatch):
+    written = recorded(monkeypatch, openapi)
+    text = '{"a": {"b": {"c": [{"d": 1}]}}, "x": {"$ref": {"y": [1, {"$ref": "#/in"}]}}, "z": {"$ref": null}, "w": [{"$ref": 7}, "\\"$ref\\""]}'
+    specs = openapi.parsed(spark.createDataFrame([(1, text), (2, '{"only": {"deep": [1]}}'), (3, None), (4, "no json")], "spec_id long, text string"))
+    got = sorted(map(tuple, openapi.references(specs).collect()), key=str)
+    assert got == [(1, "w/0", "7"), (1, "x/$ref/y/1", "#/in"), (1, "z", None)]
+    assert all(df.where("spec_id != 1").isEmpty() and df.where("at LIKE 'a%'").isEmpty() for _, df in written)
+
+
 def test_few_links_go_to_the_symbols(spark, monkeypatch):
     written = recorded(monkeypatch, views)
     links, symbols = spark.createDataFrame([("`Parse`",), ("a.r",), ("zz",), ("",), (None,)], "link string"), spark.createDataFrame([("x/a.rs:1", "parse"), ("x/a.rs:2", None)], "id string, name string")
