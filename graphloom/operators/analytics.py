@@ -229,6 +229,7 @@ def dominators(edges: DataFrame, root: str) -> DataFrame:
     Pointers begin as a BFS tree and are refined until none moves: a node's new pointer is the lowest common ancestor, over
     the pointers, of its predecessors. Ancestors are met by climbing: of a node's candidates those of the greatest BFS level
     take their own pointer's end, until one is left. The state is a pointer per node and at most a candidate per edge.
+    After the first round only nodes with a predecessor on or below a moved pointer are met again.
     """
     steps = cut(edges.where((F.col("src") != F.col("dst")) & (F.col("dst") != root)).select("src", "dst").distinct(), "steps")
     frontier = cut(edges.sparkSession.createDataFrame([(root, None, 0)], "id string, x string, level int"), "tree")
@@ -242,9 +243,10 @@ def dominators(edges: DataFrame, root: str) -> DataFrame:
         tree = tree.union(frontier)
     pointers = tree = cut(tree, "tree")
     before = cut(steps.join(tree.select(F.col("id").alias("src"), F.col("level").alias("lx")), "src").select(F.col("dst").alias("id"), F.col("src").alias("x"), "lx"), "before")
+    active = before
     while True:
         up = pointers.select(F.col("id").alias("x"), F.col("x").alias("above")).join(tree.select(F.col("id").alias("above"), F.col("level").alias("la")), "above")
-        up, settled, open_ = cut(up, "up"), None, before
+        up, settled, open_ = cut(up, "up"), None, active
         while True:
             sized = open_.groupBy("id").agg(F.max("lx").alias("most"), F.count(F.lit(1)).alias("n"), F.min("x").alias("only"))
             sized = cut(sized, "sized")
@@ -258,7 +260,14 @@ def dominators(edges: DataFrame, root: str) -> DataFrame:
             open_ = cut(going.select("id", F.when(climbs, F.col("above")).otherwise(F.col("x")).alias("x"), F.when(climbs, F.col("la")).otherwise(F.col("lx")).alias("lx")).distinct(), "climb")
         new = cut(pointers.join(settled, "id", "left").select("id", F.coalesce("new", "x").alias("x"), F.col("x").alias("old"), "level"), "pointers")
         pointers = new.select("id", "x", "level")
-        if new.where("x != old").isEmpty():
+        below = moved = cut(new.where("x != old").select("id"), "moved")
+        while not moved.isEmpty():
+            under = pointers.join(moved.select(F.col("id").alias("x")), "x", "left_semi").select("id")
+            moved = cut(under.join(below, "id", "left_anti"), "moved")
+            below = below.union(moved)
+        touched = before.join(below.select(F.col("id").alias("x")), "x", "left_semi").select("id").distinct()
+        active = cut(before.join(touched, "id", "left_semi"), "before")
+        if active.isEmpty():
             break
     at = cut(pointers.where("x IS NULL").select("id", F.col("x").alias("dominator"), F.lit(0).cast("long").alias("depth")), "depth")
     out, depth = at, 0

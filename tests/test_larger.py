@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from graphloom import graphs, session
-from graphloom.operators import reach, reachability, search, stats, views
+from graphloom.operators import analytics, reach, reachability, search, stats, views
 from graphloom.queries import QUERIES
 from graphloom.sources import history, openapi
 
@@ -98,6 +98,13 @@ def test_only_what_holds_a_reference_is_read_on(spark, monkeypatch):
     assert all(df.where("spec_id != 1").isEmpty() and df.where("at LIKE 'a%'").isEmpty() for _, df in written)
 
 
+def test_dominators_go_on_behind_moved_pointers_only(spark, monkeypatch):
+    written = recorded(monkeypatch, analytics)
+    edges = spark.createDataFrame([("r", "a"), ("r", "b"), ("a", "c"), ("b", "c")], "src string, dst string")
+    assert {r.id: r.dominator for r in analytics.dominators(edges, "r").collect()} == {"r": None, "a": "r", "b": "r", "c": "r"}
+    assert [name for name, _ in written].count("sized") == 2  # one round, a climb in it
+
+
 def test_few_links_go_to_the_symbols(spark, monkeypatch):
     written = recorded(monkeypatch, views)
     links, symbols = spark.createDataFrame([("`Parse`",), ("a.r",), ("zz",), ("",), (None,)], "link string"), spark.createDataFrame([("x/a.rs:1", "parse"), ("x/a.rs:2", None)], "id string, name string")
