@@ -11,7 +11,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import checked_broadcast, cut
+from graphloom.session import checked_broadcast, cut, dealt
 
 
 def adjacency(edges: DataFrame, direction: str = "outgoing") -> DataFrame:
@@ -130,6 +130,26 @@ def cheapest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = No
     return best
 
 
+def least_costs(edges: DataFrame, sources: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(src, dst, cost): the costs of ``cheapest_paths`` without the paths, which are not carried along.
+
+    Needs confidences of 1 at most: a cycle whose costs add up to less than nothing would be walked for ever.
+    """
+    cost = cut(edges.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.min(1 - F.col("confidence")).alias("w")), "costs")
+    best = changed = cut(sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("cost")).distinct(), "relax")
+    for done in count():
+        if rounds is not None and done >= rounds:
+            break
+        ahead = changed.join(cost, F.col("dst") == F.col("a")).select("src", F.col("b").alias("dst"), (F.col("cost") + F.col("w")).alias("cost"))
+        tried = dealt(ahead, "src", "dst").groupBy("src", "dst").agg(F.min("cost").alias("cost"))
+        old = best.select("src", "dst", F.col("cost").alias("old"))
+        changed = cut(tried.join(old, ["src", "dst"], "left").where(F.col("old").isNull() | (F.col("cost") < F.col("old") - 1e-12)).drop("old"), "relax")
+        if changed.isEmpty():
+            break
+        best = cut(best.join(changed.select("src", "dst"), ["src", "dst"], "left_anti").unionByName(changed), "relax")
+    return best
+
+
 def explained(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """Hops of each path: src, dst, hop, from, to, verb and confidence of the best edge."""
     steps = paths.select("src", "dst", F.posexplode("path").alias("hop", "from"), "path").where(F.col("hop") < F.size("path") - 1).select("src", "dst", "hop", "from", F.get("path", F.col("hop") + 1).alias("to"))

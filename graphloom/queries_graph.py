@@ -102,7 +102,7 @@ query(
 # longest and cheapest ways by recursion over the graph itself
 query("ga22_topological_layers", with_graph(", r(id, k) AS (SELECT id, 0 FROM n WHERE id NOT IN (SELECT dst FROM e) UNION SELECT e.dst, k + 1 FROM r JOIN e ON e.src = r.id) SELECT id, max(k) AS layer FROM r GROUP BY id", "n", "e", recursive=True))(lambda g: reach.topological_layers(g.edges, g.nodes))
 query("ga20_cheapest_paths", with_graph(", x AS MATERIALIZED (SELECT src, dst, min(1 - confidence) AS w FROM e GROUP BY 1, 2), r(src, dst, cost) AS (SELECT id, id, CAST(0 AS DOUBLE) FROM n WHERE kind = 'class' UNION ALL SELECT r.src, x.dst, cost + w FROM r JOIN x ON x.src = r.dst) SELECT src, dst, round(min(cost), 9) AS cost FROM r GROUP BY 1, 2", "n", "e", recursive=True))(
-    lambda g: reach.cheapest_paths(g.edges, g.nodes.where("kind = 'class'")).select("src", "dst", F.round("cost", 9).alias("cost"))
+    lambda g: reach.least_costs(g.edges, g.nodes.where("kind = 'class'")).select("src", "dst", F.round("cost", 9).alias("cost"))
 )
 query("ql13_paths_by_kind", with_graph(", x AS MATERIALIZED (SELECT src, dst, dep_type FROM e), p(dst, hops, path) AS (SELECT 'region:2', 0, 'region:2' UNION ALL SELECT x.dst, hops + 1, path || '>' || x.dst FROM p JOIN x ON x.src = p.dst WHERE hops < 3) SELECT 'region:2' AS src, p.dst, hops, path FROM p JOIN n ON n.id = p.dst WHERE kind = 'method'", "n", "e", recursive=True))(
     lambda g: reach.simple_paths(g.edges, g.seed("region:2"), g.nodes.where("kind = 'method'"), 3).select("src", "dst", "hops", F.array_join("path", ">").alias("path"))

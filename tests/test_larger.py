@@ -81,6 +81,15 @@ def recorded(monkeypatch, module):
     return written
 
 
+def test_costs_are_those_of_cheapest_paths(spark):
+    rng = random.Random(9)
+    rows = [(f"n{rng.randint(0, 20)}", f"n{rng.randint(0, 20)}", rng.randint(0, 10) / 10) for _ in range(60)]
+    edges, seeds = spark.createDataFrame(rows, "src string, dst string, confidence double"), spark.createDataFrame([("n1",), ("n2",), ("n2",), ("alone",)], "id string")
+    for rounds in (None, 2):
+        got, want = ({(r.src, r.dst): round(r.cost, 9) for r in f(edges, seeds, rounds).collect()} for f in (reach.least_costs, reach.cheapest_paths))
+        assert got == want and len(got) > 3
+
+
 def test_degrees_of_a_search_are_made_once(spark, monkeypatch):
     written = recorded(monkeypatch, search)
     nodes = spark.createDataFrame([("1", "File"), ("2", "file_list")], "id string, name string")
