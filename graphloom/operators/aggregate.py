@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.model import CALLABLE, PROVENANCE_WEIGHT, TYPES, chosen, in_scope, module_of, severity_weight
 from graphloom.operators.access import roots
 from graphloom.operators.reach import reach
-from graphloom.session import checked_broadcast
+from graphloom.session import checked_broadcast, cut
 
 
 def module_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -65,7 +65,8 @@ def impact(nodes: DataFrame, edges: DataFrame, closure: DataFrame) -> DataFrame:
 
 def dead_code(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Callable and type nodes that no root reaches: only cycles without an entry are dead."""
-    live = reach(edges, roots(nodes, edges).select("id"))
+    edges = cut(edges.select("src", "dst"), "edges")  # read twice, made once
+    live = reach(edges, roots(nodes, edges.select("dst").distinct()).select("id"))
     return nodes.where(F.col("kind").isin([*CALLABLE, *TYPES])).join(live.select("id"), "id", "left_anti")
 
 

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from graphloom import graphs, session
-from graphloom.operators import analytics, reach, reachability, search, stats, views
+from graphloom.operators import aggregate, analytics, reach, reachability, search, stats, views
 from graphloom.queries import QUERIES
 from graphloom.sources import history, openapi
 
@@ -120,3 +120,11 @@ def test_few_links_go_to_the_symbols(spark, monkeypatch):
     assert {r.link: r.confidence for r in views.link_tiers(links, symbols).collect()} == {"`Parse`": 0.9, "a.r": 0.6, "zz": 0.3, "": 0.3, None: 0.3}
     for name in ("names", "met"):
         assert "BroadcastHashJoin" in dict(written)[name]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_of_dead_code_are_made_once(spark, monkeypatch):
+    written = recorded(monkeypatch, aggregate)
+    nodes = spark.createDataFrame([(i, "function") for i in "abxy"], "id string, kind string")
+    edges = spark.createDataFrame([("a", "b"), ("x", "y"), ("y", "x")], "src string, dst string")
+    assert {r.id for r in aggregate.dead_code(nodes, edges).collect()} == {"x", "y"}
+    assert [name for name, _ in written] == ["edges"]
