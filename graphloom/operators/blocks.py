@@ -1,8 +1,9 @@
 """Blocks of an undirected graph: bridges, cut vertices and biconnected components with state linear in its edges.
 
-A BFS forest is built level by level; subtree sizes go up it and preorder numbers down it, a level at a time.
-Tarjan and Vishkin's rules then say which tree edges lie on a common cycle, as edges of an auxiliary
-graph whose connected components are the blocks. No edge is removed to see what falls apart.
+A BFS forest is built level by level. An edge outside it joins nodes of one level or of two next to each other; the
+two ends climb the forest together, a level at a time, until they meet, and pairs that come to the same place go on as one.
+The tree edges that they pass lie on a cycle, those of one climb in one block; a tree edge that none passes is a bridge.
+No edge is removed to see what falls apart.
 """
 
 from __future__ import annotations
@@ -20,20 +21,32 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.where("src != dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
-def forest(pairs: DataFrame) -> DataFrame:
-    """(id, parent, depth): a BFS tree of each component of (a, b), from its least id; a root's parent is null."""
+def _levels(pairs: DataFrame) -> list[DataFrame]:
+    """(id, parent, depth) of each level of ``forest``."""
     both = cut(pairs.select("a", "b").union(pairs.select("b", "a")), "both")
     roots = connected_components(pairs).select(F.col("component").alias("id")).distinct()
     none = F.lit(None).cast(pairs.schema["a"].dataType)
-    seen = frontier = cut(roots.select("id", none.alias("parent"), F.lit(0).alias("depth")), "level")
-    depth = 0
+    levels = [cut(roots.select("id", none.alias("parent"), F.lit(0).alias("depth")), "level")]
     while True:
-        depth += 1
-        ahead = both.join(frontier.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
-        frontier = cut(ahead.join(seen.select("id"), "id", "left_anti").select("id", "parent", F.lit(depth).alias("depth")), "level")
+        # a neighbour of a level is in that level, the one before or the next
+        near = _union(levels[-2:]).select("id")
+        ahead = both.join(levels[-1].select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
+        frontier = cut(ahead.join(near, "id", "left_anti").select("id", "parent", F.lit(len(levels)).alias("depth")), "level")
         if frontier.isEmpty():
-            return cut(seen, "forest")
-        seen = seen.union(frontier)
+            return levels
+        levels.append(frontier)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def forest(pairs: DataFrame) -> DataFrame:
+    """(id, parent, depth): a BFS tree of each component of (a, b), from its least id; a root's parent is null."""
+    return cut(_union(_levels(pairs)), "forest")
 
 
 def numbered(tree: DataFrame) -> DataFrame:
@@ -64,52 +77,61 @@ def numbered(tree: DataFrame) -> DataFrame:
     return cut(out, "numbered")
 
 
-def blocks(edges: DataFrame) -> DataFrame:
-    """(a, b, block) of every undirected edge: the least preorder number of a tree edge's lower end in its block.
+def _climbed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ends, steps): the edges beside a forest of numbered nodes, and the climbs of those outside it.
 
-    Loops are left out, parallel edges count once.
+    ends: a, b, the edge's lower end, the parent ``above`` of that, its depth, the other end, whether the edge is the forest's, and
+    whether both ends are at one depth. steps: x and y, two nodes of one depth, with their parents up_x and up_y.
     """
     pairs = cut(undirected(edges), "pairs")
-    tree = numbered(forest(pairs))
-    at = tree.select("id", "pre", "size", "parent", "depth")
-    ends = pairs.join(at.select(F.col("id").alias("a"), F.col("pre").alias("pa"), F.col("size").alias("sa"), F.col("parent").alias("up_a")), "a")
-    ends = cut(ends.join(at.select(F.col("id").alias("b"), F.col("pre").alias("pb"), F.col("size").alias("sb"), F.col("parent").alias("up_b")), "b"), "ends")
-    in_tree = F.coalesce(F.col("up_a") == F.col("b"), F.lit(False)) | F.coalesce(F.col("up_b") == F.col("a"), F.lit(False))
-    other = ends.where(~in_tree)
-
-    # least and greatest number next to a node by edges outside the tree, then over its subtree
-    reach = other.select(F.col("a").alias("id"), F.col("pb").alias("p")).union(other.select("b", "pa"))
-    reach = reach.groupBy("id").agg(F.min("p").alias("low"), F.max("p").alias("high"))
-    own = cut(at.join(reach, "id", "left").select("id", "parent", "depth", "pre", "size", F.least("pre", F.coalesce("low", "pre")).alias("low"), F.greatest("pre", F.coalesce("high", "pre")).alias("high")), "own")
-    deepest = own.agg(F.max("depth")).first()[0] or 0
-    level = own.where(F.col("depth") == deepest)
-    levels = [level]
-    for d in range(deepest - 1, -1, -1):
-        below = level.groupBy(F.col("parent").alias("id")).agg(F.min("low").alias("l"), F.max("high").alias("h"))
-        level = own.where(F.col("depth") == d).join(below, "id", "left").select("id", "parent", "depth", "pre", "size", F.least("low", F.coalesce("l", "low")).alias("low"), F.greatest("high", F.coalesce("h", "high")).alias("high"))
-        level = cut(level, "low")
-        levels.append(level)
-    low = levels[0]
-    for level in levels[1:]:
-        low = low.union(level)
-    low = cut(low, "lows")
+    # numbers are aggregated in hash tables, names would have to be sorted
+    codes = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().withColumn("n", F.monotonically_increasing_id()), "codes")
+    named = pairs.join(codes.select(F.col("id").alias("a"), F.col("n").alias("p")), "a").join(codes.select(F.col("id").alias("b"), F.col("n").alias("q")), "b")
+    named = cut(named, "named")
+    levels = _levels(named.select(F.col("p").alias("a"), F.col("q").alias("b")))
+    tree = _union(levels)
+    at = lambda c: tree.select(F.col("id").alias(c), F.col("parent").alias(f"up_{c}"), F.col("depth").alias(f"depth_{c}"))
+    placed = named.join(at("p"), "p").join(at("q"), "q")
+    second = F.col("depth_q") > F.col("depth_p")
+    lower = lambda x, y: F.when(second, F.col(y)).otherwise(F.col(x))
+    ends = placed.select("a", "b", lower("p", "q").alias("lower"), lower("up_p", "up_q").alias("above"), lower("depth_p", "depth_q").alias("depth"), lower("q", "p").alias("other"), (F.col("depth_p") == F.col("depth_q")).alias("level"))
+    ends = cut(ends.withColumn("in_tree", ~F.col("level") & (F.col("above") == F.col("other"))), "ends")
+
+    foot = F.when(F.col("level"), F.col("lower")).otherwise(F.col("above"))
+    start = ends.where("NOT in_tree").select((F.col("depth") - F.when(F.col("level"), 0).otherwise(1)).alias("depth"), F.least(foot, "other").alias("x"), F.greatest(foot, "other").alias("y"))
+    start = cut(start.distinct(), "start")
+    steps = [start.where("false").select("x", "y", F.col("x").alias("up_x"), F.col("y").alias("up_y"))]
+    for d in range(len(levels) - 1, 0, -1):
+        onward = steps[-1].where("up_x != up_y").select(F.least("up_x", "up_y").alias("x"), F.greatest("up_x", "up_y").alias("y"))
+        met = start.where(F.col("depth") == d).select("x", "y").union(onward).distinct()
+        up = lambda c: levels[d].select(F.col("id").alias(c), F.col("parent").alias(f"up_{c}"))  # noqa: E731, B023
+        steps.append(cut(met.join(up("x"), "x").join(up("y"), "y").select("x", "y", "up_x", "up_y"), "step"))
+    return ends, _union(steps)
+
 
-    # a tree edge is named by its lower end's number
-    apart = other.where((F.col("pa") + F.col("sa") <= F.col("pb")) | (F.col("pb") + F.col("sb") <= F.col("pa"))).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-    above = low.where("depth > 0").select(F.col("id").alias("parent"), F.col("pre").alias("up"), F.col("size").alias("wide"))
-    joined = low.join(above, "parent").where((F.col("low") < F.col("up")) | (F.col("high") >= F.col("up") + F.col("wide"))).select(F.col("up").alias("a"), F.col("pre").alias("b"))
-    found = connected_components(apart.union(joined))
-    named = low.where("depth > 0").select(F.col("pre").alias("id")).join(found, "id", "left").select("id", F.coalesce("component", "id").alias("block"))
-    # an edge outside the tree lies in the block of its later end's tree edge
-    return ends.select("a", "b", F.greatest("pa", "pb").alias("id")).join(named, "id").select("a", "b", "block")
+def blocks(edges: DataFrame) -> DataFrame:
+    """(a, b, block) of every undirected edge; a block is named by the number of a node, the lower end of one of its tree edges.
+
+    Loops are left out, parallel edges count once.
+    """
+    ends, steps = _climbed(edges)
+    # a tree edge is named by its lower end
+    further = steps.where("up_x != up_y")
+    links = ends.where("NOT in_tree AND NOT level").select(F.col("lower").alias("a"), F.col("above").alias("b"))
+    links = links.union(further.select("x", "up_x")).union(further.select("y", "up_y")).union(steps.where("up_x = up_y").select("x", "y"))
+    found = connected_components(links).withColumnRenamed("id", "lower")
+    return ends.join(found, "lower", "left").select("a", "b", F.coalesce("component", "lower").alias("block"))
 
 
 def bridges(edges: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """(a, b) of undirected edges whose removal splits their component: the edges that are a block of their own.
+    """(a, b) of undirected edges whose removal splits their component: the tree edges that no edge outside the forest climbs over.
 
-    ``found`` takes the result of ``blocks`` where it is there already.
+    ``found`` takes the result of ``blocks`` where it is there already; then they are the edges that are a block of their own.
     """
-    found = cut(blocks(edges), "blocks") if found is None else found
+    if found is None:
+        ends, steps = _climbed(edges)
+        over = ends.where("NOT in_tree AND NOT level").select("lower").union(steps.select("x")).union(steps.select("y"))
+        return ends.where("in_tree").join(over, "lower", "left_anti").select("a", "b")
     alone = found.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
     return alone.where("n = 1").select("a", "b")
 
@@ -125,6 +147,7 @@ def articulation_points(nodes: DataFrame, edges: DataFrame, found: DataFrame | N
         between = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
         found = cut(blocks(between), "blocks")
     at = found.select(F.col("a").alias("id"), "block").union(found.select("b", "block")).distinct()
-    linked = connected_components(found.select("a", "b"))
-    base = ids.join(linked, "id", "left").select(F.coalesce("component", "id").alias("c")).distinct().count()
+    # a component's nodes less one are those of its blocks, each less one
+    parts = at.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("block").alias("blocks")).first()
+    base = ids.count() - parts["n"] + parts["blocks"]
     return at.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", (F.col("n") - 1 + base).alias("components"))

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from graphloom import graphs, session
-from graphloom.operators import aggregate, analytics, reach, reachability, search, stats, views
+from graphloom.operators import aggregate, analytics, blocks, reach, reachability, search, stats, views
 from graphloom.queries import QUERIES
 from graphloom.sources import history, openapi
 
@@ -128,3 +128,24 @@ def test_edges_of_dead_code_are_made_once(spark, monkeypatch):
     edges = spark.createDataFrame([("a", "b"), ("x", "y"), ("y", "x")], "src string, dst string")
     assert {r.id for r in aggregate.dead_code(nodes, edges).collect()} == {"x", "y"}
     assert [name for name, _ in written] == ["edges"]
+
+
+def test_bridges_need_components_once(spark, monkeypatch):
+    """The forest's roots are the only components; cut vertices count them from their blocks."""
+    rng, made, real = random.Random(6), [], blocks.connected_components
+    monkeypatch.setattr(blocks, "connected_components", lambda pairs: made.append(pairs.schema["a"].dataType.typeName()) or real(pairs))
+    rows = {(f"n{rng.randint(0, 15):02d}", f"n{rng.randint(0, 15):02d}") for _ in range(14)} | {("n01", "n01"), ("x", "y"), ("y", "z"), ("z", "x"), ("z", "w"), ("w", "z")}
+    edges = spark.createDataFrame(list(rows), "src string, dst string").cache()
+    flat = {(min(p), max(p)) for p in rows if p[0] != p[1]}
+
+    def joined(pairs, a):
+        seen = {a}
+        while more := {y for p in pairs for x, y in (p, p[::-1]) if x in seen} - seen:
+            seen |= more
+        return seen
+
+    assert {(r.a, r.b) for r in blocks.bridges(edges).collect()} == {p for p in flat if p[1] not in joined(flat - {p}, p[0])}
+    assert made == ["long"]
+    found = spark.createDataFrame([("c", "d", 1), ("d", "e", 2), ("p", "q", 3)], "a string, b string, block long")
+    nodes = spark.createDataFrame([(i,) for i in ["c", "d", "e", "p", "q", "alone"]], "id string")
+    assert [tuple(r) for r in blocks.articulation_points(nodes, edges, found).collect()] == [("d", 4)] and made == ["long"]
