@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import module_of
+from graphloom.session import cut, dealt
 
 
 def callers(edges: DataFrame, node: str) -> DataFrame:
@@ -63,9 +64,13 @@ def local_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def merged(*graphs: DataFrame) -> DataFrame:
-    """Union of edge tables; of equal keys the most confident edge stays, then the smallest provenance."""
+    """Union of edge tables; of equal keys the most confident edge stays, then the smallest provenance.
+
+    The tables are made once, as a file, and its rows dealt out by key, so that a task sorts no more of them however many there are.
+    """
     every = graphs[0]
     for g in graphs[1:]:
         every = every.unionByName(g)
+    keys = ["src", "dst", "dep_type"]
     best = F.max_by(F.struct("provenance", "confidence"), F.struct("confidence", F.col("provenance")))
-    return every.groupBy("src", "dst", "dep_type").agg(best.alias("x")).select("src", "dst", "dep_type", "x.*")
+    return dealt(cut(every, "graphs"), *keys).groupBy(*keys).agg(best.alias("x")).select(*keys, "x.*")

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from graphloom import graphs, session
-from graphloom.operators import aggregate, analytics, blocks, reach, reachability, search, stats, views
+from graphloom.operators import access, aggregate, analytics, blocks, reach, reachability, search, stats, views
 from graphloom.queries import QUERIES
 from graphloom.sources import history, openapi
 
@@ -149,3 +149,13 @@ def test_bridges_need_components_once(spark, monkeypatch):
     found = spark.createDataFrame([("c", "d", 1), ("d", "e", 2), ("p", "q", 3)], "a string, b string, block long")
     nodes = spark.createDataFrame([(i,) for i in ["c", "d", "e", "p", "q", "alone"]], "id string")
     assert [tuple(r) for r in blocks.articulation_points(nodes, edges, found).collect()] == [("d", 4)] and made == ["long"]
+
+
+def test_merged_edges_are_dealt_out_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    a = spark.createDataFrame([(f"s{i % 7}", f"d{i % 30}", "calls", "inferred", i / 100) for i in range(60)], "src string, dst string, dep_type string, provenance string, confidence double")
+    b = spark.createDataFrame([("s0", "d0", "calls", "manual", 1.0), ("s0", None, "calls", "manual", None)], a.schema)
+    found = access.merged(a, b, a)
+    assert found.rdd.getNumPartitions() == 13
+    want = {(f"s{i % 7}", f"d{i % 30}"): ("inferred", i / 100) for i in range(60)} | {("s0", "d0"): ("manual", 1.0), ("s0", None): ("manual", None)}
+    assert {(r.src, r.dst): (r.provenance, r.confidence) for r in found.collect()} == want
