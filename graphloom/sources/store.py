@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +21,18 @@ def heads(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], "workspace_id string, revision_id long")
 
 
+def _folder(root: str, workspace: str, revision: int) -> str:
+    """The partition of a revision, named as Spark's own writer of partitions would name it."""
+    name = re.sub(r"[\x01-\x1f\"#%'*/:=?\\\x7f{\[\]^]", lambda m: f"%{ord(m[0]):02X}", workspace) or "__HIVE_DEFAULT_PARTITION__"
+    return f"{root}/edges/workspace_id={name}/revision_id={revision}"
+
+
 def commit(root: str, workspace: str, edges: DataFrame, key: str) -> int:
     """Write a revision and then its head entry; a key that was committed before gives its revision again.
 
     The head entry is written last, so a reader sees the old or the new revision, never half of one. A revision whose head
-    entry was lost is written over by the next commit, so a retry doubles nothing.
+    entry was lost is written over by the next commit, so a retry doubles nothing. The revision goes straight into its one
+    partition: written by columns, its rows would first be sorted by values that are all the same.
     """
     spark = edges.sparkSession
     own = heads(spark, root).where(F.col("workspace_id") == workspace).first()
@@ -32,7 +41,7 @@ def commit(root: str, workspace: str, edges: DataFrame, key: str) -> int:
         if same:
             return same["revision_id"]
     revision = (own["revision_id"] if own else 0) + 1
-    edges.withColumn("workspace_id", F.lit(workspace)).withColumn("revision_id", F.lit(revision).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workspace_id", "revision_id").parquet(f"{root}/edges")
+    edges.drop("workspace_id", "revision_id").write.mode("overwrite").parquet(_folder(root, workspace, revision))
     row = spark.createDataFrame([(workspace, revision, key)], "workspace_id string, revision_id long, commit_key string").withColumn("at", F.current_timestamp())
     row.write.mode("append").parquet(f"{root}/heads")
     return revision

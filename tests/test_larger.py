@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom import graphs, session
 from graphloom.operators import access, aggregate, analytics, blocks, reach, reachability, search, stats, views
 from graphloom.queries import QUERIES
-from graphloom.sources import history, openapi
+from graphloom.sources import history, openapi, runs, store
 
 
 def test_trends_against_a_mean_of_nothing(spark):
@@ -159,3 +159,20 @@ def test_merged_edges_are_dealt_out_by_rows(spark, monkeypatch):
     assert found.rdd.getNumPartitions() == 13
     want = {(f"s{i % 7}", f"d{i % 30}"): ("inferred", i / 100) for i in range(60)} | {("s0", "d0"): ("manual", 1.0), ("s0", None): ("manual", None)}
     assert {(r.src, r.dst): (r.provenance, r.confidence) for r in found.collect()} == want
+
+
+def test_revisions_are_written_without_a_sort(spark, tmp_path):
+    root, name = f"file://{tmp_path}/s", "a/b = {c}%41:é"
+    edges = spark.createDataFrame([("x", "y", "old"), ("x", "z", "old")], "src string, dst string, workspace_id string")
+
+    def ran():
+        every = spark._jsparkSession.sharedState().statusStore().executionsList()
+        plans = [every.apply(i).physicalPlanDescription() for i in range(every.size())]
+        return [p for p in plans if "InsertIntoHadoopFs" in p and "/edges" in p and str(tmp_path) in p]
+
+    assert [store.commit(root, name, edges, "1"), store.commit(root, name, edges.limit(1), "2"), store.commit(root, name, edges, "1"), store.commit(root, "a", edges, "1")] == [1, 2, 1, 1]
+    assert len(ran()) == 3 and not any("Sort" in p for p in ran())
+    assert [store.snapshot(spark, root, w, r).count() for w, r in [(name, 1), (name, None), ("a", None)]] == [2, 1, 2]
+    assert {r.workspace_id for r in spark.read.parquet(f"{root}/edges").select("workspace_id").collect()} == {name, "a"}
+    ends = runs.checkpoints(spark, root, name)
+    assert sorted(map(tuple, ends.collect())) == [(1, 3, 2), (2, 2, 1)]
