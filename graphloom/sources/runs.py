@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.aggregate import keep_last
+from graphloom.session import dealt
 from graphloom.sources import store
 
 JSON_GRAPH = "nodes array<struct<id:string,kind:string,name:string>>, edges array<struct<source:string,target:string,relation:string,confidence:double>>"
@@ -63,7 +64,9 @@ def checkpoints(spark: SparkSession, root: str, workspace: str) -> DataFrame:
     """(revision_id, symbols, edges) of every revision of a workspace in a store."""
     rows = spark.read.parquet(f"{root}/edges").where(F.col("workspace_id") == workspace)
     edges = rows.groupBy("revision_id").agg(F.count(F.lit(1)).alias("edges"))
-    ends = rows.select("revision_id", "src").union(rows.select("revision_id", "dst")).distinct().groupBy("revision_id").agg(F.count(F.lit(1)).alias("symbols"))
+    # dealt out first: the ends that a task makes distinct are then those of so many rows, not those of a large piece of a file
+    pairs = dealt(rows.select("revision_id", "src", "dst"), "src", "dst")
+    ends = pairs.select("revision_id", F.explode(F.array("src", "dst")).alias("id")).distinct().groupBy("revision_id").agg(F.count(F.lit(1)).alias("symbols"))
     return edges.join(ends, "revision_id").select("revision_id", "symbols", "edges")
 
 

@@ -176,3 +176,4 @@ def test_revisions_are_written_without_a_sort(spark, tmp_path):
     assert {r.workspace_id for r in spark.read.parquet(f"{root}/edges").select("workspace_id").collect()} == {name, "a"}
     ends = runs.checkpoints(spark, root, name)
     assert sorted(map(tuple, ends.collect())) == [(1, 3, 2), (2, 2, 1)]
+    assert "REPARTITION_BY_NUM" in ends._jdf.queryExecution().toString()
