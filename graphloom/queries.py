@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from graphloom import graphs
 from graphloom.graphs import with_graph
-from graphloom.model import in_scope, module_of, severity_weight
+from graphloom.model import in_scope, module_of, rounded, severity_weight
 from graphloom.operators import access, aggregate, analytics, federation, lenses, reach, search, stats
 from graphloom.session import table
 from graphloom.sources import manifest
@@ -182,18 +182,18 @@ query("ag15_quality_gate", "SELECT CAST(o_custkey AS VARCHAR) AS workspace_id, o
 query("ag16_open_issues", with_graph("SELECT count(*) AS open FROM i WHERE status = 'open'", "i"))(lambda g: g.issues.where("status = 'open'").agg(F.count(F.lit(1)).alias("open")))
 query("ag17_issues_in_scope", with_graph("SELECT id, severity, line FROM i WHERE file_path = 'ASIA' OR starts_with(file_path, 'ASIA/')", "i"))(lambda g: aggregate.issues_in_scope(g.issues, "ASIA").select("id", "severity", "line"))
 _WEIGHT = "CASE provenance WHEN 'tested' THEN 1.0 WHEN 'manual' THEN 0.9 WHEN 'extracted' THEN 0.85 WHEN 'inferred' THEN 0.5 WHEN 'ambiguous' THEN 0.3 ELSE 0 END"
-query("ag19_edge_score", with_graph(f"SELECT src, dst, round(least(1.0, greatest(0.0, CAST({_WEIGHT} AS DOUBLE) * confidence)), 9) AS score FROM e", "e"))(lambda g: (e := g.edges).select("src", "dst", F.round(aggregate.edge_score(e), 9).alias("score")))
+query("ag19_edge_score", with_graph(f"SELECT src, dst, round(least(1.0, greatest(0.0, CAST({_WEIGHT} AS DOUBLE) * confidence)), 9) AS score FROM e", "e"))(lambda g: (e := g.edges).select("src", "dst", rounded(aggregate.edge_score(e), 9).alias("score")))
 query("ag20_target_score", with_graph(f", b AS (SELECT dst, provenance, max(least(1.0, greatest(0.0, CAST({_WEIGHT} AS DOUBLE) * confidence))) AS s FROM e GROUP BY 1, 2) SELECT dst AS id, round(least(1.0, sum(s)), 9) AS score FROM b GROUP BY 1", "e"))(
-    lambda g: aggregate.target_scores(g.edges).select("id", F.round("score", 9).alias("score"))
+    lambda g: aggregate.target_scores(g.edges).select("id", rounded("score", 9).alias("score"))
 )
 query("ag21_health", with_graph("SELECT round(100 - least(50.0 * count(*) FILTER (fan_in = 0) / count(*), 30) - CASE WHEN count(*) > 1000 THEN 5 ELSE 0 END, 6) AS health FROM d", "d"))(
-    lambda g: g.degrees.agg((F.count_if(F.col("fan_in") == 0) / F.count(F.lit(1))).alias("share"), F.count(F.lit(1)).alias("n")).select(F.round(aggregate.health(F.col("share"), F.col("n")), 6).alias("health"))
+    lambda g: g.degrees.agg((F.count_if(F.col("fan_in") == 0) / F.count(F.lit(1))).alias("share"), F.count(F.lit(1)).alias("n")).select(rounded(aggregate.health(F.col("share"), F.col("n")), 6).alias("health"))
 )
 query("ag25_review", with_graph(", c AS (SELECT DISTINCT file FROM n WHERE starts_with(file, 'Brand#1')), u AS (SELECT DISTINCT src FROM e WHERE dst IN (SELECT id FROM n WHERE file IN (SELECT file FROM c))) SELECT file, count(*) AS dependents FROM n WHERE id IN (SELECT src FROM u) AND file NOT IN (SELECT file FROM c) GROUP BY file", "n", "e"))(
     lambda g: aggregate.review(g.nodes, g.edges, g.nodes.where(F.col("file").startswith("Brand#1")).select("file").distinct())
 )
 query("ag26_god_functions", with_graph("SELECT id, fan_in, fan_out, round(least(100.0, 25.0 * fan_in / 30 + 25.0 * fan_out / 400), 9) AS score FROM d WHERE fan_in >= 30 OR fan_out >= 400", "d"))(
-    lambda g: aggregate.god_functions(g.degrees, 30, 400).withColumn("score", F.round("score", 9))
+    lambda g: aggregate.god_functions(g.degrees, 30, 400).withColumn("score", rounded("score", 9))
 )
 query("ag28_graph_diff", with_graph("SELECT CASE WHEN provenance = 'inferred' THEN 'added' ELSE 'removed' END AS op, src, dst, dep_type FROM e WHERE provenance IN ('inferred', 'ambiguous')", "e"))(
     lambda g: aggregate.edge_diff(g.edges.where("provenance != 'inferred'"), g.edges.where("provenance != 'ambiguous'"))
@@ -210,11 +210,11 @@ query("ag34_keep_last", "SELECT CAST(user_id AS VARCHAR) AS id, event_type, even
 query("lv9_seam_map", with_graph(_MODULES + " SELECT least(src_module, dst_module) AS a, greatest(src_module, dst_module) AS b, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY 1, 2", "n", "e"))(lambda g: aggregate.seam_map(aggregate.module_edges(g.nodes, g.edges)))
 _SEV = "CASE severity WHEN 'blocker' THEN 3.0 WHEN 'critical' THEN 2.0 WHEN 'major' THEN 1.5 WHEN 'minor' THEN 1.0 WHEN 'info' THEN 0.5 ELSE 1.0 END"
 query("lv1_symbol_risk", with_graph(f", w AS (SELECT file_path, line, CAST(sum({_SEV}) AS DOUBLE) AS weight FROM i GROUP BY 1, 2), x AS (SELECT d.id, fan_in, coalesce(weight, 0) AS weight, round(0.4 * fan_in + 0.6 * coalesce(weight, 0), 6) AS risk, weight IS NOT NULL AS has FROM d LEFT JOIN w ON file = file_path AND d.line = w.line) SELECT id, fan_in, weight, risk, CASE WHEN risk >= 8 THEN 'critical' WHEN risk >= 4 THEN 'warning' ELSE 'info' END AS band FROM x WHERE fan_in >= 2 OR has", "d", "i"))(
-    lambda g: aggregate.symbol_risk(g.degrees, g.issues).withColumn("risk", F.round("risk", 6))
+    lambda g: aggregate.symbol_risk(g.degrees, g.issues).withColumn("risk", rounded("risk", 6))
 )
 query("lv2_severity_weight", with_graph(f"SELECT id, CAST({_SEV} AS DOUBLE) AS weight FROM i", "i"))(lambda g: g.issues.select("id", severity_weight(F.col("severity")).alias("weight")))
 query("lv3_file_risk", with_graph(f", a AS (SELECT file, 0.4 * sum(fan_in) AS fan FROM d GROUP BY 1), b AS (SELECT file_path, 0.6 * sum({_SEV}) AS w FROM i GROUP BY 1), x AS (SELECT coalesce(file, file_path) AS file, CAST(coalesce(fan, 0) + coalesce(w, 0) AS DOUBLE) AS risk FROM a FULL JOIN b ON file = file_path) SELECT file, round(risk, 6) AS risk, CASE WHEN risk >= 15 THEN 'critical' WHEN risk >= 8 THEN 'warning' ELSE 'info' END AS band FROM x", "d", "i"))(
-    lambda g: aggregate.file_risk(g.degrees, g.issues).withColumn("risk", F.round("risk", 6))
+    lambda g: aggregate.file_risk(g.degrees, g.issues).withColumn("risk", rounded("risk", 6))
 )
 query("lv11_api_surface", with_graph("SELECT name, id FROM n WHERE file = 'AFRICA' OR starts_with(file, 'AFRICA/')", "n"))(lambda g: g.nodes.where(in_scope(F.col("file"), "AFRICA")).select("name", "id"))
 # callers in test files come from tests of the supplier: an edge back from each part of its extracted calls
@@ -240,7 +240,7 @@ def _pagerank_sql(rounds: int) -> str:
     return with_graph(sql + f" SELECT id, round(rank, 9) AS rank FROM r{rounds}", "f")
 
 
-query("al1_pagerank", _pagerank_sql(5))(lambda g: analytics.pagerank(g.flow_nodes, g.flow, iterations=5).withColumn("rank", F.round("rank", 9)))
+query("al1_pagerank", _pagerank_sql(5))(lambda g: analytics.pagerank(g.flow_nodes, g.flow, iterations=5).withColumn("rank", rounded("rank", 9)))
 
 
 def _labels_sql(rounds: int) -> str:
@@ -271,12 +271,12 @@ query("al11_surprising", with_graph(_KIND + " SELECT src, dst, CAST(s AS BIGINT)
 )
 _TYPE = ", x AS (SELECT split_part(src, ':', 2) AS ca, split_part(dst, ':', 2) AS cb FROM f)"
 _of = lambda g: g.flow_nodes.select("id", F.split_part("id", F.lit(":"), F.lit(2)).alias("community"))
-query("al25_cohesion", with_graph(_TYPE + " SELECT ca AS community, round(avg(CASE WHEN ca = cb THEN 1.0 ELSE 0.0 END), 9) AS cohesion FROM x GROUP BY 1", "f"))(lambda g: analytics.cohesion(g.flow, _of(g)).withColumn("cohesion", F.round("cohesion", 9)))
+query("al25_cohesion", with_graph(_TYPE + " SELECT ca AS community, round(avg(CASE WHEN ca = cb THEN 1.0 ELSE 0.0 END), 9) AS cohesion FROM x GROUP BY 1", "f"))(lambda g: analytics.cohesion(g.flow, _of(g)).withColumn("cohesion", rounded("cohesion", 9)))
 query("al16_conductance", with_graph(_TYPE + ", p AS (SELECT ca, count(*) AS volume, count(*) FILTER (ca <> cb) AS cut FROM x GROUP BY 1) SELECT ca AS community, round(CASE WHEN least(volume, (SELECT count(*) FROM x) - volume) > 0 THEN CAST(cut AS DOUBLE) / least(volume, (SELECT count(*) FROM x) - volume) ELSE 0 END, 9) AS conductance FROM p", "f"))(
-    lambda g: analytics.conductance(g.flow, _of(g)).withColumn("conductance", F.round("conductance", 9))
+    lambda g: analytics.conductance(g.flow, _of(g)).withColumn("conductance", rounded("conductance", 9))
 )
 query("al17_modularity", with_graph(_TYPE + ", m AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM x), o AS (SELECT ca AS c, count(*) AS o, count(*) FILTER (ca = cb) AS i FROM x GROUP BY 1), n AS (SELECT cb AS c, count(*) AS n FROM x GROUP BY 1) SELECT round(sum(coalesce(i, 0) / m - coalesce(o, 0) * coalesce(n, 0) / (m * m)), 9) AS modularity, count(*) AS communities FROM (SELECT * FROM o FULL JOIN n USING (c)), m", "f"))(
-    lambda g: analytics.modularity(g.flow, _of(g)).withColumn("modularity", F.round("modularity", 9))
+    lambda g: analytics.modularity(g.flow, _of(g)).withColumn("modularity", rounded("modularity", 9))
 )
 query("al15_k_core", with_graph(", p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM f WHERE src <> dst), q AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), d0 AS (SELECT a FROM q GROUP BY a HAVING count(*) >= 2), q1 AS (SELECT * FROM q WHERE a IN (SELECT a FROM d0) AND b IN (SELECT a FROM d0)), d1 AS (SELECT a FROM q1 GROUP BY a HAVING count(*) >= 2), q2 AS (SELECT * FROM q1 WHERE a IN (SELECT a FROM d1) AND b IN (SELECT a FROM d1)), d2 AS (SELECT a FROM q2 GROUP BY a HAVING count(*) >= 2), q3 AS (SELECT * FROM q2 WHERE a IN (SELECT a FROM d2) AND b IN (SELECT a FROM d2)), d3 AS (SELECT a FROM q3 GROUP BY a HAVING count(*) >= 2), q4 AS (SELECT * FROM q3 WHERE a IN (SELECT a FROM d3) AND b IN (SELECT a FROM d3)) SELECT DISTINCT a AS id FROM q4", "f"))(
     lambda g: analytics.k_core(g.flow, 2)
@@ -287,10 +287,10 @@ query("al15_k_core", with_graph(", p AS (SELECT DISTINCT least(src, dst) AS a, g
 _TOK = "list_filter(string_split_regex(regexp_replace(name, '([A-Z])', '_\\1', 'g'), '[_:.\\-#\\s]+'), lambda x: x <> '')"
 query("se2_tokens", with_graph(f"SELECT id, lower(array_to_string({_TOK}, ' ')) AS tokens FROM n", "n"))(lambda g: g.nodes.select("id", F.array_join(search.tokens(F.col("name")), " ").alias("tokens")))
 query("se3_idf", with_graph(f", t AS (SELECT DISTINCT id, unnest(list_append(list_transform({_TOK}, lambda x: lower(x)), lower(name))) AS token FROM n) SELECT token, count(*) AS df, round(ln(1 + (SELECT count(*) FROM n) / CAST(1 + count(*) AS DOUBLE)), 9) AS idf FROM t GROUP BY token", "n"))(
-    lambda g: search.idf_table(g.nodes).withColumn("idf", F.round("idf", 9))
+    lambda g: search.idf_table(g.nodes).withColumn("idf", rounded("idf", 9))
 )
 query("se4_similarity_search", with_graph(", x AS (SELECT id, name, lower(name) AS l, instr(lower(name), 'ring') AS p, length(name) AS k FROM n) SELECT id, name, CAST(CASE WHEN l = 'ring' THEN 4 WHEN p = 1 THEN 3 WHEN p > 1 THEN 2 ELSE 1 END AS INTEGER) AS match, round(CASE WHEN l = 'ring' THEN 1.0 WHEN p = 1 THEN 0.9 WHEN p > 1 THEN 0.7 + 0.2 * (1 - (p - 1) / CAST(k AS DOUBLE)) ELSE 2.4 / k END, 9) AS score FROM x WHERE p > 0 OR regexp_matches(l, 'r.*i.*n.*g') ORDER BY match DESC, score DESC, name, id LIMIT 20", "n"))(
-    lambda g: search.similarity_search(g.nodes, "ring", 20).withColumn("score", F.round("score", 9))
+    lambda g: search.similarity_search(g.nodes, "ring", 20).withColumn("score", rounded("score", 9))
 )
 query("se13_content_search", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, l, unnest(range(0, len(l))) AS line FROM l) SELECT doc_id, CAST(line AS INTEGER) AS line, l[line + 1] AS text, CASE WHEN line > 0 THEN l[line] END AS before, l[line + 2] AS after FROM x WHERE regexp_matches(l[line + 1], 'License')")(
     lambda g: search.lines_matching(g.documents, "License")
@@ -300,14 +300,14 @@ query("st1_percentiles", "WITH k AS (SELECT event_type, value, row_number() OVER
     lambda g: stats.by_index(g.events, "event_type", "value", {"p50": 0.5, "p95": 0.95})
 )
 query("st2_benchmark_stats", "WITH k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(n) AS n, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation, round(CASE WHEN sum(value) > 0 THEN count(*) / (sum(value) / 1000) ELSE 0 END, 6) AS per_second, max(CASE WHEN r = floor(0.5 * (n - 1)) THEN value END) AS p50, max(CASE WHEN r = floor(0.95 * (n - 1)) THEN value END) AS p95, max(CASE WHEN r = floor(0.99 * (n - 1)) THEN value END) AS p99 FROM k GROUP BY 1")(
-    lambda g: stats.benchmark_stats(g.events, "event_type", "value").withColumns({c: F.round(c, 6) for c in ("mean", "deviation", "per_second")})
+    lambda g: stats.benchmark_stats(g.events, "event_type", "value").withColumns({c: rounded(c, 6) for c in ("mean", "deviation", "per_second")})
 )
-query("st4_latency_score", "SELECT event_id, round(CASE WHEN value <= 10 THEN 100 WHEN value >= 90 THEN 0 ELSE 100.0 * (90 - value) / 80 END, 6) AS score FROM events")(lambda g: g.events.select("event_id", F.round(stats.latency_score(F.col("value"), F.lit(10.0), F.lit(90.0)), 6).alias("score")))
+query("st4_latency_score", "SELECT event_id, round(CASE WHEN value <= 10 THEN 100 WHEN value >= 90 THEN 0 ELSE 100.0 * (90 - value) / 80 END, 6) AS score FROM events")(lambda g: g.events.select("event_id", rounded(stats.latency_score(F.col("value"), F.lit(10.0), F.lit(90.0)), 6).alias("score")))
 query("st5_consistency", "SELECT event_type, CASE WHEN stddev_samp(value) / avg(value) < 0.1 THEN 95 WHEN stddev_samp(value) / avg(value) < 0.25 THEN 80 WHEN stddev_samp(value) / avg(value) < 0.5 THEN 60 ELSE 30 END AS score FROM events GROUP BY 1")(
     lambda g: g.events.groupBy("event_type").agg(stats.consistency(F.stddev_samp("value") / F.avg("value")).alias("score"))
 )
 query("st9_trends", "WITH b AS (SELECT event_id, value, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS base FROM events) SELECT event_id, round(base, 6) AS base, round(100.0 * (value - base) / base, 4) AS change, coalesce(100.0 * (value - base) / base < -5, false) AS alert FROM b")(
-    lambda g: stats.trends(g.events, "user_id", "event_id", "value", 3).select("event_id", F.round("base", 6).alias("base"), F.round("change", 4).alias("change"), "alert")
+    lambda g: stats.trends(g.events, "user_id", "event_id", "value", 3).select("event_id", rounded("base", 6).alias("base"), rounded("change", 4).alias("change"), "alert")
 )
 query("st12_ground_truth", with_graph("SELECT count(*) FILTER (provenance = 'inferred' AND confidence >= 0.95) AS hits, count(*) FILTER (provenance = 'inferred' AND confidence >= 0.95) / CAST(count(*) FILTER (provenance = 'inferred') AS DOUBLE) AS precision, count(*) FILTER (provenance = 'inferred' AND confidence >= 0.95) / CAST(count(*) FILTER (confidence >= 0.95) AS DOUBLE) AS recall FROM e", "e"))(
     lambda g: stats.matched(g.edges.where("provenance = 'inferred'"), g.edges.where("confidence >= 0.95"), ["src", "dst", "dep_type"])
@@ -327,7 +327,7 @@ query("src5_changes", "WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, o_ord
 )
 query("src15_page_links", "SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS target FROM pages")(lambda g: manifest.links(g.pages))
 query("sm_activity_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2")(
-    lambda g: g.events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
+    lambda g: g.events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("value"), 6).alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
 )
 
 # --- lenses, views, diffs, diagrams --------------------------------------------------------
@@ -335,7 +335,7 @@ query("sm_activity_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start,
 query("lv4_dependencies", with_graph("SELECT id, fan_out, CASE WHEN fan_out >= 20 THEN 'critical' ELSE 'warning' END AS band FROM d WHERE fan_out > 10", "d"))(lambda g: lenses.dependency_findings(g.degrees))
 query("lv6_god_modules", with_graph(_MODULES + " SELECT dst_module AS module, count(DISTINCT src_module) AS callers FROM p GROUP BY 1 HAVING count(DISTINCT src_module) > 5", "n", "e"))(lambda g: lenses.god_modules(aggregate.module_edges(g.nodes, g.edges), 5))
 query("lv7_ranked_hotspots", with_graph(f", a AS (SELECT file, 0.4 * sum(fan_in) AS fan FROM d GROUP BY 1), b AS (SELECT file_path, 0.6 * sum({_SEV}) AS w FROM i GROUP BY 1), x AS (SELECT coalesce(file, file_path) AS file, round(CAST(coalesce(fan, 0) + coalesce(w, 0) AS DOUBLE), 6) AS risk FROM a FULL JOIN b ON file = file_path) SELECT file, risk FROM x ORDER BY risk DESC, file LIMIT 10", "d", "i"))(
-    lambda g: lenses.ranked_hotspots(aggregate.file_risk(g.degrees, g.issues).select("file", F.round("risk", 6).alias("risk")), 10)
+    lambda g: lenses.ranked_hotspots(aggregate.file_risk(g.degrees, g.issues).select("file", rounded("risk", 6).alias("risk")), 10)
 )
 query("lv8_vertical_slice", with_graph(", r(id, depth) AS (SELECT 'nation:4', 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = id WHERE depth < 3) SELECT CASE WHEN min(depth) = 0 THEN 'focus' ELSE 'callee' END AS role, id, min(depth) AS depth FROM r GROUP BY id UNION ALL SELECT DISTINCT 'caller', src, 1 FROM e WHERE dst = 'nation:4'", "e", recursive=True))(
     lambda g: lenses.vertical_slice(g.edges, g.seed("nation:4"))
@@ -390,15 +390,15 @@ query("se5_camel_tokens", with_graph("SELECT id, array_to_string(list_filter(str
     lambda g: g.nodes.select("id", F.array_join(lenses.camel_tokens(F.col("name")), " ").alias("tokens"))
 )
 query("se8_ranked_symbols", with_graph(", x AS (SELECT id, fan_in, length(name) AS k, instr(lower(name), 'ring') AS p FROM d WHERE instr(lower(name), 'ring') > 1) SELECT id, round(least(1.0, 0.4 * fan_in / greatest((SELECT max(fan_in) FROM d), 1) + 0.6 * (0.7 + 0.2 * (1 - (p - 1) / CAST(k AS DOUBLE)))), 9) AS score FROM x", "d"))(
-    lambda g: lenses.ranked_symbols(g.degrees, search.similarity_matches(g.nodes, "ring").where("match = 2")).withColumn("score", F.round("score", 9))
+    lambda g: lenses.ranked_symbols(g.degrees, search.similarity_matches(g.nodes, "ring").where("match = 2")).withColumn("score", rounded("score", 9))
 )
 query("st3_warmup", "WITH k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events), w AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM k WHERE k > 1), m AS (SELECT event_type, max(CASE WHEN r = floor(0.5 * (n - 1)) THEN value END) AS warm FROM w GROUP BY 1) SELECT event_type, value AS first, warm, round(value / warm, 9) AS penalty, value / warm > 3 AS cold FROM k JOIN m USING (event_type) WHERE k = 1")(
-    lambda g: stats.warmup(g.events, "event_type", "event_id", "value").withColumn("penalty", F.round("penalty", 9))
+    lambda g: stats.warmup(g.events, "event_type", "event_id", "value").withColumn("penalty", rounded("penalty", 9))
 )
 query("st6_robustness", "SELECT event_type, round(100.0 * (1 - count(*) FILTER (value > 90) / CAST(count(*) AS DOUBLE)), 9) AS score FROM events GROUP BY 1")(
-    lambda g: g.events.groupBy("event_type").agg(F.count_if(F.col("value") > 90).alias("bad"), F.count(F.lit(1)).alias("n")).select("event_type", F.round(stats.robustness(F.col("bad"), F.col("n")), 9).alias("score"))
+    lambda g: g.events.groupBy("event_type").agg(F.count_if(F.col("value") > 90).alias("bad"), F.count(F.lit(1)).alias("n")).select("event_type", rounded(stats.robustness(F.col("bad"), F.col("n")), 9).alias("score"))
 )
 query("st8_weighted_health", "WITH x AS (SELECT user_id, avg(value) AS a, max(value) AS b, stddev_samp(value) AS c FROM events GROUP BY 1) SELECT user_id, round((0.35 * a + 0.2 * b + coalesce(0.15 * c, 0)) / (0.55 + CASE WHEN c IS NULL THEN 0 ELSE 0.15 END), 6) AS health FROM x")(
-    lambda g: g.events.groupBy("user_id").agg(F.avg("value").alias("a"), F.max("value").alias("b"), F.stddev_samp("value").alias("c")).select("user_id", F.round(stats.weighted([F.col("a"), F.col("b"), F.col("c")], [0.35, 0.2, 0.15]), 6).alias("health"))
+    lambda g: g.events.groupBy("user_id").agg(F.avg("value").alias("a"), F.max("value").alias("b"), F.stddev_samp("value").alias("c")).select("user_id", rounded(stats.weighted([F.col("a"), F.col("b"), F.col("c")], [0.35, 0.2, 0.15]), 6).alias("health"))
 )
 query("fed5_parity", with_graph("SELECT count(*) AS only_left, CAST(0 AS BIGINT) AS only_right FROM e WHERE provenance = 'ambiguous'", "e"))(lambda g: lenses.parity(g.edges.select("src", "dst"), g.edges.where("provenance != 'ambiguous'").select("src", "dst")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graphs import with_graph
+from graphloom.model import rounded
 from graphloom.operators import access, aggregate, analytics, blocks, candidates, federation, lenses, questions, reach, reachability, search, stats, views
 from graphloom.operators.ordered import order_statistics, running_sum
 from graphloom.queries import _SCC, _SEV, G, query
@@ -86,7 +87,7 @@ def _personal_sql(rounds: int) -> str:
 
 
 query("al2_personal_pagerank", _personal_sql(5))(
-    lambda g: analytics.pagerank(g.flow_nodes, g.flow, iterations=5, personal=g.flow_nodes.select("id", F.when(F.col("id").endswith("click"), 2.0).otherwise(1.0).alias("weight"))).withColumn("rank", F.round("rank", 9))
+    lambda g: analytics.pagerank(g.flow_nodes, g.flow, iterations=5, personal=g.flow_nodes.select("id", F.when(F.col("id").endswith("click"), 2.0).otherwise(1.0).alias("weight"))).withColumn("rank", rounded("rank", 9))
 )
 query(
     "ga21_explain_path",
@@ -102,7 +103,7 @@ query(
 # longest and cheapest ways by recursion over the graph itself
 query("ga22_topological_layers", with_graph(", r(id, k) AS (SELECT id, 0 FROM n WHERE id NOT IN (SELECT dst FROM e) UNION SELECT e.dst, k + 1 FROM r JOIN e ON e.src = r.id) SELECT id, max(k) AS layer FROM r GROUP BY id", "n", "e", recursive=True))(lambda g: reach.topological_layers(g.edges, g.nodes))
 query("ga20_cheapest_paths", with_graph(", x AS MATERIALIZED (SELECT src, dst, min(1 - confidence) AS w FROM e GROUP BY 1, 2), r(src, dst, cost) AS (SELECT id, id, CAST(0 AS DOUBLE) FROM n WHERE kind = 'class' UNION ALL SELECT r.src, x.dst, cost + w FROM r JOIN x ON x.src = r.dst) SELECT src, dst, round(min(cost), 9) AS cost FROM r GROUP BY 1, 2", "n", "e", recursive=True))(
-    lambda g: reach.least_costs(g.edges, g.nodes.where("kind = 'class'")).select("src", "dst", F.round("cost", 9).alias("cost"))
+    lambda g: reach.least_costs(g.edges, g.nodes.where("kind = 'class'")).select("src", "dst", rounded("cost", 9).alias("cost"))
 )
 query("ql13_paths_by_kind", with_graph(", x AS MATERIALIZED (SELECT src, dst, dep_type FROM e), p(dst, hops, path) AS (SELECT 'region:2', 0, 'region:2' UNION ALL SELECT x.dst, hops + 1, path || '>' || x.dst FROM p JOIN x ON x.src = p.dst WHERE hops < 3) SELECT 'region:2' AS src, p.dst, hops, path FROM p JOIN n ON n.id = p.dst WHERE kind = 'method'", "n", "e", recursive=True))(
     lambda g: reach.simple_paths(g.edges, g.seed("region:2"), g.nodes.where("kind = 'method'"), 3).select("src", "dst", "hops", F.array_join("path", ">").alias("path"))
@@ -224,14 +225,14 @@ _IDF = (
     f"s AS (SELECT id, name, degree, {_idf('small')} * {_best('small')} + {_idf('ring')} * {_best('ring')} + {_idf('small ring')} * {_best('small ring')} + (CASE WHEN l = 'small ring' THEN 1000.0 WHEN contains(l, 'small ring') THEN 100.0 ELSE 0.0 END)::DOUBLE AS score FROM k), "
     "p AS (SELECT coalesce(min(degree), 0) AS p95 FROM (SELECT degree, sum(count(*)) OVER (ORDER BY degree) AS upto FROM k GROUP BY degree) WHERE upto > CAST(floor(0.95 * (SELECT n FROM c)) AS BIGINT)), z AS (SELECT id, name, CASE WHEN degree > p95 THEN score * 0.1::DOUBLE ELSE score END AS score FROM s, p WHERE score > 0)"
 )
-query("se1_idf_search", with_graph(_IDF + " SELECT id, name, round(score, 6) AS score FROM (SELECT * FROM z ORDER BY score DESC, name, id LIMIT 20)", "d"))(lambda g: search.idf_search(g.nodes, g.degrees, "small ring", 20).withColumn("score", F.round("score", 6)))
+query("se1_idf_search", with_graph(_IDF + " SELECT id, name, round(score, 6) AS score FROM (SELECT * FROM z ORDER BY score DESC, name, id LIMIT 20)", "d"))(lambda g: search.idf_search(g.nodes, g.degrees, "small ring", 20).withColumn("score", rounded("score", 6)))
 _THREE = _IDF + ", q AS (SELECT id, name, l, fan_in, instr(l, 'small ring') AS p FROM k), m AS (SELECT id, name, fan_in, CASE WHEN l = 'small ring' THEN 1.0::DOUBLE WHEN p = 1 THEN 0.9::DOUBLE WHEN p > 1 THEN 0.7 + 0.2 * (1 - (p - 1)::DOUBLE / length(name)) WHEN regexp_matches(l, 's.*m.*a.*l.*l.* .*r.*i.*n.*g') THEN 0.6 * 10 / length(name)::DOUBLE END AS score FROM q), "
 _THREE += "a1 AS (SELECT name, max(score) AS score, 1 AS i FROM m WHERE score >= 0.8 GROUP BY 1), a2 AS (SELECT name, max(least(1.0, 0.4 * fan_in / (SELECT greatest(max(fan_in), 1) FROM k) + 0.6 * score)) AS score, 2 AS i FROM m WHERE score IS NOT NULL GROUP BY 1), a3 AS (SELECT name, max(score) AS score, 3 AS i FROM z GROUP BY 1), u AS (SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3), b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY name ORDER BY i) = 1)"
 query("se7_three_rankings", with_graph(_THREE + " SELECT name, round(score, 6) AS score, CASE i WHEN 1 THEN 'semantic' WHEN 2 THEN 'ranked' ELSE 'idf' END AS source FROM (SELECT * FROM b ORDER BY score DESC, name LIMIT 60)", "d"))(
     lambda g: (m := search.similarity_matches(g.nodes, "small ring"))
     and views.first_source(
         [("semantic", m.where("score >= 0.8")), ("ranked", lenses.ranked_symbols(g.degrees, m).join(g.nodes.select("id", "name"), "id")), ("idf", search.idf_search(g.nodes, g.degrees, "small ring", None))], 60
-    ).withColumn("score", F.round("score", 6))
+    ).withColumn("score", rounded("score", 6))
 )
 
 # --- revisions -----------------------------------------------------------------------------
@@ -284,7 +285,7 @@ query("ql23_cluster_members", with_graph(_SCC + " SELECT component, count(*) OVE
 
 _RISKS = f", x AS (SELECT file, 0.4 * sum(fan_in) AS fan FROM d GROUP BY 1), y AS (SELECT file_path, 0.6 * sum({_SEV}) AS w FROM i GROUP BY 1), z AS (SELECT coalesce(file, file_path) AS file, CAST(coalesce(fan, 0) + coalesce(w, 0) AS DOUBLE) + CAST(coalesce(w, 0) AS DOUBLE) AS risk FROM x FULL JOIN y ON file = file_path), p AS (SELECT string_split(file, '/') AS p, risk FROM z), s AS (SELECT array_to_string(p[1:n], '/') AS scope, risk FROM (SELECT p, risk, unnest(range(1, len(p))) AS n FROM p))"
 query("lv3_scope_risk", with_graph(_RISKS + " SELECT scope, round(sum(risk), 6) AS risk, CASE WHEN sum(risk) >= 30 THEN 'critical' WHEN sum(risk) >= 15 THEN 'warning' ELSE 'info' END AS band FROM s GROUP BY scope", "d", "i"))(
-    lambda g: aggregate.scope_risk(aggregate.file_risk(g.degrees, g.issues), g.issues).withColumn("risk", F.round("risk", 6))
+    lambda g: aggregate.scope_risk(aggregate.file_risk(g.degrees, g.issues), g.issues).withColumn("risk", rounded("risk", 6))
 )
 query("al25_community_labels", with_graph(", k AS (SELECT kind AS community, regexp_replace(file, '/?[^/]*$', '') AS label, count(*) AS n FROM n GROUP BY 1, 2) SELECT community, label FROM k QUALIFY row_number() OVER (PARTITION BY community ORDER BY n DESC, label DESC) = 1", "n"))(lambda g: analytics.community_labels(g.nodes, g.nodes.select("id", "kind")))
 query("ag23_confident_scores", "SELECT user_id, CASE WHEN c < 20 AND c > 0 THEN s * 0.5::DOUBLE WHEN n < 10 THEN s * 0.7::DOUBLE ELSE s::DOUBLE END AS score FROM (SELECT user_id, count(*) % 97 AS s, max(event_id) % 40 AS c, count(*) % 20 AS n FROM events GROUP BY 1)")(
@@ -292,7 +293,7 @@ query("ag23_confident_scores", "SELECT user_id, CASE WHEN c < 20 AND c > 0 THEN
 )
 _FIVE = ["avg(value)", "max(value)", "CASE WHEN user_id % 3 > 0 THEN min(value) END", "CASE WHEN user_id % 4 > 0 THEN stddev_samp(value) END", "count(*) / 10.0"]
 query("st8_five_dimensions", "WITH x AS (SELECT " + ", ".join(f"CAST({e} AS DOUBLE) AS s{i}" for i, e in enumerate(_FIVE)) + ", user_id FROM events GROUP BY user_id) SELECT user_id, round((0.35 * s0 + 0.2 * s1 + coalesce(0.15 * s2, 0) + coalesce(0.15 * s3, 0) + 0.15 * s4) / (0.7 + CASE WHEN s2 IS NULL THEN 0 ELSE 0.15 END + CASE WHEN s3 IS NULL THEN 0 ELSE 0.15 END), 6) AS health FROM x")(
-    lambda g: g.events.groupBy("user_id").agg(*[F.expr(f"CAST({e} AS DOUBLE)").alias(f"s{i}") for i, e in enumerate(_FIVE)]).select("user_id", F.round(stats.health([F.col(f"s{i}") for i in range(5)]), 6).alias("health"))
+    lambda g: g.events.groupBy("user_id").agg(*[F.expr(f"CAST({e} AS DOUBLE)").alias(f"s{i}") for i, e in enumerate(_FIVE)]).select("user_id", rounded(stats.health([F.col(f"s{i}") for i in range(5)]), 6).alias("health"))
 )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graphs import with_graph
-from graphloom.model import STOP_WORDS
+from graphloom.model import STOP_WORDS, rounded
 from graphloom.operators import access, aggregate, lenses, patterns, predicates, reach, search, stats
 from graphloom.queries import _MODULES, G, query
 from graphloom.sources import manifest
@@ -95,7 +95,7 @@ query("ga37_traced_path", with_graph("SELECT 'region:1>' || min(a.dst || '>' ||
 # --- reports, views, statistics ------------------------------------------------------------
 
 query("ag11_dead_code_report", with_graph(", x AS (SELECT src, dst FROM e UNION SELECT 'part:' || (p_partkey + 1), 'part:' || p_partkey FROM part WHERE p_partkey % 50 = 0 UNION SELECT 'part:' || p_partkey, 'part:' || (p_partkey + 1) FROM part WHERE p_partkey % 50 = 0), y AS (SELECT * FROM x WHERE NOT (starts_with(src, 'supplier:') AND CAST(split_part(dst, ':', 2) AS BIGINT) % 50 IN (0, 1))), r(id) AS (SELECT id FROM n WHERE id NOT IN (SELECT dst FROM y) UNION SELECT dst FROM r JOIN y ON src = r.id) SELECT kind, count(*) FILTER (kind <> 'module' AND id NOT IN (SELECT id FROM r)) AS dead, count(*) AS total, round(100.0 * count(*) FILTER (kind <> 'module' AND id NOT IN (SELECT id FROM r)) / CAST(count(*) AS DOUBLE), 9) AS percent FROM n GROUP BY kind", "n", "e", recursive=True))(
-    lambda g: lenses.dead_report(g.nodes, aggregate.dead_code(g.nodes, _with_islands(g))).withColumn("percent", F.round("percent", 9))
+    lambda g: lenses.dead_report(g.nodes, aggregate.dead_code(g.nodes, _with_islands(g))).withColumn("percent", rounded("percent", 9))
 )
 
 
@@ -111,7 +111,7 @@ query("lv5_scope_cycle", with_graph(_MODULES + ", q AS (SELECT src_module AS a,
 )
 _WEIGHTS = {"view": 0.35, "click": 0.2, "purchase": 0.15}
 query("st11_improvement_ranking", "WITH s AS (SELECT event_type AS name, avg(value) AS score FROM events GROUP BY 1) SELECT name, round(score, 6) AS score, round(CASE name WHEN 'view' THEN 0.35 WHEN 'click' THEN 0.2 WHEN 'purchase' THEN 0.15 ELSE 0 END * (100 - score), 6) AS gain FROM s ORDER BY 3 DESC, name LIMIT 3")(
-    lambda g: stats.improvement_targets(g.events.groupBy(F.col("event_type").alias("name")).agg(F.avg("value").alias("score")), _WEIGHTS, 3).select("name", F.round("score", 6).alias("score"), F.round("gain", 6).alias("gain"))
+    lambda g: stats.improvement_targets(g.events.groupBy(F.col("event_type").alias("name")).agg(F.avg("value").alias("score")), _WEIGHTS, 3).select("name", rounded("score", 6).alias("score"), rounded("gain", 6).alias("gain"))
 )
 _STOP = ", ".join(f"('{w}')" for w in sorted(STOP_WORDS))
 query("se11_keywords", f"WITH q AS (SELECT event_id, unnest(regexp_extract_all(lower('How does the ' || event_type || ' of user_' || user_id || ' connect to x and pre-built ' || event_type || '?'), '[A-Za-z0-9_-]+')) AS w FROM events) SELECT DISTINCT event_id, w AS word FROM q WHERE length(w) > 1 AND w NOT IN (SELECT * FROM (VALUES {_STOP}))")(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.graphs import with_graph
+from graphloom.model import rounded
 from graphloom.operators import access, aggregate, analytics, lenses, reach, search, views
 from graphloom.queries import _SCC, query
 
@@ -65,7 +66,7 @@ query("se16_heading_confidence", "SELECT doc_id, CASE WHEN contains(lower(coales
 _SIMILAR = ", q AS (SELECT id, name, kind, lower(name) AS l, instr(lower(name), '{q}') AS p FROM n), s AS (SELECT id, name, kind, CASE WHEN l = '{q}' THEN 1.0::DOUBLE WHEN p = 1 THEN 0.9::DOUBLE WHEN p > 1 THEN 0.7 + 0.2 * (1 - (p - 1)::DOUBLE / length(name)) WHEN regexp_matches(l, '{f}') THEN 0.6 * {n} / length(name)::DOUBLE END AS score FROM q), t AS (SELECT * FROM s WHERE score IS NOT NULL)"
 _RING = _SIMILAR.format(q="ring", f="r.*i.*n.*g", n=4)
 query("se6_spotter", with_graph(_RING + " SELECT id, name, round(score, 9) AS score FROM (SELECT * FROM t WHERE kind = 'method' ORDER BY score DESC, name, id LIMIT 25)", "n"))(
-    lambda g: views.spotter(g.nodes, "ring", "METHOD", 25).withColumn("score", F.round("score", 9))
+    lambda g: views.spotter(g.nodes, "ring", "METHOD", 25).withColumn("score", rounded("score", 9))
 )
 query(
     "se7_smart_search",
@@ -74,9 +75,9 @@ query(
         "n",
         "d",
     ),
-)(lambda g: (m := search.similarity_matches(g.nodes, "ring")) and views.first_source([("semantic", m.where("score >= 0.8").join(g.nodes.where("kind = 'method'").select("id"), "id", "left_semi")), ("ranked", lenses.ranked_symbols(g.degrees, m).join(g.nodes.select("id", "name"), "id"))], 50).withColumn("score", F.round("score", 9)))
+)(lambda g: (m := search.similarity_matches(g.nodes, "ring")) and views.first_source([("semantic", m.where("score >= 0.8").join(g.nodes.where("kind = 'method'").select("id"), "id", "left_semi")), ("ranked", lenses.ranked_symbols(g.degrees, m).join(g.nodes.select("id", "name"), "id"))], 50).withColumn("score", rounded("score", 9)))
 query("se9_named_by_question", with_graph(_RING + ", c AS (SELECT id, name, least(1.0, 0.7 * score + 0.3 * (contains(lower(name), 'ring')::INT + contains(lower(name), 'small')::INT) / 2) AS confidence FROM t) SELECT id, name, round(confidence, 9) AS confidence FROM (SELECT * FROM c WHERE confidence > 0.1 ORDER BY confidence DESC, name, id LIMIT 30)", "n"))(
-    lambda g: views.named_by_question(search.similarity_matches(g.nodes, "ring"), "Where is the small ring?", 30).withColumn("confidence", F.round("confidence", 9))
+    lambda g: views.named_by_question(search.similarity_matches(g.nodes, "ring"), "Where is the small ring?", 30).withColumn("confidence", rounded("confidence", 9))
 )
 query("se14_usages", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, l, unnest(range(0, len(l))) AS line FROM l) SELECT doc_id, CAST(line AS INTEGER) AS line, l[line + 1] AS text, CASE WHEN line > 0 THEN l[line] END AS before, l[line + 2] AS after FROM x WHERE regexp_matches(l[line + 1], '\\bthe\\b')")(
     lambda g: views.usages(g.documents, "the")
@@ -97,7 +98,7 @@ query(
             F.col("user_id").alias("tool"), (1 + F.col("event_id") % 50).cast("long").alias("size"), F.round(F.when(F.col("user_id") % 3 == 0, 100 + F.col("value") / 1000).when(F.col("user_id") % 3 == 1, F.col("value")).otherwise(F.col("event_id") % 50 + 3)).cast("long").alias("latency")
         ),
         "tool",
-    ).select("tool", "class", F.round("score", 6).alias("score"))
+    ).select("tool", "class", rounded("score", 6).alias("score"))
 )
 _INSIGHTS = _SCC + ", cy AS (SELECT component, count(*) AS size FROM s GROUP BY component HAVING count(*) > 1 OR max(CASE WHEN id IN (SELECT src FROM f WHERE src = dst) THEN 1 ELSE 0 END) = 1), a AS (SELECT count(*) AS cycles, CAST(coalesce(sum(size), 0) AS BIGINT) AS in_cycles FROM cy), i AS (SELECT dst AS id, count(DISTINCT src) AS score FROM f GROUP BY dst), g AS (SELECT count(*) AS gods FROM i WHERE score >= (SELECT score FROM i ORDER BY score LIMIT 1 OFFSET (SELECT CAST(floor(count(*) * 0.95) AS BIGINT) FROM i))), "
 _INSIGHTS += "x AS (SELECT split_part(src, ':', 2) AS ca, split_part(dst, ':', 2) AS cb FROM f), co AS (SELECT ca, avg(CASE WHEN ca = cb THEN 1.0 ELSE 0.0 END) AS c FROM x GROUP BY ca), h AS (SELECT count(*) AS communities, avg(coalesce(co.c, 0)) AS cohesion FROM (SELECT DISTINCT split_part(id, ':', 2) AS c FROM v) k LEFT JOIN co ON co.ca = k.c), r2 AS (SELECT count(*) AS crossing FROM x WHERE ca <> cb)"
@@ -111,7 +112,7 @@ def _facts(g):
         analytics.cohesion(g.flow, c),
         g.flow.join(c.toDF("src", "a"), "src").join(c.toDF("dst", "b"), "dst").where("a != b"),
     )
-    return c, found.withColumns({"cohesion": F.round("cohesion", 9), "health": F.round("health", 6)})
+    return c, found.withColumns({"cohesion": rounded("cohesion", 9), "health": rounded("health", 6)})
 
 
 _HEALTH = " cycles, in_cycles, gods, communities, round(cohesion, 9) AS cohesion, crossing, round(CAST(greatest(0, 100 - least(5.0 * cycles, 30) - CASE WHEN gods > 3 THEN 10 ELSE 0 END - 20 * (1 - cohesion) - 0.5 * least(crossing, 20)) AS DOUBLE), 6) AS health"

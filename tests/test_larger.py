@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from graphloom import graphs, session
+from graphloom.model import rounded
 from graphloom.operators import access, aggregate, analytics, blocks, reach, reachability, search, stats, views
 from graphloom.queries import QUERIES
 from graphloom.sources import history, openapi, runs, store
@@ -21,6 +22,22 @@ def test_trends_against_a_mean_of_nothing(spark):
     assert got["n", 1] == (-50.0, True) and got["z", 4] == (-100.0, True)
 
 
+def test_doubles_are_rounded_as_sql_rounds_them(spark):
+    """Just below a tie as decimals; times ten to the places they are ties."""
+    values = [(210.36874999999998, 210.3688), (61.981249999999996, 61.9813), (-210.36874999999998, -210.3688), (0.00005, 0.0001), (1.23, 1.23), (math.inf, math.inf), (1.5e307, 1.5e307), (None, None)]
+    rows = spark.createDataFrame(values, "value double, want double")
+    assert [r for r in rows.select(rounded("value", 4).alias("got"), "want").collect() if r.got != r.want] == []
+    assert math.isnan(rows.select(rounded(F.lit(math.nan), 4)).first()[0])
+
+
+def test_trends_are_rounded_as_in_sql(spark, tmp_path):
+    """53.33 on average, then 165.53: a change of 210.36874999999998 per cent, which SQL rounds to 210.3688."""
+    rows = [(i, 1, v) for i, v in enumerate([53.33, 53.33, 53.34, 165.53])]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.change for r in QUERIES["st9_trends"](spark, str(tmp_path)).collect()}
+    assert got[3] == 210.3688
+
+
 def test_shortest_paths_by_their_text(spark):
     rows = [("r", "n:1"), ("r", "n:12"), ("n:1", "s"), ("n:12", "s"), ("s", "t")]
     edges = spark.createDataFrame(rows, "src string, dst string")
