@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.analytics import strong_components
-from graphloom.session import cut
+from graphloom.session import checked_broadcast, cut
 
 RANDOM = 6
+#: Ancestors that ``transitive_reduction`` lists of a node at most; nodes with more are searched.
+LISTED = 32
 
 
 def _swept(steps: DataFrame, nodes: DataFrame, what: str) -> DataFrame:
@@ -38,12 +40,14 @@ def _swept(steps: DataFrame, nodes: DataFrame, what: str) -> DataFrame:
 class Reach:
     """Labels of a graph's strong components: ``components`` (id, c, cycle), ``steps`` (a, b) between them, ``labels`` (c, ...).
 
-    The components' graph is acyclic; labelling takes a round for each of its layers, with rows linear in edges.
+    The components' graph is acyclic; labelling takes a round for each of its layers, with rows linear in edges. Where
+    ``acyclic`` says that the edges have no cycle, each node is taken for its own component.
     """
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame) -> None:
+    def __init__(self, nodes: DataFrame, edges: DataFrame, acyclic: bool = False) -> None:
         ids = nodes.select("id").distinct()
-        found = cut(strong_components(ids, edges).select("id", F.col("component").alias("c")), "components")
+        found = ids.select("id", F.col("id").alias("c")) if acyclic else strong_components(ids, edges).select("id", F.col("component").alias("c"))
+        found = cut(found, "components")
         loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct().withColumn("loop", F.lit(True))
         sizes = found.groupBy("c").agg((F.count(F.lit(1)) > 1).alias("several"))
         self.components = cut(found.join(loops, "id", "left").join(sizes, "c").select("id", "c", (F.col("several") | F.coalesce("loop", F.lit(False))).alias("cycle")), "components")
@@ -100,8 +104,8 @@ class Reach:
         same = (F.col("x") == F.col("y")) & F.col("cycle_a")
         return placed.join(found, ["x", "y"], "left").select("a", "b", (F.coalesce(same, F.lit(False)) | F.coalesce("found", F.lit(False))).alias("reaches"))
 
-    def redundant(self) -> DataFrame:
-        """(a, b) of the steps that a longer path between components replaces.
+    def redundant(self, among: DataFrame) -> DataFrame:
+        """Of the steps (a, b) given, those that a longer path between components replaces.
 
         Only a step over two layers or more, from both ends, can be one. For each of those the lesser of two sets is looked at,
         what follows a or what precedes b, as far as it lies in layers between both: at most of the order of m * sqrt(m)
@@ -110,7 +114,8 @@ class Reach:
         end = lambda name: self.labels.select(F.col("c").alias(name), F.col("height").alias(f"h{name}"), F.col("depth").alias(f"d{name}"))
         layered = cut(self.steps.join(end("a"), "a").join(end("b"), "b"), "layered")
         degree = lambda name, what: self.labels.select(F.col("c").alias(name), what)
-        asked = cut(layered.where("ha - hb > 1 AND db - da > 1").join(degree("a", "out"), "a").join(degree("b", "into"), "b"), "asked")
+        steep = layered.where("ha - hb > 1 AND db - da > 1").join(among, ["a", "b"], "left_semi")
+        asked = cut(steep.join(degree("a", "out"), "a").join(degree("b", "into"), "b"), "asked")
         after = layered.select("a", F.col("b").alias("x"), F.col("hb").alias("h"), F.col("db").alias("d"))
         before = layered.select("b", F.col("a").alias("y"), F.col("ha").alias("h"), F.col("da").alias("d"))
         ahead = asked.where("out <= into").join(after, "a").where("h > hb AND d < db").select("a", "b", "x", F.col("b").alias("y"))
@@ -124,11 +129,64 @@ class Reach:
         return known.union(longer).distinct()
 
 
+def _ancestors(steps: DataFrame) -> DataFrame | None:
+    """(id, above) of an acyclic graph: a row for each ancestor of a node, or one null if they are more than LISTED; None if there is a cycle.
+
+    Nodes that no step leads to any more hand on what is above them, a layer in each round; a step is used once, for LISTED + 1
+    rows at most.
+    """
+    left, given, before = steps, None, None
+    while not left.isEmpty():
+        free = cut(left.select(F.col("src").alias("id")).distinct().join(left.select(F.col("dst").alias("id")), "id", "left_anti"), "frontier")
+        if free.isEmpty():
+            return None
+        going = left.join(free, F.col("src") == F.col("id"), "left_semi")
+        new = going.select(F.col("dst").alias("id"), F.col("src").alias("above"))
+        if given is not None:
+            far = _limited(given.join(free, "id", "left_semi"))
+            new = new.union(going.join(far, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), "above"))
+        new = cut(new.distinct(), "above")
+        given = new if given is None else given.union(new)
+        left = cut(left.join(free, F.col("src") == F.col("id"), "left_anti"), "left")
+    return None if given is None else cut(_limited(given), "ancestors")
+
+
+def _limited(given: DataFrame) -> DataFrame:
+    """The distinct rows (id, above), or one with a null for an id that has a null or more than LISTED of them."""
+    rows = given.distinct()
+    many = rows.groupBy("id").agg((F.count(F.lit(1)) > LISTED).alias("many"), F.bool_or(F.col("above").isNull()).alias("open")).where("many OR open").select("id")
+    return rows.join(many, "id", "left_anti").union(many.select("id", F.lit(None).cast(rows.schema["above"].dataType).alias("above")))
+
+
 def transitive_reduction(edges: DataFrame) -> DataFrame:
-    """Edges of a DAG that no longer path implies; a graph with a cycle comes back as it is, without repeated edges."""
+    """Edges of a DAG that no longer path implies; a graph with a cycle comes back as it is, without repeated edges.
+
+    All nodes of a path but its last have steps ahead, so cycles and ancestors are those of the ``inner`` edges, between nodes with
+    steps ahead; only an edge from a node with an inner one can be implied. An edge (a, b) is, if a is an ancestor of a node
+    y with a step to b: for nodes y of at most LISTED ancestors that is a row for each of them. What nodes of more leave open is searched.
+    """
     plain = cut(edges.select("src", "dst").distinct(), "plain")
-    nodes = plain.select(F.col("src").alias("id")).union(plain.select("dst"))
-    reach = Reach(nodes, plain)
-    if not reach.components.where("cycle").isEmpty():
+    starts = cut(plain.select(F.col("src").alias("dst")).distinct(), "starts")
+    inner = cut(plain.where("src IS NOT NULL").join(checked_broadcast(starts), "dst", "left_semi").select("src", "dst"), "inner")
+    if inner.isEmpty():
+        return plain
+    above = _ancestors(inner)
+    if above is None:
         return plain
-    return plain.join(reach.redundant().toDF("src", "dst"), ["src", "dst"], "left_anti")
+    high = checked_broadcast(cut(inner.select("src").distinct(), "high"))
+    asked = plain.join(high, "src", "left_semi").select("src", "dst")
+    listed = above.where("above IS NOT NULL").groupBy("id").agg(F.collect_set("above").alias("above"))
+    ways = plain.join(checked_broadcast(cut(listed, "listed")), F.col("src") == F.col("id")).select(F.explode("above").alias("src"), "dst")
+    gone = cut(asked.join(ways, ["src", "dst"], "left_semi"), "gone")
+    unlisted = cut(above.where("above IS NULL").select(F.col("id").alias("src")), "unlisted")
+    if not unlisted.isEmpty():
+        ends = plain.join(checked_broadcast(unlisted), "src", "left_semi").select("dst").distinct()
+        rest = cut(asked.join(gone, ["src", "dst"], "left_anti").join(ends, "dst", "left_semi").select(F.col("src").alias("a"), F.col("dst").alias("b")), "rest")
+        if not rest.isEmpty():
+            # a path of several steps is inner edges and one more into its end
+            last = plain.join(rest.select(F.col("b").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            paths = cut(inner.union(last).distinct(), "paths")
+            nodes = paths.select(F.col("src").alias("id")).union(paths.select("dst"))
+            gone = gone.union(Reach(nodes, paths, acyclic=True).redundant(rest).toDF("src", "dst"))
+    kept = asked.join(gone, ["src", "dst"], "left_anti")
+    return plain.join(high, "src", "left_anti").select("src", "dst").union(kept)

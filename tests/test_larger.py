@@ -86,6 +86,34 @@ def test_searches_go_on_at_the_lesser_end(spark, monkeypatch):
     assert max(df.count() for name, df in written if name in ("sized", "tried", "ahead", "frontier")) < 10
 
 
+def test_reduction_labels_no_graph_of_few_ancestors(spark, monkeypatch):
+    """Cycles and ancestors are told by the few edges between nodes with steps ahead, the ends of all others by lists of ancestors."""
+    rows = [("r", "n"), ("n", "s"), ("n", "t")] + [(a, f"p{i}") for i in range(40) for a in ("r", "s", "n" if i % 2 else "t")] + [(None, "n"), ("r", None)]
+    monkeypatch.setattr(reachability, "Reach", None)
+    monkeypatch.setattr(reachability, "strong_components", None)
+    written = recorded(monkeypatch, reachability)
+    reduced = lambda more: {(r.src, r.dst) for r in reachability.transitive_reduction(spark.createDataFrame(rows + more, "src string, dst string")).collect()}
+    assert reduced([]) == {x for x in rows if x[1] is None or not x[1].startswith("p") or x[0] in ("s", "t")}
+    assert max(df.count() for name, df in written if name not in ("plain", "gone")) < 10
+    assert reduced([("s", "r")]) == {*rows, ("s", "r")}
+    assert reduced([("p1", "p1")]) == {*rows, ("p1", "p1")}
+
+
+def test_reduction_searches_what_is_above_many(spark, monkeypatch):
+    monkeypatch.setattr(reachability, "LISTED", 2)
+    rng = random.Random(8)
+    rows = list({tuple(sorted(rng.sample(range(10, 23), 2))) for _ in range(34)})
+    ahead = {n: {n} for n in range(10, 23)}
+    for n in range(22, 9, -1):
+        ahead[n] = ahead[n].union(*[ahead[b] for a, b in rows if a == n])
+    implied = {(a, b) for a, b in rows if any(b in ahead[x] for c, x in rows if c == a and x != b)}
+    built, real = [], reachability.Reach
+    monkeypatch.setattr(reachability, "Reach", lambda *given, **more: built.append(1) or real(*given, **more))
+    got = reachability.transitive_reduction(spark.createDataFrame(rows, "src long, dst long"))
+    assert {(r.src, r.dst) for r in got.collect()} == set(rows) - implied
+    assert built and implied
+
+
 def test_sources_are_distinct_before_they_are_met(spark):
     plan = QUERIES["ql18_and"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [src#" in plan
