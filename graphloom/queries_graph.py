@@ -181,7 +181,7 @@ def _hunks(g: G) -> DataFrame:
 _HUNKS = "h AS MATERIALIZED (SELECT l_suppkey AS file, l_partkey AS a, l_partkey + CAST(CASE WHEN l_linenumber = 7 THEN l_quantity * 100 ELSE l_quantity END AS BIGINT) - 1 AS z, 'dev' || l_orderkey % 97 AS author, l_shipdate AS day FROM lineitem), r AS (SELECT DISTINCT l_suppkey AS file, 'part:' || l_partkey AS id, l_partkey AS first, l_partkey + l_partkey % 40 AS last FROM lineitem), o AS MATERIALIZED (SELECT r.file, id, author, day, least(last, z) - greatest(first, a) + 1 AS lines FROM r JOIN h ON h.file = r.file AND (first BETWEEN a AND z OR a BETWEEN first AND last))"
 query("src14_blame", f"WITH {_HUNKS}, k AS (SELECT file, id, author, row_number() OVER (PARTITION BY file, id ORDER BY day DESC, author DESC) AS r FROM o), t AS (SELECT file, id, count(DISTINCT author) AS authors, CAST(sum(lines) AS BIGINT) AS lines FROM o GROUP BY 1, 2) SELECT file, id, author AS last_author, author || '@example.org' AS author_email, authors, lines FROM k JOIN t USING (file, id) WHERE r = 1")(
     lambda g: history.blamed(
-        g.lineitem.select(F.col("l_suppkey").alias("file"), _key("part", "l_partkey").alias("id"), F.col("l_partkey").alias("first"), (F.col("l_partkey") + F.col("l_partkey") % 40).alias("last")).distinct(), _hunks(g)
+        g.lineitem.select(F.col("l_suppkey").alias("file"), _key("part", "l_partkey").alias("id"), F.col("l_partkey").alias("first"), (F.col("l_partkey") + F.col("l_partkey") % 40).alias("last")), _hunks(g)
     ).drop("changed_at")
 )
 _SPEC = """'{{"openapi": "3.0.0", "paths": {{"/users/{{id}}/' {c} event_type {c} '/{{item}}": {{"summary": "s", "get": {{"operationId": "get' {c} event_type {c} '", "responses": {{"200": {{"$ref": "#/components/' {c} event_type {c} '"}}}}, "parameters": [{{"$ref": "#/p/' {c} {u} {c} '"}}, ' {c} props {c} ']}}, "POST": {{}}}}, "/' {c} event_type {c} '": {{"delete": {{"operationId": "drop' {c} event_type {c} 'Now"}}}}}}}}'"""

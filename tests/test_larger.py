@@ -56,6 +56,31 @@ def test_blame_of_very_long_ranges(spark):
     assert got == {"r": ("b", 2, 2, 1 + 1 + most - 6), "s": ("a", 0, 1, 1)}
 
 
+def test_blame_of_whole_files_shuffles_no_pair(spark, monkeypatch):
+    """Ranges and hunks are dealt out by file, once; files of many rows go by bins of lines, with the same result."""
+    rng = random.Random(3)
+    at = lambda: rng.choice([1, 2, None])
+    ranges = [(rng.choice(["f", "f", "g"]), rng.choice(["r1", "r2", None, f"s{i}"]), a := rng.randint(0, 900), a + rng.choice([0, 7, 400])) for i in range(60)]
+    hunks = [(rng.choice(["f", "f", "g", "h"]), a := rng.randint(0, 900), a + rng.choice([0, 3, 64, 900]), rng.choice(["ann", "bob", "\uff21", "\U0001f600"]), rng.choice(["m", "n", None]), at()) for _ in range(80)]
+    want = {}
+    for f, i, a, z in set(ranges):
+        for g, fr, to, who, mail, when in hunks:
+            if f == g and a <= to and fr <= z:
+                want.setdefault((f, i), []).append(((when or 0, who.encode(), mail or ""), who, min(z, to) - max(a, fr) + 1))
+    want = {k: (max(x)[0], len({w for _, w, _ in x}), sum(n for *_, n in x)) for k, x in want.items()}
+    made = lambda: history.blamed(spark.createDataFrame(ranges * 2, "file string, id string, first long, last long"), spark.createDataFrame(hunks, "file string, `from` long, to long, author string, email string, at int"))
+    rows = lambda df: {(r.file, r.id): ((r.changed_at or 0, r.last_author.encode(), r.author_email or ""), r.authors, r.lines) for r in df.collect()}
+    found = made()
+    assert rows(found) == want and len(want) > 20 and found.count() == len(want)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "FlatMapCoGroupsInArrow" in plan
+    monkeypatch.setattr(history, "PAIRS", 7)
+    assert rows(made()) == want  # each range's authors are those of several pieces
+    monkeypatch.setattr(history, "FILE_ROWS", 70)
+    found = made()
+    assert rows(found) == want and "Join" in found._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_calls_are_dealt_out_by_rows(spark, monkeypatch):
     monkeypatch.setattr(session, "TASK_ROWS", 100)
     sf = "/root/testdata/sf0.001"
