@@ -23,14 +23,14 @@ def chosen(column: Column, table: dict, otherwise) -> Column:
 
 
 def rounded(value: Column | str, places: int) -> Column:
-    """A double rounded as SQL's round does: the value times 10^places, half away from zero, and back.
+    """A double rounded as SQL's round does: the value times 10^places, half away from zero with its sign, and back.
 
-    Spark's own rounds the shortest decimal that reads as the double, so 210.36874999999998 becomes 210.3687 there and 210.3688 here.
-    Values too large for the product stay as they are.
+    Spark's own rounds the shortest decimal that reads as the double, so 210.36874999999998 becomes 210.3687 there and 210.3688 here,
+    and makes 0.0 of what is -0.0 here. Values too large for the product stay as they are.
     """
     value = F.col(value) if isinstance(value, str) else value
     many = value * 10.0**places
-    whole = F.round(many)
+    whole = F.when(many < 0, -F.round(-many)).when(many == 0, many).otherwise(F.round(many))
     return F.when(F.isnan(many) | (F.abs(many) == float("inf")), value).otherwise(whole / 10.0**places)
 
 

@@ -28,6 +28,8 @@ def test_doubles_are_rounded_as_sql_rounds_them(spark):
     rows = spark.createDataFrame(values, "value double, want double")
     assert [r for r in rows.select(rounded("value", 4).alias("got"), "want").collect() if r.got != r.want] == []
     assert math.isnan(rows.select(rounded(F.lit(math.nan), 4)).first()[0])
+    signs = spark.createDataFrame([(-1e-14,), (-0.0,), (0.0,), (1e-14,)], "value double").select(rounded("value", 4).alias("got")).collect()
+    assert [math.copysign(1, r.got) for r in signs] == [-1, -1, 1, 1] and all(r.got == 0 for r in signs)
 
 
 def test_trends_are_rounded_as_in_sql(spark, tmp_path):
